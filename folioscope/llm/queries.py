@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import bpe, token_files
 
 
 def queries() -> dict:
-    return {"op1_token_files": token_files.op1}
+    return {"op1_token_files": token_files.op1, "op8_bpe": bpe.op8}
 
 
 def oracle_sql() -> dict[str, str]:
