@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, token_files
+from . import bpe, language_id, quality_rules, token_files
 
 
 def queries() -> dict:
-    return {"op1_token_files": token_files.op1, "op2_language_id": language_id.op2, "op8_bpe": bpe.op8}
+    return {"op1_token_files": token_files.op1, "op2_language_id": language_id.op2, "op4_quality_rules": quality_rules.op4, "op8_bpe": bpe.op8}
 
 
 def oracle_sql() -> dict[str, str]:
