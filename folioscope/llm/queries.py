@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, quality_rules, token_files
+from . import bpe, language_id, media_store, quality_rules, token_files, warc_bundles
 
 
 def queries() -> dict:
-    return {"op1_token_files": token_files.op1, "op2_language_id": language_id.op2, "op4_quality_rules": quality_rules.op4, "op8_bpe": bpe.op8}
+    return {
+        "op1_token_files": token_files.op1,
+        "op2_language_id": language_id.op2,
+        "op4_quality_rules": quality_rules.op4,
+        "op5_media_store": media_store.op5,
+        "op6_warc_bundles": warc_bundles.op6,
+        "op8_bpe": bpe.op8,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
