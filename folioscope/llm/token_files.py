@@ -21,6 +21,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -142,7 +143,7 @@ class WordCachedTokenizer:
     white space and drop it (``splits_at_space``); others get whole texts.
     """
 
-    ENTRIES = 400_000
+    ENTRIES = 1_200_000
     ODD = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for the tokenizer
 
     def __init__(self, path: str):
@@ -160,7 +161,7 @@ class WordCachedTokenizer:
         self.cache: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, text: str) -> list[str]:
         if self.ODD.search(text):
