@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, media_store, quality_rules, token_files, warc_bundles
+from . import bpe, language_id, media_store, ngram_join, quality_rules, token_files, warc_bundles
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_media_store": media_store.op5,
         "op6_warc_bundles": warc_bundles.op6,
         "op8_bpe": bpe.op8,
+        "op9_ngram_join": ngram_join.op9,
     }
 
 
