@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, media_store, ngram_join, quality_rules, token_files, warc_bundles
+from . import bpe, language_id, media_store, ngram_join, pii, quality_rules, token_files, warc_bundles
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_quality_rules": quality_rules.op4,
         "op5_media_store": media_store.op5,
         "op6_warc_bundles": warc_bundles.op6,
+        "op7_pii": pii.op7,
         "op8_bpe": bpe.op8,
         "op9_ngram_join": ngram_join.op9,
     }
