@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, media_store, ngram_join, pii, quality_rules, token_files, warc_bundles
+from . import bpe, language_id, media_store, mixing, ngram_join, pii, quality_rules, token_files, warc_bundles
 
 
 def queries() -> dict:
@@ -15,8 +15,9 @@ def queries() -> dict:
         "op7_pii": pii.op7,
         "op8_bpe": bpe.op8,
         "op9_ngram_join": ngram_join.op9,
+        "op10_mixing": mixing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": mixing.SQL}
