@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, media_store, mixing, ngram_join, pii, quality_rules, token_files, warc_bundles
+from . import bpe, katz, language_id, media_store, mixing, ngram_join, pii, quality_rules, token_files, warc_bundles
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1,
         "op2_language_id": language_id.op2,
+        "op3_katz": katz.op3,
         "op4_quality_rules": quality_rules.op4,
         "op5_media_store": media_store.op5,
         "op6_warc_bundles": warc_bundles.op6,
