@@ -102,7 +102,7 @@ def shingle_sets(texts: list[str], n: int) -> list[tuple[bytes, np.ndarray]]:
     at = np.searchsorted(owner, np.arange(len(texts) + 1))
     rolled = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
     for k in range(n):
-        rolled += hashes[k : k + len(rolled)] * (U64(2 * k + 1) * STEP | U64(1))
+        rolled += hashes[k : k + len(rolled)] * U64(((2 * k + 1) * int(STEP) | 1) % (1 << 64))
     rolled = mix(rolled)
     out = []
     for a, b in zip(at.tolist(), at[1:].tolist()):
