@@ -132,7 +132,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
     upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))
     kinds = [upper, letters - upper, removed(text, "0123456789"), removed(text, " \t\n\x0b\f\r"), removed(text, PUNCTUATION), F.col("n_symbols").cast("int")]
-    hits = F.filter(F.transform("words", F.lower), lambda w: w.isin(every) if every else F.lit(False))
+    hits = F.transform(F.filter("words", lambda w: F.lower(w).isin(every) if every else F.lit(False)), F.lower)
     features = counted.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.length(text).alias("n_chars"), F.array(*kinds).alias("kinds"), hits.alias("hits"),
