@@ -85,11 +85,12 @@ def weight_of(label: Column, weights: dict[str, int]) -> Column:
 def budgets(leaves: DataFrame, levels: list[str], how: Parameters) -> DataFrame:
     """Budget of each leaf; ``leaves`` has the levels and ``tokens``."""
     capacity = leaves.select(*levels, (F.col("tokens") * how.max_epochs).cast("long").alias("capacity"))
-    above = leaves.agg(F.expr(f"sum(cast(tokens as decimal(38,0))) * {how.budget_percent} div 100").cast("long").alias("budget"))
+    root = leaves.agg(F.expr(f"sum(cast(tokens as decimal(38,0))) * {how.budget_percent} div 100")).first()[0]  # one number
+    above = None
     for depth in range(len(levels)):
         own = capacity.groupBy(*levels[: depth + 1]).agg(F.sum("capacity").alias("capacity"))
         own = own.withColumns({"label": F.col(levels[depth]), "weight": weight_of(F.col(levels[depth]), how.weights[depth])})
-        nodes = own.join(above, levels[:depth]) if depth else own.crossJoin(F.broadcast(above))  # the root is one row
+        nodes = own.join(above, levels[:depth]) if depth else own.withColumn("budget", F.lit(int(root or 0)).cast("long"))
         above = deal(nodes, levels[:depth]).select(*levels[: depth + 1], "budget")
     return leaves.join(above, levels, "left").withColumn("budget", F.coalesce("budget", F.lit(0)))
 
