@@ -439,6 +439,57 @@ def c10(spark, d):
     return rel.duplicates_of(docs, 0)
 
 
+@table_query("C4_change", "select s_nationkey, l::double as left_value, r::double as right_value, (r - l)::double as difference, (case when l <> 0 then sign(r - l) * sign(l) * ((2 * abs(((r - l) * 10000)::hugeint) * 1000000 + abs((l * 10000)::hugeint)) // (2 * abs((l * 10000)::hugeint))) end)::double / 10000 as percent from (select s_nationkey, min(s_acctbal::decimal(24,4)) as l, max(s_acctbal::decimal(24,4)) as r from supplier group by 1)")
+def c4(spark, d):
+    n = F.col("s_acctbal").cast(val.AMOUNT)
+    sides = spark.read.parquet(f"{d}/supplier.parquet").groupBy("s_nationkey").agg(F.min(n).alias("left_value"), F.max(n).alias("right_value"))
+    return doubles(rel.changes(sides), "left_value", "right_value", "difference", "percent")
+
+
+@query("P24_other_currencies", "select id as document_id from known where currency <> 'MXN'")
+def p24(c):
+    kept = scope.in_currency(c.values.where("concept = 'Importe total'"), "MXN").select("document_id")
+    return c.values.where("concept = 'Importe total'").join(kept, "document_id", "left_anti").select("document_id")
+
+
+@table_query("P26_first_chunk", "select doc_id as document_id, string_split(text, chr(10))[1] as content from documents")
+def p26(spark, d):
+    return orders_corpus(spark, d).chunks.groupBy("document_id").agg(F.min_by("content", "ordinal").alias("content"))
+
+
+@table_query("A17_odd_negatives", "select 's_acctbal' as concept from supplier having count(*) >= 20 and count_if(s_acctbal < 0) * 20 <= count(*)")
+def a17(spark, d):
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.lit("s_acctbal").alias("concept"), F.col("s_acctbal").cast(val.AMOUNT).alias("numeric"))
+    return agg.signs(rows).where("negative_is_odd").select("concept")
+
+
+@table_query("X8_civil_dates", "select o_orderkey, last_day(o_orderdate::date) as month_end, date_diff('day', date '1992-01-01', o_orderdate::date)::int as days from orders")
+def x8(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.last_day(day).alias("month_end"), F.datediff(day, F.lit("1992-01-01").cast("date")).alias("days"))
+
+
+@query("S19_entities", "select null::bigint as document_id, null::varchar as name where false")
+def s19(c):
+    from .sources.index import entities
+
+    return entities(c.values.where("concept = 'Segmento'")).select("document_id", "name")
+
+
+@table_query("S16_chunks")
+def s16(spark, d):
+    from .sources.files import chunk_rows
+
+    return chunk_rows(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text"))
+
+
+@table_query("S20_purge", "select id as document_id from (select o_orderkey as id, o_orderpriority as origin from orders) where origin <> '5-LOW'")
+def s20(spark, d):
+    from .sources.index import purge
+
+    return purge(orders_corpus(spark, d), "5-LOW").documents.select("document_id")
+
+
 # ---- search ---------------------------------------------------------------------------------------
 
 _LINES = r"""lines as (select document_id, ordinal::int as ordinal, content, list_filter(regexp_split_to_array(lower(strip_accents(content)), '[^\pL\pN]+'), lambda w: w <> '') as w from (select doc_id as document_id, generate_subscripts(l, 1) - 1 as ordinal, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents)))"""

@@ -75,9 +75,8 @@ def sniff(data: bytes) -> str | None:
 
 def label_lines(chunks: DataFrame) -> DataFrame:
     """(document_id, label, value) of `label: value` lines; the same rule as for text files."""
-    pattern = LINE.replace("(?:", "(?:")
     lines = chunks.select("document_id", F.explode(F.split("content", "\n")).alias("line"))
-    found = lines.select("document_id", F.trim(F.regexp_extract("line", pattern, 1)).alias("label"), F.trim(F.regexp_extract("line", pattern, 2)).alias("value"))
+    found = lines.select("document_id", F.trim(F.regexp_extract("line", LINE, 1)).alias("label"), F.trim(F.regexp_extract("line", LINE, 2)).alias("value"))
     return found.where((F.col("label") != "") & (F.octet_length("label") <= LABEL_BYTES))
 
 
@@ -300,6 +299,19 @@ def chunks_of(text: str) -> list[dict]:
     return [{"ordinal": k, "location": f"líneas {a}-{b}", "content": c} for k, (a, b, c) in enumerate(out) if c.strip()]
 
 
+def chunk_rows(texts: DataFrame) -> DataFrame:
+    """(document_id, ordinal, location, content) of texts (document_id, text)."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(d, c["ordinal"], c["location"], c["content"]) for d, t in zip(batch["document_id"], batch["text"]) for c in chunks_of(t or "")]
+            yield pd.DataFrame(rows, columns=["document_id", "ordinal", "location", "content"])
+
+    return texts.select("document_id", "text").mapInPandas(run, "document_id long, ordinal int, location string, content string")
+
+
 def split_cover(text: str, labels: set[str]) -> list[tuple[str, str]]:
     """`Label value` lines by a vocabulary of labels, only in runs of three or more."""
     out, run = [], []

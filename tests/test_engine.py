@@ -178,6 +178,17 @@ def test_questions(engine, spark, tables):
         engine.ask("  ")
 
 
+def test_folders():
+    from folioscope.plans import folders
+
+    origins = ["02_reportes", "rh/nomina", "Ventas 2024"]
+    assert folders.explicit("¿qué hay en 02_reportes?", origins) == folders.Folder("found", "02_reportes")
+    assert folders.explicit("en la carpeta «legal»", origins) == folders.Folder("missing", "legal")
+    assert folders.explicit("suma el importe", origins).state == "not_named"
+    assert folders.fuzzy("los reportes del mes", origins) == "02_reportes" and folders.fuzzy("hola", origins) is None
+    assert folders.in_order("compara ventas 2024 con rh nomina", origins) == ["Ventas 2024", "rh/nomina"]
+
+
 def test_supported():
     assert supported(["1,200.00", "Ana Ruiz"], ["Importe: $1,200.00 MXN", "ANA RUÍZ"]) == [] and supported(["7"], ["8"]) == ["7"]
 
