@@ -168,3 +168,45 @@ CONTRACT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_re
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(*CONTRACT)
+
+
+def _classes_sql() -> str:
+    removed = lambda chars: f"length(text) - length(translate(text, {chars}, ''))"
+    upper = r"length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g'))"
+    letters = r"length(regexp_replace(text, '\P{L}+', '', 'g'))"
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    quoted = "'" + PUNCTUATION.replace("'", "''") + "'"
+    kinds = [upper, f"{letters} - ({upper})", removed("'0123456789'"), removed(spaces), removed(quoted), removed(f"'{SYMBOLS}'")]
+    return f"[{', '.join(kinds)}]"
+
+
+def oracle(limits: Limits = Limits()) -> str:
+    """The same rules in DuckDB SQL."""
+    term = "(case when {a} > 0 then {a} * log2(2 * {a} / ({a} + {b})) else 0 end)"
+    both = lambda p, q: f"({term.format(a=p, b=q)} + {term.format(a=q, b=p)}) / 2"
+    return rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from documents),
+w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+u as (select rid, lang, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+g as (select rid, i, word || chr(1) || lead(word) over (partition by rid order by i) || chr(1) || lead(word, 2) over (partition by rid order by i) as grams from u),
+r as (select rid, i from g where grams is not null qualify count(*) over (partition by rid, grams) > 1),
+c as (select rid, count(distinct p) as n_repeat from (select rid, unnest([i, i + 1, i + 2]) as p from r) group by rid),
+base as (select rid, doc_id, lang, text, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+    (length(text) - length(translate(text, '{SYMBOLS}', '')))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words
+  from w left join c using (rid)),
+counts as (select lang, lower(word) as word, count(*) as n from u group by all),
+totals as (select lang, sum(n) as total from counts group by lang),
+common as (select lang, word, n::double / total as q from counts join totals using (lang) where n >= {limits.common_share} * total),
+hits as (select rid, lower(word) as word, count(*) as k from u group by all),
+bins as (select rid, coalesce(k, 0)::double / n_words as p, q from base join common using (lang) left join hits using (rid, word) where n_words >= {limits.word_guard}),
+word_d as (select rid, sum({both("p", "q")}) as s, greatest(0, 1 - sum(p)) as p, greatest(0, 1 - sum(q)) as q from bins group by rid),
+word_j as (select rid, sqrt(greatest(0, s + {both("p", "q")})) as word_distance from word_d),
+kinds as (select rid, lang, length(text) as n_chars, {_classes_sql()} as k from base),
+filled as (select rid, lang, n_chars, list_append(k, n_chars - list_sum(k)) as k from kinds),
+spread as (select rid, lang, n_chars, unnest(k) as k, generate_subscripts(k, 1) as i from filled),
+refs as (select lang, i, sum(k)::double / sum(sum(k)) over (partition by lang) as q from spread group by lang, i),
+char_j as (select rid, sqrt(greatest(0, sum({both("(k::double / n_chars)", "q")}))) as char_distance from spread join refs using (lang, i) where n_chars >= {limits.char_guard} group by rid),
+judged as (select *, n_words < {limits.min_words} or 100 * n_repeat_words > {limits.max_repeat_percent} * n_words as base_failed from base left join word_j using (rid) left join char_j using (rid))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(word_distance, 0) <= {limits.word_distance} and coalesce(char_distance, 0) <= {limits.char_distance} as kept from judged
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op4_quality_rules": quality_rules.oracle(), "op10_mixing": mixing.SQL}

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from folioscope.llm.quality_rules import PUNCTUATION, SYMBOLS, Limits, judge, op4
+from folioscope.llm.quality_rules import PUNCTUATION, SYMBOLS, Limits, judge, op4, oracle
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -89,3 +89,11 @@ def test_labels(spark):
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
     assert sum(good) / len(good) > 0.99
     assert not bad or sum(bad) / len(bad) < 0.3
+
+
+def test_query_equals_sql(spark, tables):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tables}/documents.parquet'")
+    assert sorted(map(tuple, op4(spark, tables).collect())) == sorted(db.execute(oracle()).fetchall())
