@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, common, language_id, mixing, ngram_join, pii
 
-#: Below this share of the likeliest language a text is no text in any learned one.
+#: Texts in one language have a leading share of at least this; mixtures may have less and are kept.
 LEAST_SHARE = 0.35
+#: Below this fit to its mixture of languages (1: as training texts, 0: nothing but unseen trigrams) a text is in no learned one.
+LEAST_FIT = 0.4
 KEY = b"folioscope example key"
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter or without a leading language; lang stays as labelled."""
+    """Drops texts without a letter and those that no mixture of the learned languages explains; lang stays as labelled."""
     model = language_id.train(docs)
-    kept = F.col("lang_pred") != language_id.UNDETERMINED
-    if model.languages:
-        kept = kept & (F.col("score") >= LEAST_SHARE)
-    return language_id.identify(docs, model).where(kept).select(*docs.columns)
+    kept = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("__fit") >= LEAST_FIT)
+    return language_id.identify(docs, model, fit="__fit").where(kept).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,8 @@ class Parameters:
 class Model:
     languages: list[str]
     log_p: np.ndarray = field(repr=False)  # FEATURES x languages
+    #: Mean log probability of a trigram of each language's own training texts.
+    typical: np.ndarray | None = field(default=None, repr=False)
 
 
 _LETTER: list[np.ndarray] = []
@@ -89,10 +91,10 @@ def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key[first] >> np.uint64(16)).astype(np.int64), (key[first] & np.uint64(0xFFFF)).astype(np.int64), np.diff(np.append(first, len(key))).astype(np.float64)
 
 
-def infer(model: Model, texts: list[str], how: Parameters = Parameters()) -> np.ndarray:
+def infer(model: Model, texts: list[str], how: Parameters = Parameters(), counts=None) -> np.ndarray:
     """Language proportions, texts x languages; zero rows where nothing can be said."""
     n_languages, out = len(model.languages), np.zeros((len(texts), len(model.languages)))
-    owner, feature, count = _counts(texts)
+    owner, feature, count = _counts(texts) if counts is None else counts
     if not len(owner) or not n_languages:
         return out
     present, begin = np.unique(owner, return_index=True)
@@ -139,6 +141,28 @@ def infer(model: Model, texts: list[str], how: Parameters = Parameters()) -> np.
     return out
 
 
+def fits(model: Model, shares: np.ndarray, counts, spread: float = 0.5) -> np.ndarray:
+    """How well its inferred mixture explains each text: 1 as well as training texts, 0 as if every trigram were unseen.
+
+    The mean log likelihood per trigram, on the scale between these two for
+    the same mixture. Few trigrams say little, so ``spread`` / sqrt(n) is
+    added. 0 where nothing can be said.
+    """
+    out = np.zeros(len(shares))
+    owner, feature, count = counts
+    if not len(owner) or not model.languages:
+        return out
+    p = (np.exp(model.log_p[feature].astype(np.float64)) * shares[owner]).sum(axis=1)
+    total = np.bincount(owner, count, len(shares))
+    known = total > 0
+    own, total = shares[known], total[known]
+    mean = np.bincount(owner, count * np.log(p), len(shares))[known] / total
+    low = np.log(own @ np.exp(model.log_p.min(axis=0).astype(np.float64)))
+    high = own @ model.typical + np.where(own > 0, own * np.log(np.where(own > 0, own, 1)), 0).sum(axis=1)
+    out[known] = (mean - low) / np.maximum(high - low, 1e-9) + spread / np.sqrt(total)
+    return out
+
+
 def train(labelled: DataFrame, how: Parameters = Parameters()) -> Model:
     """Learn from rows (doc_id, text, lang) with text, lang and doc_id.
 
@@ -172,12 +196,18 @@ def train(labelled: DataFrame, how: Parameters = Parameters()) -> Model:
     languages = sorted(sizes)
     counts = np.full((FEATURES, len(languages)), how.smoothing)
     counts[table["feature"].to_numpy(), table["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy(int)] += table["n"].to_numpy()
-    return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    log_p = np.log(counts / counts.sum(axis=0))
+    seen = counts - how.smoothing
+    return Model(languages, log_p.astype(np.float32), (seen * log_p).sum(axis=0) / np.maximum(seen.sum(axis=0), 1))
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, how: Parameters = Parameters()) -> DataFrame:
-    """Append lang_pred, score, languages and proportions to the ``keep`` columns (all by default); needs ``text``."""
-    outputs = [x.split()[0] for x in OUTPUT.split(", ")]
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, how: Parameters = Parameters(), fit: str | None = None) -> DataFrame:
+    """Append lang_pred, score, languages and proportions to the ``keep`` columns (all by default); needs ``text``.
+
+    ``fit`` names one more column, of ``fits``.
+    """
+    output = OUTPUT + (f", {fit} double" if fit else "")
+    outputs = [x.split()[0] for x in output.split(", ")]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -188,7 +218,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, how:
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
             for begin, end in slices([len(x) for x in texts], 1 << 20):
-                shares = infer(model, texts[begin:end], how)
+                counts = _counts(texts[begin:end])
+                shares = infer(model, texts[begin:end], how, counts)
                 langs, scores, sets, proportions = [], [], [], []
                 for x in shares:
                     order = [i for i in np.argsort(-x, kind="stable") if x[i] > 0]
@@ -197,10 +228,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, how:
                     sets.append([model.languages[i] for i in order])
                     proportions.append([float(x[i]) for i in order])
                 part = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(proportions, pa.list_(pa.float64()))], names=[*keep, *outputs])
+                found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(proportions, pa.list_(pa.float64()))]
+                if fit:
+                    found.append(pa.array(fits(model, shares, counts), pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], names=[*keep, *outputs])
 
     source = docs.select(F.col("text").alias("__text"), *[docs[c] for c in keep])
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]), OUTPUT])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]), output])
     return source.mapInArrow(run, ddl)
 
 
