@@ -9,8 +9,8 @@ surrogate, is drawn again with the next attempt, until all are distinct. Equal
 entities thus get equal surrogates in all documents, different ones different
 ones.
 
-Rows that hold neither a digit, an @ nor a title are passed by without leaving
-the JVM. The others are joined with the replacements of their entities by id.
+Rows that hold nothing that any pattern needs (HINT) are passed by without
+leaving the JVM. The others are joined with the replacements of their entities by id.
 
 Null and empty texts are left as they are. Rows of equal doc_id share one
 set of replacements. Null doc_ids are kept. All columns are kept; ``text`` is
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +52,8 @@ SYLLABLES = {
 ENDINGS = {("f", "latin"): "a", ("m", "latin"): "n", ("f", "cyrillic"): "а", ("m", "cyrillic"): "н", ("f", "greek"): "α", ("m", "greek"): "ς"}
 
 _TITLE = "|".join(re.escape(t) for names in TITLES.values() for t in names)
-#: What a text needs to be looked at; also understood by Java.
-HINT = rf"[0-9@]|(?:{_TITLE})[. ]"
+#: What a text needs to be looked at, for Java: each pattern below needs one of these. Of planes above the basic one, where its digits may be older than Python's, any character.
+HINT = rf"[@\p{{Nd}}\x{{10000}}-\x{{10FFFF}}]|(?:{_TITLE})[. ]|AKIA|gh[pousr]_|eyJ|[a-f]{{32}}|[A-F]{{32}}|(?:[a-fA-F]{{1,4}}:){{7}}|(?iu:token|secret|passw|api[_\-]?key|access[_\-]?key)"
 
 _PATTERNS = [
     ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
@@ -82,6 +83,16 @@ def script_of(word: str) -> str:
     return "cyrillic" if 0x400 <= code < 0x530 else "greek" if 0x370 <= code < 0x400 else "latin"
 
 
+def ascii_digits(text: str) -> str:
+    """Digits of all scripts as 0 to 9."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def in_script_of(digit: str, like: str) -> str:
+    """A digit 0 to 9 in the script of another one."""
+    return digit if like.isascii() or not like.isdecimal() else chr(ord(like) - unicodedata.decimal(like) + int(digit))
+
+
 def entities(text: str | None) -> list[Entity]:
     """All entities in order, without overlap."""
     found = []
@@ -100,7 +111,7 @@ def entities(text: str | None) -> list[Entity]:
                 found.append(Entity(at, at + len(w.group()), f"{role}_{script_of(w.group())}", w.group().lower()))
         else:
             raw = m.group()
-            canonical = raw.lower() if kind in ("email", "ip6") else raw if kind == "ip" else re.sub(r"[^0-9A-Z]", "", raw)
+            canonical = raw.lower() if kind in ("email", "ip6") else ascii_digits(raw) if kind == "ip" else re.sub(r"[^0-9A-Z]", "", ascii_digits(raw))
             found.append(Entity(begin, end, kind, canonical))
     return found
 
@@ -130,8 +141,10 @@ LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTU
 
 
 def _alike(text: str, draw: Draw) -> str:
-    """Digits for digits, letters for letters of the same case; all else stays."""
-    return "".join(draw.of(DIGITS) if c in DIGITS else draw.of(LOWER) if c in LOWER else draw.of(UPPER) if c in UPPER else c for c in text)
+    """Digits for digits, letters for letters of the same case; all else stays, unless there is nothing else."""
+    if not any(c.isalpha() or c.isdecimal() for c in text):
+        return "".join(draw.of(LOWER) for _ in text)
+    return "".join(draw.of(DIGITS) if c.isdecimal() else draw.of(UPPER) if c.isupper() else draw.of(LOWER) if c.isalpha() else c for c in text)
 
 
 def luhn(digits: str) -> int:
@@ -175,7 +188,10 @@ def render(entity: Entity, original: str, replacement: str) -> str:
     """The replacement in the format of the original: its separators and its case."""
     if entity.kind in ("phone", "card", "ssn", "iban"):
         chars = iter(replacement)
-        return "".join(next(chars) if c.isalnum() else c for c in original)
+        return "".join(in_script_of(next(chars), c) if c.isalnum() else c for c in original)
+    if entity.kind == "ip" and not original.isascii():
+        like = next(c for c in original if not c.isascii())
+        return "".join(c if c == "." else in_script_of(c, like) for c in replacement)
     if entity.kind.startswith(("given", "surname")):
         return replacement.upper() if original.isupper() and len(original) > 1 else replacement.capitalize()
     if original.isupper() and entity.kind in ("email", "ip6"):
