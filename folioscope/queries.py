@@ -562,6 +562,12 @@ def x1(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").where("lang in ('fr', 'es')").select("doc_id", text.folded(F.substring("text", 1, 4000)).alias("folded"))
 
 
+@table_query("X1_fold_whole", "select doc_id, lower(strip_accents(text)) as folded from documents")
+def x1_whole(spark, d):
+    """Whole texts of all rows."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.folded("text").alias("folded"))
+
+
 @table_query("X3_identifier", "select p_partkey, 'mfr' || p_partkey as identifier from part")
 def x3(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", text.identifier_of(F.concat(F.lit("MFR-"), "p_partkey")).alias("identifier"))
