@@ -158,6 +158,12 @@ def f24(c):
     return c.values.where("concept = 'Folio' and document_id < 100").select("document_id", text.excerpt("text_value", "oc").alias("excerpt"))
 
 
+@table_query("F24_excerpt_whole", "select doc_id as document_id, substr(text, greatest(1, strpos(lower(strip_accents(text)), 'license') - 176)::bigint, 360) as excerpt from documents")
+def f24_whole(spark, d):
+    """Excerpts of the whole texts of all documents, around a term that lies deep in some."""
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), text.excerpt("text", "license").alias("excerpt"))
+
+
 @query("F25_substantive", "select count(*) as n from items")
 def f25(c):
     return c.values.where("concept = 'Cantidad' and (numeric is not null or not location like 'metadato:%')").agg(F.count("*").alias("n"))
