@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -53,18 +54,19 @@ ENDINGS = {("f", "latin"): "a", ("m", "latin"): "n", ("f", "cyrillic"): "а", ("
 
 _TITLE = "|".join(re.escape(t) for names in TITLES.values() for t in names)
 #: What a text needs to be looked at, for Java: each pattern below needs one of these. Of planes above the basic one, where its digits may be older than Python's, any character.
-HINT = rf"[@\p{{Nd}}\x{{10000}}-\x{{10FFFF}}]|(?:{_TITLE})[. ]|AKIA|gh[pousr]_|eyJ|[a-f]{{32}}|[A-F]{{32}}|(?:[a-fA-F]{{1,4}}:){{7}}|(?iu:token|secret|passw|api[_\-]?key|access[_\-]?key)"
+HINT = rf"[@\p{{Nd}}\x{{10000}}-\x{{10FFFF}}]|(?:{_TITLE})[. ]|AKIA|gh[pousr]_|eyJ|[a-f]{{32}}|[A-F]{{32}}|(?:[a-fA-F]{{1,4}}:){{7}}|::|(?iu:token|secret|passw|api[_\-]?key|access[_\-]?key)"
 
+_HEX = "[0-9a-fA-F]{1,4}"
 _PATTERNS = [
     ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
     ("secret", r"""(?i:(?:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key)["']?\s*[=:]\s*["'])(?P<secret_value>[^"'\s]{8,})(?=["'])|(?<![\w])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})(?!\w)|(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"""),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
-    ("ip6", r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"),
+    ("ip6", rf"(?<![\w:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=:{{0,2}}[0-9a-fA-F])(?!(?::*{_HEX}(?![0-9a-fA-F])){{8}})(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:])"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,5}(?!\d)|(?<![\d\w])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"),
     ("card", r"(?<![\d\w])\d(?:[ \-]?\d){12,18}(?![\d\w])"),
-    ("name", rf"(?<!\w)(?P<title>{_TITLE})\.? +(?P<names>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \-][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})"),
+    ("name", rf"(?<!\w)(?P<title>{_TITLE})\.? +(?P<names>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \-][^\W\d_a-zа-яα-ω][^\W\d_]+)*)"),
 ]
 PATTERN = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _PATTERNS))
 GENDER = {t: g for g, names in TITLES.items() for t in names}
@@ -111,7 +113,7 @@ def entities(text: str | None) -> list[Entity]:
                 found.append(Entity(at, at + len(w.group()), f"{role}_{script_of(w.group())}", w.group().lower()))
         else:
             raw = m.group()
-            canonical = raw.lower() if kind in ("email", "ip6") else ascii_digits(raw) if kind == "ip" else re.sub(r"[^0-9A-Z]", "", ascii_digits(raw))
+            canonical = raw.lower() if kind == "email" else ipaddress.IPv6Address(raw).exploded if kind == "ip6" else ascii_digits(raw) if kind == "ip" else re.sub(r"[^0-9A-Z]", "", ascii_digits(raw))
             found.append(Entity(begin, end, kind, canonical))
     return found
 
@@ -147,6 +149,21 @@ def _alike(text: str, draw: Draw) -> str:
     return "".join(draw.of(DIGITS) if c.isdecimal() else draw.of(UPPER) if c.isupper() else draw.of(LOWER) if c.isalpha() else c for c in text)
 
 
+def _group(group: str, draw: Draw, attempt: int) -> str:
+    size = len(group.lstrip("0"))
+    size = min(4, size + attempt // 8) if size else 0
+    return "".join(draw.of(HEX[1:] if not i else HEX) for i in range(size)).rjust(4, "0")
+
+
+def _groups(address: str, exploded: str) -> str:
+    """The exploded address in the format of another one with the same groups of zeros."""
+    head, gap, tail = address.partition("::")
+    new, old = exploded.split(":"), [x.split(":") if x else [] for x in (head, tail)]
+    ends = [new[: len(old[0])], new[len(new) - len(old[1]) :]]
+    same = [":".join(n.lstrip("0").rjust(len(o), "0") for n, o in zip(a, b)) for a, b in zip(ends, old)]
+    return same[0] + gap + same[1]
+
+
 def luhn(digits: str) -> int:
     return sum(sum(divmod(int(d) * 2, 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10
 
@@ -162,7 +179,9 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         first, second = (int(x) for x in canonical.split(".")[:2])
         head = [10] if first == 10 else [192, 168] if (first, second) == (192, 168) else [11 + draw.below(88)]
         return ".".join(map(str, head + [draw.below(256) for _ in range(3 - len(head))] + [1 + draw.below(254)]))
-    if kind == "ip6" or (kind == "secret" and re.fullmatch("[0-9a-f]+", canonical)):
+    if kind == "ip6":  # groups of zeros stay, so that a compressed form stays one; later attempts have longer groups
+        return ":".join(_group(x, draw, attempt) for x in canonical.split(":"))
+    if kind == "secret" and re.fullmatch("[0-9a-f]+", canonical):
         return "".join(draw.of(HEX) if c in HEX else c for c in canonical)
     if kind == "secret" and re.fullmatch("[0-9A-F]+", canonical):
         return "".join(draw.of(HEX).upper() for _ in canonical)
@@ -194,6 +213,8 @@ def render(entity: Entity, original: str, replacement: str) -> str:
         return "".join(c if c == "." else in_script_of(c, like) for c in replacement)
     if entity.kind.startswith(("given", "surname")):
         return replacement.upper() if original.isupper() and len(original) > 1 else replacement.capitalize()
+    if entity.kind == "ip6":
+        replacement = _groups(original, replacement)
     if original.isupper() and entity.kind in ("email", "ip6"):
         return replacement.upper()
     return replacement
