@@ -15,10 +15,12 @@ them, never the pairs. Equal word sequences are collapsed before all that.
 Words are lower-cased runs of letters and digits. A document shorter than n
 words has one shingle, its whole sequence; one without words has none, and no
 links; equal sequences (also empty ones, null text included) are one class.
-Rows of equal doc_id should be equal; if their texts differ, each is joined on
-its own, but they count as one document. Null doc_ids stand for themselves and get
-an id below zero from their text. Extra columns are ignored. An empty table
-gives an empty result.
+Different texts under one doc_id are joined each on its own. Null doc_ids get an
+id below zero from their text, and give way to every other id. Extra columns are
+ignored. An empty table gives an empty result.
+
+A word sequence goes by 64 bits of its digest: among n different ones a
+collision is expected once in n^2 / 3.7e19.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
@@ -143,14 +145,24 @@ def identity() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), -2 - F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
 
 
+def text_hash() -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64("text")
+
+
+def first_of(*more: str) -> Column:
+    """The smallest id, ids of null doc_ids last, with ``more`` columns."""
+    return F.min(F.struct((F.col("id") < 0).alias("unnamed"), "id", *more))
+
+
 def signatures(docs: DataFrame, how: Parameters) -> DataFrame:
-    """(id, hi, lo, n_shingles, keys) for each row; hi and lo are the digest of the word sequence."""
+    """(id, text_hash, hi, lo, n_shingles, keys) for each row; hi and lo are the digest of the word sequence."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            texts = [x or "" for x in batch.column(2).to_pylist()]
             for begin, end in slices([len(x) for x in texts], 1 << 19):
                 sets = shingle_sets(texts[begin:end], how.n)
                 full = [i for i, (_, x) in enumerate(sets) if len(x)]
@@ -159,9 +171,9 @@ def signatures(docs: DataFrame, how: Parameters) -> DataFrame:
                     for i, row in zip(full, prefix_keys([sets[i][1] for i in full], how).view(np.int64)):
                         keys[i] = row
                 digest = np.frombuffer(b"".join(x for x, _ in sets), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(begin, end - begin).cast(pa.int64()), "hi": digest[:, 0], "lo": digest[:, 1], "n_shingles": pa.array([len(x) for _, x in sets], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(begin, end - begin).cast(pa.int64()), "text_hash": batch.column(1).slice(begin, end - begin), "hi": digest[:, 0], "lo": digest[:, 1], "n_shingles": pa.array([len(x) for _, x in sets], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-    return docs.select(identity(), "text").mapInArrow(run, "id long, hi long, lo long, n_shingles long, keys array<long>")
+    return docs.select(identity(), text_hash(), "text").mapInArrow(run, "id long, text_hash long, hi long, lo long, n_shingles long, keys array<long>")
 
 
 def _reached(linked: np.ndarray) -> np.ndarray:
@@ -229,26 +241,22 @@ def _verify(table, how: Parameters):
     return pa.table({"node": pa.array([nodes[k] for k in rows], pa.int64()), "other": pa.array([nodes[label[k]] for k in rows], pa.int64()), "links": pa.array(degree[rows], pa.int64())})
 
 
-def join(docs: DataFrame, how: Parameters = Parameters()) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text).
-
-    class_id is the smallest doc_id of all documents that links connect;
-    n_links counts the *different* texts at or above the threshold; n_copies
-    the rows with the same word sequence, this one included.
-    """
+def _joined(docs: DataFrame, how: Parameters) -> DataFrame:
+    """As ``join``, with text_hash and class_node, the number of the class."""
     rows = materialise(signatures(docs, how), "signatures")
-    copies = rows.groupBy("hi", "lo").agg(F.min("id").alias("node"), F.count("*").alias("n_copies"))
-    members = materialise(rows.join(copies, ["hi", "lo"]).select("id", "node", "n_copies", "n_shingles", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys")), "members")
+    copies = rows.groupBy("hi", "lo").agg(first_of("text_hash").alias("first"), F.count("*").alias("n_copies"))
+    is_first = (F.col("id") == F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    members = materialise(rows.join(copies, ["hi", "lo"]).select("id", "text_hash", F.col("hi").alias("node"), "n_copies", "n_shingles", F.col("first.id").alias("copy_id"), is_first.alias("is_first"), F.when(is_first, F.col("keys")).alias("keys")), "members")
     keyed = members.where("keys is not null").select("node", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     candidates = components(keyed.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")), "candidates")
 
     # Blocks of the candidate groups.
-    sizes = members.where("id = node").groupBy("node").agg(F.max("n_shingles").alias("n"))
+    sizes = members.where("is_first").groupBy("node").agg(F.max("n_shingles").alias("n"), F.first("id").alias("id"), F.first("text_hash").alias("text_hash"))
     groups = candidates.join(sizes, "node")
     blocks = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / how.block_docs), F.ceil(F.sum("n") / how.block_shingles)).cast("int").alias("n_blocks"))
-    placed = candidates.join(blocks, "root").select("node", "root", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
-    texts = docs.select(identity().alias("node"), "text")
+    placed = groups.join(blocks, "root").select("id", "text_hash", "node", "root", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
+    texts = docs.select(identity().alias("id"), text_hash().alias("text_hash"), "text")
 
     def shingle(batches):
         import pyarrow as pa
@@ -260,24 +268,39 @@ def join(docs: DataFrame, how: Parameters = Parameters()) -> DataFrame:
                 part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x.tobytes() for _, x in sets], pa.binary())], names=["node", "root", "n_blocks", "block", "shingles"])
 
-    sets = texts.join(placed, "node").select("text", "node", "root", "n_blocks", "block").mapInArrow(shingle, "node long, root long, n_blocks int, block int, shingles binary")
+    sets = texts.join(placed, ["id", "text_hash"]).select("text", "node", "root", "n_blocks", "block").mapInArrow(shingle, "node long, root long, n_blocks int, block int, shingles binary")
     dealt = sets.select("root", "node", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("k")).select("root", "node", "block", "shingles", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
     verified = materialise(dealt.groupBy("root", "i", "j").applyInArrow(lambda table: _verify(table, how), "node long, other long, links long"), "links")
 
     classes = components(verified.select(F.col("node").alias("a"), F.col("other").alias("b")), "classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
+    named = classes.join(members.where("is_first").select("node", "id").distinct(), "node")
+    names = named.groupBy("root").agg(first_of().alias("least")).select("root", F.col("least.id").alias("least"))
+    classes = classes.join(names, "root")
     return (
         members.drop("keys")
         .join(classes, "node", "left")
         .join(links, "node", "left")
-        .select(F.col("id").alias("doc_id"), F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", F.col("node").alias("copy_id"))
+        .select(F.col("id").alias("doc_id"), F.coalesce("least", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", "copy_id", "text_hash", F.coalesce("root", "node").alias("class_node"))
     )
 
 
+def join(docs: DataFrame, how: Parameters = Parameters()) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text).
+
+    class_id is the smallest doc_id of all documents that links connect;
+    n_links counts the *different* texts at or above the threshold; n_copies
+    the rows with the same word sequence, this one included.
+    """
+    return _joined(docs, how).drop("text_hash", "class_node")
+
+
 def one_of_each(docs: DataFrame, how: Parameters = Parameters()) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class."""
-    kept = join(docs, how).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, identity() == F.col("kept_id"), "left_semi")
+    """One row of ``docs`` for each class: of its smallest doc_id, and of several texts or rows of that just one."""
+    kept = _joined(docs, how).withColumnRenamed("doc_id", "id").groupBy("class_node").agg(first_of("text_hash").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.text_hash").alias("__text_hash"))
+    rows = docs.withColumns({"__id": identity(), "__text_hash": text_hash()}).join(kept, ["__id", "__text_hash"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("__id", "__text_hash").orderBy("__id"))
+    return rows.withColumn("__place", place).where("__place = 1").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
