@@ -10,12 +10,19 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _path(spark: SparkSession, uri: str):
+    """Hadoop's path and its file system, as the cluster configures them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors can see."""
+    """URI of the folder that the driver and all executors can see; without a scheme it is on the cluster's default file system."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found is None:
@@ -23,24 +30,57 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
         found = context.getCheckpointDir()
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+    path, system = _path(spark, found)
+    return system.makeQualified(path).toString()
+
+
+_OPEN: list[list[str]] = []
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one; inside ``temporary`` it goes when that ends."""
+    found = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(found)
+    return found
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    path, system = _path(spark, uri)
+    system.delete(path, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Removes all working folders that were made inside, also after a failure."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for uri in _OPEN.pop():
+            remove(spark, uri)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def write_to(df: DataFrame, path: str) -> DataFrame:
+    """Write as a table and read it back."""
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write as a table in the shared folder and read it back: cuts the lineage durably."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_to(df, work_dir(df.sparkSession, name))
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of ``materialise`` when nothing reads it any more."""
+    remove(df.sparkSession, df.written_to)
 
 
 def filesystem(uri: str):
@@ -74,6 +114,7 @@ class AtomicFile:
         self.fs.move(self.temp, self.path)
 
     def abandon(self) -> None:
+        """After a failure: nothing stays."""
         self.out.close()
         self.fs.delete_file(self.temp)
 

@@ -8,10 +8,13 @@ Every id takes the fewest bits that the vocabulary needs. A file is::
 Each block packs BLOCK ids (the last one fewer), so any id range is read with
 one range read of the blocks that hold it and unpacked by numpy.
 
+A task rolls to its next file after ROLL ids, so that a file and what is held of
+it stay bounded however many rows one range of doc_ids has.
+
 Null text counts as empty (only the end id is written). Rows with a null
-doc_id come first. Equal doc_ids are ordered by their text. An empty table
-gives no file. Columns other than doc_id and text are ignored, whatever their
-names.
+doc_id come first. Equal doc_ids are ordered by a hash of their text, then by
+the text; they may lie in several files. An empty table gives no file. Columns
+other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from .common import AtomicFile, RangeReader, materialise, partitions, slices, wo
 
 MAGIC = b"FSTOKEN1"
 BLOCK = 65_536  # a multiple of 64
-MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long, bits int"
+ROLL = 1 << 25
+MANIFEST = "shard long, path string, n_docs long, n_tokens long, n_bytes long, bits int"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -72,38 +76,41 @@ class TokenFileWriter:
     """Streams documents' ids into one file; holds at most a block and the document index."""
 
     def __init__(self, uri: str, bits: int):
-        self.file, self.bits = AtomicFile(uri), bits
+        self.uri, self.file, self.bits = uri, AtomicFile(uri), bits
         self.file.write(MAGIC)
-        self.pending, self.n_pending = [], 0
-        self.blocks, self.doc_ids, self.starts = [], [], [0]
+        self.pending, self.n_pending, self.n_ids = [], 0, 0
+        self.blocks, self.doc_ids, self.counts = [], [], []
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        """ids: little-endian uint32."""
-        n = len(ids) // 4
+    def add(self, doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """ids: of all these documents in a row, counts of each."""
+        self.doc_ids.append((doc_ids.astype("<i8"), nulls.astype("u1")))
+        self.counts.append(counts)
         self.pending.append(ids)
-        self.n_pending += n
-        self.doc_ids.append(doc_id)
-        self.starts.append(self.starts[-1] + n)
+        self.n_pending += len(ids)
+        self.n_ids += len(ids)
         if self.n_pending >= BLOCK:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.pending), "<u4")
+        ids = np.concatenate(self.pending) if self.pending else np.empty(0, np.uint32)
         end = len(ids) if last else len(ids) - len(ids) % BLOCK
         for at in range(0, end, BLOCK):
             self.blocks.append(self.file.write(pack(ids[at : min(at + BLOCK, end)], self.bits)))
-        self.pending, self.n_pending = [ids[end:].tobytes()], len(ids) - end
+        self.pending, self.n_pending = [ids[end:].copy()], len(ids) - end
 
-    def close(self) -> None:
+    def close(self) -> int:
+        """Returns the number of documents."""
         self._flush(True)
-        n = len(self.doc_ids)
-        at = self.file.write(np.array([x or 0 for x in self.doc_ids], "<i8").tobytes())
-        self.file.write(np.array([x is None for x in self.doc_ids], "u1").tobytes())
-        self.file.write(np.array(self.starts, "<u8").tobytes())
+        starts = np.cumsum(np.concatenate([[0], *self.counts])).astype("<u8")
+        at = self.file.at
+        for part in [*(x for x, _ in self.doc_ids), *(x for _, x in self.doc_ids)]:
+            self.file.write(part.tobytes())
+        self.file.write(starts.tobytes())
         self.file.write(np.array(self.blocks, "<u8").tobytes())
-        footer = json.dumps({"bits": self.bits, "block": BLOCK, "blocks": len(self.blocks), "docs": n, "ids": self.starts[-1], "index": at}).encode()
+        footer = json.dumps({"bits": self.bits, "block": BLOCK, "blocks": len(self.blocks), "docs": len(starts) - 1, "ids": self.n_ids, "index": at}).encode()
         self.file.write(footer + struct.pack("<I", len(footer)) + MAGIC)
         self.file.commit()
+        return len(starts) - 1
 
 
 class TokenFile:
@@ -139,57 +146,110 @@ class TokenFile:
 class WordCachedTokenizer:
     """The tokenizers library behind a bounded cache of white-space separated pieces.
 
+    Texts are split and their pieces numbered by Arrow; only pieces that the
+    cache lacks reach the library, many at once, with a separator between them.
     Exact only for tokenizers whose normalizer and splitter never look across
-    white space and drop it (``splits_at_space``); others get whole texts.
+    white space and drop it (``by_piece``); others get whole texts.
     """
 
-    ENTRIES = 1_200_000
-    ODD = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for the tokenizer
+    CACHE_BYTES = 32 << 20  # of pieces, ids and offsets
+    SLICE = 8 << 20  # characters, about
+    JOINED = 2000
+    SEPARATOR = "|"  # no other character normalizes to it
+    ODD = "[\x1c-\x1f]"  # white space for Arrow, but not for the tokenizer
 
     def __init__(self, path: str):
+        import pyarrow as pa
+
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        meta = json.load(open(path))  # noqa: SIM115
+        with open(path) as f:
+            meta = json.load(f)
         steps = (meta.get("pre_tokenizer") or {}).get("pretokenizers") or [meta.get("pre_tokenizer") or {}]
-        self.by_piece = any(x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert") for x in steps)
+        self.added = [x["content"] for x in meta.get("added_tokens") or []]
+        plain = not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or re.search(r"\s", x["content"]) for x in meta.get("added_tokens") or [])
+        self.by_piece = plain and any(x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert") for x in steps)
         kinds = (meta.get("normalizer") or {}).get("normalizers") or [meta.get("normalizer") or {}]
         self.folds_case = any(x.get("type") == "Lowercase" for x in kinds)
-        self.cache: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.ODD.search(text):
-            return [text]
-        if self.folds_case and "<|" not in text:
-            try:
-                text.encode("latin-1")  # beyond it the cases of Python and of the tokenizer may differ
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return text.split()
-
-    def encode(self, texts: list[str]):
-        """Yields each text's ids as little-endian uint32 bytes."""
-        for begin, end in slices([len(x) for x in texts], 1 << 20):
-            part = texts[begin:end]
-            if not self.by_piece:
-                yield from self._raw(part)
-                continue
-            pieces = [self._pieces(x) for x in part]
-            if len(self.cache) > self.ENTRIES:
-                self.cache.clear()
-            cache = self.cache
-            new = list(dict.fromkeys(w for x in pieces for w in x if w not in cache))
-            cache.update(zip(new, self._raw(new)))
-            get = cache.__getitem__
-            for x in pieces:
-                yield b"".join(map(get, x))
+        mark = self._raw([self.SEPARATOR])[0]
+        self.mark = int(mark[0]) if len(mark) == 1 else None  # the id that stands between joined pieces
+        self.pieces, self.ids, self.ends = pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(array("I", x.ids), np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in a row, and how many each has."""
+        alone = [i for i, x in enumerate(pieces) if self.mark is None or self.SEPARATOR in x or any(a in x for a in self.added)]
+        separate = dict(zip(alone, self._raw([pieces[i] for i in alone])))
+        found: list[np.ndarray] = []
+        for at in range(0, len(pieces) if self.mark is not None else 0, self.JOINED):
+            part = ["" if i in separate else pieces[i] for i in range(at, min(at + self.JOINED, len(pieces)))]
+            joined = self._raw([f" {self.SEPARATOR} ".join(part)])[0]
+            own = np.split(joined, np.flatnonzero(joined == self.mark))
+            found += [x[1:] if i else x for i, x in enumerate(own)] if len(own) == len(part) else self._raw(part)
+        if self.mark is None:
+            found = [separate[i] for i in range(len(pieces))]
+        else:
+            for i, x in separate.items():
+                found[i] = x
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _words(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.utf8_split_whitespace(texts)
+        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        coded = pc.list_flatten(lists).dictionary_encode()
+        words = coded.dictionary
+        if self.folds_case:  # spellings of ASCII words fall together; special tokens are told by their case
+            plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<")))
+            words = pc.if_else(plain, pc.ascii_lower(words), words)
+        place = pc.index_in(words, value_set=self.pieces)
+        if place.null_count:
+            if self.pieces.nbytes + self.ids.nbytes + self.ends.nbytes > self.CACHE_BYTES:  # the older half goes
+                half = len(self.pieces) // 2
+                first = self.ends[half - 1]
+                self.pieces, self.ids, self.ends = self.pieces.slice(half), self.ids[first:], self.ends[half:] - first
+                place = pc.index_in(words, value_set=self.pieces)
+            missing = words.filter(pc.is_null(place)).unique()
+            ids, counts = self._pieces(missing.to_pylist())
+            self.ends = np.concatenate([self.ends, np.cumsum(counts) + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.pieces = pa.concat_arrays([self.pieces, missing])
+            place = pc.index_in(words, value_set=self.pieces)
+        at = place.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.append(self.ends, len(self.ids) + 1)  # one more piece: the end of a text
+        begins = np.append(0, ends[:-1])
+        flat = np.append(self.ids, np.uint32(end_id))
+        codes = np.insert(at[coded.indices.to_numpy()], np.cumsum(per_text), len(self.pieces))
+        counts = (ends - begins)[codes]
+        stops = np.cumsum(counts)
+        where = np.arange(stops[-1] if len(stops) else 0) + np.repeat(begins[codes] - (stops - counts), counts)
+        last = np.cumsum(per_text.astype(np.int64) + 1) - 1  # the code of each text's end
+        return flat[where], np.diff(stops[last], prepend=0)
+
+    def encode(self, texts, end_id: int):
+        """Yields (begin, end, ids, counts) of slices of an Arrow array of texts; each text's ids end with ``end_id``."""
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), bool)
+        sizes = pc.binary_length(texts).to_pylist()
+        for first, stop in slices(sizes, self.SLICE):
+            edges = [first, *(np.flatnonzero(np.diff(odd[first:stop])) + first + 1).tolist(), stop]
+            for begin, end in zip(edges, edges[1:]):
+                part = texts.slice(begin, end - begin)
+                if odd[begin]:
+                    each = [np.append(x, np.uint32(end_id)) for x in self._raw(part.to_pylist())]
+                    yield begin, end, np.concatenate(each), np.array([len(x) for x in each])
+                else:
+                    yield begin, end, *self._words(part, end_id)
 
 
 _TOKENIZERS: dict[str, WordCachedTokenizer] = {}
@@ -202,7 +262,7 @@ def tokenizer_of(path: str) -> WordCachedTokenizer:
     return _TOKENIZERS[path]
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, files: int | None = None, roll: int = ROLL) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files in ascending doc_id order; returns the manifest.
 
     The rows are dealt by ranges of doc_id, so file k holds smaller ids than
@@ -216,21 +276,34 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1
 
         encoder = tokenizer_of(tokenizer)
         bits = width(max(encoder.tokenizer.get_vocab_size(), end_id + 1))
-        end, shard, writer, n = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), None, 0
-        path = f"{out}/shard-{shard:06d}.tok"
-        for batch in batches:
-            if batch.num_rows and writer is None:
-                writer = TokenFileWriter(path, bits)
-            ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, encoded in zip(ids, encoder.encode(texts)):
-                writer.add(doc_id, encoded + end)
-            n += batch.num_rows
-        if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [n], "n_tokens": [writer.starts[-1]], "n_bytes": [writer.file.at], "bits": pa.array([bits], pa.int32())})
-
-    ranged = docs.select("doc_id", "text").repartitionByRange(files or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ranged.mapInArrow(write, MANIFEST)
+        task, number, writer = TaskContext.get().partitionId(), 0, None
+
+        def closed() -> pa.RecordBatch:
+            n = writer.close()
+            shard = (task << 24) + number
+            return pa.RecordBatch.from_pydict({"shard": [shard], "path": [writer.uri], "n_docs": [n], "n_tokens": [writer.n_ids], "n_bytes": [writer.file.at], "bits": pa.array([bits], pa.int32())})
+
+        try:
+            for batch in batches:
+                ids = batch.column(0).cast(pa.int64())
+                values, nulls = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+                for begin, end, encoded, counts in encoder.encode(batch.column(1), end_id):
+                    if writer is None:
+                        writer = TokenFileWriter(f"{out}/shard-{task:06d}-{number:06d}.tok", bits)
+                    writer.add(values[begin:end], nulls[begin:end], counts, encoded)
+                    if writer.n_ids >= roll:
+                        yield closed()
+                        writer, number = None, number + 1
+            if writer is not None:
+                yield closed()
+        except BaseException:
+            if writer is not None:
+                writer.file.abandon()
+            raise
+
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ranged = hashed.repartitionByRange(files or partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    manifest = ranged.select("doc_id", "text").mapInArrow(write, MANIFEST)
     manifest.write.parquet(f"{out}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,8 +37,8 @@ def test_random_access(tmp_path):
     docs = [rng.integers(0, 50_000, n, dtype=np.uint32) for n in (5, 0, 200_000, 1, 70_000)]
     writer = T.TokenFileWriter(f"file://{tmp_path}/a.tok", 17)
     for i, x in enumerate(docs):
-        writer.add(i, x.astype("<u4").tobytes())
-    writer.close()
+        writer.add(np.array([i]), np.array([False]), np.array([len(x)]), x)
+    assert writer.close() == len(docs)
     file, every = T.TokenFile(f"file://{tmp_path}/a.tok"), np.concatenate(docs)
     assert file.n_ids == len(every) and len(file.offsets) == -(-len(every) // T.BLOCK) + 1
     for start, n in ((0, 5), (65_530, 20), (131_072, 1), (100_000, 150_000), (len(every) - 3, 3), (7, 0)):
@@ -47,9 +48,18 @@ def test_random_access(tmp_path):
 def test_cached_tokenizer_is_exact():
     ref, own, r = Tokenizer.from_file(PATH), T.WordCachedTokenizer(PATH), random.Random(2)
     chars = "abcdeABC theing 123!?.,'sst  \n\t\x1c\x1d\x85\xa0 éÉñßİΣς中ﬁǺ<|startoftext|>"
-    texts = ["", " ", "A<|endoftext|>B", "<|ENDOFTEXT|>", "ΑΣ ΑΣΑ", *("".join(r.choice(chars) for _ in range(r.randrange(50))) for _ in range(3000))]
-    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
-    assert got == [x.ids for x in ref.encode_batch(texts, add_special_tokens=False)]
+    texts = ["", " ", "A<|endoftext|>B", "<|ENDOFTEXT|>", "ΑΣ ΑΣΑ", "H\u0331 T\u0308x h\u0331 I\u0307", "a|b | || x|", *("".join(r.choice(chars) for _ in range(r.randrange(50))) for _ in range(3000))]
+    want = [x.ids + [1] for x in ref.encode_batch(texts, add_special_tokens=False)]
+
+    def encoded():
+        return [x.tolist() for begin, end, ids, counts in own.encode(pa.array(texts), 1) for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+    assert encoded() == want
+    own.CACHE_BYTES = 2000  # the cache gives way and the ids stay the same
+    r.shuffle(texts)
+    want = [x.ids + [1] for x in ref.encode_batch(texts, add_special_tokens=False)]
+    own.SLICE = 500
+    assert encoded() == want and encoded() == want
 
 
 def test_token_query(spark, tables):
@@ -70,6 +80,19 @@ def test_token_odd_rows(spark):
     assert T.read_token_files(T.write_token_files(docs.limit(0), work_dir(spark, "t"), PATH)).count() == 0
 
 
+def test_files_roll(spark):
+    """One doc_id holds most rows: its range rolls over several files, in order."""
+    docs = spark.createDataFrame([(1 if i % 10 else i, f"word{i} " * 12) for i in range(200)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        manifest = T.write_token_files(docs, work_dir(spark, "t"), PATH, files=1, roll=50)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted((tuple(r) for r in T.read_token_files(manifest).collect()), key=lambda r: r[1])
+    assert manifest.count() > 5 and len(got) == 200 and [r[0] for r in got] == sorted(r[0] for r in got)
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(200)]
+
+
 def test_png_and_tar_are_standard():
     payload = M.pad("héllo wörld".encode() * 50)
     assert M.from_png(M.to_png(payload)) == payload and len(payload) % 192 == 0 and M.pad(b"") == b" " * 192
