@@ -8,8 +8,8 @@ neighbours everywhere are exactly the result of the merges, and each position
 is given up at most once, so the time is linear in the piece.
 
 Compatibility is decided by undoing merges from the joint outwards and is kept
-in a bounded table. Pieces are kept in a bounded table too; neither bound
-changes a result.
+in a bounded table. The parts between spaces are numbered by Arrow and their
+ids kept in a cache bounded in bytes; neither bound changes a result.
 
 Null text counts as empty. Repeated rows give repeated results. Other columns
 are ignored, whatever their names.
@@ -25,12 +25,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices
+from .pieces import PieceCache
 
 #: White space of the splitting pattern (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The public splitting pattern of the rank files, with that white space spelled out.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-STARTS_WITH_SPACE = re.compile(f"[{SPACE}]")
 ROWS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -42,8 +42,8 @@ def byte_symbols() -> dict[str, int]:
 
 
 class BacktrackingBPE:
-    PAIRS = 1_000_000
-    TEXTS = 300_000
+    PAIRS = 300_000
+    CACHE_BYTES = 48 << 20
 
     def __init__(self, path: str):
         import ahocorasick
@@ -82,8 +82,8 @@ class BacktrackingBPE:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.piece_pattern = regex.compile(PIECES)
         self.vocab = vocab
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes | None] = {}
+        self.fits: dict[int, bool] = {}
+        self.cache = PieceCache(self._parts, self.CACHE_BYTES)
 
     def compatible(self, a: int, b: int) -> bool:
         """Would the merges leave a and b as they are, side by side?
@@ -92,7 +92,7 @@ class BacktrackingBPE:
         each step a merge across the joint must not have come before the merge
         that covers one of its parts.
         """
-        key = (a, b)
+        key = a * self.size + b
         found = self.fits.get(key)
         if found is None:
             found = self._compatible(a, b)
@@ -148,49 +148,71 @@ class BacktrackingBPE:
                 k = trial.pop()
         return out
 
-    def _chunk(self, text: str) -> bytes:
+    def _chunk(self, text: str) -> list[int]:
         ids: list[int] = []
         for piece in self.piece_pattern.findall(text):
             ids += self._merge_piece(piece.encode().decode("latin-1"))
-        return np.array(ids, "<u4").tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        """Text without special tokens.
-
-        A space between two other characters always begins a piece, so text cut
-        there can be looked up part by part. Elsewhere the pattern rules.
-        """
-        first, *rest = text.split(" ")
-        pieces, out = self.pieces, [self._chunk(first)]
-        for part in rest:
-            ids = pieces.get(part, 0)
-            if ids == 0:
-                # None: the part doesn't begin right after a single space
-                ids = None if not part or STARTS_WITH_SPACE.match(part) else self._chunk(" " + part)
-                if len(pieces) >= self.TEXTS:
-                    pieces.clear()
-                pieces[part] = ids
-            if ids is None:
-                return self._by_pattern(text)
-            out.append(ids)
-        return b"".join(out)
-
-    def _by_pattern(self, text: str) -> bytes:
-        out, pieces = [], self.pieces
-        for piece in self.piece_pattern.findall(text):
-            spaced = piece[0] == " " and len(piece) > 1 and not STARTS_WITH_SPACE.match(piece[1])
-            ids = pieces.get(piece[1:]) if spaced else None
-            out.append(self._chunk(piece) if ids is None else ids)
-        return b"".join(out)
+        return ids
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        from array import array
+
+        flat, counts = array("I"), np.empty(len(parts), np.int64)
+        for i, part in enumerate(parts):
+            ids = [self.special[part]] if part in self.special else self._chunk(part)
+            flat.extend(ids)
+            counts[i] = len(ids)
+        return np.frombuffer(flat, np.uint32) if len(flat) else np.empty(0, np.uint32), counts
+
+    def _pieces_of(self, text: str) -> list[str]:
+        """Pieces of the pattern, and special tokens."""
+        out = []
+        for i, x in enumerate(self.special_pattern.split(text) if self.special_pattern is not None else [text]):
+            out += [x] if i % 2 else self.piece_pattern.findall(x)
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.special_pattern is None or not any(x in text for x in self.special):
-            return self._plain(text)
-        parts = self.special_pattern.split(text)
-        return b"".join(np.array([self.special[x]], "<u4").tobytes() if i % 2 else self._plain(x) if x else b"" for i, x in enumerate(parts))
+        import pyarrow as pa
+
+        return self.encode_all(pa.array([text or ""]))[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of texts in a row, and how many each has.
+
+        A space between two other characters always begins a piece, so a text
+        is cut before such spaces and looked up part by part. A text with
+        spaces elsewhere, or with special tokens, is cut by the pattern.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        odd = pc.match_substring_regex(texts, f"[{SPACE}] |  | [{SPACE}]| $")
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(lists).dictionary_encode()
+        codes, n = coded.indices.to_numpy(), len(coded.dictionary)
+        spaced = np.ones(len(codes), np.int64)
+        spaced[np.cumsum(sizes) - sizes] = 0  # the first part of a text has no space before it
+        used = np.unique(codes * 2 + spaced)
+        words = pc.if_else(pa.array(used % 2 == 1), pc.binary_join_element_wise(" ", coded.dictionary.take(pa.array(used // 2)), ""), coded.dictionary.take(pa.array(used // 2)))
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        cut = [self._pieces_of(texts[i].as_py()) for i in whole]
+        found = self.cache.places(pa.concat_arrays([words, pa.array([x for pieces in cut for x in pieces], pa.string())]))
+        place = np.empty(2 * n, np.int64)
+        place[used] = found[: len(used)]
+        ids, counts = self.cache.gather(place[codes * 2 + spaced], sizes)
+        if not whole:
+            return ids, counts
+        each = np.split(ids, np.cumsum(counts)[:-1])
+        more, sizes = self.cache.gather(found[len(used) :], np.fromiter(map(len, cut), np.int64, len(cut)))
+        for i, x in zip(whole, np.split(more, np.cumsum(sizes)[:-1])):
+            each[i] = x
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text; the bytes of all tokens are gathered at once from the offset table."""
@@ -226,9 +248,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: bool = False) -> DataF
 
         bpe = bpe_of(vocabulary)
         for batch in batches:
-            texts = batch.column(1)
-            for begin, end in slices([len(x) if x else 0 for x in texts.to_pylist()], 1 << 22):
-                ids = [bpe.encode(x) for x in texts.slice(begin, end - begin).to_pylist()]
+            texts = batch.column(1).fill_null("")
+            for begin, end in slices([len(x) for x in texts.to_pylist()], 1 << 22):
+                flat, counts = bpe.encode_all(texts.slice(begin, end - begin))
+                stops = np.cumsum(counts).tolist()
+                ids = [flat[b - n : b].astype("<u4").tobytes() for b, n in zip(stops, counts.tolist())]
                 decoded = [bpe.decode(x) for x in ids]
                 out = {
                     "doc_id": batch.column(0).slice(begin, end - begin).cast(pa.int64()),

@@ -8,8 +8,10 @@ taken, so that a language enters only if it explains enough of the text. All
 documents of a slice run through the same numpy operations together.
 
 Null text and text without a letter give ``und`` with score 0 and no
-languages, as does a model that saw no labelled text. Repeated rows give
-repeated results. A null doc_id is never held out and never learned from.
+languages, as does a model that saw no labelled text. A very long text is one
+slice of its own. Equal shares are ranked by the language's name. Predictions
+depend on the text alone: repeated rows give repeated results. A null doc_id is
+never held out and never learned from.
 Extra columns are ignored; passed-through columns named like an output give
 way to the output.
 """
@@ -33,6 +35,8 @@ OUTPUT = "lang_pred string, score double, languages array<string>, proportions a
 class Parameters:
     #: Expected number of labelled documents to learn a language from, at most (whole texts).
     train_docs_per_language: int = 3000
+    #: More labels than this are taken for a mistake; bounds the model that the driver holds.
+    most_languages: int = 512
     smoothing: float = 0.5
     iterations: int = 12
     #: Languages below this share after the first estimate are not tried.
@@ -61,13 +65,12 @@ def _letters() -> np.ndarray:
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed letter trigrams of all texts, and the index of the text of each.
 
-    Runs of other characters count as one space; each text is enclosed in spaces.
+    Runs of other characters count as one space; each text is enclosed in spaces
+    of its own, so that a text has one trigram a letter whatever its neighbours.
     """
-    joined = "\n".join(["", *texts, ""]).lower() if texts else ""
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    lengths = np.array([len(x.lower()) for x in texts])
-    owner = np.repeat(np.arange(len(texts) + 1), np.append(lengths + 1, 1)) if len(texts) else np.empty(0, int)
-    owner = np.minimum(owner, max(0, len(texts) - 1))
+    lowered = [x.lower() for x in texts]
+    codes = np.frombuffer("".join(f"\n{x}\n" for x in lowered).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.repeat(np.arange(len(texts)), [len(x) + 2 for x in lowered]) if texts else np.empty(0, int)
     letter = _letters()[codes]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one space after a run of letters
@@ -171,7 +174,9 @@ def train(labelled: DataFrame, how: Parameters = Parameters()) -> Model:
     FEATURES counts a language.
     """
     rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count("*")).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count("*")).limit(how.most_languages + 1).collect()}
+    if len(sizes) > how.most_languages:
+        raise ValueError(f"more than {how.most_languages} labels: is this column a language?")
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, how.train_docs_per_language / n)]) if sizes else None
     if share is None:
         return Model([], np.zeros((FEATURES, 0), np.float32))
@@ -185,7 +190,7 @@ def train(labelled: DataFrame, how: Parameters = Parameters()) -> Model:
             langs, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs) if x == lang]
-                for begin, end in slices([len(x) for x in own], 1 << 20):
+                for begin, end in slices([len(x) for x in own], 1 << 19):
                     features, _ = trigrams(own[begin:end])
                     sums[lang] = sums.get(lang, 0) + np.bincount(features, minlength=FEATURES)
         for lang, n in sums.items():
@@ -217,7 +222,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, how:
         model = shared.value
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
-            for begin, end in slices([len(x) for x in texts], 1 << 20):
+            for begin, end in slices([len(x) for x in texts], 1 << 19):
                 counts = _counts(texts[begin:end])
                 shares = infer(model, texts[begin:end], how, counts)
                 langs, scores, sets, proportions = [], [], [], []

@@ -30,7 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, RangeReader, materialise, partitions, slices, work_dir
+from .common import AtomicFile, RangeReader, partitions, slices, work_dir
+from .pieces import PieceCache
 
 MAGIC = b"FSTOKEN1"
 BLOCK = 65_536  # a multiple of 64
@@ -159,8 +160,6 @@ class WordCachedTokenizer:
     ODD = "[\x1c-\x1f]"  # white space for Arrow, but not for the tokenizer
 
     def __init__(self, path: str):
-        import pyarrow as pa
-
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
 
@@ -177,7 +176,7 @@ class WordCachedTokenizer:
         self.folds_case = any(x.get("type") == "Lowercase" for x in kinds)
         mark = self._raw([self.SEPARATOR])[0]
         self.mark = int(mark[0]) if len(mark) == 1 else None  # the id that stands between joined pieces
-        self.pieces, self.ids, self.ends = pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.cache = PieceCache(self._pieces, self.CACHE_BYTES)
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(array("I", x.ids), np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -200,39 +199,16 @@ class WordCachedTokenizer:
         return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
     def _words(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         lists = pc.utf8_split_whitespace(texts)
-        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         coded = pc.list_flatten(lists).dictionary_encode()
         words = coded.dictionary
         if self.folds_case:  # spellings of ASCII words fall together; special tokens are told by their case
             plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<")))
             words = pc.if_else(plain, pc.ascii_lower(words), words)
-        place = pc.index_in(words, value_set=self.pieces)
-        if place.null_count:
-            if self.pieces.nbytes + self.ids.nbytes + self.ends.nbytes > self.CACHE_BYTES:  # the older half goes
-                half = len(self.pieces) // 2
-                first = self.ends[half - 1]
-                self.pieces, self.ids, self.ends = self.pieces.slice(half), self.ids[first:], self.ends[half:] - first
-                place = pc.index_in(words, value_set=self.pieces)
-            missing = words.filter(pc.is_null(place)).unique()
-            ids, counts = self._pieces(missing.to_pylist())
-            self.ends = np.concatenate([self.ends, np.cumsum(counts) + len(self.ids)])
-            self.ids = np.concatenate([self.ids, ids])
-            self.pieces = pa.concat_arrays([self.pieces, missing])
-            place = pc.index_in(words, value_set=self.pieces)
-        at = place.to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.append(self.ends, len(self.ids) + 1)  # one more piece: the end of a text
-        begins = np.append(0, ends[:-1])
-        flat = np.append(self.ids, np.uint32(end_id))
-        codes = np.insert(at[coded.indices.to_numpy()], np.cumsum(per_text), len(self.pieces))
-        counts = (ends - begins)[codes]
-        stops = np.cumsum(counts)
-        where = np.arange(stops[-1] if len(stops) else 0) + np.repeat(begins[codes] - (stops - counts), counts)
-        last = np.cumsum(per_text.astype(np.int64) + 1) - 1  # the code of each text's end
-        return flat[where], np.diff(stops[last], prepend=0)
+        codes = self.cache.places(words)[coded.indices.to_numpy()]
+        return self.cache.gather(codes, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), end_id)
 
     def encode(self, texts, end_id: int):
         """Yields (begin, end, ids, counts) of slices of an Arrow array of texts; each text's ids end with ``end_id``."""

@@ -55,7 +55,7 @@ def test_cached_tokenizer_is_exact():
         return [x.tolist() for begin, end, ids, counts in own.encode(pa.array(texts), 1) for x in np.split(ids, np.cumsum(counts)[:-1])]
 
     assert encoded() == want
-    own.CACHE_BYTES = 2000  # the cache gives way and the ids stay the same
+    own.cache.limit = 2000  # the cache gives way and the ids stay the same
     r.shuffle(texts)
     want = [x.ids + [1] for x in ref.encode_batch(texts, add_special_tokens=False)]
     own.SLICE = 500
