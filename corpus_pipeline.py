@@ -16,7 +16,6 @@ from folioscope.llm import bpe, common, language_id, mixing, ngram_join, pii
 LEAST_SHARE = 0.35
 #: Below this fit to its mixture of languages (1: as training texts, 0: nothing but unseen trigrams) a text is in no learned one.
 LEAST_FIT = 0.4
-KEY = b"folioscope example key"
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rewrites text, and n_chars with it."""
-    return pii.replace(docs, KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return pii.replace(docs, pii.key_of(spark)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        target, before = common.work_dir(spark, f"pipeline-{name}"), docs
+        with common.temporary(spark):  # what a stage wrote for itself goes when its result is complete
+            docs = common.write_to(stage(spark, before, sf_dir), target)
+        if i:
+            common.discard(before)
     return docs

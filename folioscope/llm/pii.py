@@ -5,16 +5,18 @@ lower-case e-mail address), so that spellings of one entity corefer. A keyed
 hash of type, canonical form and attempt makes the surrogate: same type, same
 format, same script, and for given names the same gender. All surrogates of a
 corpus are checked together: one that equals a real entity, or another's
-surrogate, is drawn again with the next attempt, until all are distinct. Equal
+surrogate, is drawn again with the next attempt, until all are distinct. Later
+attempts have a wider form, so that this ends however small a format is. Equal
 entities thus get equal surrogates in all documents, different ones different
-ones.
+ones. A surname found after a title is replaced wherever its document has it.
 
 Rows that hold nothing that any pattern needs (HINTS) are passed by without
-leaving the JVM. The others are joined with the replacements of their entities by id.
+leaving the JVM. The others are written once and joined with the replacements
+of their entities by id.
 
-Null and empty texts are left as they are. Rows of equal doc_id share one
-set of replacements. Null doc_ids are kept. All columns are kept; ``text`` is
-rewritten, and columns named like an output give way to it.
+Null and empty texts are left as they are. Texts of any length go whole. Rows of
+equal doc_id share one set of replacements. Null doc_ids are kept. All columns
+are kept; ``text`` is rewritten, and columns named like an output give way to it.
 """
 
 from __future__ import annotations
@@ -22,15 +24,17 @@ from __future__ import annotations
 import hashlib
 import hmac
 import ipaddress
+import os
 import re
 import unicodedata
+from bisect import bisect
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .ngram_join import identity
 
 # Titles by the gender that they state, and given names by gender and script.
@@ -124,9 +128,21 @@ def entities(text: str | None) -> list[Entity]:
             raw = m.group()
             canonical = raw.lower() if kind == "email" else ipaddress.IPv6Address(raw).exploded if kind == "ip6" else ascii_digits(raw) if kind == "ip" else re.sub(r"[^0-9A-Z]", "", ascii_digits(raw))
             found.append(Entity(begin, end, kind, canonical))
+    surnames = {text[e.begin : e.end]: e for e in found if e.kind.startswith("surname")}
+    if surnames:
+        taken = [(e.begin, e.end) for e in found]
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(surnames, key=len, reverse=True)))})(?!\w)", text):
+            k = bisect(taken, m.span())
+            if all(m.end() <= begin or end <= m.start() for begin, end in taken[max(0, k - 1) : k + 1]):
+                found.append(replace_span(surnames[m.group()], *m.span()))
+        found.sort(key=lambda e: e.begin)
     return found
 
 
+def replace_span(entity: Entity, begin: int, end: int) -> Entity:
+    return Entity(begin, end, entity.kind, entity.canonical)
+
+
 KINDS = [name for name, _ in _PATTERNS]
 
 
@@ -160,13 +176,15 @@ def _alike(text: str, draw: Draw) -> str:
 
 def _group(group: str, draw: Draw, attempt: int) -> str:
     size = len(group.lstrip("0"))
-    size = min(4, size + attempt // 8) if size else 0
+    size = 4 if attempt >= 2 * WIDER else min(4, size + attempt // 8) if size else 0
     return "".join(draw.of(HEX[1:] if not i else HEX) for i in range(size)).rjust(4, "0")
 
 
 def _groups(address: str, exploded: str) -> str:
     """The exploded address in the format of another one with the same groups of zeros."""
     head, gap, tail = address.partition("::")
+    if gap and exploded.count("0000") < 8 - len([x for x in re.split(":+", address) if x]):
+        return exploded
     new, old = exploded.split(":"), [x.split(":") if x else [] for x in (head, tail)]
     ends = [new[: len(old[0])], new[len(new) - len(old[1]) :]]
     same = [":".join(n.lstrip("0").rjust(len(o), "0") for n, o in zip(a, b)) for a, b in zip(ends, old)]
@@ -177,8 +195,24 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(int(d) * 2, 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10
 
 
+#: Rounds with one width of the form, attempts that a width has, and the first attempt that gives the form up for a plain digest.
+ROUNDS, WIDER, PLAIN = 6, 50, 500
+
+
+def attempt_of(turn: int) -> int:
+    """0 to 5, then 50 to 55 with a wider form, and so on."""
+    return turn % ROUNDS + WIDER * (turn // ROUNDS)
+
+
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
-    """The canonical form of the replacement."""
+    """The canonical form of the replacement; wider with more attempts, in the end a digest that nothing else has."""
+    if attempt >= PLAIN:
+        return Draw(key, kind, canonical, attempt).seed.hex()
+    if attempt >= WIDER and not kind.startswith(("given", "surname", "ip")):
+        extra = Draw(key, kind, canonical, -attempt)
+        more = "".join(extra.of(DIGITS if kind in ("ssn", "phone", "card", "iban") else LOWER) for _ in range(attempt // WIDER))
+        narrow = surrogate(key, kind, canonical, attempt % WIDER)
+        return more + narrow if kind == "email" else narrow + more
     draw = Draw(key, kind, canonical, attempt)
     if kind == "email":
         local, _, domain = canonical.partition("@")
@@ -186,8 +220,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         return f"{_alike(local, draw)}@{_alike(host, draw)}.{top}"
     if kind == "ip":
         first, second = (int(x) for x in canonical.split(".")[:2])
-        head = [10] if first == 10 else [192, 168] if (first, second) == (192, 168) else [11 + draw.below(88)]
-        return ".".join(map(str, head + [draw.below(256) for _ in range(3 - len(head))] + [1 + draw.below(254)]))
+        head = [] if attempt >= 2 * WIDER else [10] if first == 10 or attempt >= WIDER else [192, 168] if (first, second) == (192, 168) else [11 + draw.below(88)]
+        return ".".join(map(str, head + [1 + draw.below(223) for _ in range(not head)] + [draw.below(256) for _ in range(3 - max(1, len(head)))] + [1 + draw.below(254)]))
     if kind == "ip6":  # groups of zeros stay, so that a compressed form stays one; later attempts have longer groups
         return ":".join(_group(x, draw, attempt) for x in canonical.split(":"))
     if kind == "secret" and re.fullmatch("[0-9a-f]+", canonical):
@@ -213,7 +247,11 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
 
 
 def render(entity: Entity, original: str, replacement: str) -> str:
-    """The replacement in the format of the original: its separators and its case."""
+    """The replacement in the format of the original: its separators and its case; a wider one as it is."""
+    if entity.kind in ("phone", "card", "ssn", "iban") and len(replacement) != sum(c.isalnum() for c in original):
+        return replacement
+    if entity.kind.startswith("ip") and not re.search("[.:]", replacement):
+        return replacement
     if entity.kind in ("phone", "card", "ssn", "iban"):
         chars = iter(replacement)
         return "".join(in_script_of(next(chars), c) if c.isalnum() else c for c in original)
@@ -252,12 +290,12 @@ def resolve(found: DataFrame, key: bytes) -> DataFrame:
     Each round draws for those still without one. Whoever draws a real entity,
     a surrogate already taken, or the same as a smaller entity draws again.
     """
-    pending, taken, attempt = found, None, 0
+    pending, taken, turn = found, None, 0
     real = found.select("kind", F.col("canonical").alias("surrogate"))
     left = found.count()
     while left or taken is None:
 
-        def draw(batches, attempt=attempt):
+        def draw(batches, attempt=attempt_of(turn)):
             import pyarrow as pa
 
             for batch in batches:
@@ -272,8 +310,10 @@ def resolve(found: DataFrame, key: bytes) -> DataFrame:
         left -= won.count()
         taken = won if taken is None else taken.unionByName(won)
         if left:
-            pending = materialise(pending.join(taken, ["kind", "canonical"], "left_anti"), "pending")
-        attempt += 1
+            done, pending = pending, materialise(pending.join(taken, ["kind", "canonical"], "left_anti"), "pending")
+            if turn:
+                discard(done)
+        turn += 1
     return taken
 
 
@@ -287,7 +327,7 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     outputs = ["n_entities", "spans"]
     docs = docs.drop(*outputs)
     hinted = hint()
-    looked = docs.where(hinted)
+    looked = materialise(docs.where(hinted), "pii-looked")
 
     def find(batches):
         import pyarrow as pa
@@ -323,6 +363,15 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     return joined.mapInArrow(apply, ddl).unionByName(passed)
 
 
+_DRAWN: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The secret of the setting spark.folioscope.pii.key; where there is none, one drawn for this application alone."""
+    stated = spark.conf.get("spark.folioscope.pii.key", None)
+    return stated.encode() if stated else _DRAWN.setdefault(spark.sparkContext.applicationId, os.urandom(32))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return replace(docs.select("doc_id", "text"), b"folioscope example key").select("doc_id", "text", "n_entities", "spans")
+    return replace(docs.select("doc_id", "text"), key_of(spark)).select("doc_id", "text", "n_entities", "spans")
