@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = least.select("u", F.col("m").alias("v"))
-        pairs = materialise(small.unionByName(links).where("u <> v").distinct(), name)
+        before, pairs = pairs, materialise(small.unionByName(links).where("u <> v").distinct(), name)
+        discard(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

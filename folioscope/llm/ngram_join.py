@@ -1,16 +1,22 @@
 """Jaccard self-join on word n-grams by a MinHash LSH forest with exact verification.
 
 Every document has a MinHash signature cut into trees; a tree's values, in
-order, are a path in that tree's prefix trie. Two documents are candidates if
-they share a prefix of some tree. The matched prefix starts at the full depth
-and is shortened until the recall expected for a pair exactly at the threshold
-reaches the target; all more similar pairs are found more surely.
-
-The candidate groups (connected by shared prefixes) are then verified exactly,
-all pairs of different texts, in blocks of bounded size: a large group is dealt
-as pairs of blocks, whose intersections are counted by matrix products. What
-leaves a block is the number of links of each text and a spanning forest of
-them, never the pairs. Equal word sequences are collapsed before all that.
+order, are a path in that tree's prefix trie. All paths are sorted over the
+cluster by ranges of (path, document), so that no prefix, however common, lies
+in one task; the lengths of the prefixes that sorted neighbours share are the
+trie. Neighbours that share a prefix of the current depth are linked; what
+these links connect is a candidate group.
+
+The candidate groups are verified exactly, all pairs of different texts, in
+blocks of bounded size: a large group is dealt as pairs of blocks, whose
+intersections are counted by matrix products. What leaves a block is the number
+of links of each text, a spanning forest of them, never the pairs, and the sum
+over links of 1 / the probability that a pair so similar shares a prefix. Links
+found by that sum estimate the recall on the data. While it is below the
+target, and while there are no links to estimate it from and a pair exactly at
+the threshold would be found too rarely, the matched prefixes are shortened by
+one value and verification is repeated. Equal word sequences are collapsed
+before all that.
 
 Words are lower-cased runs of letters and digits. A document shorter than n
 words has one shingle, its whole sequence; one without words has none, and no
@@ -33,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import discard, materialise, partitions, slices
 from .graph import components
 
 U64 = np.uint64
@@ -46,20 +52,22 @@ class Parameters:
     n: int = 5
     threshold: float = 0.8
     trees: int = 32
+    #: Values of a path; matching starts with all of them and ends with the fewest.
     max_depth: int = 8
+    min_depth: int = 4
     target_recall: float = 0.999
     seed: int = 7
     #: Documents and shingles of a block, about.
     block_docs: int = 1024
     block_shingles: int = 1_000_000
 
-    @property
-    def depth(self) -> int:
-        """The longest prefix with the target recall at the threshold."""
-        depth = self.max_depth
-        while depth > 1 and 1 - (1 - self.threshold**depth) ** self.trees < self.target_recall:
-            depth -= 1
-        return depth
+    def found(self, similarity, depth: int):
+        """Probability that a pair shares a prefix of this depth in some tree."""
+        return 1 - (1 - similarity**depth) ** self.trees
+
+
+BITS = 14  # of a value in a path: a tree's number and four values fill the first word, four more the second
+PER_WORD = 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -120,24 +128,36 @@ def shingle_sets(texts: list[str], n: int) -> list[tuple[bytes, np.ndarray]]:
     return out
 
 
-def prefix_keys(sets: list[np.ndarray], how: Parameters) -> np.ndarray:
-    """For each non-empty shingle set the keys of its prefixes, one a tree: sets x trees."""
+def paths(sets: list[np.ndarray], how: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """For each non-empty shingle set its path in each tree, as two words: sets x trees each."""
     rng = np.random.default_rng(how.seed)
-    depth, n = how.depth, how.trees * how.max_depth
+    n = how.trees * how.max_depth
     xor, factor = rng.integers(0, 1 << 32, n, dtype=np.uint32), rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     values = (np.concatenate(sets) >> U64(32)).astype(np.uint32)
     begin = np.cumsum([0, *(len(x) for x in sets[:-1])])
-    keys = np.empty((len(sets), how.trees), np.uint64)
+    first, second = np.empty((len(sets), how.trees), np.uint64), np.zeros((len(sets), how.trees), np.uint64)
     scratch = np.empty_like(values)
     for tree in range(how.trees):
-        key = np.full(len(sets), tree + 1, np.uint64)
-        for level in range(depth):
+        words = [np.full(len(sets), tree << 56, np.uint64), np.zeros(len(sets), np.uint64)]
+        for level in range(how.max_depth):
             i = tree * how.max_depth + level
             np.bitwise_xor(values, xor[i], out=scratch)
             np.multiply(scratch, factor[i], out=scratch)
-            key = mix(key * STEP + np.minimum.reduceat(scratch, begin).astype(np.uint64))
-        keys[:, tree] = key
-    return keys
+            value = mix(np.minimum.reduceat(scratch, begin).astype(np.uint64)) >> U64(64 - BITS)
+            words[level // PER_WORD] |= value << U64(BITS * (PER_WORD - 1 - level % PER_WORD))
+        first[:, tree], second[:, tree] = words
+    return first, second
+
+
+def shared_depth(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """How many leading values two rows of paths share; -1 in different trees."""
+    depth = np.where((a1 ^ b1) >> U64(56) == 0, 0, -1)
+    same = depth == 0
+    for x, y in ((a1, b1), (a2, b2)):
+        for k in range(PER_WORD):
+            same &= (x ^ y) >> U64(BITS * (PER_WORD - 1 - k)) == 0
+            depth += same
+    return depth
 
 
 def identity() -> Column:
@@ -156,7 +176,7 @@ def first_of(*more: str) -> Column:
 
 
 def signatures(docs: DataFrame, how: Parameters) -> DataFrame:
-    """(id, text_hash, hi, lo, n_shingles, keys) for each row; hi and lo are the digest of the word sequence."""
+    """(id, text_hash, hi, lo, n_shingles, first, second) for each row: digest of the word sequence, and the paths."""
 
     def run(batches):
         import pyarrow as pa
@@ -166,14 +186,66 @@ def signatures(docs: DataFrame, how: Parameters) -> DataFrame:
             for begin, end in slices([len(x) for x in texts], 1 << 19):
                 sets = shingle_sets(texts[begin:end], how.n)
                 full = [i for i, (_, x) in enumerate(sets) if len(x)]
-                keys: list = [[]] * len(sets)
+                firsts: list = [[]] * len(sets)
+                seconds: list = [[]] * len(sets)
                 if full:
-                    for i, row in zip(full, prefix_keys([sets[i][1] for i in full], how).view(np.int64)):
-                        keys[i] = row
+                    for i, x, y in zip(full, *(x.view(np.int64) for x in paths([sets[i][1] for i in full], how))):
+                        firsts[i], seconds[i] = x, y
                 digest = np.frombuffer(b"".join(x for x, _ in sets), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(begin, end - begin).cast(pa.int64()), "text_hash": batch.column(1).slice(begin, end - begin), "hi": digest[:, 0], "lo": digest[:, 1], "n_shingles": pa.array([len(x) for _, x in sets], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                words = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(begin, end - begin).cast(pa.int64()), "text_hash": batch.column(1).slice(begin, end - begin), "hi": digest[:, 0], "lo": digest[:, 1], "n_shingles": pa.array([len(x) for _, x in sets], pa.int64()), "first": pa.array(firsts, words), "second": pa.array(seconds, words)})
 
-    return docs.select(identity(), text_hash(), "text").mapInArrow(run, "id long, text_hash long, hi long, lo long, n_shingles long, keys array<long>")
+    return docs.select(identity(), text_hash(), "text").mapInArrow(run, "id long, text_hash long, hi long, lo long, n_shingles long, first array<long>, second array<long>")
+
+
+def trie(members: DataFrame, how: Parameters) -> DataFrame:
+    """(a, b, depth) of documents that are sorted neighbours in some tree, with the longest prefix that they share.
+
+    ``members`` has node, first and second. Two neighbours in different tasks
+    are compared on the driver, which gets two rows a task.
+    """
+    rows = members.select("node", F.explode(F.arrays_zip("first", "second")).alias("p")).select(F.col("p.first").alias("x"), F.col("p.second").alias("y"), "node")
+    sorted_rows = rows.repartitionByRange(partitions(members.sparkSession), "x", "y", "node").sortWithinPartitions("x", "y", "node")
+    least = how.min_depth
+
+    def neighbours(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, last = TaskContext.get().partitionId(), None
+
+        def ends(place, row):
+            return pa.RecordBatch.from_pydict({"a": pa.array([row[2]], pa.int64()), "b": pa.array([None], pa.int64()), "depth": pa.array([0], pa.int32()), "place": pa.array([place], pa.int32()), "task": pa.array([task], pa.int32()), "x": pa.array([row[0]], pa.int64()), "y": pa.array([row[1]], pa.int64())})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, node = (batch.column(i).to_numpy() for i in range(3))
+            if last is None:
+                yield ends(0, (x[0], y[0], node[0]))
+            else:
+                x, y, node = (np.append(np.int64(v), w) for v, w in zip(last, (x, y, node)))
+            last = x[-1], y[-1], node[-1]
+            u, v = x.view(np.uint64), y.view(np.uint64)
+            depth = shared_depth(u[:-1], v[:-1], u[1:], v[1:])
+            at = np.flatnonzero((depth >= least) & (node[:-1] != node[1:]))
+            none = pa.nulls(len(at), pa.int64())
+            small = pa.nulls(len(at), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[at + 1])), pa.array(np.maximum(node[at], node[at + 1])), pa.array(depth[at].astype(np.int32)), small, small, none, none], names=["a", "b", "depth", "place", "task", "x", "y"])
+        if last is not None:
+            yield ends(1, last)
+
+    found = materialise(sorted_rows.mapInArrow(neighbours, "a long, b long, depth int, place int, task int, x long, y long"), "trie")
+    edges = found.where("place is null").select("a", "b", "depth")
+    spots = sorted((r.task, r.place, r.x, r.y, r.a) for r in found.where("place is not null").collect())
+    joints = []
+    for (_, _, x, y, node), (_, _, x2, y2, node2) in zip(spots[1::2], spots[2::2]):
+        depth = int(shared_depth(*(np.array([w], np.int64).view(np.uint64) for w in (x, y, x2, y2)))[0])
+        if depth >= least and node != node2:
+            joints.append((min(node, node2), max(node, node2), depth))
+    if joints:
+        edges = edges.unionByName(members.sparkSession.createDataFrame(joints, "a long, b long, depth int"))
+    return edges.groupBy("a", "b").agg(F.max("depth").alias("depth"))
 
 
 def _reached(linked: np.ndarray) -> np.ndarray:
@@ -188,8 +260,8 @@ def _reached(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
-    """Which pairs of sets have a Jaccard similarity of at least the threshold, exactly; right None: left with itself."""
+def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sets have a Jaccard similarity of at least the threshold, exactly, and the similarities; right None: left with itself."""
     share = Fraction(str(threshold))
     every = left if right is None else left + right
     sizes = np.array([len(x) for x in every], np.int64)
@@ -209,11 +281,11 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, thresh
         both += block[:n_left] @ (block[n_left:] if right is not None else block).T
     both = both.astype(np.int64)
     total = sizes[:n_left, None] + (sizes[n_left:] if right is not None else sizes)[None, :]
-    return both * (share.numerator + share.denominator) >= share.numerator * total
+    return both * (share.numerator + share.denominator) >= share.numerator * total, both / (total - both)
 
 
-def _verify(table, how: Parameters):
-    """Links of a block or between two blocks: (node, other, links); other is filled in forest edges."""
+def _verify(table, how: Parameters, depth: int):
+    """Links of a block or between two blocks: (node, other, links, expected); other is filled in forest edges."""
     import pyarrow as pa
 
     seen, nodes, side, sets = set(), [], [], []
@@ -228,28 +300,47 @@ def _verify(table, how: Parameters):
     nodes, sets, side = [nodes[k] for k in order], [sets[k] for k in order], [side[k] for k in order]
     n = sum(x == first for x in side)
     m = len(nodes)
-    linked = np.zeros((m, m), bool)
+    linked, similar = np.zeros((m, m), bool), np.zeros((m, m))
     if first == second:
-        linked[:] = links_between(sets, None, how.threshold)
+        linked[:], similar[:] = links_between(sets, None, how.threshold)
         np.fill_diagonal(linked, False)
     elif 0 < n < m:
-        linked[:n, n:] = links_between(sets[:n], sets[n:], how.threshold)
+        linked[:n, n:], similar[:n, n:] = links_between(sets[:n], sets[n:], how.threshold)
         linked |= linked.T
+        similar = np.maximum(similar, similar.T)
+    expected = np.where(linked, 1 / how.found(np.maximum(similar, how.threshold), depth), 0).sum(axis=1)
     label = _reached(linked)
     degree = linked.sum(axis=1)
     rows = [k for k in range(m) if degree[k]]
-    return pa.table({"node": pa.array([nodes[k] for k in rows], pa.int64()), "other": pa.array([nodes[label[k]] for k in rows], pa.int64()), "links": pa.array(degree[rows], pa.int64())})
+    return pa.table({"node": pa.array([nodes[k] for k in rows], pa.int64()), "other": pa.array([nodes[label[k]] for k in rows], pa.int64()), "links": pa.array(degree[rows], pa.int64()), "expected": pa.array(expected[rows], pa.float64())})
 
 
 def _joined(docs: DataFrame, how: Parameters) -> DataFrame:
     """As ``join``, with text_hash and class_node, the number of the class."""
     rows = materialise(signatures(docs, how), "signatures")
-    copies = rows.groupBy("hi", "lo").agg(first_of("text_hash").alias("first"), F.count("*").alias("n_copies"))
-    is_first = (F.col("id") == F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    members = materialise(rows.join(copies, ["hi", "lo"]).select("id", "text_hash", F.col("hi").alias("node"), "n_copies", "n_shingles", F.col("first.id").alias("copy_id"), is_first.alias("is_first"), F.when(is_first, F.col("keys")).alias("keys")), "members")
-    keyed = members.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    candidates = components(keyed.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")), "candidates")
+    # The copies are a table of their own, so that a join with a hot one can be split.
+    copies = materialise(rows.groupBy("hi", "lo").agg(first_of("text_hash").alias("least"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "n", "least"), "copies")
+    both = rows.join(copies, ["hi", "lo"], "left")
+    is_first = F.col("n").isNull() | ((F.col("id") == F.col("least.id")) & (F.col("text_hash") == F.col("least.text_hash")))
+    members = materialise(both.select("id", "text_hash", F.col("hi").alias("node"), F.coalesce("n", F.lit(1).cast("long")).alias("n_copies"), "n_shingles", F.coalesce("least.id", "id").alias("copy_id"), is_first.alias("is_first"), F.when(is_first, F.col("first")).alias("first"), F.when(is_first, F.col("second")).alias("second")), "members")
+    discard(rows)
+    discard(copies)
+    neighbours = materialise(trie(members.where("is_first"), how), "neighbours")
+    depth = how.max_depth
+    while True:
+        verified = materialise(_links(docs, members, neighbours.where(F.col("depth") >= depth), how, depth), "links")
+        links, expected = verified.agg(F.sum("links"), F.sum("expected")).first()
+        recall = links / expected if links else how.found(how.threshold, depth)
+        if recall >= how.target_recall or depth <= how.min_depth:
+            break
+        discard(verified)
+        depth -= 1
+    return _classes(members, verified)
+
+
+def _links(docs: DataFrame, members: DataFrame, neighbours: DataFrame, how: Parameters, depth: int) -> DataFrame:
+    """Exact links within what ``neighbours`` connect."""
+    candidates = components(neighbours.select("a", "b"), "candidates")
 
     # Blocks of the candidate groups.
     sizes = members.where("is_first").groupBy("node").agg(F.max("n_shingles").alias("n"), F.first("id").alias("id"), F.first("text_hash").alias("text_hash"))
@@ -270,15 +361,17 @@ def _joined(docs: DataFrame, how: Parameters) -> DataFrame:
 
     sets = texts.join(placed, ["id", "text_hash"]).select("text", "node", "root", "n_blocks", "block").mapInArrow(shingle, "node long, root long, n_blocks int, block int, shingles binary")
     dealt = sets.select("root", "node", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("k")).select("root", "node", "block", "shingles", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    verified = materialise(dealt.groupBy("root", "i", "j").applyInArrow(lambda table: _verify(table, how), "node long, other long, links long"), "links")
+    return dealt.groupBy("root", "i", "j").applyInArrow(lambda table: _verify(table, how, depth), "node long, other long, links long, expected double")
+
 
+def _classes(members: DataFrame, verified: DataFrame) -> DataFrame:
     classes = components(verified.select(F.col("node").alias("a"), F.col("other").alias("b")), "classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     named = classes.join(members.where("is_first").select("node", "id").distinct(), "node")
     names = named.groupBy("root").agg(first_of().alias("least")).select("root", F.col("least.id").alias("least"))
     classes = classes.join(names, "root")
     return (
-        members.drop("keys")
+        members.drop("first", "second")
         .join(classes, "node", "left")
         .join(links, "node", "left")
         .select(F.col("id").alias("doc_id"), F.coalesce("least", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", "copy_id", "text_hash", F.coalesce("root", "node").alias("class_node"))

@@ -2,7 +2,7 @@ import random
 import re
 
 from folioscope.llm.graph import components
-from folioscope.llm.ngram_join import Parameters, join, one_of_each
+from folioscope.llm.ngram_join import Parameters, join, one_of_each, trie
 
 SCHEMA = "doc_id long, text string"
 
@@ -101,5 +101,38 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100}
 
 
-def test_depth():
-    assert Parameters().depth == 7 and Parameters(target_recall=0.99999).depth < 7
+def groups(pairs, nodes):
+    label = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_trie_finds_every_prefix_group(spark):
+    """At each depth, sorted neighbours connect just what shares a prefix of some tree; one prefix is very common."""
+    r = random.Random(4)
+    how, nodes = Parameters(trees=3), range(120)
+    values = {i: [[7 if i % 3 == 0 and k < 6 else r.randrange(1, 4) for k in range(8)] for _ in range(3)] for i in nodes}
+
+    def words(tree, v):
+        pack = lambda part: sum(x << 14 * (3 - k) for k, x in enumerate(part))
+        return tree << 56 | pack(v[:4]), pack(v[4:])
+
+    rows = [(i, *map(list, zip(*(words(t, v) for t, v in enumerate(values[i]))))) for i in nodes]
+    edges = [tuple(x) for x in trie(spark.createDataFrame(rows, "node long, first array<long>, second array<long>"), how).collect()]
+    for depth in range(how.min_depth, 9):
+        share = [(a, b) for a in nodes for b in range(a) if any(values[a][t][:depth] == values[b][t][:depth] for t in range(3))]
+        assert groups([e[:2] for e in edges if e[2] >= depth], nodes) == groups(share, nodes), depth
+
+
+def test_prefixes_are_shortened(spark):
+    """Few trees: full paths miss links; the estimate on the data shortens until the target is met."""
+    rows = corpus(seed=9)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sum(x[1] for x in brute(rows).values())
+    links = lambda how: sum(r.n_links for r in join(docs, how).collect())
+    full = links(Parameters(trees=2, min_depth=8))
+    short = links(Parameters(trees=2, min_depth=1))
+    assert full < 0.9 * want < 0.99 * want <= short <= want
+    assert 0.996 < Parameters().found(0.8, 8) < 0.999 < Parameters().found(0.8, 7)
