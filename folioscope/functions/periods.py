@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 
 from .text import fold
-from .values import MONTHS
+from .values import MONTH_SPELLINGS, MONTHS
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,8 @@ def _iso(text: str) -> date | None:
 def parse(question: str, today: date) -> Period | None:
     """este mes, mes pasado, este año, año pasado, pairs of ISO dates, desde, hasta, month names, years."""
     q = fold(question)
+    for spelling, usual in MONTH_SPELLINGS.items():
+        q = re.sub(rf"\b{spelling}\b", usual, q)
     days = [d for d in map(_iso, re.findall(r"\d{4}-\d{2}-\d{2}", q)) if d]
     if len(days) >= 2:
         return Period(min(days[:2]), max(days[:2]))

@@ -18,6 +18,14 @@ from pyspark.sql import types as T
 # Words that carry no meaning in a label.
 STOPWORDS = ["de", "del", "la", "las", "el", "los", "un", "una", "y", "e", "en", "por", "para", "con", "sin", "al", "a", "que"]
 
+# Endings of number and gender, with the letters that a word must keep before them.
+# `ces` becomes `z` after 4 letters; `es`, `s`, `o`, `a` go after 5; a last `s` goes after 4, and all that goes of `es` after 4 is its `s`.
+ROOT_RULES = [
+    (r"^(.{5,}?)(?:(?<!c)es|(?<!e)s|[oa])*$", 1, ""),
+    (r"^(.{4,})ces$", 1, "z"),
+    (r"^(.{4}e?)s$", 1, ""),
+]
+
 _ACCENTED = "".join(chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore")) == 1)
 _PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED)
 
@@ -40,45 +48,39 @@ def exact(text: str) -> str:
 
 
 def root(word: str) -> str:
-    """Strip plural and gender endings until nothing changes."""
-    while True:
-        cut = word
-        if len(cut) > 6 and cut.endswith("ces"):
-            cut = cut[:-3] + "z"
-        elif len(cut) > 6 and cut.endswith("es"):
-            cut = cut[:-2]
-        elif len(cut) >= 5 and cut.endswith("s"):
-            cut = cut[:-1]
-        if len(cut) > 5 and cut[-1] in "oa":
-            cut = cut[:-1]
-        if cut == word:
-            return word
-        word = cut
+    """The word without its endings of number and gender: all stacked endings go at once."""
+    for pattern, group, added in ROOT_RULES:
+        found = re.match(pattern, word)
+        word = found[group] + added if found else word
+    return word
 
 
 def roots(text: str) -> str:
     return " ".join(map(root, exact(text).split()))
 
 
+def _meaning(text: str, least: int) -> list[str]:
+    return [r for r in roots(text).split() if len(r) >= least and r not in STOPWORDS]
+
+
 def canonical_key(label: str) -> str:
-    words = roots(label).split()
-    return "_".join([w for w in words if w not in STOPWORDS] or words)
+    """Roots of a label joined by _, without words that carry no meaning unless it has no others."""
+    return "_".join(_meaning(label, 1)) or roots(label).replace(" ", "_")
 
 
 def search_terms(text: str) -> list[str]:
-    return [w for w in roots(text).split() if len(w) > 1 and w not in STOPWORDS]
+    return _meaning(text, 2)
 
 
 def stems_match(a: str, b: str) -> bool:
-    short, long = sorted((a, b), key=len)
-    return a == b or (len(short) >= 5 and len(long) == len(short) + 1 and long.startswith(short))
+    """Equal, or one is the other and one letter more, from five letters on."""
+    return a == b or any(len(y) >= 5 and x[:-1] == y for x, y in ((a, b), (b, a)))
 
 
 def identifier(text: str) -> str | None:
     """Letters and digits of a mixed identifier; None if it lacks either or holds anything else."""
     bare = re.sub(r"[-_/.\s]", "", fold(text))
-    mixed = bare.isalnum() and any(c.isalpha() for c in bare) and any(c.isnumeric() for c in bare)
-    return bare if mixed else None
+    return bare if {unicodedata.category(c)[0] for c in bare} == {"L", "N"} else None
 
 
 def column_name(index: int) -> str:
@@ -117,26 +119,10 @@ def exactly(x) -> Column:
     return F.array_join(words(x), " ")
 
 
-def _let(value: Column, then) -> Column:
-    """Evaluate ``value`` once and use it several times."""
-    return F.transform(F.array(value), then)[0]
-
-
-def _stripped(word: Column) -> Column:
-    n = F.length(word)
-    cut = (
-        F.when((n > 6) & word.endswith("ces"), F.concat(word.substr(F.lit(1), n - 3), F.lit("z")))
-        .when((n > 6) & word.endswith("es"), word.substr(F.lit(1), n - 2))
-        .when((n >= 5) & word.endswith("s"), word.substr(F.lit(1), n - 1))
-        .otherwise(word)
-    )
-    return _let(cut, lambda c: F.when((F.length(c) > 5) & (c.endswith("o") | c.endswith("a")), c.substr(F.lit(1), F.length(c) - 1)).otherwise(c))
-
-
 def root_of(word: Column) -> Column:
-    """Three rounds reach the fixed point for words of up to three stacked endings."""
-    for _ in range(3):
-        word = _let(word, _stripped)
+    """As ``root``, in the JVM."""
+    for pattern, group, added in ROOT_RULES:
+        word = F.regexp_replace(word, pattern, f"${group}{added}")
     return word
 
 

@@ -7,7 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import folded
+from .text import folded, root_of
 
 AMOUNT = "decimal(24,4)"
 # What a currency sign states; $ and ¥ name no currency.
@@ -15,6 +15,8 @@ SIGNS = {"€": "EUR", "£": "GBP", "₹": "INR", "₩": "KRW"}
 MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
 KIND_ORDER = ["money", "date", "percentage", "number", "state", "text"]
 
+# The grammar of amounts, and another spelling of a month.
+MONTH_SPELLINGS = {"setiembre": "septiembre"}
 _MONEY = r"^(-?)\s*([$¥€£₹₩]?)\s*(-?)\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)\s*([A-Za-z]{3})?$"
 
 
@@ -44,9 +46,12 @@ def money_currency(x: Column) -> Column:
 
 def date_value(x: Column) -> Column:
     """ISO date or `D de <mes> de YYYY`, in 1900..2200 and on the calendar."""
-    written = r"^([0-9]{1,2}) de ([a-z]+) de ([0-9]{4})$"
+    written = r"^([0-9]{1,2})\s+de\s+([a-z]+)\s+de\s+([0-9]{4})$"
     low = folded(x)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), _part(low, written, 2))
+    name = _part(low, written, 2)
+    for spelling, usual in MONTH_SPELLINGS.items():
+        name = F.when(name == spelling, usual).otherwise(name)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), name)
     day = F.lpad(_part(low, written, 1), 2, "0")
     iso = F.when(x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), x).when(low.rlike(written) & (month > 0), F.concat_ws("-", _part(low, written, 3), F.lpad(month.cast("string"), 2, "0"), day))
     found = F.try_to_date(iso, "yyyy-MM-dd")
@@ -75,7 +80,7 @@ def kind_of(label: Column, x: Column) -> Column:
         .when(date_value(x).isNotNull(), "date")
         .when(percentage(x).isNotNull(), "percentage")
         .when(plain_number(x).isNotNull(), "number")
-        .when(F.exists(F.split(folded(label), r"[^\p{L}\p{N}]+"), lambda w: w.startswith("estad")), "state")
+        .when(F.exists(F.split(folded(label), r"[^\p{L}\p{N}]+"), lambda w: root_of(w) == "estad"), "state")
         .otherwise("text")
     )
 
@@ -107,6 +112,13 @@ def exact_ratio(a: Column, b: Column, scale: int = 1) -> Column:
     return F.when(b != 0, (F.signum(a).cast("int") * F.signum(b).cast("int") * whole.cast("decimal(28,0)") * F.lit(Decimal("0.0001"))).cast(AMOUNT))
 
 
+def exact_product(a: Column, b: Column) -> Column:
+    """a * b at four decimals, half away from zero; of factors from 10^15 on, at six decimals first; null beyond 38 digits."""
+    narrow = "decimal(19,4)"
+    small = F.round(F.try_multiply(a.try_cast(narrow), b.try_cast(narrow)), 4).try_cast("decimal(38,4)")
+    return F.coalesce(small, F.round(F.try_multiply(a, b), 4).try_cast("decimal(38,4)"))
+
+
 # ---- driver forms ---------------------------------------------------------------------------------
 
 
@@ -127,3 +139,16 @@ def render_money(x: Decimal, currency: str | None) -> str:
 
 def render_signed(x: Decimal, currency: str | None = None) -> str:
     return ("+" if x > 0 else "") + render_money(x, currency)
+
+
+def render_total(x: Decimal, inputs: list[str]) -> str:
+    """A total in the notation of its inputs: their sign or code of currency, and decimals only if one of them has any."""
+    import re
+
+    places = 2 if any(re.search(r"\.[0-9]", i) for i in inputs) or x != x.to_integral_value() else 0
+    text = render(abs(x), places)
+    signs = {m[0] for i in inputs if (m := re.search(r"[$¥€£₹₩]", i))}
+    codes = {m[0].upper() for i in inputs if (m := re.search(r"[A-Za-z]{3}$", i.strip()))}
+    percent = all(i.strip().endswith("%") for i in inputs) and bool(inputs)
+    marked = (signs.pop() if len(signs) == 1 else "") + text + ("%" if percent else "") + (f" {codes.pop()}" if len(codes) == 1 else "")
+    return ("-" if x < 0 else "") + marked

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import AMOUNT, exact_mean, exact_ratio
+from ..functions.text import fold
+from ..functions.values import exact_amount, exact_mean, exact_product, exact_ratio
 
 DOC = "document_id"
 NO_LABEL = "Sin valor"
@@ -53,7 +54,8 @@ def aggregate(values: DataFrame, scope: DataFrame, concept: str, op: str = "sum"
     rows = own.join(scope.select(DOC), DOC, "left_semi").where(fits & F.col("numeric").isNotNull())
     totals = rows.groupBy("currency").agg(operation(op).alias("value"))
     whole = F.col("all_reliable") & (F.col("n_calculated") == F.col("n_scope"))
-    return totals.crossJoin(F.broadcast(account)).withColumn("verified", whole).drop("all_reliable")  # the account is one row
+    every = account.join(F.broadcast(totals), F.lit(True), "left")  # the account is one row and stays without totals; they are one a currency
+    return every.withColumn("verified", whole).select("currency", "value", "n_scope", "n_calculated", "n_missing", "n_currency", "n_invalid", "verified")
 
 
 def labelled(rows: DataFrame, labels: DataFrame, name: str = "grp") -> DataFrame:
@@ -82,7 +84,7 @@ def compute_category(values: DataFrame, scope: DataFrame, kind: str, op: str = "
     counts = values.where(F.col("value_type") == kind).groupBy(DOC).agg(F.count("*").alias("n"), F.max("numeric").alias("numeric"), F.max("currency").alias("currency"), F.bool_and("reliable").alias("reliable"))
     seen = scope.select(DOC).join(counts, DOC, "left")
     account = seen.agg(F.count("*").alias("n_scope"), F.count_if(F.expr("n is null")).alias("n_none"), F.count_if(F.expr("n > 1")).alias("n_several"), F.count_if(F.expr("n = 1")).alias("n_calculated"))
-    return compute(seen.where("n = 1"), op).crossJoin(F.broadcast(account))
+    return account.join(F.broadcast(compute(seen.where("n = 1"), op)), F.lit(True), "left")  # the account is one row and stays
 
 
 def first_value(values: DataFrame, concept: str) -> DataFrame:
@@ -105,10 +107,11 @@ def row_operation(values: DataFrame, left: str, right: str, op: str) -> DataFram
     wide = "decimal(38,4)"
     fits, value, unit = {
         "subtract": (same, (F.col("l") - F.col("r")).cast(wide), F.col("lc")),
-        "multiply": (one, F.round((F.col("l").cast("decimal(19,4)") * F.col("r").cast("decimal(19,4)")), 4).cast(wide), F.coalesce("lc", "rc")),
+        "multiply": (one, exact_product(F.col("l"), F.col("r")), F.coalesce("lc", "rc")),
         "divide": (same | F.col("rc").isNull(), exact_ratio(F.col("l"), F.col("r")).cast(wide), F.when(F.col("rc").isNull(), F.col("lc"))),
     }[op]
     issue = F.when(F.col("l").isNull() | F.col("r").isNull(), "invalid").when(~fits, "incompatible").when((F.col("r") == 0) & F.lit(op == "divide"), "zero_divisor")
+    issue = F.coalesce(issue, F.when(value.isNull(), "out_of_range"))
     return rows.withColumn("issue", issue).withColumn("result", F.when(F.col("issue").isNull(), value)).withColumn("unit", F.when(F.col("issue").isNull(), unit))
 
 
@@ -157,3 +160,39 @@ def fields_across(rows: DataFrame) -> DataFrame:
     n = rows.select(DOC).distinct().agg(F.count("*").alias("n_read"))
     each = rows.groupBy("concept").agg(F.count_distinct(DOC).alias("n_documents"), F.count_distinct("literal_value").alias("n_distinct"))
     return each.crossJoin(F.broadcast(n)).withColumn("common", (F.col("n_distinct") == 1) & (F.col("n_documents") == F.col("n_read")))
+
+
+def agreed_value(values: DataFrame, scope: DataFrame, concept: str) -> DataFrame:
+    """One row: documents in scope, those that state the field, its different values, and the one all agree on.
+
+    ``principal`` is the smallest document that states it. ``outcome`` is
+    absent, agreed or differing.
+    """
+    own = values.where(F.col("concept") == concept).join(scope.select(DOC), DOC, "left_semi")
+    stated = own.agg(F.count_distinct(DOC).alias("n_documents"), F.count_distinct("literal_value").alias("n_values"), F.min(DOC).alias("principal"), F.min("text_value").alias("__value"), F.coalesce(F.bool_and("reliable"), F.lit(True)).alias("reliable"))
+    outcome = F.when(F.col("n_values") == 0, "absent").when(F.col("n_values") == 1, "agreed").otherwise("differing")
+    return stated.select("n_documents", "n_values", "principal", F.when(F.col("n_values") == 1, F.col("__value")).alias("value"), outcome.alias("outcome"), "reliable")
+
+
+def in_labelled_rows(values: DataFrame, label: str, concept: str) -> DataFrame:
+    """Values of a field in the records that hold a cell equal to the label."""
+    rows = values.where((F.col("literal_value") == fold(label)) & F.col("record_scope").isNotNull()).select(DOC, "record_scope").distinct()
+    return values.where(F.col("concept") == concept).join(rows, [DOC, "record_scope"], "left_semi")
+
+
+def operand(values: DataFrame, concept: str) -> DataFrame:
+    """Each document's operand: its number if it states one, else why not: no number, or several.
+
+    A measure such as `12 kg` counts by its number.
+    """
+    number = F.coalesce("numeric", exact_amount(F.regexp_extract("text_value", r"^\s*(-?[0-9][0-9,]*(?:\.[0-9]{1,4})?)\s+[^\d\s]+\s*$", 1)))
+    each = values.where(F.col("concept") == concept).withColumn("__x", number).groupBy(DOC).agg(F.count_distinct("__x").alias("n"), F.min("__x").alias("__one"))
+    issue = F.when(F.col("n") == 0, "operacion_indeterminada").when(F.col("n") > 1, "operando_multiple_en_documento")
+    return each.select(DOC, F.when(F.col("n") == 1, F.col("__one")).alias("numeric"), issue.alias("issue"))
+
+
+def sampled_citations(rows: DataFrame, bucket: str, most: int = 18) -> DataFrame:
+    """Documents in turn from each bucket, the smallest ids first, so that a large bucket doesn't hide the others."""
+    turn = F.row_number().over(Window.partitionBy(bucket).orderBy(DOC))
+    ranked = rows.select(bucket, DOC).distinct().withColumn("turn", turn).where(F.col("turn") <= most)
+    return ranked.orderBy("turn", bucket).limit(most)

@@ -138,3 +138,38 @@ def names_folder(documents: DataFrame, values: DataFrame, concept: str) -> DataF
     of_folder = documents.groupBy("origin").agg(F.count("*").alias("n_folder"))
     joined = of_value.join(of_folder, "origin")
     return joined.select("literal_value", "origin", "n_value", "n_folder", ((F.col("n_origins") == 1) & (F.col("n_value") == F.col("n_folder"))).alias("equivalent"))
+
+
+def with_counts(left: DataFrame, right: DataFrame, on: str, group: str, what: str) -> DataFrame:
+    """Groups of the left side with how many of the right side they have, none included; counted before the join."""
+    counts = right.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(what).alias("__n"))
+    return left.join(counts, on, "left").groupBy(group).agg(F.coalesce(F.sum("__n"), F.lit(0).cast("long")).alias("n"))
+
+
+def copies_of_each(documents: DataFrame) -> DataFrame:
+    """Documents whose content others have too, with how many have it; the counts are joined, not gathered."""
+    return documents.join(duplicates(documents).select("content_hash", F.col("n_documents").alias("n")), "content_hash").select(DOC, "n")
+
+
+def status(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many rows each table has."""
+    from functools import reduce
+
+    parts = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, t in tables.items()]
+    stacked = reduce(DataFrame.unionByName, parts)
+    return stacked.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in tables])
+
+
+def related(values: DataFrame, key: str, document_id: int, most: int = 12) -> DataFrame:
+    """The first documents that share a key with this one."""
+    keys = stable_key(values, key)
+    own = keys.where(F.col(DOC) == document_id).select("key")
+    return keys.join(own, "key", "left_semi").where(F.col(DOC) != document_id).select(DOC).distinct().orderBy(DOC).limit(most)
+
+
+def unreliable(documents: DataFrame) -> DataFrame:
+    """Documents read with doubt: by OCR of low or unknown confidence, or of another format than their extension says."""
+    doubt = ~F.col("ocr_status").isin("not_required", "complete") | (F.col("ocr_confidence") < 0.55)
+    disguised = F.col("declared_format_mismatch").isNotNull() if "declared_format_mismatch" in documents.columns else F.lit(False)
+    reason = F.when(disguised, "extension_enganosa").when(doubt, "lectura_dudosa")
+    return documents.select(DOC, reason.alias("reason")).where("reason is not null")

@@ -119,3 +119,47 @@ def pinned(values: DataFrame, anchors: list[str], most: int = 120) -> DataFrame:
     top = best.agg(F.max("score").alias("score"))
     winners = best.join(F.broadcast(top), "score")
     return winners.join(winners.groupBy("score").agg(F.count("*").alias("n")).where("n = 1").select("score"), "score", "left_semi").select(DOC, "score")
+
+
+def by_currency(values: DataFrame, currency: str) -> tuple[DataFrame, DataFrame]:
+    """Values in the currency, and the documents that have the field in others only."""
+    kept = in_currency(values, currency)
+    return kept, values.select(DOC).distinct().join(kept.select(DOC), DOC, "left_anti")
+
+
+def without(documents: DataFrame, values: DataFrame, condition: Column) -> DataFrame:
+    """Documents without any value that meets the condition."""
+    return documents.join(values.where(condition).select(DOC), DOC, "left_anti")
+
+
+def flagged(documents: DataFrame, values: DataFrame, condition: Column, name: str) -> DataFrame:
+    """All documents, and whether one of their values meets the condition."""
+    found = values.where(condition).select(DOC).distinct().withColumn("__flag", F.lit(True))
+    return documents.join(found, DOC, "left").withColumn(name, F.col("__flag").isNotNull()).drop("__flag")
+
+
+def substantive(values: DataFrame) -> DataFrame:
+    """Values that say something: numbers, and what doesn't stand in a file's metadata."""
+    return values.where(F.col("numeric").isNotNull() | ~F.col("location").like("metadato:%"))
+
+
+def projection(values: DataFrame, document_id: int, concepts: list[str]) -> DataFrame:
+    """Some fields of one document, in its order."""
+    return values.where((F.col(DOC) == document_id) & F.col("concept").isin(*concepts)).orderBy("ordinal").select("concept", "text_value")
+
+
+def usual_fields(values: DataFrame, literal: str) -> DataFrame:
+    """Fields in which documents state the literal, by how many; the first is what the value means when no field is named."""
+    return values.where(F.col("literal_value") == fold(literal)).groupBy("concept").agg(F.count_distinct(DOC).alias("n_documents")).orderBy(F.desc("n_documents"), "concept")
+
+
+def spellings(values: DataFrame, concept: str, most: int = 1) -> DataFrame:
+    """Unreliable values at most so many letters from a reliable one of the field, with that one: variants of a reading."""
+    own = values.where(F.col("concept") == concept)
+    seen = own.groupBy("literal_value").agg(F.bool_or("reliable").alias("sure"))
+    odd, sure = seen.where("not sure").select(F.col("literal_value").alias("variant")), seen.where("sure").select("literal_value")
+    # Two words at most one letter apart agree in length but one, and in their first or their second half.
+    keys = lambda c: F.array(F.concat(F.lit("<"), F.substring(c, 1, 2)), F.concat(F.lit(">"), F.right(F.col(c), F.lit(2))))
+    pairs = odd.withColumn("k", F.explode(keys("variant"))).join(sure.withColumn("k", F.explode(keys("literal_value"))), "k")
+    near = pairs.where(F.levenshtein("variant", "literal_value") <= most).groupBy("variant").agg(F.min("literal_value").alias("literal_value"))
+    return near.select("variant", "literal_value")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import exact, exactly, fold, folded, holds_phrase, search_terms, words
+from ..functions.text import exact, exactly, fold, folded, holds_phrase, holds_value, search_terms, words
 
 DOC = "document_id"
 K1, B = 1.2, 0.75  # public defaults of the ranking function
@@ -109,3 +109,22 @@ def structured_hits(documents: DataFrame, values: DataFrame, wanted: str) -> Dat
     hits = values.select(DOC, score.alias("score")).where("score is not null")
     folders = documents.where(exactly("origin").contains(phrase)).select(DOC, F.lit(15).alias("score"))
     return hits.unionByName(folders).groupBy(DOC).agg(F.max("score").alias("score"))
+
+
+def complete_hits(chunks: DataFrame, phrase: str) -> DataFrame:
+    """Documents whose text holds the phrase, not as part of a longer word or code: 115."""
+    return chunks.where(holds_value("content", phrase)).select(DOC).distinct().withColumn("score", F.lit(115))
+
+
+def strict_exact(documents: DataFrame, values: DataFrame, chunks: DataFrame, phrase: str) -> DataFrame:
+    """Best score of each document whose title, folder, fields or text hold the phrase; nothing approximate."""
+    parts = [metadata_hits(documents, phrase, False), structured_hits(documents, values, phrase), complete_hits(chunks, phrase)]
+    return reduce(DataFrame.unionByName, parts).groupBy(DOC).agg(F.max("score").alias("score"))
+
+
+def strict_structured(documents: DataFrame, values: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Documents that have all pairs of field and value, in one pass over the values: 120."""
+    hit = [(F.col("concept") == c) & (F.col("literal_value") == fold(v)) for c, v in pairs]
+    found = values.where(reduce(Column.__or__, hit)).groupBy(DOC).agg(*[F.max(h.cast("int")).alias(f"h{i}") for i, h in enumerate(hit)])
+    every = found.where(reduce(Column.__and__, [F.col(f"h{i}") == 1 for i in range(len(hit))]))
+    return documents.select(DOC).join(every.select(DOC), DOC, "left_semi").withColumn("score", F.lit(120))

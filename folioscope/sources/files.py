@@ -27,7 +27,8 @@ from ..functions.text import column_name
 # The extensions that are discovered.
 EXTENSIONS = ["txt", "md", "csv", "xlsx", "xls", "docx", "doc", "pdf", "png", "jpg", "jpeg", "tiff", "tif", "bmp", "webp", "heic"]
 IMAGES = {"png", "jpg", "jpeg", "tiff", "tif", "bmp", "webp", "heic"}
-CHUNK_BYTES, LABEL_BYTES, HEADER_ROWS = 1400, 120, 25
+CHUNK_BYTES, LABEL_BYTES, HEADER_ROWS = 1400, 120, 25  # fixed values
+NO_LABEL = r"\d{1,2}|https?"  # of a time or an address
 LINE = r"^\s*[-*#>]*\s*(?:\*\*)?([^:\n]{1,120}?)(?:\*\*)?\s*:\s*(?:\*\*)?\s*(.+?)\s*$"
 PARSED = "path string, extension string, parser string, content_hash string, size_bytes long, ocr_status string, mismatch string, reason string, warnings array<string>, records array<struct<label:string,value:string,location:string,record_scope:string>>, chunks array<struct<ordinal:int,location:string,content:string>>"
 
@@ -77,14 +78,14 @@ def label_lines(chunks: DataFrame) -> DataFrame:
     """(document_id, label, value) of `label: value` lines; the same rule as for text files."""
     lines = chunks.select("document_id", F.explode(F.split("content", "\n")).alias("line"))
     found = lines.select("document_id", F.trim(F.regexp_extract("line", LINE, 1)).alias("label"), F.trim(F.regexp_extract("line", LINE, 2)).alias("value"))
-    return found.where((F.col("label") != "") & (F.octet_length("label") <= LABEL_BYTES))
+    return found.where((F.col("label") != "") & (F.octet_length("label") <= LABEL_BYTES) & ~F.col("label").rlike(f"^(?:{NO_LABEL})$"))
 
 
 def parse_text(data: bytes, parser: str = "text") -> Parsed:
     out = Parsed(parser, data.decode("utf-8-sig", "replace"))
     for i, line in enumerate(out.text.splitlines(), 1):
         m = re.match(LINE, line)
-        if m and len(m[1].encode()) <= LABEL_BYTES and not re.fullmatch(r"\d{1,2}|https?", m[1]):
+        if m and len(m[1].encode()) <= LABEL_BYTES and not re.fullmatch(NO_LABEL, m[1]):
             out.add(m[1], m[2], f"línea {i}")
     return out
 
@@ -109,17 +110,18 @@ def tabular(out: Parsed, rows: list[list[str]], place: str) -> None:
     for i in range(header + 1, len(rows)):
         scope = f"{place}fila {i + 1}"
         for k, cell in enumerate(rows[i]):
-            if k < len(names):
-                out.add(names[k], cell, f"{scope}, columna {column_name(k)}", scope)
+            name = names[k] if k < len(names) and names[k].strip() else f"columna {k + 1}"
+            out.add(name, cell, f"{scope}, columna {column_name(k)}", scope)
 
 
 def parse_csv(data: bytes) -> Parsed:
+    """Comma-separated; where no record of the whole file has two cells by it, the first other separator that gives any."""
     text = data.decode("utf-8-sig", "replace")
-    try:
-        dialect = csv.Sniffer().sniff(text[:4096], ",;\t|")
-    except csv.Error:
-        dialect = csv.excel
-    rows = list(csv.reader(io.StringIO(text), dialect))
+    rows: list[list[str]] = []
+    for mark in ",;\t|":
+        rows = list(csv.reader(io.StringIO(text), delimiter=mark))
+        if any(len(r) > 1 for r in rows):
+            break
     out = Parsed("csv", text)
     tabular(out, rows, "")
     return out
@@ -284,16 +286,16 @@ def by_ocr(data: bytes, parser: str, ocr) -> Parsed:
 
 
 def chunks_of(text: str) -> list[dict]:
-    """Lines packed until the next would pass the limit; a longer line stays whole."""
+    """Lines packed until the next, without its line feed, would pass the limit; a longer line stays whole."""
     out, held, size, first = [], [], 0, 1
     lines = text.splitlines()
     for i, line in enumerate(lines, 1):
-        n = len(line.encode()) + 1
+        n = len(line.encode())
         if held and size + n > CHUNK_BYTES:
             out.append((first, i - 1, "\n".join(held)))
             held, size, first = [], 0, i
         held.append(line)
-        size += n
+        size += n + 1
     if held:
         out.append((first, len(lines), "\n".join(held)))
     return [{"ordinal": k, "location": f"líneas {a}-{b}", "content": c} for k, (a, b, c) in enumerate(out) if c.strip()]
