@@ -104,7 +104,7 @@ def f8(c):
 
 @query("F8_identifier_prefix", "select id as document_id, 130 as score from known where 'oc' || lpad(id::varchar, 7, '0') like 'oc00012%' and 'oc' || lpad(id::varchar, 7, '0') <> 'oc00012'")
 def f8p(c):
-    return scope.by_identifier(c.values.where("concept = 'Folio'"), "OC/00012", "prefix")
+    return scope.by_identifier(c.values, "OC/00012", "prefix")
 
 
 @query("F9_literal", "select distinct doc_id as document_id, 115 as score from documents where lower(text) like '%version 2.0%' and not contains(text, chr(7))")
@@ -128,9 +128,9 @@ def f12(c):
     return whole.agg(F.count("*").alias("n"))
 
 
-@query("F20_mentioned_values", "select distinct 'Segmento' as concept, lower(segmento) as literal_value from known where segmento in ('BUILDING', 'MACHINERY')")
+@query("F20_mentioned_values", "select distinct 'Segmento' as concept, lower(segmento) as literal_value from known where segmento in ('BUILDING', 'MACHINERY') union select 'Cliente', 'cl-7' from known where o_custkey = 7 union select 'Estado', 'f' from known where estado = 'F'")
 def f20(c):
-    return scope.mentioned_values(c.values.where("concept = 'Segmento'"), "¿Cuánto suman building y machinery?")
+    return scope.mentioned_values(c.values, "¿Cuánto suman building y machinery de CL-7 con F?")
 
 
 @query("F21_by_path", "select id as document_id from known where lpad(id::varchar, 7, '0') = '0000099'")
@@ -150,23 +150,18 @@ def f22(c):
 
 @query("F23_projection", "select concept, text_value from (select 'Estado' as concept, estado as text_value from known where id = 42 union all select 'Folio', 'OC-0000042' union all select 'Cliente', 'CL-' || o_custkey from known where id = 42)")
 def f23(c):
-    return c.values.where("document_id = 42 and concept in ('Folio', 'Estado', 'Cliente')").orderBy("ordinal").select("concept", "text_value")
+    return scope.projection(c.values, 42, ["Folio", "Estado", "Cliente"])
 
 
-@query("F24_excerpt", "select id as document_id, substr('OC-' || lpad(id::varchar, 7, '0'), 1, 360) as excerpt from known where id < 100")
-def f24(c):
-    return c.values.where("concept = 'Folio' and document_id < 100").select("document_id", text.excerpt("text_value", "oc").alias("excerpt"))
-
-
-@table_query("F24_excerpt_whole", "select doc_id as document_id, substr(text, greatest(1, strpos(lower(strip_accents(text)), 'license') - 176)::bigint, 360) as excerpt from documents")
+@table_query("F24_excerpt", "select doc_id as document_id, substr(text, greatest(1, strpos(lower(strip_accents(text)), 'license') - 176)::bigint, 360) as excerpt from documents")
 def f24_whole(spark, d):
     """Excerpts of the whole texts of all documents, around a term that lies deep in some."""
     return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), text.excerpt("text", "license").alias("excerpt"))
 
 
-@query("F25_substantive", "select count(*) as n from items")
+@query("F25_substantive", "select (select count(*) from items) + (select count(*) from known) as n")
 def f25(c):
-    return c.values.where("concept = 'Cantidad' and (numeric is not null or not location like 'metadato:%')").agg(F.count("*").alias("n"))
+    return scope.substantive(c.values.where("concept in ('Cantidad', 'Folio')")).agg(F.count("*").alias("n"))
 
 
 @query("P28_authorised", "select count(*) as n from known where id % 3 <> 0")
@@ -185,9 +180,9 @@ def j1(c):
 
 @table_query("J3_left_count", "select c_mktsegment as segment, count(o_orderkey) as n from customer left join orders on c_custkey = o_custkey group by 1")
 def j3_tables(spark, d):
-    customers = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment")
-    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey")
-    return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("o_orderkey").alias("n"))
+    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    return rel.with_counts(customers, orders, "k", "segment", "o_orderkey")
 
 
 @query("J4_semi", "select id as document_id from known where exists (select 1 from items i where i.id = known.id and retorno = 'R')")
@@ -197,7 +192,7 @@ def j4(c):
 
 @query("J5_anti", "select id as document_id from known where not exists (select 1 from items i where i.id = known.id and retorno = 'R')")
 def j5(c):
-    return c.documents.join(c.values.where(scope.equals("Retorno", "R")).select("document_id"), "document_id", "left_anti").select("document_id")
+    return scope.without(c.documents, c.values, scope.equals("Retorno", "R")).select("document_id")
 
 
 @query("J6_row_labels", "select r as grp, sum(cantidad)::double as value, count(*) as n_values from items join (select distinct id, fila, retorno as r from items) using (id, fila) group by 1")
@@ -217,17 +212,14 @@ def j8(c):
     return rel.sharing(c.values, "Cliente").groupBy("key").agg(F.count("*").alias("n_documents"))
 
 
-@table_query("J9_same_content", "select doc_id, n from (select doc_id, count(*) over (partition by text) as n from documents) where n > 1")
+@table_query("J9_same_content", "select doc_id as document_id, n from (select doc_id, count(*) over (partition by text) as n from documents) where n > 1")
 def j9(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    groups = docs.groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1")
-    return docs.join(groups, "content_hash").select("doc_id", "n")
+    return rel.copies_of_each(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("content_hash")))
 
 
 @query("J10_exists_flag", "select id as document_id, exists (select 1 from items i where i.id = known.id and retorno = 'A') as is_entity from known")
 def j10(c):
-    flags = c.values.where(scope.equals("Retorno", "A")).select("document_id").distinct().withColumn("flag", F.lit(True))
-    return c.documents.join(flags, "document_id", "left").select("document_id", F.col("flag").isNotNull().alias("is_entity"))
+    return scope.flagged(c.documents, c.values, scope.equals("Retorno", "A"), "is_entity").select("document_id", "is_entity")
 
 
 # ---- aggregation ----------------------------------------------------------------------------------
@@ -323,9 +315,13 @@ def a12(c):
     return rel.inventory(c.documents)
 
 
-@query("A13_catalogue", "select * from (select 'Folio' as concept, count(*)::bigint as n_values, 'text' as kind from known union all select 'Estado', count(*), 'state' from known union all select 'Cantidad', count(*), 'number' from items union all select 'Precio', count(*), 'money' from items)")
+_FIELDS = [("Folio", "text", "known"), ("Estado", "state", "known"), ("Fecha", "date", "known"), ("Importe total", "money", "known"), ("Cliente", "text", "known"), ("Segmento", "text", "known"), ("Cantidad", "number", "items"), ("Precio", "money", "items"), ("Descuento", "percentage", "items"), ("Retorno", "state", "items"), ("Envio", "date", "items")]
+_ALL_FIELDS = " union all ".join(f"select '{name}' as concept, count(*)::bigint as n_values, '{kind}' as kind from {table}" for name, kind, table in _FIELDS)
+
+
+@query("A13_catalogue", _ALL_FIELDS)
 def a13(c):
-    return agg.catalogue(c.values.where("concept in ('Folio', 'Estado', 'Cantidad', 'Precio')"))
+    return agg.catalogue(c.values)
 
 
 @query("A14_distinct", "select distinct segmento as text_value from known order by 1 limit 200")
@@ -335,7 +331,7 @@ def a14(c):
 
 @query("A15_currencies", "select distinct currency from known")
 def a15(c):
-    return c.values.where("concept = 'Importe total' and currency is not null").select("currency").distinct()
+    return c.values.where("currency is not null").select("currency").distinct()
 
 
 @query("A15_extensions", "select 'csv' as extension union select 'txt' from documents where n_chars < 200")
@@ -349,10 +345,10 @@ def a16(spark, d):
     return agg.signs(one("customer", "c_acctbal").unionByName(one("supplier", "s_acctbal")))
 
 
-@query("A18_type_vote", "select 'Mezcla' as concept, 3::bigint as n_values, 'money' as kind")
+@query("A18_type_vote", f"select part as concept, sum(n)::bigint as n_values, first(kind order by n desc, list_position(['money', 'date', 'percentage', 'number', 'state', 'text'], kind)) as kind from (select case when concept in ('Folio', 'Estado', 'Fecha', 'Importe total', 'Cliente', 'Segmento') then 'documento' else 'registro' end as part, kind, sum(n_values) as n from ({_ALL_FIELDS}) group by 1, 2) group by 1")
 def a18(c):
-    spark = c.documents.sparkSession
-    return agg.catalogue(spark.createDataFrame([("Mezcla", "number"), ("Mezcla", "money"), ("Mezcla", "text")], "concept string, value_type string"))
+    """All values of documents vote on one kind, and all values of records; ties go by the order of kinds."""
+    return agg.catalogue(c.values.withColumn("concept", F.when(F.col("record_scope").isNull(), "documento").otherwise("registro")))
 
 
 @table_query("A19_duplicates", "select n, count(*) as groups from (select count(*) as n from documents group by text having count(*) > 1) group by 1")
@@ -378,11 +374,7 @@ def a22(c):
 
 @table_query("A23_status", "select (select count(*) from orders) as n_orders, (select count(*) from lineitem) as n_items, (select count(*) from documents) as n_texts, (select count(*) from nation) as n_nations")
 def a23(spark, d):
-    n = lambda t: spark.read.parquet(f"{d}/{t}.parquet").agg(F.count("*").alias("n"))
-    parts = [n(t).select(F.lit(k).alias("k"), "n") for k, t in (("n_orders", "orders"), ("n_items", "lineitem"), ("n_texts", "documents"), ("n_nations", "nation"))]
-    names = ["n_orders", "n_items", "n_texts", "n_nations"]
-    stacked = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    return stacked.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in names])
+    return rel.status({k: spark.read.parquet(f"{d}/{t}.parquet") for k, t in (("n_orders", "orders"), ("n_items", "lineitem"), ("n_texts", "documents"), ("n_nations", "nation"))})
 
 
 @query("A24_fields_across", "select concept, n_documents, n_distinct, 3::bigint as n_read, n_distinct = 1 and n_documents = 3 as common from (select 'Estado' as concept, count(*) as n_documents, count(distinct estado) as n_distinct from known where id in (1, 2, 3) union all select 'Segmento', count(*), count(distinct segmento) from known where id in (1, 2, 3))")
@@ -390,6 +382,46 @@ def a24(c):
     return agg.fields_across(c.values.where("document_id in (1, 2, 3) and concept in ('Estado', 'Segmento')"))
 
 
+@query("V4_agreed_value", "select count(*) as n_documents, count(distinct estado) as n_values, min(id) as principal, case when count(distinct estado) = 1 then min(estado) end as value, case count(distinct estado) when 0 then 'absent' when 1 then 'agreed' else 'differing' end as outcome, true as reliable from known where segmento = 'BUILDING' and origin = '1-URGENT'")
+def v4(c):
+    return agg.agreed_value(c.values, scope.resolve(c.documents, c.values, [("Segmento", "BUILDING")], "1-URGENT"), "Estado")
+
+
+@query("V4_one_document", "select 1::bigint as n_documents, 1::bigint as n_values, id as principal, segmento as value, 'agreed' as outcome, true as reliable from known where id = 42")
+def v4_one(c):
+    return agg.agreed_value(c.values, scope.by_identifier(c.values, "OC-0000042"), "Segmento")
+
+
+@query("V5_labelled_rows", "select id as document_id, fila as record_scope, cantidad::double as numeric from items where retorno = 'R'")
+def v5(c):
+    return doubles(agg.in_labelled_rows(c.values, "R", "Cantidad").select("document_id", "record_scope", "numeric"), "numeric")
+
+
+@query("V6_related", "select id as document_id from known where o_custkey = (select o_custkey from known where id = 42) and id <> 42 order by id limit 12")
+def v6(c):
+    return rel.related(c.values, "Cliente", 42)
+
+
+@query("V11_unreliable", "select id as document_id, 'lectura_dudosa' as reason from known where origin = '5-LOW'")
+def v11(c):
+    return rel.unreliable(c.documents.withColumn("ocr_status", F.when(F.col("origin") == "5-LOW", "low_confidence").otherwise(F.col("ocr_status"))))
+
+
+@query("P12_operand", "select id as document_id, case when count(distinct cantidad) = 1 then min(cantidad) end::double as numeric, case when count(distinct cantidad) > 1 then 'operando_multiple_en_documento' end as issue from items group by 1")
+def p12(c):
+    return doubles(agg.operand(c.values, "Cantidad"), "numeric")
+
+
+@query("P25_citations", "select origin, document_id, turn::int as turn from (select origin, id as document_id, row_number() over (partition by origin order by id) as turn from known) order by turn, origin limit 18")
+def p25(c):
+    return agg.sampled_citations(c.documents, "origin")
+
+
+@query("F18_usual_fields", "select 'Retorno' as concept, count(distinct id) as n_documents from items where retorno = 'R' union all select 'Estado', count(*) from known where estado = 'R' having count(*) > 0")
+def f18(c):
+    return scope.usual_fields(c.values, "R")
+
+
 # ---- comparison -----------------------------------------------------------------------------------
 
 
@@ -429,9 +461,10 @@ def c7(c):
     return rel.dossier(c.values, "Cliente", f"cl{least}", ["Estado", "Nada"])
 
 
-@query("C8_mentions", "select null::bigint as document_id where false")
+@query("C8_mentions", "select id as document_id from known where estado = 'F' order by id limit 20")
 def c8(c):
-    return rel.mentions(c.values, "Folio", F.col("literal_value") == "f")
+    """A segment is no identifier, so that no document has it as a key."""
+    return rel.mentions(c.values, "Segmento", scope.equals("Estado", "F"))
 
 
 @query("C9_identifiers", "select key from (select distinct 'oc' || lpad(id::varchar, 7, '0') as key from known) where key like 'oc00001%' order by 1 limit 6")
@@ -454,8 +487,7 @@ def c4(spark, d):
 
 @query("P24_other_currencies", "select id as document_id from known where currency <> 'MXN'")
 def p24(c):
-    kept = scope.in_currency(c.values.where("concept = 'Importe total'"), "MXN").select("document_id")
-    return c.values.where("concept = 'Importe total'").join(kept, "document_id", "left_anti").select("document_id")
+    return scope.by_currency(c.values.where("concept = 'Importe total'"), "MXN")[1]
 
 
 @table_query("P26_first_chunk", "select doc_id as document_id, string_split(text, chr(10))[1] as content from documents")
@@ -463,10 +495,12 @@ def p26(spark, d):
     return orders_corpus(spark, d).chunks.groupBy("document_id").agg(F.min_by("content", "ordinal").alias("content"))
 
 
-@table_query("A17_odd_negatives", "select 's_acctbal' as concept from supplier having count(*) >= 20 and count_if(s_acctbal < 0) * 20 <= count(*)")
+@table_query("A17_odd_negatives", "select 'saldo ' || c_nationkey as concept from customer group by 1 having count(*) >= 20 and count_if(c_acctbal < 0) * 20 <= count(*) union all select 's_acctbal' from supplier having count(*) >= 20 and count_if(s_acctbal < 0) * 20 <= count(*) union all select 'p_retailprice' from part having count(*) >= 20 and count_if(p_retailprice < 0) * 20 <= count(*)")
 def a17(spark, d):
-    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.lit("s_acctbal").alias("concept"), F.col("s_acctbal").cast(val.AMOUNT).alias("numeric"))
-    return agg.signs(rows).where("negative_is_odd").select("concept")
+    """Balances of customers by nation, of suppliers, and prices."""
+    rows = lambda t, concept, x: spark.read.parquet(f"{d}/{t}.parquet").select(concept.alias("concept"), F.col(x).cast(val.AMOUNT).alias("numeric"))
+    every = rows("customer", F.concat(F.lit("saldo "), "c_nationkey"), "c_acctbal").unionByName(rows("supplier", F.lit("s_acctbal"), "s_acctbal")).unionByName(rows("part", F.lit("p_retailprice"), "p_retailprice"))
+    return agg.signs(every).where("negative_is_odd").select("concept")
 
 
 @table_query("X8_civil_dates", "select o_orderkey, last_day(o_orderdate::date) as month_end, date_diff('day', date '1992-01-01', o_orderdate::date)::int as days from orders")
@@ -475,11 +509,12 @@ def x8(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.last_day(day).alias("month_end"), F.datediff(day, F.lit("1992-01-01").cast("date")).alias("days"))
 
 
-@query("S19_entities", "select null::bigint as document_id, null::varchar as name where false")
-def s19(c):
+@table_query("S19_entities", r"select conv_id as document_id, text as name from (select conv_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '^\p{Lu}\p{L}+')) as capitals, regexp_split_to_array(text, '\s+') as w from conversations where text is not null) where len(w) <= 14 and (len(capitals) >= 2 or regexp_matches(text, 'S\.A\.|S\.C\.'))")
+def s19(spark, d):
     from .sources.index import entities
 
-    return entities(c.values.where("concept = 'Segmento'")).select("document_id", "name")
+    talk = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("document_id"), F.col("role").alias("concept"), F.col("text").alias("text_value"), F.lit("text").alias("value_type"))
+    return entities(talk).select("document_id", "name")
 
 
 @table_query("S16_chunks")
@@ -535,10 +570,9 @@ def t9(spark, d):
     return search.best_line(docs, ["with"]).select("document_id", "n_terms")
 
 
-@table_query("J2_postings", rf"with {_LINES}, p as (select document_id, ordinal, unnest(w) as term from lines) select term, count(*) as tf, count(distinct document_id) as df from p where starts_with(term, 'lic') group by 1")
+@table_query("J2_postings", rf"with {_LINES}, p as (select document_id, ordinal, unnest(w) as term from lines) select term, count(*) as tf, count(distinct document_id) as df from p group by 1")
 def j2(spark, d):
-    found = search.postings(orders_corpus(spark, d).chunks).where("term like 'lic%'")
-    return found.groupBy("term").agg(F.sum("tf").alias("tf"), F.count_distinct("document_id").alias("df"))
+    return search.postings(orders_corpus(spark, d).chunks).groupBy("term").agg(F.sum("tf").alias("tf"), F.count_distinct("document_id").alias("df"))
 
 
 @query("T4_metadata", "select id as document_id, 90 as score from known where origin = '1-URGENT'")
@@ -548,7 +582,17 @@ def t4(c):
 
 @query("T5_structured", "select id as document_id, 120 as score from known where segmento = 'BUILDING'")
 def t5(c):
-    return search.structured_hits(c.documents, c.values.where("concept = 'Segmento'"), "building")
+    return search.structured_hits(c.documents, c.values, "building")
+
+
+@query("T2_strict_exact", r"select id as document_id, 120 as score from known where segmento = 'MACHINERY' union all select doc_id, 115 from documents where regexp_matches(lower(text), '(^|[^\pL\pN_/.\-])machinery([^\pL\pN_/.\-]|$)') and doc_id not in (select id from known where segmento = 'MACHINERY')")
+def t2(c):
+    return search.strict_exact(c.documents, c.values, c.chunks, "Machinery")
+
+
+@query("T3_strict_structured", "select id as document_id, 120 as score from known where segmento = 'BUILDING' and estado = 'F' and exists (select 1 from items i where i.id = known.id and retorno = 'R')")
+def t3(c):
+    return search.strict_structured(c.documents, c.values, [("Segmento", "building"), ("Estado", "f"), ("Retorno", "R")])
 
 
 # ---- functions ------------------------------------------------------------------------------------
@@ -563,12 +607,7 @@ def s6(spark, d):
     return label_lines(lines).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@table_query("X1_fold", r"select doc_id, lower(strip_accents(substr(text, 1, 4000))) as folded from documents where lang in ('fr', 'es')")
-def x1(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").where("lang in ('fr', 'es')").select("doc_id", text.folded(F.substring("text", 1, 4000)).alias("folded"))
-
-
-@table_query("X1_fold_whole", "select doc_id, lower(strip_accents(text)) as folded from documents")
+@table_query("X1_fold", "select doc_id, lower(strip_accents(text)) as folded from documents")
 def x1_whole(spark, d):
     """Whole texts of all rows."""
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.folded("text").alias("folded"))
@@ -592,7 +631,7 @@ def x11(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
-@table_query("X12_kind_of_path", "select 'nota_texto' as kind, count(*) as n from documents")
+@table_query("X12_kind_of_path", "select lower(lang) || '_nota' || (doc_id % 7)::varchar || '_' || lower(source) as kind, count(*) as n from documents where lang is not null and source is not null group by 1")
 def x12(spark, d):
-    path = F.concat("source", F.lit("/"), F.col("doc_id"), F.lit("_Nota texto.md"))
-    return spark.read.parquet(f"{d}/documents.parquet").select(text.kind_of_path(path).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    path = F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("_"), "lang", F.lit(" Nota"), (F.col("doc_id") % 7).cast("string"), F.lit(" - "), "source", F.lit(".md"))
+    return spark.read.parquet(f"{d}/documents.parquet").where("lang is not null and source is not null").select(text.kind_of_path(path).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
