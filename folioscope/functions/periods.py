@@ -73,9 +73,12 @@ def parse(question: str, today: date) -> Period | None:
     return year(years[0]) if years else None
 
 
+SLASH = re.compile(r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b")
+
+
 def slash_readings(text: str) -> list[date]:
     """The calendar readings of D/M/Y and M/D/Y: none is impossible, two are ambiguous."""
-    m = re.search(r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", text)
+    m = SLASH.search(text)
     out = []
     if m:
         a, b, y = map(int, m.groups())

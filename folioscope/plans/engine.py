@@ -8,6 +8,7 @@ with a reason; what does not exist is said, never replaced.
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -17,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import periods
-from ..functions.text import exact, fold
+from ..functions.text import exact, exactly, fold
 from ..functions.values import render_money
 from ..operators import aggregate as agg
 from ..operators import relations as rel
 from ..operators import scope as sc
 from ..operators import search
 from ..sources.tables import Corpus
-from .language import Signals, group_field, named_fields, quoted, signals, written_filters
+from . import answers, folders
+from .answers import Answer
+from .language import Signals, exact_tokens, field_roles, group_field, named_currency, named_fields, quoted, signals, written_filters
 
 CONVERSATIONS, CITATIONS = 32, 18
 NUMERIC = ("money", "number", "percentage")
@@ -40,23 +43,13 @@ class Scope:
     dates: tuple[str, date, date] | None = None
 
 
-@dataclass
-class Answer:
-    text: str
-    verified: bool = False
-    reason: str | None = None
-    options: list[str] = field(default_factory=list)
-    rows: DataFrame | None = None
-    citations: list[int] = field(default_factory=list)
-    notices: list[str] = field(default_factory=list)
-
-
 @dataclass
 class Memory:
     scope: Scope | None = None
     concept: str | None = None
     operation: str | None = None
     pending: tuple[str, list[str]] | None = None
+    cited: list[int] = field(default_factory=list)
 
 
 class Engine:
@@ -78,7 +71,29 @@ class Engine:
         return [n for n, k in self.fields() if not kinds or k in kinds]
 
     def search(self, text: str, most: int = 12) -> DataFrame:
-        return search.free_text(self.corpus.chunks, text, most)
+        """Documents with a score, by the first path that finds any: file name, identifier, quote, written pairs, blended text."""
+        c, tokens = self.corpus, exact_tokens(text)
+        paths: list[DataFrame] = []
+        for token in tokens:
+            if token.kind == "file":
+                paths.append(sc.by_path(c.documents, token.text).select("document_id", F.lit(150).alias("score")))
+            elif token.kind == "identifier":
+                paths += [sc.by_identifier(c.values, token.text), sc.by_identifier(c.values, token.text, "prefix")]
+            else:
+                paths.append(search.strict_exact(c.documents, c.values, c.chunks, token.text))
+        pairs = written_filters(text, self.names())
+        if pairs:
+            paths.append(search.strict_structured(c.documents, c.values, pairs))
+        for found in paths:
+            if not found.isEmpty():
+                return found.orderBy(F.desc("score"), "document_id")
+        return search.free_text(c.chunks, text, most)
+
+    def invalidate(self) -> None:
+        """After a new index: scopes stay, as they are predicates; results and the list of fields go."""
+        self._fields = None
+        for memory in self.memories.values():
+            memory.cited, memory.pending = [], None
 
     def reset(self, conversation: str) -> None:
         self.memories.pop(conversation, None)
@@ -95,6 +110,9 @@ class Engine:
         if memory.pending:
             original, options = memory.pending
             memory.pending = None
+            if set(exact(question).split()) & {"todos", "todas", "ambos", "ambas"} and len(question.split()) <= 4:
+                each = [self._answer(f"{original} {o}", memory) for o in options]
+                return Answer("\n".join(f"{o}: {a.text}" for o, a in zip(options, each)), all(a.verified for a in each), notices=[n for a in each for n in a.notices])
             said = exact(question)  # a short reply that names an option; anything longer is a new question
             chosen = next((o for o in options if f" {exact(o)} " in f" {said} " and len(said.split()) <= len(o.split()) + 3), None)
             if chosen:
@@ -102,12 +120,24 @@ class Engine:
         answer = self._answer(question, memory)
         if answer.reason and answer.options:
             memory.pending = (question, answer.options)
+        if answer.citations:
+            memory.cited = answer.citations
+            answer.notices += self._notices(answer.citations)
         return answer
 
+    def _notices(self, ids: list[int]) -> list[str]:
+        """Which cited documents are copies of one another, and which were read with doubt."""
+        cited = self.corpus.documents.where(F.col("document_id").isin(ids))
+        copies = rel.duplicates(cited).count()
+        doubtful = rel.unreliable(cited).groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason").collect()
+        return [f"{copies} grupos de documentos citados son idénticos."] * bool(copies) + [f"{r.reason}: {r.n} documentos citados" for r in doubtful]
+
     def _answer(self, question: str, memory: Memory) -> Answer:
         s = signals(question)
         if "/" in question:
             readings = periods.slash_readings(question)
+            if not readings and periods.SLASH.search(question):
+                return Answer("La fecha no existe en el calendario.", reason="fecha_invalida")
             if len(readings) == 2:
                 return Answer("La fecha admite dos lecturas.", reason="fecha_ambigua", options=[d.isoformat() for d in readings])
         if s.duplicates:
@@ -126,6 +156,15 @@ class Engine:
         if literal and not s.operation:
             hits = search.literal_hits(self.corpus.chunks, literal).orderBy("document_id")
             return self._cited(hits, f"Documentos que dicen «{literal}»")
+        tokens = [t.text for t in exact_tokens(question) if t.kind == "identifier"]
+        if s.ordinal and memory.cited:
+            if s.ordinal > len(memory.cited):
+                return Answer(f"El resultado anterior cita {len(memory.cited)} documentos.", reason="referencia_sin_contexto")
+            return answers.about_documents(self.corpus, [memory.cited[s.ordinal - 1]], question)
+        if tokens and not (s.dossier or s.contradiction or s.grouped or s.ranking):
+            found = answers.identified(self.corpus, tokens, question, s)
+            if found is not None:
+                return found
         if s.reference and memory.scope is None:
             return Answer("No hay un resultado anterior al que referirse.", reason="referencia_sin_contexto")
         if s.evidence:
@@ -137,7 +176,9 @@ class Engine:
         found = self._scope(question, s, memory)
         if isinstance(found, Answer):
             return found
-        operation = s.operation or (memory.operation if s.reference else None)
+        operation = s.operation or (memory.operation if s.reference or self._elliptical(question, memory) else None)
+        if s.row_operation and exact(question).split().count("total") > 1:
+            return Answer("¿La operación es entre los totales o dentro de cada documento?", reason="operacion_entre_totales_ambigua", options=["entre los totales", "en cada documento"])
         if s.row_operation and len(self._named(question, *NUMERIC)) == 2:
             return self._row_operation(question, s, found)
         if operation is None and not (s.comparison or s.ranking):
@@ -163,32 +204,64 @@ class Engine:
         named = self._named(question, *NUMERIC)
         if named:
             return named[0]
-        if s.reference and memory.concept:
+        if (s.reference or self._elliptical(question, memory)) and memory.concept:
             return memory.concept
         fits = self.names(s.category) if s.category else self.names(*NUMERIC)
         if len(fits) == 1:
             return fits[0]
         return Answer("¿Sobre qué campo?", reason="campo_ambiguo", options=fits[:6]) if fits else Answer("No hay campos numéricos.", reason="campo_ambiguo")
 
+    def _elliptical(self, question: str, memory: Memory) -> bool:
+        """`¿Y de X?`: the last calculation with a changed scope."""
+        return exact(question).startswith("y ") and memory.scope is not None and memory.concept is not None
+
+    def _mentioned(self, question: str) -> DataFrame:
+        """Values of text and state fields that the question spells out; those of one or two letters in capitals."""
+        labels = self.corpus.values.where(F.col("concept").isin(self.names("state", "text")))
+        capitals = F.lit(" ".join(re.findall(r"(?<!\w)[A-ZÁÉÍÓÚÑ0-9]{1,2}(?!\w)", question)))
+        short = F.array_contains(F.split(F.lower(capitals), " "), F.col("literal_value"))
+        return sc.mentioned_values(labels, question).where((F.length("literal_value") > 2) | short)
+
+    def _folder(self, question: str) -> str | None | Answer:
+        """A folder that is cued must exist; else one whose whole name the question says, if just one."""
+        origins = self.corpus.documents.select("origin").distinct()
+        cued = folders.cued(question)
+        if cued is not None:
+            wanted = exact(cued)
+            hit = origins.where((exactly("origin") == wanted) | (exactly(F.element_at(F.split("origin", "/"), -1)) == wanted)).orderBy("origin").limit(2).collect()
+            return hit[0].origin if hit else Answer(f"No existe la carpeta «{cued}».", reason="carpeta_inexistente")
+        asked = F.lit(f" {exact(question)} ")
+        near = origins.where(asked.contains(F.concat(F.lit(" "), exactly("origin"), F.lit(" ")))).limit(50).collect()
+        return folders.fuzzy(question, [r.origin for r in near])
+
     def _scope(self, question: str, s: Signals, memory: Memory) -> Scope | Answer:
-        """Written pairs rule; else values that the question names; then folder and period; inherited on reference."""
-        values, base = self.corpus.values, memory.scope if s.reference and memory.scope else Scope()
+        """Written pairs rule; else values that the question names; then folder and period; inherited on reference or ellipsis."""
+        inherits = memory.scope and (s.reference or self._elliptical(question, memory))
+        values, base = self.corpus.values, memory.scope if inherits else Scope()
         pairs = written_filters(question, self.names())
         for concept, value in pairs:
             if not values.where(sc.equals(concept, value)).limit(1).count():
                 near = [r.text_value for r in sc.near_values(values, concept, value).collect()]
                 return Answer(f"Ningún documento tiene {concept}: {value}.", reason="valor_inexistente", options=near)
         if not pairs and not s.comparison:
-            labels = values.where(F.col("concept").isin(self.names("state", "text")))
-            named = sc.mentioned_values(labels, question).where(F.length("literal_value") > 2).collect()
-            fields = {}
-            for r in named:
+            fields: dict[str, list[str]] = {}
+            for r in self._mentioned(question).limit(200).collect():
                 fields.setdefault(r.literal_value, []).append(r.concept)
-            pairs = [(c[0], v) for v, c in fields.items() if len(c) == 1]
-        out = replace(base, filters=tuple(dict.fromkeys([*base.filters, *pairs])))
-        folders = self.corpus.documents.select("origin").distinct().where(F.lit(fold(question)).contains(F.lower("origin"))).limit(2).collect()
-        if len(folders) == 1:
-            out = replace(out, origin=folders[0].origin)
+            roles = field_roles(question, self.names())
+            for v, own in fields.items():
+                marked = [c for c in own if roles.get(c) == "restriction"] or [c for c in own if roles.get(c) != "asked"]
+                if len(marked) > 1:  # the field that most documents state it in, if it is most by far
+                    usual = sc.usual_fields(values.where(F.col("concept").isin(marked)), v).limit(2).collect()
+                    marked = [usual[0].concept] if len(usual) == 1 or usual[0].n_documents >= 4 * usual[1].n_documents else marked
+                if len(marked) == 1 and fold(marked[0]) != v:
+                    pairs.append((marked[0], v))
+        kept = [f for f in base.filters if not s.reference and f[0] not in {c for c, _ in pairs} or s.reference]
+        out = replace(base, filters=tuple(dict.fromkeys([*kept, *pairs])))
+        folder = self._folder(question)
+        if isinstance(folder, Answer):
+            return folder
+        if folder:
+            out = replace(out, origin=folder)
         period = periods.parse(question, self.today())
         if period and not s.periods:
             days = self.names("date")
@@ -213,8 +286,7 @@ class Engine:
     def _calculate(self, question: str, s: Signals, scope: Scope, concept: str, operation: str) -> Answer:
         values, documents = self.corpus.values, self._documents(scope)
         if s.comparison and not s.periods:
-            labels = values.where(F.col("concept").isin(self.names("state", "text")))
-            sides = sc.mentioned_values(labels, question).where(F.length("literal_value") > 2).orderBy(F.instr(F.lit(fold(question)), F.col("literal_value"))).limit(3).collect()
+            sides = self._mentioned(question).orderBy(F.instr(F.lit(fold(question)), F.col("literal_value"))).limit(3).collect()
             if len(sides) != 2:
                 return Answer("Faltan los dos lados de la comparación.", reason="comparacion_incompleta", options=[r.literal_value for r in sides])
             side = lambda r: agg.operands(values, concept, sc.with_filters(documents, values, [(r.concept, r.literal_value)]))
@@ -235,14 +307,14 @@ class Engine:
             rows = agg.labelled(rows, values.where(F.col("concept") == group))
             table = rel.rank(rows, "grp", operation, not s.ascending) if s.ranking else agg.compute(rows, operation, ["grp"])
             return self._table(table, f"{TITLES[operation]} de {concept} por {group}", "grp")
-        table = agg.aggregate(values, documents, concept, operation)
+        table = agg.aggregate(values, documents, concept, operation, named_currency(question))
         found = table.orderBy("currency").collect()
-        if not found:
-            return Answer(f"Ningún documento del alcance tiene {concept}.", rows=table)
+        if found[0].value is None:
+            return Answer(f"Ningún documento del alcance ({found[0].n_scope:,}) tiene {concept}.", rows=table)
         lines = [f"{TITLES[operation]} de {concept}: {render_money(r.value, r.currency)}" for r in found]
         r = found[0]
         notice = f"Alcance {r.n_scope:,}: calculados {r.n_calculated:,}, sin el campo {r.n_missing:,}, inválidos {r.n_invalid:,}, otra moneda {r.n_currency:,}"
-        cited = [x.document_id for x in rows.select("document_id").distinct().orderBy("document_id").limit(CITATIONS).collect()]
+        cited = list(dict.fromkeys(x.document_id for x in agg.sampled_citations(rows, "currency", CITATIONS).collect()))
         return Answer("\n".join(lines), all(x.verified for x in found), rows=table, citations=cited, notices=[notice])
 
     def _row_operation(self, question: str, s: Signals, scope: Scope) -> Answer:
@@ -274,7 +346,15 @@ class Engine:
 
     def _cited(self, hits: DataFrame, title: str) -> Answer:
         ids = [r.document_id for r in hits.limit(CITATIONS).collect()]
-        return Answer(f"{title}: {len(ids)}" if ids else "No hay evidencia suficiente.", bool(ids), rows=hits, citations=ids)
+        n = hits.count() if len(ids) == CITATIONS else len(ids)
+        return Answer(f"{title}: {n:,}" if ids else "No hay evidencia suficiente.", bool(ids), rows=hits, citations=ids)
+
+
+def claims_of(text: str) -> list[str]:
+    """Numbers and proper names that a text states."""
+    numbers = re.findall(r"\d[\d,]*(?:\.\d+)?", text)
+    names = re.findall(r"(?<![.!?¿¡]\s)(?<!^)\b[A-ZÁÉÍÓÚÑ][\wáéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][\wáéíóúñ]+)*", text)
+    return list(dict.fromkeys([*numbers, *names]))
 
 
 def supported(claims: list[str], evidence: list[str]) -> list[str]:

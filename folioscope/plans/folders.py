@@ -14,7 +14,7 @@ class Folder:
     name: str | None = None
 
 
-def _cued(question: str) -> str | None:
+def cued(question: str) -> str | None:
     for pattern in (r'(?:carpeta|folder|directorio)\s+["«“]([^"»”]+)["»”]', r"(?:carpeta|folder|directorio)\s+(?:de\s+|llamada\s+)?([\w./-]+)", r"\b(\d{2}_[\w-]+)"):
         m = re.search(pattern, question, re.I)
         if m:
@@ -24,7 +24,7 @@ def _cued(question: str) -> str | None:
 
 def explicit(question: str, origins: list[str]) -> Folder:
     """A folder that is quoted, cued by a word for folder, or written like `02_reportes`."""
-    wanted = _cued(question)
+    wanted = cued(question)
     if wanted is None:
         return Folder("not_named")
     for origin in origins:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from ..functions.text import exact, fold, root, roots, stems_match
+from ..functions.text import exact, fold, identifier, root, roots, stems_match
+from ..sources.files import EXTENSIONS
 
 # Roots and words that name an operation or a relation.
 OPERATIONS = {
@@ -18,6 +19,9 @@ OPERATIONS = {
 PRECEDENCE = ["average", "sum", "max", "min", "count"]
 CATEGORIES = {"importe": "money", "monto": "money", "dinero": "money", "cantidad": "number", "unidades": "number", "porcentaje": "percentage"}
 REFERENCES = ["esos", "esas", "estos", "estas", "ellos", "ellas", "anteriores", "mismos", "mismas", "cuales"]
+CATEGORY_WORDS = {"cuando": ("date",), "cuanto": ("money", "number", "percentage"), "cuanta": ("money", "number", "percentage"), "quien": ("text",), "quienes": ("text",)}
+YES, NO = ["si", "yes", "true", "verdadero"], ["no", "false", "falso"]
+CURRENCIES = ["MXN", "USD", "EUR", "GBP", "JPY", "INR", "KRW", "CAD"]
 ORDINALS = {"primer": 1, "primero": 1, "primera": 1, "segundo": 2, "segunda": 2, "tercer": 3, "tercero": 3, "tercera": 3, "cuarto": 4, "quinto": 5}
 
 
@@ -107,3 +111,79 @@ def written_filters(question: str, fields: list[str]) -> list[tuple[str, str]]:
 def quoted(question: str) -> str | None:
     m = re.search(r'["«“]([^"»”]+)["»”]', question)
     return m[1] if m else None
+
+
+@dataclass(frozen=True)
+class Token:
+    kind: str  # quote, file or identifier
+    text: str
+
+
+def exact_tokens(question: str) -> list[Token]:
+    """What a question gives to be taken literally: quotes, else file names, else mixed identifiers.
+
+    A folder with a number before its name (`02_reportes`) is no identifier.
+    """
+    quotes = [Token("quote", m[1]) for m in re.finditer(r'["«“]([^"»”]+)["»”]', question)]
+    if quotes:
+        return quotes
+    words = [w.strip("?¿!¡,;:()").rstrip(".") for w in question.split()]
+    names = [Token("file", w) for w in words if re.search(rf"\.(?:{'|'.join(EXTENSIONS)})$", w, re.I)]
+    if names:
+        return names
+    ordinal = re.compile(r"\d{1,3}_[^\W\d]+")
+    return [Token("identifier", w) for w in words if identifier(w) and not ordinal.fullmatch(w)]
+
+
+def asked_kinds(question: str) -> tuple[str, ...]:
+    """Kinds of value that a question word asks for."""
+    return next((CATEGORY_WORDS[w] for w in exact(question).split() if w in CATEGORY_WORDS), ())
+
+
+def resolve_field(question: str, fields: list[str]) -> tuple[str | None, list[str]]:
+    """The field that a question names, or what it could be: all words of one name, else the head word of just one.
+
+    A name inside a longer one that is named too gives way to it; equally long ones are a tie.
+    """
+    named = named_fields(question, fields)
+    named = [f for f in named if not any(f != g and set(roots(f).split()) < set(roots(g).split()) for g in named)]
+    if named:
+        return (named[0], []) if len(named) == 1 else (None, named[:6])
+    asked = roots(question).split()
+    heads = [f for f in fields if any(stems_match(roots(f).split()[0], a) for a in asked if len(a) >= 4)]
+    return (heads[0], []) if len(heads) == 1 else (None, heads[:6])
+
+
+def field_roles(question: str, fields: list[str]) -> dict[str, str]:
+    """restriction: a field with its value (`Estado: X`, `con estado X`); asked: named otherwise; unmarked: not named."""
+    written = {c for c, _ in written_filters(question, fields)}
+    named = set(named_fields(question, fields))
+    folded = fold(question)
+    bound = {f for f in named if re.search(rf"\b(?:con|cuyo|cuya|de|en)\s+(?:el\s+|la\s+)?{re.escape(fold(f))}\s+(?:de\s+|es\s+|igual\s+a\s+)?\S", folded) and not re.search(rf"\b(?:cual|que)\s+(?:\w+\s+){{0,3}}{re.escape(fold(f))}", folded)}
+    return {f: "restriction" if f in written | bound else "asked" if f in named else "unmarked" for f in fields}
+
+
+def closed_answer(question: str, stated: list[str]) -> bool | None:
+    """Does the document say what a yes/no question supposes? None if it is no such question or nothing can be said.
+
+    The supposition is one of the values, or the field itself for yes/no values; `no` before it turns it round.
+    """
+    words = exact(question).split()
+    if not words or words[0] not in ("esta", "es", "fue", "tiene", "hay", "sigue", "no"):
+        return None
+    turned = "no" in words
+    values = [exact(v) for v in stated]
+    if not values:
+        return None
+    if all(v in YES + NO for v in values):
+        answers = {v in YES for v in values}
+        return None if len(answers) > 1 else answers.pop() != turned
+    said = f" {' '.join(roots(' '.join(words)).split())} "
+    held = any(f" {roots(v)} " in said for v in values)
+    return held != turned
+
+
+def named_currency(question: str) -> str | None:
+    """A currency that the question demands by its code."""
+    words = re.findall(r"\b[A-Za-z]{3}\b", question)
+    return next((w.upper() for w in words if w.upper() in CURRENCIES and (w.isupper() or "moneda" in exact(question))), None)

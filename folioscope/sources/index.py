@@ -20,28 +20,119 @@ def origin_of(path: Column, folder: str) -> Column:
     return F.when(parent == "", F.lit(folder.rstrip("/").rpartition("/")[2])).otherwise(parent)
 
 
-def build(spark: SparkSession, folder: str, ocr=None) -> Corpus:
-    """Parse a folder. Ids are hashes of paths, so they survive a new run."""
+def build(spark: SparkSession, folder: str, ocr=None, staging: str | None = None) -> Corpus:
+    """Parse a folder. Ids are hashes of paths, so they survive a new run.
+
+    With ``staging`` the parsed files are written there once, so that the four
+    tables don't parse (and read by OCR) every file again.
+    """
     parsed = parse_files(discover(spark, folder), ocr)
+    if staging is not None:
+        parsed.write.mode("overwrite").parquet(staging)
+        parsed = spark.read.schema(parsed.schema).parquet(staging)
     return from_parsed(parsed, folder)
 
 
-def from_parsed(parsed: DataFrame, folder: str) -> Corpus:
-    rows = parsed.withColumn("document_id", F.xxhash64("path")).withColumn("origin", origin_of(F.col("path"), folder))
-    read = rows.where("reason is null")
-    documents = read.select("document_id", "path", F.element_at(F.split("path", "/"), -1).alias("title"), "origin", "extension", "parser", "content_hash", "size_bytes", "ocr_status", F.lit(None).cast("double").alias("ocr_confidence"), F.col("mismatch").alias("declared_format_mismatch"))
-    records = read.select("document_id", "ocr_status", F.posexplode("records").alias("ordinal", "r")).select("document_id", "ocr_status", "ordinal", "r.*")
+def typed(records: DataFrame) -> DataFrame:
+    """Values of records (document_id, ocr_status, ordinal, label, value, location, record_scope)."""
     x = F.col("value")
     kind = val.kind_of(F.col("label"), x)
     number = F.when(kind == "money", val.money_amount(x)).when(kind == "percentage", val.exact_amount(F.regexp_replace(x, r"\s*%$", ""))).when(kind == "number", val.exact_amount(x))
-    values = records.select(
+    return records.select(
         "document_id", F.col("label").alias("concept"), "ordinal", kind.alias("value_type"), x.alias("text_value"), fold_any(x).alias("literal_value"),
         number.alias("numeric"), F.when(kind == "money", val.money_currency(x)).alias("currency"), val.date_value(x).alias("date_value"), "record_scope", "location",
         F.col("ocr_status").isin("not_required", "complete").alias("reliable"),
     )
+
+
+def from_parsed(parsed: DataFrame, folder: str) -> Corpus:
+    rows = parsed.withColumn("document_id", F.xxhash64("path")).withColumn("origin", origin_of(F.col("path"), folder))
+    read = rows.where("reason is null")
+    documents = read.select("document_id", "path", F.element_at(F.split("path", "/"), -1).alias("title"), "origin", "extension", "parser", "content_hash", "size_bytes", "ocr_status", F.lit(None).cast("double").alias("ocr_confidence"), F.col("mismatch").alias("declared_format_mismatch"))
+    records = read.select("document_id", "ocr_status", F.posexplode("records").alias("ordinal", "r")).select("document_id", "ocr_status", "ordinal", "r.*")
     unindexed = rows.where("reason is not null").select("path", "origin", "extension", "reason")
     chunks = read.select("document_id", F.explode("chunks").alias("c")).select("document_id", "c.ordinal", "c.location", "c.content")
-    return Corpus(documents, values, unindexed, chunks)
+    return Corpus(documents, typed(records), unindexed, chunks)
+
+
+#: Labels that the cover pass uses, at most: the most frequent ones.
+VOCABULARY = 2000
+
+
+def with_covers(corpus: Corpus) -> Corpus:
+    """Adds what the cover pass finds in documents without any record, by the labels of the others."""
+    found = label_vocabulary(corpus.values).orderBy(F.desc("n"), "concept").limit(VOCABULARY).collect()
+    if not found:
+        return corpus
+    bare = corpus.documents.where("parser = 'pdf'").join(corpus.values.select("document_id"), "document_id", "left_anti").select("document_id", "ocr_status")
+    pairs = cover_pass(corpus.chunks.join(bare, "document_id", "left_semi"), [r.concept for r in found])
+    records = pairs.join(bare, "document_id").select("document_id", "ocr_status", F.lit(0).alias("ordinal"), F.col("concept").alias("label"), F.col("text_value").alias("value"), F.lit("carátula").alias("location"), F.lit(None).cast("string").alias("record_scope"))
+    return Corpus(corpus.documents, corpus.values.unionByName(typed(records)), corpus.unindexed, corpus.chunks)
+
+
+def index_folder(spark: SparkSession, folder: str, root: str, version: str, ocr=None) -> dict[str, int]:
+    """Index an authorised folder into a new version, make it the current one, and say what was found."""
+    if folder.rstrip("/") not in authorised_folders(spark, root):
+        raise PermissionError(f"{folder} is not authorised")
+    corpus = with_covers(build(spark, folder, ocr, f"{root}/{version}/_parsed"))
+    save(corpus, root, version)
+    publish(spark, root, version)
+    done = load(spark, root, version)
+    return {
+        "indexed": done.documents.count(),
+        "unindexed": done.unindexed.count(),
+        "values": done.values.count(),
+        "disguised": done.documents.where("declared_format_mismatch is not null").count(),
+    }
+
+
+def _note(spark: SparkSession, root: str, folder: str, event: str) -> None:
+    spark.createDataFrame([(folder.rstrip("/"), event)], "folder string, event string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/_sources")
+
+
+def authorize(spark: SparkSession, root: str, folder: str) -> None:
+    """Allow a folder to be indexed; sources are a log of events, of which the last one counts."""
+    _note(spark, root, folder, "authorized")
+
+
+def revoke(spark: SparkSession, root: str, folder: str) -> None:
+    _note(spark, root, folder, "revoked")
+
+
+def authorised_folders(spark: SparkSession, root: str) -> list[str]:
+    from pyspark.errors import AnalysisException
+
+    try:
+        log = spark.read.parquet(f"{root}/_sources")
+    except AnalysisException:
+        return []
+    last = log.groupBy("folder").agg(F.max_by("event", "at").alias("event")).where("event = 'authorized'")
+    return [r.folder for r in last.orderBy("folder").collect()]
+
+
+def intact(spark: SparkSession, root: str, version: str) -> bool:
+    """All tables can be read, and every value and chunk belongs to a document."""
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
+    try:
+        corpus = load(spark, root, version)
+        ids = corpus.documents.select("document_id")
+        return not any(t.join(ids, "document_id", "left_anti").limit(1).count() for t in (corpus.values, corpus.chunks))
+    except (PySparkException, Py4JError):
+        return False
+
+
+def recover(spark: SparkSession, root: str) -> tuple[str | None, list[str]]:
+    """The newest intact version, made the current one, and the newer ones that are not."""
+    broken = []
+    for version in versions(spark, root):
+        if intact(spark, root, version):
+            if broken:
+                publish(spark, root, version)
+            return version, broken
+        broken.append(version)
+    return None, broken
 
 
 def entities(values: DataFrame) -> DataFrame:
@@ -55,7 +146,7 @@ def entities(values: DataFrame) -> DataFrame:
 
 def label_vocabulary(values: DataFrame, least: int = 2) -> DataFrame:
     """Labels seen in several reliable documents: the vocabulary of the cover pass."""
-    return values.where("reliable").groupBy("concept").agg(F.count_distinct("document_id").alias("n")).where(F.col("n") >= least).select("concept")
+    return values.where("reliable").groupBy("concept").agg(F.count_distinct("document_id").alias("n")).where(F.col("n") >= least)
 
 
 def cover_pass(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -98,7 +189,7 @@ def versions(spark: SparkSession, root: str) -> list[str]:
 def load(spark: SparkSession, root: str, version: str | None = None) -> Corpus:
     """A version, the current one by default; an older one is the recovery path."""
     found = version or versions(spark, root)[0]
-    return Corpus(*(spark.read.parquet(f"{root}/{found}/{name}") for name in TABLES))
+    return Corpus(*(spark.read.parquet(f"{root}/{found}/{name}").drop("batch") for name in TABLES))
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -199,4 +199,7 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("Folio: A-1")
     ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out" / "values")).first().text_value == "A-1"
+    (tmp_path / "in" / "b.md").write_text("Folio: A-2")
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    corpus = index.load(spark, str(tmp_path / "out"))
+    assert sorted(r.text_value for r in corpus.values.collect()) == ["A-1", "A-2"] and "batch" not in corpus.documents.columns
