@@ -102,7 +102,9 @@ def decode_entities(text: str) -> str:
 
 
 def folded(x) -> Column:
-    return F.lower(F.translate(_text(x), _ACCENTED, _PLAIN))
+    """As ``fold`` for Latin text; text of one byte a character has nothing to translate."""
+    text = _text(x)
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, _ACCENTED, _PLAIN)))
 
 
 @F.pandas_udf(T.StringType())

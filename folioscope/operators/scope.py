@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +27,18 @@ def equals(concept: str, value: str, kind: str | None = None) -> Column:
     return of & (filter_key(F.col("value_type"), F.col("text_value")) == filter_key(F.lit(kind), F.lit(value)))
 
 
+def meeting_all(values: DataFrame, conditions: list[Column]) -> DataFrame:
+    """Documents that meet each condition by some value: one pass over the values, not a join a condition."""
+    if len(conditions) == 1:
+        return values.where(conditions[0]).select(DOC)
+    found = values.where(reduce(Column.__or__, conditions)).groupBy(DOC).agg(*[F.max(c.cast("int")).alias(f"__c{i}") for i, c in enumerate(conditions)])
+    return found.where(reduce(Column.__and__, [F.col(f"__c{i}") == 1 for i in range(len(conditions))])).select(DOC)
+
+
 def with_filters(documents: DataFrame, values: DataFrame, filters: list[tuple[str, str]]) -> DataFrame:
-    for concept, value in filters:
-        documents = having(documents, values, equals(concept, value))
-    return documents
+    if not filters:
+        return documents
+    return documents.join(meeting_all(values, [equals(c, v) for c, v in filters]), DOC, "left_semi")
 
 
 def from_origin(documents: DataFrame, origin: str) -> DataFrame:
@@ -52,11 +61,13 @@ def dated_anywhere(documents: DataFrame, values: DataFrame, first: date | None,
 
 def resolve(documents: DataFrame, values: DataFrame, filters=(), origin: str | None = None, dates: tuple[str, date, date] | None = None) -> DataFrame:
     """Ids of the documents in scope, in order."""
-    found = with_filters(documents, values, list(filters))
-    if origin is not None:
-        found = from_origin(found, origin)
+    conditions = [equals(c, v) for c, v in filters]
     if dates is not None:
-        found = dated(found, values, *dates)
+        concept, first, last = dates
+        conditions.append((F.col("concept") == concept) & F.col("date_value").between(first, last))
+    found = documents if origin is None else from_origin(documents, origin)
+    if conditions:
+        found = found.join(meeting_all(values, conditions), DOC, "left_semi")
     return found.select(DOC).orderBy(DOC)
 
 
@@ -110,8 +121,6 @@ def authorised(documents: DataFrame, sources: DataFrame) -> DataFrame:
 
 def pinned(values: DataFrame, anchors: list[str], most: int = 120) -> DataFrame:
     """The one document that covers most anchor phrases: 1001 a phrase plus how specific it is; none on a tie."""
-    from functools import reduce
-
     literal = F.col("literal_value")
     hits = reduce(DataFrame.unionByName, [values.where(literal.contains(fold(a))).select(DOC, F.lit(i).alias("anchor"), F.lit(len(a.split())).alias("words")).distinct() for i, a in enumerate(anchors)])
     scored = hits.groupBy(DOC).agg((F.count("*") * 1001 + F.sum("words")).alias("score"))

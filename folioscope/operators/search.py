@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import exact, exactly, fold, folded, holds_phrase, holds_value, search_terms, words
+from .scope import equals, meeting_all
 
 DOC = "document_id"
 K1, B = 1.2, 0.75  # public defaults of the ranking function
@@ -24,16 +25,27 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def prefix_counts(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """Chunks with how many of their words begin with each term, and their length."""
-    split = chunks.select(DOC, "ordinal", "content", words("content").alias("__w"))
-    counted = [F.size(F.filter("__w", begins(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    return split.select(DOC, "ordinal", "content", F.size("__w").alias("length"), *counted)
+    """Chunks with how many of their words begin with each term, and their length in words.
+
+    Counted by patterns on the folded text, which stay in generated code; a
+    pattern runs only where the text holds its term at all.
+    """
+    text = folded("content")
+    counted = [F.when(text.contains(t), F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{t}\E"))).otherwise(0).alias(f"tf{i}") for i, t in enumerate(terms)]
+    return chunks.select(DOC, "ordinal", "content", F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")).alias("length"), *counted)
+
+
+def holding_any(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """Chunks in which some term occurs at all: no other can have a hit."""
+    return chunks.where(reduce(Column.__or__, [folded("content").contains(t) for t in terms], F.lit(False)))
 
 
-def bm25(counted: DataFrame, n_terms: int) -> DataFrame:
-    """Adds ``score``; document frequencies and the mean length come from all chunks, in one row."""
+def bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """Chunks with hits, their counts and ``score``; document frequencies and the mean length come from all chunks, in one row."""
+    n_terms = len(terms)
     tf = [F.col(f"tf{i}") for i in range(n_terms)]
-    totals = counted.agg(F.count("*").alias("__n"), F.avg("length").alias("__mean"), *[F.count_if(t > 0).alias(f"__df{i}") for i, t in enumerate(tf)])
+    totals = prefix_counts(chunks, terms).agg(F.count("*").alias("__n"), F.avg("length").alias("__mean"), *[F.count_if(t > 0).alias(f"__df{i}") for i, t in enumerate(tf)])
+    counted = prefix_counts(holding_any(chunks, terms), terms)
     parts = []
     for i, t in enumerate(tf):
         df = F.col(f"__df{i}")
@@ -51,7 +63,7 @@ def best_per_document(hits: DataFrame, order: list[Column]) -> DataFrame:
 def all_terms(chunks: DataFrame, question: str, most: int = 12) -> DataFrame:
     """Chunks with every term as a prefix: 20 plus BM25, best of each document."""
     terms = search_terms(question)
-    counted = bm25(prefix_counts(chunks, terms), len(terms))
+    counted = bm25(chunks, terms)
     every = reduce(Column.__and__, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
     hits = counted.where(every).select(DOC, "ordinal", (20 + F.col("score")).alias("score"))
     return best_per_document(hits, [F.desc("score"), F.asc("ordinal")]).orderBy(F.desc("score"), DOC).limit(most)
@@ -69,9 +81,9 @@ def free_text(chunks: DataFrame, question: str, most: int = 20) -> DataFrame:
     n = len(terms)
     least = n if n <= 2 else max(2, -(-n // 3))
     hit = [(F.col(f"tf{i}") > 0).cast("int") for i in range(n)]
-    counted = bm25(prefix_counts(chunks, terms), n)
+    counted = bm25(chunks, terms)
     matched = counted.withColumn("matched", reduce(Column.__add__, hit)).withColumn("specific", reduce(Column.__add__, [h * len(t) for h, t in zip(hit, terms)]))
-    whole = counted.groupBy(DOC).agg(reduce(Column.__add__, [F.max(h) for h in hit]).alias("doc_matched"))
+    whole = prefix_counts(holding_any(chunks, terms), terms).groupBy(DOC).agg(reduce(Column.__add__, [F.max(h) for h in hit]).alias("doc_matched"))
     rows = matched.where(F.col("matched") >= least).join(whole, DOC)
     score = 50 * F.col("matched") / n + 3 * F.col("specific") + F.least(F.length("content"), F.lit(1000)) / 100 + F.col("score") + 100 * F.col("doc_matched") / n
     scored = rows.select(DOC, "ordinal", F.xxhash64("content").alias("__text"), score.alias("score"))
@@ -124,7 +136,5 @@ def strict_exact(documents: DataFrame, values: DataFrame, chunks: DataFrame, phr
 
 def strict_structured(documents: DataFrame, values: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Documents that have all pairs of field and value, in one pass over the values: 120."""
-    hit = [(F.col("concept") == c) & (F.col("literal_value") == fold(v)) for c, v in pairs]
-    found = values.where(reduce(Column.__or__, hit)).groupBy(DOC).agg(*[F.max(h.cast("int")).alias(f"h{i}") for i, h in enumerate(hit)])
-    every = found.where(reduce(Column.__and__, [F.col(f"h{i}") == 1 for i in range(len(hit))]))
-    return documents.select(DOC).join(every.select(DOC), DOC, "left_semi").withColumn("score", F.lit(120))
+    every = meeting_all(values, [equals(c, v) for c, v in pairs])
+    return documents.select(DOC).join(every, DOC, "left_semi").withColumn("score", F.lit(120))
