@@ -25,7 +25,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, RangeReader, partitions, work_dir
+from .common import AtomicFile, RangeReader, discard, materialise, partitions, work_dir
 
 FRAME = 1 << 18
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # magic numbers of the public seekable format
@@ -140,8 +140,9 @@ def write_bundles(pages: DataFrame, out: str) -> DataFrame:
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"))
-    newest = rows.groupBy("digest").agg(F.max("page_id").alias("newest"))
-    linked = rows.join(newest, "digest").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
+    # Only digests that several pages have, as a table of its own: a join with a hot one can be split.
+    newest = materialise(rows.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("digest", "newest"), "newest")
+    linked = rows.join(newest, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
 
     def write(batches):
         import pyarrow as pa
@@ -161,6 +162,7 @@ def write_bundles(pages: DataFrame, out: str) -> DataFrame:
             bundle.close()
 
     linked.mapInArrow(write, INDEX).write.parquet(f"{out}/index")
+    discard(newest)
     return spark.read.schema(INDEX).parquet(f"{out}/index")
 
 
