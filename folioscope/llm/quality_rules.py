@@ -19,6 +19,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,16 +56,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def removed(text: Column, chars: str) -> Column:
-    """How many of ``chars`` the text has."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def count_of(text: Column, chars: str) -> Column:
+    """How many of ``chars`` the text has; runs of all others go at once."""
+    return F.length(F.regexp_replace(text, f"[^{re.escape(chars)}]+", ""))
 
 
 def repeat_words(words: Column) -> Column:
     """Words inside those 3-word windows that the text has twice or more."""
 
     def covered(hashes: Column) -> Column:
-        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def repeated(s: Column) -> Column:
             again = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
@@ -72,7 +73,7 @@ def repeat_words(words: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(ordered, repeated))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    windows = F.transform(F.slice(words, 1, F.size(words) - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(windows, covered)).cast("long")
 
 
@@ -85,7 +86,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "*",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        removed(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
     )
@@ -131,13 +132,14 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     counted = base_counts(docs)
     letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
     upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))
-    kinds = [upper, letters - upper, removed(text, "0123456789"), removed(text, " \t\n\x0b\f\r"), removed(text, PUNCTUATION), F.col("n_symbols").cast("int")]
+    spaces = F.length(text) - F.col("word_chars").cast("int")  # words hold all other characters
+    kinds = [upper, letters - upper, count_of(text, "0123456789"), spaces, count_of(text, PUNCTUATION), F.col("n_symbols").cast("int")]
     hits = F.transform(F.filter("words", lambda w: F.lower(w).isin(every) if every else F.lit(False)), F.lower)
     features = counted.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.length(text).alias("n_chars"), F.array(*kinds).alias("kinds"), hits.alias("hits"),
     ).join(F.broadcast(words), "lang", "left")
-    bins = F.transform("common", lambda w: F.size(F.filter("hits", lambda x: x == w)).cast("long"))
+    bins = F.transform("common", lambda w: (F.size("hits") - F.size(F.array_remove("hits", w))).cast("long"))
     known = F.aggregate("word_bins", F.lit(0).cast("long"), lambda s, x: s + x)
     inner = F.aggregate("kinds", F.lit(0), lambda s, x: s + x)
     features = (
