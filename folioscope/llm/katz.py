@@ -12,7 +12,12 @@ Layout. Words are 64-bit hashes. The unigram table (word, counts) comes first;
 the few words with a large share of all tokens (at most 1 / hot_share) are read
 from it. Then every (history, word, document) occurrence is dealt to the bucket
 of its word, packed into arrays without repeats; hot words are dealt by word
-*and* history. A bucket knows all counts of its words and evaluates its
+*and* history. The buckets come in ``rounds`` of equal shares of the hash
+range: a round deals and evaluates its share of all occurrences and frees its
+shuffle before the next, so that only one share is on disk at a time. Each
+round reads the documents again, and rows are told apart by their place; input
+that is not surely read alike each time (``stable``) is written first, and a
+document whose occurrences don't add up to its tokens is an error. A bucket knows all counts of its words and evaluates its
 occurrences; what depends on the whole corpus (N, V, the discounts) enters as
 separate sums and is applied afterwards. For unseen bigrams the history's
 weight is joined from the history table. Buckets' results are tables
@@ -51,8 +56,10 @@ class Parameters:
     delta: float = 0.05
     hot_share: float = 1 / 2000
     slice_bytes: int = 5 << 20
-    #: Buckets for each shuffle partition; a bucket's arrays are what a task holds at once.
-    buckets_each: int = 2
+    #: Shares of the hash range that are dealt one after the other.
+    rounds: int = 2
+    #: Buckets for each shuffle partition in a round; a bucket's arrays are what a task holds at once.
+    buckets_each: int = 1
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +77,13 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, at, END), np.insert(owner, at, np.arange(len(texts)))
 
 
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.empty(0, int)
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+
+
 def _sum_by(keys: np.ndarray, *columns: np.ndarray):
     """Distinct keys, sorted, and the columns' sums."""
     order = np.argsort(keys, kind="stable")
@@ -112,15 +126,15 @@ def unigrams(docs: DataFrame, how: Parameters) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("every").alias("every"))
 
 
-def deal(docs: DataFrame, hot: np.ndarray, buckets: int, how: Parameters) -> DataFrame:
-    """(bucket, blob) rows of all occurrences; ``docs`` has id, trains, text binary."""
+def deal(docs: DataFrame, hot: np.ndarray, buckets: int, turn: int, how: Parameters) -> DataFrame:
+    """(bucket, blob) rows of the occurrences of this turn's buckets, and in turn 0 of the documents; ``docs`` has id, trains, text binary."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        scale = U64((1 << 64) // buckets + 1)
+        scale = U64((1 << 64) // (buckets * how.rounds) + 1)
         for batch in batches:
             ids, every, trains = batch.column(0), [x or b"" for x in batch.column(1).to_pylist()], np.array(batch.column(2).to_pylist(), bool)
             for begin, end in slices([len(x) for x in every], how.slice_bytes):
@@ -131,13 +145,16 @@ def deal(docs: DataFrame, hot: np.ndarray, buckets: int, how: Parameters) -> Dat
                 history[1:] = words[:-1]
                 history[np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))] = BEGIN
                 route = np.where(np.isin(words, hot), mix(words ^ (history * U64(0x2545F4914F6CDD1D))), words) if len(hot) else words
-                by = np.lexsort((history, words, route))
-                words, history, route, owner = words[by], history[by], route[by], owner[by].astype(np.uint32)
-                new_pair = np.append(True, (words[1:] != words[:-1]) | (history[1:] != history[:-1]))
-                pairs = np.flatnonzero(new_pair)
-                new_word = np.append(True, words[pairs][1:] != words[pairs][:-1])
-                bucket = (route[pairs] // scale).astype(np.int64)
-                cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(pairs))
+                sizes = np.bincount(owner, minlength=end - begin)
+                place = (route // scale).astype(np.int64) - turn * buckets
+                mine = np.flatnonzero((place >= 0) & (place < buckets))
+                by = mine[np.lexsort((history[mine], words[mine], route[mine]))]
+                words, history, place, owner = words[by], history[by], place[by], owner[by].astype(np.uint32)
+                pairs = _firsts(words, history)
+                new_word = np.zeros(len(pairs), bool)
+                new_word[_firsts(words[pairs])] = True
+                bucket = place[pairs]
+                cuts = np.append(_firsts(bucket), len(pairs))
                 new_word[cuts[:-1]] = True
                 times = np.diff(np.append(pairs, len(words))).astype(np.uint32)
                 out_bucket, out_blob, narrow = [], [], (end - begin <= 1 << 16) << 63  # 16 bits tell documents apart
@@ -148,7 +165,10 @@ def deal(docs: DataFrame, hot: np.ndarray, buckets: int, how: Parameters) -> Dat
                     parts = [words[pairs[a:b]][firsts], history[pairs[a:b]], runs, times[a:b], own.astype(np.uint16) if narrow else own]
                     out_bucket.append(int(bucket[a]))
                     out_blob.append(struct.pack("<QIIII", row | narrow, n_train, len(runs), b - a, len(own)) + b"".join(x.tobytes() for x in parts))
-                sizes = np.bincount(owner, minlength=end - begin)
+                if turn:
+                    row += end - begin
+                    yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], names=["bucket", "blob"])
+                    continue
                 known = ids.slice(begin, end - begin).take(pa.array(order))
                 head = pa.RecordBatch.from_pydict({"row": pa.array(np.arange(row, row + end - begin), pa.int64()), "doc_id": known.cast(pa.int64()), "n": pa.array(sizes, pa.int64()), "trains": np.arange(end - begin) < n_train})
                 sink = pa.BufferOutputStream()
@@ -234,7 +254,7 @@ def _bucket(blobs: list[bytes], hot: np.ndarray, hot_counts: np.ndarray, how: Pa
     base = np.log10(c_of_pair + 1)
     sure = np.where(c_pair > 0, np.log10(np.where(c_pair > k, c_pair - how.delta, np.maximum(c_pair, 1))), 0.0)
     sure -= np.where((c_of_pair > 0) & (pair_w != END), np.log10(np.maximum(c_of_pair, 1)), 0.0)  # as the history of the next token
-    few = np.stack([add((c_pair == i).astype(np.int64)) for i in range(1, k + 1)], axis=1)
+    few = np.stack([*(add((c_pair == i).astype(np.int64)) for i in range(1, k + 1)), np.diff(np.append(at, len(d)))], axis=1)
     yield rows("score", len(at), key=d[at], n_known=add((c_of_pair > 0).astype(np.int64)), base=add(base), sure=add(sure), counts=lists(few))
 
     # Unseen bigrams of each document.
@@ -284,10 +304,17 @@ def discounts(n: list[int]) -> list[float]:
     return out
 
 
-def score(docs: DataFrame, how: Parameters = Parameters(), keep_bigrams: bool = False, out: str | None = None) -> DataFrame:
-    """Scores each row of ``docs`` (id, text, trains): learns from rows that train."""
+def score(docs: DataFrame, how: Parameters = Parameters(), keep_bigrams: bool = False, out: str | None = None, stable: bool = False) -> DataFrame:
+    """Scores each row of ``docs`` (id, text, trains): learns from rows that train.
+
+    ``stable`` says that ``docs`` gives the same rows in the same order and
+    partitions whenever it is read, as a plain scan of files does; otherwise it
+    is written first.
+    """
     spark = docs.sparkSession
     docs = docs.select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "trains")
+    if not stable:
+        docs = materialise(docs, "katz-documents")
     words = materialise(unigrams(docs, how), "unigrams")
     release(spark)
     totals = words.agg(F.sum("trained"), F.count(F.when(F.col("trained") > 0, 1)), F.sum("every")).first()
@@ -309,16 +336,17 @@ def score(docs: DataFrame, how: Parameters = Parameters(), keep_bigrams: bool =
         yield from _bucket(blobs, hot, hot_counts, how, keep_bigrams)
 
     path = out or work_dir(spark, "katz")
-    dealt = deal(docs, hot, buckets, how).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    result = dealt.mapInArrow(evaluate, RESULT)
     writers, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
     spark.conf.set(writers, "8")  # a file for each kind is open at once: no sort of all rows by kind
     try:
-        result.write.partitionBy("kind").parquet(path)
+        for turn in range(how.rounds):
+            dealt = deal(docs, hot, buckets, turn, how).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+            result = dealt.mapInArrow(evaluate, RESULT)
+            result.write.mode("append").partitionBy("kind").parquet(path)
+            del dealt, result
+            release(spark)
     finally:
         spark.conf.set(writers, before)
-    del dealt, result
-    release(spark)
     schema = spark.createDataFrame([], RESULT.replace("kind string, ", "") + ", kind string").schema
     table = spark.read.schema(schema).parquet(path)
 
@@ -342,15 +370,16 @@ def score(docs: DataFrame, how: Parameters = Parameters(), keep_bigrams: bool =
     backed = unseen.select("key", (F.col("base") - F.col("n") * math.log10(whole) + F.col("n") * F.coalesce(weight, F.lit(0.0))).alias("sure"))
 
     zero = F.lit(None)
-    scored = table.where("kind = 'score'").select("key", zero.cast("long").alias("doc_id"), zero.cast("boolean").alias("trains"), zero.cast("long").alias("n"), "n_known", "base", (sum((c[i] * math.log10(d[i]) for i in range(k)), F.col("sure"))).alias("sure"))
-    listed = table.where("kind = 'document'").select("key", "doc_id", "trains", "n", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.lit(-math.log10(train_docs) if train_docs else 0.0).alias("sure"))
-    backed = backed.select("key", zero.cast("long").alias("doc_id"), zero.cast("boolean").alias("trains"), zero.cast("long").alias("n"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "sure")
-    summed = listed.unionByName(scored).unionByName(backed).groupBy("key").agg(F.max("doc_id").alias("id"), F.max("trains").alias("trains"), F.max("n").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("sure").alias("score"))
-    return summed.select("id", "trains", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(whole)).alias("base_score"), "score")
+    scored = table.where("kind = 'score'").select("key", zero.cast("long").alias("doc_id"), zero.cast("boolean").alias("trains"), zero.cast("long").alias("n"), "n_known", "base", (sum((c[i] * math.log10(d[i]) for i in range(k)), F.col("sure"))).alias("sure"), c[k].alias("evaluated"))
+    listed = table.where("kind = 'document'").select("key", "doc_id", "trains", "n", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.lit(-math.log10(train_docs) if train_docs else 0.0).alias("sure"), F.lit(0).cast("long").alias("evaluated"))
+    backed = backed.select("key", zero.cast("long").alias("doc_id"), zero.cast("boolean").alias("trains"), zero.cast("long").alias("n"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "sure", F.lit(0).cast("long").alias("evaluated"))
+    summed = listed.unionByName(scored).unionByName(backed).groupBy("key").agg(F.max("doc_id").alias("id"), F.max("trains").alias("trains"), F.max("n").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("sure").alias("score"), F.sum("evaluated").alias("evaluated"))
+    whole_text = F.when(F.col("evaluated") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("the documents were not read alike in each round")).cast("long"))
+    return summed.select("id", "trains", whole_text.alias("n_tokens"), "n_known", F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(whole)).alias("base_score"), "score")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    scored = score(docs.select(F.col("doc_id").alias("id"), "text", (~held_out).alias("trains")))
+    scored = score(docs.select(F.col("doc_id").alias("id"), "text", (~held_out).alias("trains")), stable=True)
     return scored.select(F.col("id").alias("doc_id"), (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -6,7 +7,17 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm.katz import Parameters, discounts, op3, score
+from folioscope.llm.katz import Parameters, op3, score
+
+
+def discounts(n):
+    """Good-Turing by its formula, n[0] being the number of bigrams that occur once; half an occurrence off where that gives no share."""
+    cut = (len(n) * n[-1] / n[0]) if n[0] else 1
+    found = []
+    for r, (here, above) in enumerate(zip(n, n[1:]), 1):
+        ratio = ((r + 1) * above / here / r - cut) / (1 - cut) if here and cut < 1 else 0
+        found.append(ratio if 0 < ratio < 1 else 1 - 0.5 / r)
+    return found
 
 
 class Brute:
@@ -71,6 +82,24 @@ def test_against_brute_force(spark, share):
         assert r.score == pytest.approx(s, abs=1e-6) and r.base_score == pytest.approx(b, abs=1e-6)
 
 
+@pytest.mark.parametrize("rounds, each", [(1, 1), (1, 3), (5, 2)])
+def test_rounds_do_not_matter(spark, rounds, each):
+    rows = [(i, t, i % 3 != 2) for i, t in enumerate(TEXTS * 3)]
+    docs = spark.createDataFrame(rows, "id long, text string, trains boolean")
+    few = {r.id: r for r in score(docs, Parameters(rounds=rounds, buckets_each=each, slice_bytes=100)).collect()}
+    for r in score(docs).collect():
+        assert (few[r.id].n_tokens, few[r.id].n_known) == (r.n_tokens, r.n_known)
+        assert few[r.id].score == pytest.approx(r.score, abs=1e-9) and few[r.id].base_score == pytest.approx(r.base_score, abs=1e-9)
+
+
+def test_rows_that_move_between_rounds_are_an_error(spark):
+    other = F.udf(lambda i: " ".join(random.choice("abcdefgh") for _ in range(random.randrange(1, 200))), "string").asNondeterministic()
+    docs = spark.range(40).select("id", other("id").alias("text"), F.lit(True).alias("trains"))
+    assert score(docs).count() == 40
+    with pytest.raises(Exception, match="read alike"):
+        score(docs, stable=True).collect()
+
+
 def test_probabilities_sum_to_one():
     model = Brute([t for t in TEXTS if t])
     for h in ["<s>", "the", "a", "xx", "cat"]:
