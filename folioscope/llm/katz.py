@@ -31,9 +31,9 @@ training set gives scores of the unknown word. Other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import math
 import struct
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -283,10 +283,21 @@ def _bucket(blobs: list[bytes], hot: np.ndarray, hot_counts: np.ndarray, how: Pa
             yield rows("bigram", len(seen), key=pair_w[seen].view(np.int64), history=pair_h[seen].view(np.int64), n=c_pair[seen])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles that are done with; results don't depend on it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: While tables are written: a shuffle's files go when its write is complete, and a file for each kind is open at once, so that rows need no sort by kind.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for the time of the block; results don't depend on them."""
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -315,8 +326,8 @@ def score(docs: DataFrame, how: Parameters = Parameters(), keep_bigrams: bool =
     docs = docs.select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "trains")
     if not stable:
         docs = materialise(docs, "katz-documents")
-    words = materialise(unigrams(docs, how), "unigrams")
-    release(spark)
+    with settings(spark, WRITING):
+        words = materialise(unigrams(docs, how), "unigrams")
     totals = words.agg(F.sum("trained"), F.count(F.when(F.col("trained") > 0, 1)), F.sum("every")).first()
     n_train, n_types, n_all = (int(x or 0) for x in totals)
     top = words.where(F.col("every") > how.hot_share * n_all).select("word", "trained").collect()  # at most 1 / hot_share
@@ -336,17 +347,10 @@ def score(docs: DataFrame, how: Parameters = Parameters(), keep_bigrams: bool =
         yield from _bucket(blobs, hot, hot_counts, how, keep_bigrams)
 
     path = out or work_dir(spark, "katz")
-    writers, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
-    spark.conf.set(writers, "8")  # a file for each kind is open at once: no sort of all rows by kind
-    try:
+    with settings(spark, WRITING):
         for turn in range(how.rounds):
             dealt = deal(docs, hot, buckets, turn, how).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-            result = dealt.mapInArrow(evaluate, RESULT)
-            result.write.mode("append").partitionBy("kind").parquet(path)
-            del dealt, result
-            release(spark)
-    finally:
-        spark.conf.set(writers, before)
+            dealt.mapInArrow(evaluate, RESULT).write.mode("append").partitionBy("kind").parquet(path)
     schema = spark.createDataFrame([], RESULT.replace("kind string, ", "") + ", kind string").schema
     table = spark.read.schema(schema).parquet(path)
 
