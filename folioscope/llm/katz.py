@@ -57,7 +57,7 @@ class Parameters:
     hot_share: float = 1 / 2000
     slice_bytes: int = 5 << 20
     #: Shares of the hash range that are dealt one after the other.
-    rounds: int = 2
+    rounds: int = 3
     #: Buckets for each shuffle partition in a round; a bucket's arrays are what a task holds at once.
     buckets_each: int = 1
 
@@ -69,7 +69,10 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     begin, end = edges[::2], edges[1::2]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + U64(1)) * _table("power", len(data))[: len(data)], out=sums[1:])
+    sums[1:] = LOWER[data]
+    sums[1:] += U64(1)
+    sums[1:] *= _table("power", len(data))[: len(data)]
+    np.cumsum(sums, out=sums)
     hashes = mix((sums[end] - sums[begin]) * _table("inverse", len(data) + 1)[begin] + (end - begin).astype(np.uint64))
     stops = np.cumsum([len(x) + 1 for x in texts])  # the end token of each text follows its words
     owner = np.searchsorted(stops, begin, side="right")
@@ -283,8 +286,13 @@ def _bucket(blobs: list[bytes], hot: np.ndarray, hot_counts: np.ndarray, how: Pa
             yield rows("bigram", len(seen), key=pair_w[seen].view(np.int64), history=pair_h[seen].view(np.int64), n=c_pair[seen])
 
 
-#: While tables are written: a shuffle's files go when its write is complete, and a file for each kind is open at once, so that rows need no sort by kind.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+#: While tables are written: a shuffle's files go when its write is complete, a file for each kind is open at once, so that
+#: rows need no sort by kind, and no Arrow batch holds much more than these bytes.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
 
 
 @contextmanager
@@ -337,6 +345,9 @@ def score(docs: DataFrame, how: Parameters = Parameters(), keep_bigrams: bool =
     buckets = how.buckets_each * partitions(spark)
 
     def evaluate(batches):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())  # gives back what a bucket no longer needs
         open_bucket, blobs = None, []
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
