@@ -48,6 +48,7 @@ SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+BLOCK = 1 << 20  # bytes that are hashed at a time
 
 
 @dataclass(frozen=True)
@@ -68,12 +69,17 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = ~SPACES[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     begin, end = edges[::2], edges[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    sums[1:] = LOWER[data]
-    sums[1:] += U64(1)
-    sums[1:] *= _table("power", len(data))[: len(data)]
-    np.cumsum(sums, out=sums)
-    hashes = mix((sums[end] - sums[begin]) * _table("inverse", len(data) + 1)[begin] + (end - begin).astype(np.uint64))
+    hashes = np.empty(len(begin), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(data), BLOCK)), len(begin)))
+    for a, b in zip(cuts[:-1], cuts[1:]):  # whole words, so that a block is as long as BLOCK and one word at most
+        at, size = begin[a], end[b - 1] - begin[a]
+        sums = np.zeros(size + 1, np.uint64)
+        sums[1:] = LOWER[data[at : at + size]]
+        sums[1:] += U64(1)
+        sums[1:] *= _table("power", size)[:size]
+        np.cumsum(sums, out=sums)
+        first, last = begin[a:b] - at, end[a:b] - at
+        hashes[a:b] = mix((sums[last] - sums[first]) * _table("inverse", size + 1)[first] + (last - first).astype(np.uint64))
     stops = np.cumsum([len(x) + 1 for x in texts])  # the end token of each text follows its words
     owner = np.searchsorted(stops, begin, side="right")
     at = np.searchsorted(owner, np.arange(len(texts)), side="right")

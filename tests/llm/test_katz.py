@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.llm import katz
 from folioscope.llm.katz import Parameters, op3, score
 
 
@@ -100,6 +101,15 @@ def test_rows_that_move_between_rounds_are_an_error(spark):
         score(docs, stable=True).collect()
 
 
+def test_blocks_do_not_matter(monkeypatch):
+    texts = [(t or "").encode() for t in TEXTS] * 2
+    want = katz.tokens(texts)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(katz, "BLOCK", size)
+        assert all((a == b).all() for a, b in zip(katz.tokens(texts), want))
+    assert katz.tokens([])[0].size == 0 and katz.tokens([b"", b" "])[0].tolist() == [int(katz.END)] * 2
+
+
 def test_probabilities_sum_to_one():
     model = Brute([t for t in TEXTS if t])
     for h in ["<s>", "the", "a", "xx", "cat"]:
