@@ -61,6 +61,14 @@ def temporary(spark: SparkSession):
             remove(spark, uri)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores after it until no column has it, whatever its case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, fresh, materialise
 from .ngram_join import identity
 
 # Titles by the gender that they state, and given names by gender and script.
@@ -357,7 +357,8 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
             spans = pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])))
             yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in spans], pa.int32()), spans], names=[*columns, *outputs])
 
-    joined = looked.withColumn("__id", identity()).join(of_doc, F.col("__id") == of_doc["id"], "left").select(*[looked[c] for c in columns], "__map")
+    own = fresh("__id", columns)
+    joined = looked.withColumn(own, identity()).join(of_doc, F.col(own) == of_doc["id"], "left").select(*[looked[c] for c in columns], of_doc["__map"])
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"n_entities int, spans {SPANS}"])
     passed = docs.where(~hinted).select("*", F.lit(0).alias("n_entities"), F.from_json(F.lit("[]"), SPANS).alias("spans"))
     return joined.mapInArrow(apply, ddl).unionByName(passed)
