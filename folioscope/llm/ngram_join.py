@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, partitions, slices
+from .common import discard, fresh, materialise, partitions, slices
 from .graph import components
 
 U64 = np.uint64
@@ -390,10 +390,11 @@ def join(docs: DataFrame, how: Parameters = Parameters()) -> DataFrame:
 
 def one_of_each(docs: DataFrame, how: Parameters = Parameters()) -> DataFrame:
     """One row of ``docs`` for each class: of its smallest doc_id, and of several texts or rows of that just one."""
-    kept = _joined(docs, how).withColumnRenamed("doc_id", "id").groupBy("class_node").agg(first_of("text_hash").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.text_hash").alias("__text_hash"))
-    rows = docs.withColumns({"__id": identity(), "__text_hash": text_hash()}).join(kept, ["__id", "__text_hash"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("__id", "__text_hash").orderBy("__id"))
-    return rows.withColumn("__place", place).where("__place = 1").select(*docs.columns)
+    own, own_hash, place = (fresh(c, docs.columns) for c in ("__id", "__text_hash", "__place"))
+    kept = _joined(docs, how).withColumnRenamed("doc_id", "id").groupBy("class_node").agg(first_of("text_hash").alias("k")).select(F.col("k.id").alias(own), F.col("k.text_hash").alias(own_hash))
+    rows = docs.withColumns({own: identity(), own_hash: text_hash()}).join(kept, [own, own_hash], "left_semi")
+    number = F.row_number().over(Window.partitionBy(own, own_hash).orderBy(own))
+    return rows.withColumn(place, number).where(F.col(place) == 1).select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
