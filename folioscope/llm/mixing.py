@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 NONE = "-"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -104,8 +104,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], how: Parameters = Parameters
     leaves = narrow.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
     dealt = materialise(budgets(leaves, names, how).select(*names, "tokens", "budget", F.expr("case when tokens > 0 then budget div tokens else 0 end").alias("whole")), "mix-budgets")
 
-    draw = F.md5(F.concat_ws("|", F.lit(str(how.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    drawn = narrow.join(dealt, names).where("tokens > 0").select(*names, "n_tokens", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("rest"), draw.alias("draw"))
+    def draw_of(whole: str) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(str(how.seed)), F.col(whole).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+    drawn = narrow.join(dealt, names).where("tokens > 0").select(*names, "n_tokens", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("rest"), draw_of("whole").alias("draw"))
     drawn = drawn.withColumn("bucket", F.substring("draw", 1, HEX))
     per_bucket = drawn.groupBy(*names, "bucket", "rest").agg(F.sum("n_tokens").alias("n"))
     running = Window.partitionBy(*names).orderBy("bucket")
@@ -122,9 +124,12 @@ def mix(docs: DataFrame, levels: dict[str, Column], how: Parameters = Parameters
     # Before the end's bucket all are taken; within it, those up to the last one that fits.
     cuts = dealt.join(ends, names, "left").join(last, names, "left").select(*names, "whole", "bucket", "last", (F.col("tokens") > 0).alias("some"))
     cuts = materialise(cuts, "mix-cuts")
-    taken = F.when(F.col("bucket").isNull(), False).when(F.substring(draw, 1, HEX) < F.col("bucket"), True).otherwise(F.coalesce(draw <= F.col("last"), F.lit(False)))
-    epochs = F.when(F.col("some"), F.col("whole") + taken.cast("long")).otherwise(F.lit(0).cast("long"))
-    return labelled.join(cuts, names).select(*[labelled[c] for c in labelled.columns if c != "epochs"], epochs.alias("epochs"))
+    whole, bucket, end, some = (fresh(c, labelled.columns) for c in ("whole", "bucket", "last", "some"))
+    cuts = cuts.withColumnsRenamed({"whole": whole, "bucket": bucket, "last": end, "some": some})
+    draw = draw_of(whole)
+    taken = F.when(F.col(bucket).isNull(), False).when(F.substring(draw, 1, HEX) < F.col(bucket), True).otherwise(F.coalesce(draw <= F.col(end), F.lit(False)))
+    epochs = F.when(F.col(some), F.col(whole) + taken.cast("long")).otherwise(F.lit(0).cast("long"))
+    return labelled.join(cuts, names).select(*[labelled[c] for c in labelled.columns if c.lower() != "epochs"], epochs.alias("epochs"))
 
 
 def domain_of(source: Column) -> Column:
