@@ -56,6 +56,7 @@ class Engine:
     def __init__(self, corpus: Corpus, today: Callable[[], date] = date.today):
         self.corpus, self.today = corpus, today
         self.memories: OrderedDict[str, Memory] = OrderedDict()
+        self.aliases: dict[str, str] = {}
         self._fields: list[tuple[str, str]] | None = None
 
     # ---- what the index knows
@@ -70,6 +71,28 @@ class Engine:
     def names(self, *kinds: str) -> list[str]:
         return [n for n, k in self.fields() if not kinds or k in kinds]
 
+    def alias(self, name: str, concept: str | None) -> None:
+        """Another name of a field; None rejects the name."""
+        if concept is None:
+            self.aliases.pop(fold(name), None)
+        elif concept not in self.names():
+            raise ValueError(f"no field {concept}")
+        else:
+            self.aliases[fold(name)] = concept
+
+    def _canonical(self, question: str) -> str:
+        """The question with whole names that are aliases, the longest first, put as their fields; quotes stay as they are."""
+        if not self.aliases:
+            return question
+        names = "|".join(re.escape(a) for a in sorted(self.aliases, key=lambda a: (-len(a), a)))
+        parts = re.split(r'(["«“][^"»”]*["»”])', question)
+        for i in range(0, len(parts), 2):
+            low = fold(parts[i])
+            if len(low) == len(parts[i]):  # folding kept every place
+                for m in reversed([*re.finditer(rf"(?<!\w)(?:{names})(?!\w)", low)]):
+                    parts[i] = parts[i][: m.start()] + self.aliases[m[0]] + parts[i][m.end() :]
+        return "".join(parts)
+
     def search(self, text: str, most: int = 12) -> DataFrame:
         """Documents with a score, by the first path that finds any: file name, identifier, quote, written pairs, blended text."""
         c, tokens = self.corpus, exact_tokens(text)
@@ -111,13 +134,13 @@ class Engine:
             original, options = memory.pending
             memory.pending = None
             if set(exact(question).split()) & {"todos", "todas", "ambos", "ambas"} and len(question.split()) <= 4:
-                each = [self._answer(f"{original} {o}", memory) for o in options]
+                each = [self._answer(self._canonical(f"{original} {o}"), memory) for o in options]
                 return Answer("\n".join(f"{o}: {a.text}" for o, a in zip(options, each)), all(a.verified for a in each), notices=[n for a in each for n in a.notices])
             said = exact(question)  # a short reply that names an option; anything longer is a new question
             chosen = next((o for o in options if f" {exact(o)} " in f" {said} " and len(said.split()) <= len(o.split()) + 3), None)
             if chosen:
                 question = f"{original} {chosen}"
-        answer = self._answer(question, memory)
+        answer = self._answer(self._canonical(question), memory)
         if answer.reason and answer.options:
             memory.pending = (question, answer.options)
         if answer.citations:
@@ -309,6 +332,15 @@ class Engine:
             return self._table(table, f"{TITLES[operation]} de {concept} por {group}", "grp")
         table = agg.aggregate(values, documents, concept, operation, named_currency(question))
         found = table.orderBy("currency").collect()
+        if found[0].value is None and operation != "count":
+            kind = dict(self.fields()).get(concept)
+            table = agg.compute_category(values, documents, kind, operation) if kind in NUMERIC else None
+            by_kind = [] if table is None else [r for r in table.orderBy("currency").collect() if r.value is not None]
+            if by_kind:  # the only value of the kind in each document stands in for the field that none has
+                lines = [f"{TITLES[operation]} de los datos de tipo {kind}: {render_money(r.value, r.currency)}" for r in by_kind]
+                r = by_kind[0]
+                notice = f"Ningún documento del alcance ({r.n_scope:,}) tiene {concept}; calculados {r.n_calculated:,}, con varios datos {r.n_several:,}, sin dato {r.n_none:,}"
+                return Answer("\n".join(lines), rows=table, notices=[notice])
         if found[0].value is None:
             return Answer(f"Ningún documento del alcance ({found[0].n_scope:,}) tiene {concept}.", rows=table)
         lines = [f"{TITLES[operation]} de {concept}: {render_money(r.value, r.currency)}" for r in found]

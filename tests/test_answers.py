@@ -142,7 +142,7 @@ def small(spark):
     for i, (state, amount, cur) in enumerate([("Vencida", "1000", "MXN"), ("Pagada", "500", "MXN"), ("Vencida", "70", "USD")], 1):
         rows += [value(i, "Folio", f"FAC-{i}"), value(i, "Estado", state, "state"), value(i, "Importe", amount, "money", amount, cur), value(i, "Fecha de emisión", f"2024-0{i}-01", "date", day=date(2024, i, 1)), value(i, "Firmada", "Sí" if i == 1 else "No")]
     rows += [value(1, "Pieza", "tornillo", scope="fila 2"), value(1, "Peso", "3", "number", "3", scope="fila 2"), value(1, "Pieza", "tuerca", scope="fila 3"), value(1, "Peso", "8", "number", "8", scope="fila 3")]
-    rows += [value(2, "Entrada", "10", "number", "10"), value(2, "Salida", "4", "number", "4"), value(3, "Vence", "2024-05-05", "date", day=date(2024, 5, 5))]
+    rows += [value(2, "Entrada", "10", "number", "10"), value(2, "Salida", "4", "number", "4"), value(3, "Vence", "2024-05-05", "date", day=date(2024, 5, 5)), value(3, "Cajas", "6", "number", "6")]
     documents = spark.createDataFrame([(i, f"02_reportes/{i}.md" if i < 3 else "legal/3.md", f"{i}.md", "02_reportes" if i < 3 else "legal", "md", "h" if i < 3 else "k", "not_required", None, "pdf" if i == 3 else None) for i in (1, 2, 3)], DOCUMENTS)
     chunks = spark.createDataFrame([(i, 0, f"texto sobre contrato número {i}") for i in (1, 2, 3)], "document_id long, ordinal int, content string")
     unindexed = spark.createDataFrame([], "path string, origin string, extension string, reason string")
@@ -222,3 +222,22 @@ def test_index_life_cycle(spark, tmp_path):
     assert index.recover(spark, root) == ("v1", ["v2"]) and index.versions(spark, root)[0] == "v1"
     index.revoke(spark, root, str(folder))
     assert index.authorised_folders(spark, root) == []
+
+
+def test_kind_stands_in_for_a_field_that_the_scope_lacks(small):
+    a = small.ask("¿Cuánto suma la entrada con estado Pagada?")
+    assert "10.00" in a.text and a.verified
+    b = small.ask("¿Cuánto suma la entrada con estado Vencida?")
+    assert b.text == "Suma de los datos de tipo number: 6.00" and not b.verified
+    assert b.notices[0] == "Ningún documento del alcance (2) tiene Entrada; calculados 1, con varios datos 1, sin dato 0"
+
+
+def test_aliases(small):
+    with pytest.raises(ValueError):
+        small.alias("cuantía", "Nada")
+    assert small._canonical("la cuantía") == "la cuantía"
+    small.alias("Cuantía", "Importe")
+    assert small._canonical("¿Cuánto suma la cuantía de «cuantía»? cuantías") == "¿Cuánto suma la Importe de «cuantía»? cuantías"
+    assert small.ask("¿Cuánto suma la cuantía?").text == small.ask("¿Cuánto suma el importe?").text
+    small.alias("cuantia", None)
+    assert small.aliases == {}
