@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, katz, language_id, media_store, mixing, ngram_join, pii, quality_rules, token_files, warc_bundles
+from . import bpe, centroids, itemsets, katz, language_id, media_store, mixing, ngram_join, pii, quality_rules, token_files, top_k, warc_bundles
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_bpe": bpe.op8,
         "op9_ngram_join": ngram_join.op9,
         "op10_mixing": mixing.op10,
+        "op11_top_k": top_k.op11,
+        "op12_centroids": centroids.op12,
+        "op13_itemsets": itemsets.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.oracle(), "op10_mixing": mixing.SQL}
+    return {"op4_quality_rules": quality_rules.oracle(), "op10_mixing": mixing.SQL, "op11_top_k": top_k.SQL, "op12_centroids": centroids.SQL}
