@@ -18,13 +18,8 @@ from pyspark.sql import types as T
 # Words that carry no meaning in a label.
 STOPWORDS = ["de", "del", "la", "las", "el", "los", "un", "una", "y", "e", "en", "por", "para", "con", "sin", "al", "a", "que"]
 
-# Endings of number and gender, with the letters that a word must keep before them.
-# `ces` becomes `z` after 4 letters; `es`, `s`, `o`, `a` go after 5; a last `s` goes after 4, and all that goes of `es` after 4 is its `s`.
-ROOT_RULES = [
-    (r"^(.{5,}?)(?:(?<!c)es|(?<!e)s|[oa])*$", 1, ""),
-    (r"^(.{4,})ces$", 1, "z"),
-    (r"^(.{4}e?)s$", 1, ""),
-]
+# Endings of number, then of gender: what goes, what takes its place, and the letters that a word needs to lose it.
+ENDINGS = [[("ces", "z", 7), ("es", "", 7), ("s", "", 5)], [("o", "", 6), ("a", "", 6)]]
 
 _ACCENTED = "".join(chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore")) == 1)
 _PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED)
@@ -48,10 +43,14 @@ def exact(text: str) -> str:
 
 
 def root(word: str) -> str:
-    """The word without its endings of number and gender: all stacked endings go at once."""
-    for pattern, group, added in ROOT_RULES:
-        found = re.match(pattern, word)
-        word = found[group] + added if found else word
+    """The word without its endings of number and gender, however many are stacked: `intereses` and `interés` are `inter`."""
+    seen = None
+    while seen != word:
+        seen = word
+        for kind in ENDINGS:
+            fits = [(gone, put) for gone, put, least in kind if len(word) >= least and word.endswith(gone)]
+            if fits:
+                word = word.removesuffix(fits[0][0]) + fits[0][1]
     return word
 
 
@@ -59,22 +58,24 @@ def roots(text: str) -> str:
     return " ".join(map(root, exact(text).split()))
 
 
-def _meaning(text: str, least: int) -> list[str]:
-    return [r for r in roots(text).split() if len(r) >= least and r not in STOPWORDS]
+def content_roots(text: str) -> list[str]:
+    """Roots of the words that carry meaning."""
+    return [r for r in roots(text).split() if r not in STOPWORDS]
 
 
 def canonical_key(label: str) -> str:
-    """Roots of a label joined by _, without words that carry no meaning unless it has no others."""
-    return "_".join(_meaning(label, 1)) or roots(label).replace(" ", "_")
+    """One key for all spellings of a field: `Montos totales` and `MONTO TOTAL` are `monto_total`."""
+    return "_".join(content_roots(label) or roots(label).split())
 
 
 def search_terms(text: str) -> list[str]:
-    return _meaning(text, 2)
+    return [r for r in content_roots(text) if len(r) > 1]
 
 
 def stems_match(a: str, b: str) -> bool:
-    """Equal, or one is the other and one letter more, from five letters on."""
-    return a == b or any(len(y) >= 5 and x[:-1] == y for x, y in ((a, b), (b, a)))
+    """Equal roots, or of five letters and more with one letter more at the end of one: a final e may or may not belong to it."""
+    short, long = sorted((a, b), key=len)
+    return a == b or (len(short) >= 5 and short == long[:-1])
 
 
 def identifier(text: str) -> str | None:
@@ -122,25 +123,25 @@ def exactly(x) -> Column:
 
 
 def root_of(word: Column) -> Column:
-    """As ``root``, in the JVM."""
-    for pattern, group, added in ROOT_RULES:
-        word = F.regexp_replace(word, pattern, f"${group}{added}")
-    return word
-
+    """As ``root``, in the JVM: a round for each letter is enough, as a round that changes anything takes one."""
 
-@F.pandas_udf(T.StringType())
-def roots_of(values: pd.Series) -> pd.Series:
-    return values.map(roots, na_action="ignore")
+    def shorter(w: Column) -> Column:
+        for kind in ENDINGS:
+            out = w
+            for gone, put, least in reversed(kind):
+                fits = (F.length(w) >= least) & w.endswith(gone)
+                out = F.when(fits, F.concat(F.substring(w, F.lit(1), F.length(w) - len(gone)), F.lit(put))).otherwise(out)
+            w = out
+        return w
 
-
-@F.pandas_udf(T.StringType())
-def key_of(values: pd.Series) -> pd.Series:
-    return values.map(canonical_key, na_action="ignore")
+    return F.reduce(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), word, lambda w, _: shorter(w))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def terms_of(values: pd.Series) -> pd.Series:
-    return values.map(search_terms, na_action="ignore")
+def canonical_key_of(x) -> Column:
+    """As ``canonical_key``, in the JVM."""
+    every = F.transform(words(x), root_of)
+    telling = F.filter(every, lambda w: ~w.isin(*STOPWORDS))
+    return F.array_join(F.when(F.size(telling) > 0, telling).otherwise(every), "_")
 
 
 def identifier_of(x) -> Column:

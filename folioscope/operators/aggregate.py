@@ -59,24 +59,18 @@ def aggregate(values: DataFrame, scope: DataFrame, concept: str, op: str = "sum"
 
 
 def labelled(rows: DataFrame, labels: DataFrame, name: str = "grp") -> DataFrame:
-    """Each operand with its group labels.
+    """Each operand with its group labels: once with each different label that is its own, or with NO_LABEL.
 
-    An operand of a record takes the label of that same record; one without a
-    record, or whose record has no such field, takes the document's labels
-    outside of records, each once; none: NO_LABEL.
+    An operand of a record has the labels of that same record and no others; an
+    operand outside of records has all labels of its document.
     """
-    own = labels.select(F.col(DOC).alias("__doc"), F.col("record_scope").alias("__scope"), F.col("text_value").alias("__label")).distinct()
-    in_record = own.where("__scope is not null")
-    of_document = own.where("__scope is null").select(F.col("__doc").alias("__owner"), F.col("__label").alias("__whole"))
-    joined = rows.join(in_record, (F.col(DOC) == F.col("__doc")) & (F.col("record_scope") == F.col("__scope")), "left")
-    joined = joined.join(of_document, F.col(DOC) == F.col("__owner"), "left")
-    return joined.withColumn(name, F.coalesce("__label", "__whole", F.lit(NO_LABEL))).drop("__doc", "__scope", "__label", "__owner", "__whole")
-
-
-def single_valued(values: DataFrame, kinds=NUMERIC) -> DataFrame:
-    """Values of these kinds from documents that have exactly one."""
-    each = Window.partitionBy(DOC)
-    return values.where(F.col("value_type").isin(*kinds)).withColumn("__n", F.count("*").over(each)).where("__n = 1").drop("__n")
+    own = labels.select(F.col(DOC).alias("__doc"), F.col("record_scope").alias("__scope"), F.col("text_value").alias(name))
+    in_record = own.where("__scope is not null").distinct()
+    of_document = own.select("__doc", name).distinct()
+    same = F.col(DOC) == F.col("__doc")
+    tabular = rows.where("record_scope is not null").join(in_record, same & (F.col("record_scope") == F.col("__scope")), "left").drop("__doc", "__scope")
+    others = rows.where("record_scope is null").join(of_document, same, "left").drop("__doc")
+    return tabular.unionByName(others).withColumn(name, F.coalesce(name, F.lit(NO_LABEL)))
 
 
 def compute_category(values: DataFrame, scope: DataFrame, kind: str, op: str = "sum") -> DataFrame:
@@ -87,9 +81,14 @@ def compute_category(values: DataFrame, scope: DataFrame, kind: str, op: str = "
     return account.join(F.broadcast(compute(seen.where("n = 1"), op)), F.lit(True), "left")  # the account is one row and stays
 
 
+def record_number(scope: str = "record_scope") -> Column:
+    """The number in a record's name, by which records are in order: `fila 10` comes after `fila 2`."""
+    return F.regexp_extract(scope, r"\d+", 0).try_cast("long")
+
+
 def first_value(values: DataFrame, concept: str) -> DataFrame:
-    """The first value of a field in each document."""
-    order = F.struct("ordinal", "record_scope", "text_value")
+    """The first value of a field in each document; records by number."""
+    order = F.struct("ordinal", record_number(), "record_scope", "text_value")
     return values.where(F.col("concept") == concept).groupBy(DOC).agg(F.min_by(F.struct("numeric", "currency", "value_type", "reliable"), order).alias("__v")).select(DOC, "__v.*")
 
 

@@ -92,11 +92,12 @@ def free_text(chunks: DataFrame, question: str, most: int = 20) -> DataFrame:
     return best.withColumn("__k", F.row_number().over(once)).where("__k = 1").select(DOC, "ordinal", "score").orderBy(F.desc("score"), DOC).limit(most)
 
 
-def best_line(chunk: DataFrame, terms: list[str]) -> DataFrame:
+def best_line(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """The line of each chunk with most matched terms, the last one on a tie."""
-    lines = chunk.select(DOC, F.posexplode(F.split("content", "\n")).alias("line", "text"))
+    lines = chunks.select(DOC, "ordinal", F.posexplode(F.split("content", "\n")).alias("line", "text"))
     score = reduce(Column.__add__, [F.exists(words("text"), begins(t)).cast("int") for t in terms])
-    return lines.withColumn("n_terms", score).groupBy(DOC).agg(F.max_by(F.struct("line", "text", "n_terms"), F.struct("n_terms", "line")).alias("b")).select(DOC, "b.*")
+    best = F.max_by(F.struct("line", "text", "n_terms"), F.struct("n_terms", "line"))
+    return lines.withColumn("n_terms", score).groupBy(DOC, "ordinal").agg(best.alias("b")).select(DOC, "ordinal", "b.*")
 
 
 def literal_hits(chunks: DataFrame, literal: str) -> DataFrame:

@@ -23,7 +23,7 @@ FIRST, LAST = date(1996, 1, 1), date(1996, 6, 30)
 KNOWN = """known as (select o_orderkey as id, o_orderstatus as estado, o_orderdate::date as fecha, o_totalprice::decimal(24,4) as importe, o_custkey, o_orderpriority as origin, c_mktsegment as segmento,
   n_name, (['MXN','USD','EUR','GBP','JPY'])[n_regionkey + 1] as currency
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""
-ITEMS = """items as (select l_orderkey as id, 'fila ' || l_linenumber || '/' || l_partkey || '/' || l_suppkey as fila, l_quantity::decimal(24,4) as cantidad, l_extendedprice::decimal(24,4) as precio, l_discount::decimal(24,4) as descuento, l_returnflag as retorno, l_shipdate::date as envio, currency
+ITEMS = """items as (select l_orderkey as id, l_linenumber as linea, 'fila ' || l_linenumber || '/' || l_partkey || '/' || l_suppkey as fila, l_quantity::decimal(24,4) as cantidad, l_extendedprice::decimal(24,4) as precio, l_discount::decimal(24,4) as descuento, l_returnflag as retorno, l_shipdate::date as envio, currency
   from lineitem join known on l_orderkey = id)"""
 MEAN = "(sign(sum({x})) * ((2 * abs((sum({x}) * 10000)::hugeint) + count({x})) // (2 * count({x}))))::double / 10000"
 
@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(orders_corpus(spark, sf_dir))
         if sql is not None:
-            SQL[name] = f"with {KNOWN}, {ITEMS} {sql}"
+            SQL[name] = f"with {KNOWN}, {ITEMS}{sql if sql.startswith(',') else ' ' + sql}"
         return f
 
     return add
@@ -145,7 +145,8 @@ def f16(c):
 
 @query("F22_pinned", "select id as document_id, 2004::bigint as score from known where id = 42")
 def f22(c):
-    return scope.pinned(c.values, ["OC-0000042", "OC-0000042"])
+    """Two anchors of one document; a repeated one counts once."""
+    return scope.pinned(c.values, ["OC-0000042", "000004", "OC-0000042"])
 
 
 @query("F23_projection", "select concept, text_value from (select 'Estado' as concept, estado as text_value from known where id = 42 union all select 'Folio', 'OC-0000042' union all select 'Cliente', 'CL-' || o_custkey from known where id = 42)")
@@ -207,6 +208,18 @@ def j6m(c):
     return doubles(agg.compute(rows, "sum", ["grp"]).select("grp", "value"), "value")
 
 
+@query("J6_both_labels", """, etiquetas as (select id, fila, retorno as r from items where retorno = 'R' union all select id, null, estado from known)
+select part, coalesce(r, 'Sin valor') as grp, sum(x)::double as value, count(*) as n_values from (
+  select 'Cantidad' as part, cantidad as x, r from items left join (select distinct id, fila, r from etiquetas where fila is not null) using (id, fila)
+  union all select 'Importe total', importe, r from known left join (select distinct id, r from etiquetas) using (id)) group by 1, 2""")
+def j6_both(c):
+    """The label field stands in some records and in the documents too: records take only their own, documents all of theirs."""
+    labels = c.values.where("concept = 'Retorno' and text_value = 'R' or concept = 'Estado'")
+    rows = agg.labelled(c.values.where("concept in ('Cantidad', 'Importe total')"), labels)
+    out = rows.groupBy(F.col("concept").alias("part"), "grp").agg(F.sum("numeric").alias("value"), F.count("*").alias("n_values"))
+    return doubles(out, "value")
+
+
 @query("J8_shared_key", "select 'cl' || o_custkey as key, count(*) as n_documents from known group by 1 having count(*) > 1")
 def j8(c):
     return rel.sharing(c.values, "Cliente").groupBy("key").agg(F.count("*").alias("n_documents"))
@@ -279,9 +292,9 @@ for _op in ("subtract", "multiply", "divide"):
         "divide": "((sign(importe) * sign(precio)) * ((2 * abs((importe * 10000)::hugeint) * 10000 + abs((precio * 10000)::hugeint)) // (2 * abs((precio * 10000)::hugeint))))::double / 10000",
     }[_op]
     if _op == "multiply":
-        _sql = "select currency as unit, null::varchar as issue, sum(round(precio::decimal(18,4) * cantidad1::decimal(18,4), 4))::double as total, count(*) as n_rows from (select i.*, first_value(cantidad) over (partition by id order by fila) as cantidad1 from items i) group by 1"
+        _sql = "select currency as unit, null::varchar as issue, sum(round(precio::decimal(18,4) * cantidad1::decimal(18,4), 4))::double as total, count(*) as n_rows from (select i.*, first_value(cantidad) over (partition by id order by linea, fila) as cantidad1 from items i) group by 1"
     else:
-        _sql = f"select {'currency' if _op == 'subtract' else 'null::varchar'} as unit, null::varchar as issue, sum({_value})::double as total, count(*) as n_rows from known join (select id, min_by(precio, fila) as precio from items group by 1) using (id) group by 1"
+        _sql = f"select {'currency' if _op == 'subtract' else 'null::varchar'} as unit, null::varchar as issue, sum({_value})::double as total, count(*) as n_rows from known join (select id, first(precio order by linea, fila) as precio from items group by 1) using (id) group by 1"
 
     @query(f"A7_{_op}", _sql)
     def a7(c, op=_op):
@@ -290,7 +303,7 @@ for _op in ("subtract", "multiply", "divide"):
         return doubles(out.withColumn("total", F.round(F.col("total"), 4)), "total")
 
 
-@query("A8_one_document", "select id as document_id, (importe - precio)::double as result from known join (select id, min_by(precio, fila) as precio from items group by 1) using (id) where id = 3")
+@query("A8_one_document", "select id as document_id, (importe - precio)::double as result from known join (select id, first(precio order by linea, fila) as precio from items group by 1) using (id) where id = 3")
 def a8(c):
     return doubles(agg.row_operation(c.values.where("document_id = 3"), "Importe total", "Precio", "subtract").select("document_id", "result"), "result")
 
@@ -558,16 +571,16 @@ def t7(spark, d):
     return search.free_text(orders_corpus(spark, d).chunks, "with thea license").select("document_id", F.round("score", 6).alias("score"))
 
 
-@table_query("T8_best_per_document", f"with {_LINES} select document_id, max(len(w)) as n from lines group by 1")
+@table_query("T8_best_per_document", f"with {_LINES} select document_id, len(w) as n, ordinal from lines qualify row_number() over (partition by document_id order by len(w) desc, ordinal) = 1")
 def t8(spark, d):
     hits = orders_corpus(spark, d).chunks.withColumn("n", F.size(text.words("content")).cast("long"))
-    return search.best_per_document(hits, [F.desc("n"), F.asc("ordinal")]).select("document_id", "n")
+    return search.best_per_document(hits, [F.desc("n"), F.asc("ordinal")]).select("document_id", "n", "ordinal")
 
 
-@table_query("T9_best_line", f"with {_LINES} select document_id, max((len(list_filter(w, lambda x: starts_with(x, 'with'))) > 0)::int)::int as n_terms from lines group by 1")
+@table_query("T9_best_line", f"with {_LINES}, s as (select document_id, ordinal as line, content as text, ((len(list_filter(w, lambda x: starts_with(x, 'with'))) > 0)::int + (len(list_filter(w, lambda x: starts_with(x, 'thea'))) > 0)::int)::int as n_terms from lines) select document_id, 0 as ordinal, line, sha256(text) as text, n_terms from s qualify row_number() over (partition by document_id order by n_terms desc, line desc) = 1")
 def t9(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
-    return search.best_line(docs, ["with"]).select("document_id", "n_terms")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("ordinal"), F.col("text").alias("content"))
+    return search.best_line(docs, ["with", "thea"]).withColumn("text", F.sha2("text", 256))
 
 
 @table_query("J2_postings", rf"with {_LINES}, p as (select document_id, ordinal, unnest(w) as term from lines) select term, count(*) as tf, count(distinct document_id) as df from p group by 1")

@@ -1,4 +1,11 @@
-"""The index: files as documents, values, chunks and unread files, in versioned tables."""
+"""The index: files as documents, values, chunks and unread files, in segments under a log of snapshots.
+
+A new run is merged by content hash: only files that are new or changed are
+written, into a segment of their own, and documents that changed or went are
+ended by the segment's ``deletes``. How labels were read is counted in each
+segment (``readings``), with negative counts for what went, so that fields,
+their names and their kinds follow from the sums of small tables.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as val
-from ..functions.text import fold_any
+from ..functions.text import canonical_key_of, fold_any
+from . import concepts, snapshots
 from .files import discover, parse_files
+from .snapshots import Snapshot
 from .tables import Corpus
 
 TABLES = ("documents", "values", "unindexed", "chunks")
+DOC = "document_id"
 
 
 def origin_of(path: Column, folder: str) -> Column:
@@ -39,7 +49,7 @@ def typed(records: DataFrame) -> DataFrame:
     kind = val.kind_of(F.col("label"), x)
     number = F.when(kind == "money", val.money_amount(x)).when(kind == "percentage", val.exact_amount(F.regexp_replace(x, r"\s*%$", ""))).when(kind == "number", val.exact_amount(x))
     return records.select(
-        "document_id", F.col("label").alias("concept"), "ordinal", kind.alias("value_type"), x.alias("text_value"), fold_any(x).alias("literal_value"),
+        "document_id", F.col("label").alias("concept"), "label", canonical_key_of(fold_any("label")).alias("key"), "ordinal", kind.alias("value_type"), x.alias("text_value"), fold_any(x).alias("literal_value"),
         number.alias("numeric"), F.when(kind == "money", val.money_currency(x)).alias("currency"), val.date_value(x).alias("date_value"), "record_scope", "location",
         F.col("ocr_status").isin("not_required", "complete").alias("reliable"),
     )
@@ -71,19 +81,18 @@ def with_covers(corpus: Corpus) -> Corpus:
 
 
 def index_folder(spark: SparkSession, folder: str, root: str, version: str, ocr=None) -> dict[str, int]:
-    """Index an authorised folder into a new version, make it the current one, and say what was found."""
+    """Merge an authorised folder into the index as a new version, and say what was found."""
     if folder.rstrip("/") not in authorised_folders(spark, root):
         raise PermissionError(f"{folder} is not authorised")
-    corpus = with_covers(build(spark, folder, ocr, f"{root}/{version}/_parsed"))
-    save(corpus, root, version)
-    publish(spark, root, version)
-    done = load(spark, root, version)
+    corpus = with_covers(build(spark, folder, ocr, f"{root}/_parsed/{version}"))
+    made = merge(corpus, root, version)
+    done = load(spark, root)
     return {
         "indexed": done.documents.count(),
         "unindexed": done.unindexed.count(),
         "values": done.values.count(),
         "disguised": done.documents.where("declared_format_mismatch is not null").count(),
-    }
+    } | {k: made.note[k] for k in ("added", "modified", "removed", "unchanged")}
 
 
 def _note(spark: SparkSession, root: str, folder: str, event: str) -> None:
@@ -110,28 +119,30 @@ def authorised_folders(spark: SparkSession, root: str) -> list[str]:
     return [r.folder for r in last.orderBy("folder").collect()]
 
 
-def intact(spark: SparkSession, root: str, version: str) -> bool:
+def intact(spark: SparkSession, root: str, version: str | int | None = None) -> bool:
     """All tables can be read, and every value and chunk belongs to a document."""
     from py4j.protocol import Py4JError
     from pyspark.errors import PySparkException
 
     try:
         corpus = load(spark, root, version)
-        ids = corpus.documents.select("document_id")
-        return not any(t.join(ids, "document_id", "left_anti").limit(1).count() for t in (corpus.values, corpus.chunks))
+        ids = corpus.documents.select(DOC)
+        return not any(t.join(ids, DOC, "left_anti").limit(1).count() for t in (corpus.values, corpus.chunks))
     except (PySparkException, Py4JError):
         return False
 
 
 def recover(spark: SparkSession, root: str) -> tuple[str | None, list[str]]:
     """The newest intact version, made the current one, and the newer ones that are not."""
-    broken = []
-    for version in versions(spark, root):
-        if intact(spark, root, version):
+    broken: list[str] = []
+    newest = snapshots.read(spark, root)
+    for number in snapshots.numbers(spark, root):
+        found = snapshots.read(spark, root, number)
+        if intact(spark, root, number):
             if broken:
-                publish(spark, root, version)
-            return version, broken
-        broken.append(version)
+                snapshots.commit(spark, root, newest, found.segments, {"name": found.name, "operation": "recover"})
+            return found.name, broken
+        broken.append(found.name)
     return None, broken
 
 
@@ -166,30 +177,121 @@ def cover_pass(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
 
 
 def save(corpus: Corpus, root: str, version: str) -> None:
-    """Write a whole version beside the others; readers see it when ``publish`` points to it."""
-    for name in TABLES:
+    """Write a whole corpus as a segment; readers see it when ``publish`` names it."""
+    values = corpus.values
+    if "key" not in values.columns:
+        values = concepts.keyed(values.withColumn("label", F.col("concept")))
+    values.write.mode("overwrite").parquet(f"{root}/{version}/values")
+    for name in ("documents", "unindexed", "chunks"):
         getattr(corpus, name).write.mode("overwrite").parquet(f"{root}/{version}/{name}")
+    spark = values.sparkSession
+    concepts.readings(spark.read.parquet(f"{root}/{version}/values")).write.mode("overwrite").parquet(f"{root}/{version}/readings")
+    corpus.documents.select(DOC).limit(0).write.mode("overwrite").parquet(f"{root}/{version}/deletes")
 
 
-def publish(spark: SparkSession, root: str, version: str, keep: int = 3) -> None:
-    """Make a version the current one; the list of versions is a small table, newest first."""
-    old = [v for v in versions(spark, root) if v != version]
-    spark.createDataFrame([(v, i) for i, v in enumerate([version, *old][:keep])], "version string, age int").coalesce(1).write.mode("overwrite").parquet(f"{root}/_versions")
+def publish(spark: SparkSession, root: str, version: str) -> Snapshot:
+    """Make a saved corpus the current version, in one atomic step."""
+    return snapshots.commit(spark, root, snapshots.read(spark, root), [version], {"name": version, "operation": "publish"})
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
-    from pyspark.errors import AnalysisException
+    """Names of the versions, the current one first."""
+    found = [snapshots.read(spark, root, n).name for n in snapshots.numbers(spark, root)]
+    return list(dict.fromkeys(found))
+
+
+def _snapshot(spark: SparkSession, root: str, version: str | int | None) -> Snapshot:
+    for n in snapshots.numbers(spark, root):
+        found = snapshots.read(spark, root, n)
+        if version is None or version in (n, found.name):
+            return found
+    raise LookupError(f"no version {version or ''} at {root}")
 
-    try:
-        return [r.version for r in spark.read.parquet(f"{root}/_versions").orderBy("age").collect()]
-    except AnalysisException:
-        return []
 
+def load(spark: SparkSession, root: str, version: str | int | None = None) -> Corpus:
+    """A version by name or number, the current one by default; fields have the names that the version's readings elect."""
+    found = _snapshot(spark, root, version)
+    rows = lambda name: snapshots.live(spark, root, found, name)
+    values = concepts.encoded(rows("values"), concepts.dictionary(snapshots.table(spark, root, found, "readings")))
+    last = Snapshot(found.number, found.segments[-1:])
+    return Corpus(rows("documents"), values, snapshots.live(spark, root, last, "unindexed"), rows("chunks"))
 
-def load(spark: SparkSession, root: str, version: str | None = None) -> Corpus:
-    """A version, the current one by default; an older one is the recovery path."""
-    found = version or versions(spark, root)[0]
-    return Corpus(*(spark.read.parquet(f"{root}/{found}/{name}").drop("batch") for name in TABLES))
+
+def catalogue(spark: SparkSession, root: str, version: str | int | None = None) -> DataFrame:
+    """Fields with kind and counts, from the readings alone."""
+    return concepts.dictionary(snapshots.table(spark, root, _snapshot(spark, root, version), "readings"))
+
+
+def _change(spark: SparkSession, root: str, base: Snapshot, segment: str, gone: DataFrame, note: dict) -> Snapshot:
+    """Writes the ends of documents and the readings that go with them, then commits the segment, whose own rows are there already."""
+    at = f"{root}/{segment}"
+    gone.write.mode("overwrite").parquet(f"{at}/deletes")
+    ended = spark.read.parquet(f"{at}/deletes")
+    lost = concepts.readings(snapshots.live(spark, root, base, "values").join(ended, DOC, "left_semi")).withColumn("n", -F.col("n"))
+    concepts.readings(spark.read.parquet(f"{at}/values")).unionByName(lost).write.mode("overwrite").parquet(f"{at}/readings")
+    return snapshots.commit(spark, root, base, [*base.segments, segment], note)
+
+
+def merge(corpus: Corpus, root: str, version: str, removes: bool = True, stream: tuple[str, int] | None = None) -> Snapshot:
+    """Bring the index to the state of ``corpus`` as version ``version``, by content hash.
+
+    Files whose hash is unchanged are not written again. With ``removes`` files
+    that the corpus lacks go. A batch of a stream that was merged before changes
+    nothing. Until the last step, readers see the version before.
+    """
+    spark = corpus.documents.sparkSession
+    base = snapshots.read(spark, root)
+    streams = {} if stream is None else {stream[0]: stream[1]}
+    if base is None:
+        save(corpus, root, version)
+        n = spark.read.parquet(f"{root}/{version}/documents").count()
+        return snapshots.commit(spark, root, None, [version], {"name": version, "operation": "merge", "added": n, "modified": 0, "removed": 0, "unchanged": 0, "streams": streams})
+    if stream is not None and base.note["streams"].get(stream[0], -1) >= stream[1]:
+        return base
+    if version in base.segments:
+        raise ValueError(f"version {version} exists")
+    at, old = f"{root}/{version}", snapshots.live(spark, root, base, "documents")
+    changed(old, corpus.documents).write.mode("overwrite").parquet(f"{at}/changes")
+    states = spark.read.parquet(f"{at}/changes")
+    counts = {r.state: r.n for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
+    written = corpus.documents.join(states.where("state in ('added', 'modified')"), "path", "left_semi")
+    written.write.mode("overwrite").parquet(f"{at}/documents")
+    fresh = spark.read.parquet(f"{at}/documents").select(DOC)
+    values = corpus.values if "key" in corpus.values.columns else concepts.keyed(corpus.values.withColumn("label", F.col("concept")))
+    for name, rows in (("values", values), ("chunks", corpus.chunks)):
+        rows.join(fresh, DOC, "left_semi").write.mode("overwrite").parquet(f"{at}/{name}")
+    unread = corpus.unindexed
+    if not removes:
+        unread = unread.unionByName(snapshots.live(spark, root, Snapshot(0, base.segments[-1:]), "unindexed").join(unread.select("path"), "path", "left_anti"))
+    unread.write.mode("overwrite").parquet(f"{at}/unindexed")
+    gone = old.join(states.where(F.col("state").isin("modified", *["removed"] * removes)), "path", "left_semi").select(DOC)
+    if not removes:
+        counts["unchanged"], counts["removed"] = counts.get("unchanged", 0) + counts.get("removed", 0), 0
+    note = {"name": version, "operation": "merge", "streams": streams} | {k: counts.get(k, 0) for k in ("added", "modified", "removed", "unchanged")}
+    return _change(spark, root, base, version, gone, note)
+
+
+def purge_origin(spark: SparkSession, root: str, origin: str, version: str) -> Snapshot:
+    """Remove one folder's documents: nothing is rewritten, and fields without values go with their last reading."""
+    base = _snapshot(spark, root, None)
+    for name in ("documents", "values", "chunks"):
+        snapshots.table(spark, root, base, name).drop("__segment").limit(0).write.mode("overwrite").parquet(f"{root}/{version}/{name}")
+    unread = snapshots.live(spark, root, Snapshot(0, base.segments[-1:]), "unindexed")
+    unread.where(~F.col("origin").eqNullSafe(origin)).write.mode("overwrite").parquet(f"{root}/{version}/unindexed")
+    gone = snapshots.live(spark, root, base, "documents").where(F.col("origin") == origin).select(DOC)
+    return _change(spark, root, base, version, gone, {"name": version, "operation": "purge"})
+
+
+def compact(spark: SparkSession, root: str, version: str) -> Snapshot:
+    """One segment of the rows that are live, in place of all segments; older versions can still be read until ``vacuum``."""
+    base = _snapshot(spark, root, None)
+    for name in ("documents", "values", "chunks"):
+        snapshots.live(spark, root, base, name).write.mode("overwrite").parquet(f"{root}/{version}/{name}")
+    snapshots.live(spark, root, Snapshot(0, base.segments[-1:]), "unindexed").write.mode("overwrite").parquet(f"{root}/{version}/unindexed")
+    snapshots.table(spark, root, base, "deletes").drop("__segment").limit(0).write.mode("overwrite").parquet(f"{root}/{version}/deletes")
+    counts = snapshots.table(spark, root, base, "readings").groupBy("key", "label", "value_type", "reliable").agg(F.sum("n").alias("n"))
+    counts.where("n <> 0").write.mode("overwrite").parquet(f"{root}/{version}/readings")
+    return snapshots.commit(spark, root, base, [version], {"name": version, "operation": "compact"})
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -36,8 +36,11 @@ def test_text_functions(spark):
     assert text.stems_match("client", "cliente") and not text.stems_match("mes", "mesa")
     assert [text.column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
     assert one(spark, text.folded("a"), a="ÁÉñ Ü-1") == "aen u-1"
-    for w in ("papeles", "luces", "capaces", "intereses", "pagados", "tipos", "mesa", "estados"):
-        assert one(spark, text.root_of(F.col("a")), a=w) == text.root(w)
+    stated = {"papeles": "papel", "capaces": "capaz", "luces": "luce", "intereses": "inter", "interes": "inter", "pagados": "pagad", "pagada": "pagad", "tipos": "tipo", "mesa": "mesa", "mes": "mes", "estados": "estad", "casas": "casa", "dia": "dia", "": ""}
+    for w, r in stated.items():
+        assert text.root(w) == r and one(spark, text.root_of(F.col("a")), a=w) == r
+    for label in ("Importes totales de la venta", "IMPORTÉ TOTAL", "La de los", "Núm. 2"):
+        assert one(spark, text.canonical_key_of("a"), a=label) == text.canonical_key(label)
     assert one(spark, text.kind_of_path("a"), a="rh/00012_Acta de baja.pdf") == "acta_de_baja" and one(spark, text.kind_of_path("a"), a="x/123.txt") is None
     assert one(spark, text.holds_value("a", "FAC-1"), a="ver fac-1, hoy") and not one(spark, text.holds_value("a", "FAC-1"), a="ver FAC-10")
 
