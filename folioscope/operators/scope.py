@@ -120,9 +120,9 @@ def authorised(documents: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def pinned(values: DataFrame, anchors: list[str], most: int = 120) -> DataFrame:
-    """The one document that covers most anchor phrases: 1001 a phrase plus how specific it is; none on a tie."""
-    literal = F.col("literal_value")
-    hits = reduce(DataFrame.unionByName, [values.where(literal.contains(fold(a))).select(DOC, F.lit(i).alias("anchor"), F.lit(len(a.split())).alias("words")).distinct() for i, a in enumerate(anchors)])
+    """The one document that covers most of the different anchor phrases: 1001 a phrase plus how specific it is; none on a tie."""
+    literal, anchors = F.col("literal_value"), list(dict.fromkeys(map(fold, anchors)))
+    hits = reduce(DataFrame.unionByName, [values.where(literal.contains(a)).select(DOC, F.lit(i).alias("anchor"), F.lit(len(a.split())).alias("words")).distinct() for i, a in enumerate(anchors)])
     scored = hits.groupBy(DOC).agg((F.count("*") * 1001 + F.sum("words")).alias("score"))
     best = scored.orderBy(F.desc("score"), DOC).limit(most)
     top = best.agg(F.max("score").alias("score"))

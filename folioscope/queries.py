@@ -537,13 +537,6 @@ def s16(spark, d):
     return chunk_rows(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text"))
 
 
-@table_query("S20_purge", "select id as document_id from (select o_orderkey as id, o_orderpriority as origin from orders) where origin <> '5-LOW'")
-def s20(spark, d):
-    from .sources.index import purge
-
-    return purge(orders_corpus(spark, d), "5-LOW").documents.select("document_id")
-
-
 # ---- search ---------------------------------------------------------------------------------------
 
 _LINES = r"""lines as (select document_id, ordinal::int as ordinal, content, list_filter(regexp_split_to_array(lower(strip_accents(content)), '[^\pL\pN]+'), lambda w: w <> '') as w from (select doc_id as document_id, generate_subscripts(l, 1) - 1 as ordinal, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents)))"""
@@ -583,11 +576,6 @@ def t9(spark, d):
     return search.best_line(docs, ["with", "thea"]).withColumn("text", F.sha2("text", 256))
 
 
-@table_query("J2_postings", rf"with {_LINES}, p as (select document_id, ordinal, unnest(w) as term from lines) select term, count(*) as tf, count(distinct document_id) as df from p group by 1")
-def j2(spark, d):
-    return search.postings(orders_corpus(spark, d).chunks).groupBy("term").agg(F.sum("tf").alias("tf"), F.count_distinct("document_id").alias("df"))
-
-
 @query("T4_metadata", "select id as document_id, 90 as score from known where origin = '1-URGENT'")
 def t4(c):
     return search.metadata_hits(c.documents, "urgent", True)
@@ -648,3 +636,6 @@ def x11(spark, d):
 def x12(spark, d):
     path = F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("_"), "lang", F.lit(" Nota"), (F.col("doc_id") % 7).cast("string"), F.lit(" - "), "source", F.lit(".md"))
     return spark.read.parquet(f"{d}/documents.parquet").where("lang is not null and source is not null").select(text.kind_of_path(path).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+from . import queries_index  # noqa: E402, F401  (registers its own)
