@@ -83,6 +83,49 @@ def dossier(values: DataFrame, key_concept: str, key: str, concepts: list[str])
     return filled.select("concept", F.coalesce("n_documents", F.lit(0).cast("long")).alias("n_documents"), F.coalesce("n_values", F.lit(0).cast("long")).alias("n_values"), (F.col("n_linked") - F.coalesce("n_documents", F.lit(0))).alias("n_gaps"), (F.coalesce("n_values", F.lit(0)) > 1).alias("conflict"))
 
 
+def keyed_documents(values: DataFrame) -> DataFrame:
+    """(key_field, key, document_id): every identifier that any field states, each once."""
+    keys = values.select(F.col("concept").alias("key_field"), identifier_of("text_value").alias("key"), DOC)
+    return keys.where("key is not null").distinct()
+
+
+def stated_fields(values: DataFrame) -> DataFrame:
+    """(document_id, concept, value, reliable): each field of each document; value is null where it has several."""
+    each = values.groupBy(DOC, "concept").agg(F.min("literal_value").alias("low"), F.max("literal_value").alias("high"), F.bool_and("reliable").alias("reliable"))
+    return each.select(DOC, "concept", F.when(F.col("low") == F.col("high"), F.col("low")).alias("value"), "reliable")
+
+
+def _linked(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of keys that several share, and how many share each."""
+    keys = keyed_documents(values)
+    shared = keys.groupBy("key_field", "key").agg(F.count("*").alias("n_linked")).where("n_linked > 1")
+    return keys.join(shared.drop("n_linked"), ["key_field", "key"], "left_semi"), shared
+
+
+def _by_value(values: DataFrame) -> DataFrame:
+    """Linked documents counted by key, field and value: a hot key is dealt out by the values of its documents before it comes together."""
+    linked, _ = _linked(values)
+    return linked.join(stated_fields(values), DOC).groupBy("key_field", "key", "concept", "value").agg(F.count("*").alias("n"), F.bool_and("reliable").alias("reliable"))
+
+
+def all_contradictions(values: DataFrame) -> DataFrame:
+    """Every key of every identifier field, and every field in which documents that share it state different single values."""
+    each = _by_value(values).where(F.col("value").isNotNull() & (F.col("concept") != F.col("key_field")))
+    out = each.groupBy("key_field", "key", "concept").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_documents"), F.min("value").alias("low"), F.max("value").alias("high"), F.bool_and("reliable").alias("reliable"))
+    return out.where("n_values >= 2")
+
+
+def all_dossiers(values: DataFrame) -> DataFrame:
+    """For every shared key, every field of the collection: documents that state it, different single values, conflicts and gaps."""
+    _, shared = _linked(values)
+    each = _by_value(values).groupBy("key_field", "key", "concept").agg(F.sum("n").alias("n_documents"), F.count("value").alias("n_values"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_several"), F.bool_and("reliable").alias("reliable"))
+    fields = values.select("concept").distinct().agg(F.array_sort(F.collect_list("concept")).alias("__fields"))  # one row: the collection's fields
+    grid = shared.crossJoin(F.broadcast(fields)).select("key_field", "key", "n_linked", F.explode("__fields").alias("concept"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    filled = grid.join(each, ["key_field", "key", "concept"], "left")
+    return filled.select("key_field", "key", "concept", "n_linked", zero("n_documents").alias("n_documents"), zero("n_values").alias("n_values"), zero("n_several").alias("n_several"), (F.col("n_linked") - zero("n_documents")).alias("n_gaps"), (zero("n_values") > 1).alias("conflict"), F.coalesce("reliable", F.lit(True)).alias("reliable"))
+
+
 def identifier_candidates(values: DataFrame, concept: str, wanted: str, most: int = 6) -> DataFrame:
     """The key itself if it exists, else the first ones that begin so."""
     from ..functions.text import identifier

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import exact, fold, identifier, identifier_of
 from ..functions.values import filter_key
+from .near import near
+from .phrases import mentioned
 
 DOC = "document_id"
 
@@ -98,16 +100,19 @@ def by_path(documents: DataFrame, suffix: str) -> DataFrame:
 
 def mentioned_values(values: DataFrame, question: str, most_words: int = 8) -> DataFrame:
     """Text and state values of few words that the question spells out as a phrase."""
-    asked = F.lit(f" {exact(question)} ")
-    own = F.array_join(F.array_remove(F.split("literal_value", r"[^\p{L}\p{N}]+"), ""), " ")
-    known = values.where(F.col("value_type").isin("text", "state")).select("concept", "literal_value", own.alias("phrase")).distinct()
-    return known.where((F.col("phrase") != "") & (F.size(F.split("phrase", " ")) <= most_words) & asked.contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("concept", "literal_value")
+    asked = values.sparkSession.createDataFrame([(0, question)], "question_id int, text string")
+    return mentioned(asked, values, most_words).select("concept", "literal_value").distinct()
 
 
 def near_values(values: DataFrame, concept: str, wanted: str, most: int = 6) -> DataFrame:
-    """Values of the field closest to one that does not exist."""
+    """Values of the field closest to one that does not exist: from those within two edits, if there are enough, else from all."""
     known = values.where(F.col("concept") == concept).select("text_value", "literal_value").distinct()
-    return known.withColumn("distance", F.levenshtein("literal_value", F.lit(fold(wanted)))).orderBy("distance", "literal_value").limit(most)
+    asked = values.sparkSession.createDataFrame([(fold(wanted),)], "text string")
+    close = near(asked, known.select(F.col("literal_value").alias("text")), [], 2)
+    found = known.join(close.select(F.col("text").alias("literal_value"), "distance"), "literal_value").select("text_value", "literal_value", "distance")
+    if found.limit(most).count() < most:
+        found = known.withColumn("distance", F.levenshtein("literal_value", F.lit(fold(wanted))))
+    return found.orderBy("distance", "literal_value", "text_value").limit(most)
 
 
 def reliable_ocr(status: Column, confidence: Column) -> Column:
@@ -160,15 +165,3 @@ def projection(values: DataFrame, document_id: int, concepts: list[str]) -> Data
 def usual_fields(values: DataFrame, literal: str) -> DataFrame:
     """Fields in which documents state the literal, by how many; the first is what the value means when no field is named."""
     return values.where(F.col("literal_value") == fold(literal)).groupBy("concept").agg(F.count_distinct(DOC).alias("n_documents")).orderBy(F.desc("n_documents"), "concept")
-
-
-def spellings(values: DataFrame, concept: str, most: int = 1) -> DataFrame:
-    """Unreliable values at most so many letters from a reliable one of the field, with that one: variants of a reading."""
-    own = values.where(F.col("concept") == concept)
-    seen = own.groupBy("literal_value").agg(F.bool_or("reliable").alias("sure"))
-    odd, sure = seen.where("not sure").select(F.col("literal_value").alias("variant")), seen.where("sure").select("literal_value")
-    # Two words at most one letter apart agree in length but one, and in their first or their second half.
-    keys = lambda c: F.array(F.concat(F.lit("<"), F.substring(c, 1, 2)), F.concat(F.lit(">"), F.right(F.col(c), F.lit(2))))
-    pairs = odd.withColumn("k", F.explode(keys("variant"))).join(sure.withColumn("k", F.explode(keys("literal_value"))), "k")
-    near = pairs.where(F.levenshtein("variant", "literal_value") <= most).groupBy("variant").agg(F.min("literal_value").alias("literal_value"))
-    return near.select("variant", "literal_value")

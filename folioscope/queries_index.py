@@ -7,9 +7,10 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ranked, scope
-from .queries import KNOWN, SQL, _bm25_sql, _LINES, doubles, query, table_query
-from .sources import concepts, index, places, postings, snapshots
+from .operators import near, phrases, ranked
+from .operators import relations as rel
+from .queries import _LINES, SQL, doubles, query, table_query
+from .sources import concepts, identifiers, index, places, postings, snapshots
 from .sources.tables import Corpus, orders_corpus
 
 # ---- the stored inverted index --------------------------------------------------------------------
@@ -153,3 +154,100 @@ def p19(c):
     other = concepts.aliases(spark.createDataFrame([("Monto total", "Gasto", "confirmed"), ("Total del monto", "coste", "rejected")], "label string, other string, status string"))
     asked = spark.createDataFrame([(n,) for n in ("los montos totales", "Totales de los montos", "gasto", "coste", "nada")], "name string")
     return concepts.lookup(asked, known, other).select("name", "concept", "n_values")
+
+
+# ---- near values ----------------------------------------------------------------------------------
+
+_TEXTS = ", t as (select distinct 'Folio' as concept, 'oc-' || lpad(id::varchar, 7, '0') as text from known union select distinct 'Cliente', 'cl-' || o_custkey from known union select distinct 'Segmento', lower(segmento) from known)"
+_SLIPS = _TEXTS + ", a as (select concept, left(text, length(text) // 2) || substr(text, length(text) // 2 + 2) as asked from t where concept <> 'Folio' or right(text, 2) = '00' union select concept, text || 's' from t where concept = 'Segmento')"
+
+
+def _texts(c: Corpus):
+    return c.values.where("concept in ('Folio', 'Cliente', 'Segmento')").select("concept", F.col("literal_value").alias("text")).distinct()
+
+
+@query("F16_misspelled", f"{_SLIPS} select concept, asked, text, levenshtein(asked, text)::int as distance from a join t using (concept) where levenshtein(asked, text) <= 1")
+def f16_misspelled(c):
+    """All values of the text fields, and what one slip from them could have meant: a letter lost in the middle, or one too many."""
+    texts = _texts(c)
+    half = F.floor(F.length("text") / 2).cast("int")
+    lost = texts.where("concept <> 'Folio' or right(text, 2) = '00'").withColumn("text", F.concat(F.substring("text", F.lit(1), half), F.substring("text", half + 2, F.length("text"))))
+    more = texts.where("concept = 'Segmento'").withColumn("text", F.concat("text", F.lit("s")))
+    return near.near(lost.unionByName(more), texts, ["concept"], 1)
+
+
+_DOUBTFUL = ", d as (select segmento as concept, case when id % 10 = 0 then overlay_text else 'oc-' || lpad(id::varchar, 7, '0') end as text, id % 10 <> 0 as sure from (select *, 'oc-' || lpad(id::varchar, 6, '0') as overlay_text from known)), s as (select concept, text, bool_or(sure) as sure, count(*) as n from d group by 1, 2)"
+
+
+@query("F18_spellings", f"{_DOUBTFUL} select o.concept, o.text as variant, first(k.text order by levenshtein(o.text, k.text), k.n desc, k.text) as literal_value from s o join s k on o.concept = k.concept and not o.sure and k.sure and levenshtein(o.text, k.text) <= 1 group by 1, 2")
+def f18_spellings(c):
+    """Order numbers by segment, one in ten read with a digit lost: what each such reading stands for, if anything sure is near."""
+    short = F.concat(F.lit("oc-"), F.lpad(F.col("document_id").cast("string"), 6, "0"))
+    doubt = F.col("document_id") % 10 == 0
+    folio = c.values.where("concept = 'Folio'").withColumn("literal_value", F.when(doubt, short).otherwise(F.col("literal_value"))).withColumn("reliable", ~doubt)
+    segment = c.values.where("concept = 'Segmento'").select("document_id", F.col("text_value").alias("segment"))
+    rows = folio.drop("concept").join(segment, "document_id").withColumnRenamed("segment", "concept")
+    return near.spelling_variants(rows)
+
+
+# ---- many questions at once -----------------------------------------------------------------------
+
+_ASKED = ", q as (select id as question_id, 'oc ' || lpad(id::varchar, 7, '0') as folio, 'cl ' || o_custkey as cliente, lower(segmento) as segmento, id % 3 as k from known where id % 4 = 0)"
+
+
+def _questions(c: Corpus):
+    """One in four orders asked about: by number, customer and segment; by customer and segment; by segment alone."""
+    wide = c.values.where("concept in ('Folio', 'Cliente', 'Segmento')").groupBy("document_id").agg(*[F.max(F.when(F.col("concept") == n, F.col("text_value"))).alias(n) for n in ("Folio", "Cliente", "Segmento")]).where("document_id % 4 = 0")
+    k = F.col("document_id") % 3
+    return wide.select(F.col("document_id").alias("question_id"), F.concat(F.lit("¿Qué pasó con "), F.when(k == 0, F.concat("Folio", F.lit(" de "))).otherwise(""), F.when(k < 2, F.concat("Cliente", F.lit(", "))).otherwise(""), "Segmento", F.lit("?")).alias("text"))
+
+
+@query("F20_questions", f"{_ASKED} select question_id, 'Folio' as concept, replace(folio, ' ', '-') as literal_value from q where k = 0 union all select question_id, 'Cliente', replace(cliente, ' ', '-') from q where k < 2 union all select question_id, 'Segmento', segmento from q")
+def f20_questions(c):
+    return phrases.covered(phrases.mentioned(_questions(c), c.values)).select("question_id", "concept", "literal_value")
+
+
+@query("F22_questions", f"{_ASKED}, n as (select o_custkey, count(*) as n, min(id) as low from known group by 1), m as (select segmento, count(*) as n, min(id) as low from known group by 1) select question_id, case when k = 0 then question_id when k = 1 and n.n = 1 then n.low when k = 2 and m.n = 1 then m.low end as document_id, case k when 0 then 3008 when 1 then 2005 else 1002 end::bigint as score, (3 - k)::int as n_anchors, case k when 0 then 1 when 1 then n.n else m.n end as n_tied from q join known on id = question_id join n using (o_custkey) join m on m.segmento = known.segmento")
+def f22_questions(c):
+    """The order that each question describes; a customer's several orders tie, and then none is pinned."""
+    return phrases.pinned(_questions(c), c.values.where("concept in ('Folio', 'Cliente', 'Segmento')"))
+
+
+# ---- identifiers in texts -------------------------------------------------------------------------
+
+_IDS = r", i as (select distinct doc_id as document_id, regexp_replace(lower(strip_accents(token)), '[-_/.]', '', 'g') as identifier from (select doc_id, unnest(regexp_extract_all(text, '[\pL\pN]+(?:[-_/.][\pL\pN]+)*')) as token from documents) where regexp_matches(token, '\pL') and regexp_matches(token, '\pN'))"
+_WANTED = [("exact", "mail2.example.com"), ("prefix", "MAIL2"), ("contains", "l2.exam")]
+
+
+@query("F8_in_text", _IDS + " select 'exact' as mode, document_id, 140 as score from i where identifier = 'mail2examplecom' union all select distinct 'prefix', document_id, 130 from i where starts_with(identifier, 'mail2') union all select distinct 'contains', document_id, 130 from i where contains(identifier, 'l2exam')")
+def f8_in_text(c):
+    """From the stored identifiers of all texts: the identifier itself, its beginning, and what it contains."""
+    spark = c.chunks.sparkSession
+    root = places.work_dir(spark, "identifiers")
+    identifiers.save(c.chunks, root)
+    parts = [identifiers.find(spark, root, w, mode).select(F.lit(mode).alias("mode"), "document_id", "score") for mode, w in _WANTED]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---- all keys and all fields ----------------------------------------------------------------------
+
+_STATED = """, k as (select 'Folio' as key_field, 'oc' || lpad(id::varchar, 7, '0') as key, id from known union all select 'Cliente', 'cl' || o_custkey, id from known),
+e as (select id, 'Folio' as concept, 'oc-' || lpad(id::varchar, 7, '0') as x from known union all select id, 'Cliente', 'cl-' || o_custkey from known union all select id, 'Estado', lower(estado) from known
+  union all select id, 'Fecha', fecha::varchar from known union all select id, 'Importe total', importe::varchar from known union all select id, 'Segmento', lower(segmento) from known
+  union all select id, 'Cantidad', cantidad::varchar from items union all select id, 'Precio', precio::varchar from items union all select id, 'Descuento', descuento::varchar from items
+  union all select id, 'Retorno', lower(retorno) from items union all select id, 'Envio', envio::varchar from items),
+f as (select id, concept, case when min(x) = max(x) then min(x) end as value from e group by 1, 2),
+s as (select key_field, key, count(*) as n_linked from k group by 1, 2 having count(*) > 1),
+j as (select key_field, key, concept, value, n_linked from k join s using (key_field, key) join f using (id))"""
+
+
+@query("C6_all", f"{_STATED} select key_field, key, concept, count(distinct value) as n_values, count(*) as n_documents, min(value) as low, max(value) as high, true as reliable from j where value is not null and concept <> key_field group by 1, 2, 3 having count(distinct value) > 1")
+def c6_all(c):
+    """Every contradiction of the collection in one pass."""
+    return rel.all_contradictions(c.values)
+
+
+@query("C7_all", f"{_STATED}, g as (select key_field, key, n_linked, concept from s, (select distinct concept from e)), d as (select key_field, key, concept, count(*) as n, count(distinct value) as v, count_if(value is null) as m from j group by 1, 2, 3) select key_field, key, concept, n_linked, coalesce(n, 0) as n_documents, coalesce(v, 0) as n_values, coalesce(m, 0)::bigint as n_several, n_linked - coalesce(n, 0) as n_gaps, coalesce(v, 0) > 1 as conflict, true as reliable from g left join d using (key_field, key, concept)")
+def c7_all(c):
+    """The dossier of every shared key, over all fields."""
+    return rel.all_dossiers(c.values)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import periods, text
 from folioscope.functions import values as val
 from folioscope.operators import aggregate as agg
+from folioscope.operators import near
 from folioscope.operators import relations as rel
 from folioscope.operators import scope as sc
 from folioscope.plans import language, report, tools
@@ -109,7 +110,7 @@ def test_operands_and_citations(spark):
 
 def test_spelling_variants(spark):
     rows = [value(1, "Ciudad", "Monterrey"), value(2, "Ciudad", "Monterey", reliable=False), value(3, "Ciudad", "Lima", reliable=False)]
-    got = [tuple(r) for r in sc.spellings(spark.createDataFrame(rows, COLUMNS), "Ciudad").collect()]
+    got = [(r.variant, r.literal_value) for r in near.spelling_variants(spark.createDataFrame(rows, COLUMNS)).where("concept = 'Ciudad'").collect()]
     assert got == [("monterey", "monterrey")]
 
 
