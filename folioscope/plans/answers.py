@@ -64,7 +64,7 @@ def _of(corpus: Corpus, ids: list[int]) -> DataFrame:
 
 def _fields(values: DataFrame) -> dict[str, str]:
     """Fields of a few documents with their kind, in the documents' order."""
-    rows = values.groupBy("concept").agg(F.min("ordinal").alias("at"), F.min("value_type").alias("kind")).orderBy("at", "concept").limit(500).collect()
+    rows = values.groupBy("concept").agg(F.min("ordinal").alias("at"), F.min("value_type").alias("kind")).orderBy("at", "concept").collect()
     return {r.concept: r.kind for r in rows}
 
 

@@ -268,7 +268,7 @@ class Engine:
                 return Answer(f"Ningún documento tiene {concept}: {value}.", reason="valor_inexistente", options=near)
         if not pairs and not s.comparison:
             fields: dict[str, list[str]] = {}
-            for r in self._mentioned(question).limit(200).collect():
+            for r in self._mentioned(question).orderBy("literal_value", "concept").collect():  # values that the question spells out
                 fields.setdefault(r.literal_value, []).append(r.concept)
             roles = field_roles(question, self.names())
             for v, own in fields.items():

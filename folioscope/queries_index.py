@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import near, phrases, ranked
 from .operators import relations as rel
 from .queries import _LINES, SQL, doubles, query, table_query
-from .sources import concepts, identifiers, index, places, postings, snapshots
+from .sources import concepts, covers, identifiers, index, ocr_cache, places, postings, snapshots
 from .sources.tables import Corpus, orders_corpus
 
 # ---- the stored inverted index --------------------------------------------------------------------
@@ -251,3 +251,38 @@ def c6_all(c):
 def c7_all(c):
     """The dossier of every shared key, over all fields."""
     return rel.all_dossiers(c.values)
+
+
+# ---- covers and OCR -------------------------------------------------------------------------------
+
+_COVER = r"""with l as (select doc_id, generate_subscripts(x, 1) - 1 as line, unnest(x) as text from (select doc_id, regexp_split_to_array(text, '\r\n|\r|\n') as x from documents)),
+w as (select *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from l),
+v as (select label from (select doc_id, w[1] as label from w where len(w) > 0 union all select doc_id, w[1] || ' ' || w[2] from w where len(w) > 1) where regexp_matches(label, '^\s*\pL') and not regexp_matches(label, '\s\p{Lu}') group by 1 having count(distinct doc_id) >= 2),
+h as (select doc_id, line, w, text, regexp_matches(text, '^[^:]{1,120}:\s*\S') as own, case when array_to_string(w, ' ') in (select label from v) then 0 when len(w) > 2 and w[1] || ' ' || w[2] in (select label from v) then 2 when len(w) > 1 and w[1] in (select label from v) then 1 else 0 end as k from w),
+r as (select *, count(*) over (partition by doc_id, island) as n from (select *, line - row_number() over (partition by doc_id order by line) as island from h where k > 0 or own))
+select doc_id as document_id, line::int as line, array_to_string(w[:k], ' ') as label, sha256(array_to_string(w[k + 1:], ' ')) as value from r where n >= 3 and k > 0 and not own"""
+
+
+@table_query("S13_covers", _COVER)
+def s13(spark, d):
+    """Lines of all texts by labels that the texts themselves begin their lines with: one word or two, in two documents at least."""
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("ordinal"), F.col("text").alias("content"))
+    lines = texts.select("document_id", F.explode(F.split("content", r"\r\n|\r|\n")).alias("line")).select("document_id", F.array_remove(F.split("line", r"\s+"), "").alias("w"))
+    starts = F.filter(F.array(F.element_at(F.slice("w", 1, 1), 1), F.when(F.size("w") > 1, F.array_join(F.slice("w", 1, 2), " "))), lambda x: x.isNotNull())
+    heads = lines.where(F.size("w") > 0).select("document_id", F.explode(starts).alias("concept"), F.lit(True).alias("reliable"))
+    found = covers.cover_lines(texts, covers.vocabulary(heads))
+    return found.select("document_id", "line", "label", F.sha2("value", 256).alias("value"))
+
+
+def _shown(content: bytes) -> tuple[str, float]:
+    """Stands for an OCR engine: what a page begins with, surer for longer pages."""
+    return content[:24].decode("utf-8", "ignore"), len(content) % 100 / 100
+
+
+@table_query("S15_ocr_cache", "with h as (select page_id, sha256(html) as content_hash, octet_length(encode(html)) % 100 / 100 as confidence, page_id % 2 = 0 as early from pages where html is not null) select page_id, content_hash, case when confidence >= 0.55 then 'complete' else 'low_confidence' end as status, case when bool_or(early) over (partition by content_hash) then 'first' else 'second' end as batch from h")
+def s15(spark, d):
+    """Half of the pages, then all: the second run reads only what the first has not, and equal contents once."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").where("html is not null").select("page_id", F.col("html").cast("binary").alias("content"))
+    root = places.work_dir(spark, "ocr")
+    ocr_cache.recognise(pages.where("page_id % 2 = 0"), _shown, root, "first")
+    return ocr_cache.recognise(pages, _shown, root, "second").select("page_id", "content_hash", "status", "batch")

@@ -278,7 +278,7 @@ def parse_pdf(data: bytes, ocr: Callable[[bytes], tuple[str, float]] | None = No
 
 def by_ocr(data: bytes, parser: str, ocr) -> Parsed:
     if ocr is None:
-        raise Unreadable("OCR no disponible")
+        raise Unreadable(NO_OCR)
     text, confidence = ocr(data)
     out = parse_text(text.encode(), parser)
     out.ocr_status = "complete" if confidence >= 0.55 else "low_confidence"
@@ -314,20 +314,6 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
     return texts.select("document_id", "text").mapInPandas(run, "document_id long, ordinal int, location string, content string")
 
 
-def split_cover(text: str, labels: set[str]) -> list[tuple[str, str]]:
-    """`Label value` lines by a vocabulary of labels, only in runs of three or more."""
-    out, run = [], []
-    for line in [*text.splitlines(), ""]:
-        words = line.split()
-        hit = next((k for k in range(len(words) - 1, 0, -1) if " ".join(words[:k]) in labels), None)
-        if hit:
-            run.append((" ".join(words[:hit]), " ".join(words[hit:])))
-            continue
-        out += run if len(run) >= 3 else []
-        run = []
-    return out
-
-
 def parse(path: str, extension: str, data: bytes, ocr=None) -> dict:
     actual = sniff(data)
     declared = {"jpeg": "jpg"}.get(extension, extension)
@@ -354,14 +340,38 @@ def parse(path: str, extension: str, data: bytes, ocr=None) -> dict:
     return row
 
 
+#: Why a file without text is unread when nothing reads pictures.
+NO_OCR = "OCR no disponible"
+
+
 def parse_files(files: DataFrame, ocr: Callable[[bytes], tuple[str, float]] | None = None) -> DataFrame:
-    """One row a file, read or not; ``files`` has path, extension, content."""
+    """One row a file, read or not; ``files`` has path, extension, content, and text and confidence where OCR has read it already."""
+    known = [c for c in ("text", "confidence") if c in files.columns]
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [parse(p, e, bytes(c), ocr) for p, e, c in zip(batch["path"], batch["extension"], batch["content"])]
+            rows = []
+            for at, (p, e, c) in enumerate(zip(batch["path"], batch["extension"], batch["content"])):
+                said = (batch["text"][at], float(batch["confidence"][at])) if known and isinstance(batch["text"][at], str) else None
+                rows.append(parse(p, e, bytes(c), (lambda _, s=said: s) if said else ocr))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in ("path x, extension x, parser x, content_hash x, size_bytes x, ocr_status x, mismatch x, reason x, warnings x, records x, chunks x").split(", ")])
 
-    return files.select("path", "extension", "content").mapInPandas(run, PARSED)
+    return files.select("path", "extension", "content", *known).mapInPandas(run, PARSED)
+
+
+def parse_cached(files: DataFrame, ocr: Callable[[bytes], tuple[str, float]], cache: str, batch: str, staging: str) -> DataFrame:
+    """As ``parse_files``; what needs OCR is read through the cache, so that no content is read twice."""
+    from .ocr_cache import recognise
+
+    spark = files.sparkSession
+    parse_files(files).write.mode("overwrite").parquet(f"{staging}/native")
+    native = spark.read.parquet(f"{staging}/native")
+    pictures = files.join(native.where(F.col("reason") == NO_OCR).select("path"), "path", "left_semi")
+    read = recognise(pictures.select("path", "extension", "content"), ocr, cache, batch)
+    failed = F.when(F.col("status") == "failed", F.lit("OCR fallido"))
+    parse_files(read).write.mode("overwrite").parquet(f"{staging}/read")
+    again = spark.read.parquet(f"{staging}/read").join(read.select("path", failed.alias("__failed")), "path")
+    again = again.withColumn("reason", F.coalesce("__failed", "reason")).drop("__failed")
+    return native.where(~F.col("reason").eqNullSafe(NO_OCR)).unionByName(again)

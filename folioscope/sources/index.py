@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import values as val
 from ..functions.text import canonical_key_of, fold_any
-from . import concepts, snapshots
-from .files import discover, parse_files
+from . import concepts, covers, snapshots
+from .files import discover, parse_cached, parse_files
 from .snapshots import Snapshot
 from .tables import Corpus
 
@@ -30,13 +30,17 @@ def origin_of(path: Column, folder: str) -> Column:
     return F.when(parent == "", F.lit(folder.rstrip("/").rpartition("/")[2])).otherwise(parent)
 
 
-def build(spark: SparkSession, folder: str, ocr=None, staging: str | None = None) -> Corpus:
+def build(spark: SparkSession, folder: str, ocr=None, staging: str | None = None, cache: tuple[str, str] | None = None) -> Corpus:
     """Parse a folder. Ids are hashes of paths, so they survive a new run.
 
     With ``staging`` the parsed files are written there once, so that the four
-    tables don't parse (and read by OCR) every file again.
+    tables don't parse (and read by OCR) every file again. ``cache`` is the
+    folder of the OCR cache and the name of this run in it.
     """
-    parsed = parse_files(discover(spark, folder), ocr)
+    if ocr is not None and cache is not None:
+        parsed = parse_cached(discover(spark, folder), ocr, *cache, f"{staging}-ocr")
+    else:
+        parsed = parse_files(discover(spark, folder), ocr)
     if staging is not None:
         parsed.write.mode("overwrite").parquet(staging)
         parsed = spark.read.schema(parsed.schema).parquet(staging)
@@ -65,18 +69,11 @@ def from_parsed(parsed: DataFrame, folder: str) -> Corpus:
     return Corpus(documents, typed(records), unindexed, chunks)
 
 
-#: Labels that the cover pass uses, at most: the most frequent ones.
-VOCABULARY = 2000
-
-
 def with_covers(corpus: Corpus) -> Corpus:
-    """Adds what the cover pass finds in documents without any record, by the labels of the others."""
-    found = label_vocabulary(corpus.values).orderBy(F.desc("n"), "concept").limit(VOCABULARY).collect()
-    if not found:
-        return corpus
-    bare = corpus.documents.where("parser = 'pdf'").join(corpus.values.select("document_id"), "document_id", "left_anti").select("document_id", "ocr_status")
-    pairs = cover_pass(corpus.chunks.join(bare, "document_id", "left_semi"), [r.concept for r in found])
-    records = pairs.join(bare, "document_id").select("document_id", "ocr_status", F.lit(0).alias("ordinal"), F.col("concept").alias("label"), F.col("text_value").alias("value"), F.lit("carátula").alias("location"), F.lit(None).cast("string").alias("record_scope"))
+    """Adds what the cover pass finds in PDF documents without any record, by the labels of the others."""
+    bare = corpus.documents.where("parser = 'pdf'").join(corpus.values.select(DOC), DOC, "left_anti").select(DOC, "ocr_status")
+    pairs = covers.cover_lines(corpus.chunks.join(bare, DOC, "left_semi"), covers.vocabulary(corpus.values))
+    records = pairs.join(bare, DOC).select(DOC, "ocr_status", F.col("line").alias("ordinal"), "label", "value", F.lit("carátula").alias("location"), F.lit(None).cast("string").alias("record_scope"))
     return Corpus(corpus.documents, corpus.values.unionByName(typed(records)), corpus.unindexed, corpus.chunks)
 
 
@@ -84,7 +81,7 @@ def index_folder(spark: SparkSession, folder: str, root: str, version: str, ocr=
     """Merge an authorised folder into the index as a new version, and say what was found."""
     if folder.rstrip("/") not in authorised_folders(spark, root):
         raise PermissionError(f"{folder} is not authorised")
-    corpus = with_covers(build(spark, folder, ocr, f"{root}/_parsed/{version}"))
+    corpus = with_covers(build(spark, folder, ocr, f"{root}/_parsed/{version}", (f"{root}/_ocr", version)))
     made = merge(corpus, root, version)
     done = load(spark, root)
     return {
@@ -155,27 +152,6 @@ def entities(values: DataFrame) -> DataFrame:
     return values.where((F.col("value_type") == "text") & (F.size(words) <= 14) & ((capitals >= 2) | legal)).select("document_id", "concept", F.col("text_value").alias("name"), F.when(owner, "owner").otherwise("mention").alias("relationship_kind"))
 
 
-def label_vocabulary(values: DataFrame, least: int = 2) -> DataFrame:
-    """Labels seen in several reliable documents: the vocabulary of the cover pass."""
-    return values.where("reliable").groupBy("concept").agg(F.count_distinct("document_id").alias("n")).where(F.col("n") >= least)
-
-
-def cover_pass(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Second pass over PDF text: `Label value` lines by the corpus' own labels. The vocabulary is a checked, short list."""
-    from .files import split_cover
-
-    labels = set(vocabulary)
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = [(d, k, v) for d, c in zip(batch["document_id"], batch["content"]) for k, v in split_cover(c, labels)]
-            yield pd.DataFrame(rows, columns=["document_id", "concept", "text_value"])
-
-    return chunks.select("document_id", "content").mapInPandas(run, "document_id long, concept string, text_value string")
-
-
 def save(corpus: Corpus, root: str, version: str) -> None:
     """Write a whole corpus as a segment; readers see it when ``publish`` names it."""
     values = corpus.values
@@ -306,8 +282,3 @@ def purge(corpus: Corpus, origin: str) -> Corpus:
     gone = corpus.documents.where(F.col("origin") == origin).select("document_id")
     without = lambda df: df.join(gone, "document_id", "left_anti")
     return Corpus(without(corpus.documents), without(corpus.values), corpus.unindexed.where(F.col("origin") != origin), without(corpus.chunks))
-
-
-def ocr_misses(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Files whose content the OCR cache does not know."""
-    return files.withColumn("content_hash", F.sha2("content", 256)).join(cache.select("content_hash"), "content_hash", "left_anti")

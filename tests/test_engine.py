@@ -148,7 +148,6 @@ def test_index_of_files(spark, tmp_path):
 
 def test_small_parsers():
     assert [c["location"] for c in files.chunks_of("\n".join(["x" * 600] * 5))] == ["líneas 1-2", "líneas 3-4", "líneas 5-5"]
-    assert files.split_cover("Folio 12\nEstado Abierta\nTotal neto 9\notro\nFolio 13", {"Folio", "Estado", "Total neto"}) == [("Folio", "12"), ("Estado", "Abierta"), ("Total neto", "9")]
     assert files.format_meaning('0.00" EUR"', 170) == ("money", "EUR") and files.shifted_percent("0.0725") == "7.25%"
 
 
