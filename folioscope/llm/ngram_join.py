@@ -15,7 +15,8 @@ over links of 1 / the probability that a pair so similar shares a prefix. Links
 found by that sum estimate the recall on the data. While it is below the
 target, and while there are no links to estimate it from and a pair exactly at
 the threshold would be found too rarely, the matched prefixes are shortened by
-one value and verification is repeated. Equal word sequences are collapsed
+one value and verification is repeated; at the shortest that is allowed the estimate
+is returned with the result, and warned of. Equal word sequences are collapsed
 before all that.
 
 Words are lower-cased runs of letters and digits. A document shorter than n
@@ -32,6 +33,7 @@ collision is expected once in n^2 / 3.7e19.
 from __future__ import annotations
 
 import hashlib
+import warnings
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -335,7 +337,11 @@ def _joined(docs: DataFrame, how: Parameters) -> DataFrame:
             break
         discard(verified)
         depth -= 1
-    return _classes(members, verified)
+    if recall < how.target_recall:
+        warnings.warn(f"estimated recall {recall:.4f} at the least depth {depth}, below the target {how.target_recall}", stacklevel=3)
+    out = _classes(members, verified)
+    out.estimated_recall = recall
+    return out
 
 
 def _links(docs: DataFrame, members: DataFrame, neighbours: DataFrame, how: Parameters, depth: int) -> DataFrame:
@@ -343,23 +349,32 @@ def _links(docs: DataFrame, members: DataFrame, neighbours: DataFrame, how: Para
     candidates = components(neighbours.select("a", "b"), "candidates")
 
     # Blocks of the candidate groups.
-    sizes = members.where("is_first").groupBy("node").agg(F.max("n_shingles").alias("n"), F.first("id").alias("id"), F.first("text_hash").alias("text_hash"))
+    sizes = members.where("is_first").groupBy("node").agg(F.max("n_shingles").alias("n"), F.first("id").alias("id"), F.first("text_hash").alias("text_hash"), (F.count("*") > 1).alias("repeated"))
     groups = candidates.join(sizes, "node")
     blocks = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / how.block_docs), F.ceil(F.sum("n") / how.block_shingles)).cast("int").alias("n_blocks"))
-    placed = groups.join(blocks, "root").select("id", "text_hash", "node", "root", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
+    placed = groups.join(blocks, "root").select("id", "text_hash", "node", "root", "n_blocks", "repeated", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
     texts = docs.select(identity().alias("id"), text_hash().alias("text_hash"), "text")
 
     def shingle(batches):
         import pyarrow as pa
 
+        seen: set[int] = set()  # of a row that is repeated a task sends one, however many it reads
         for batch in batches:
+            fresh_rows = []
+            for at, (node, repeated) in enumerate(zip(batch.column("node").to_pylist(), batch.column("repeated").to_pylist())):
+                if not repeated or node not in seen:
+                    fresh_rows.append(at)
+                    if repeated:
+                        seen.add(node)
+            batch = batch.take(pa.array(fresh_rows, pa.int64())) if len(fresh_rows) < batch.num_rows else batch
+            batch = batch.select(["text", "node", "root", "n_blocks", "block"])
             values = batch.column(0).to_pylist()
             for begin, end in slices([len(x or "") for x in values], 1 << 19):
                 sets = shingle_sets([x or "" for x in values[begin:end]], how.n)
                 part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x.tobytes() for _, x in sets], pa.binary())], names=["node", "root", "n_blocks", "block", "shingles"])
 
-    sets = texts.join(placed, ["id", "text_hash"]).select("text", "node", "root", "n_blocks", "block").mapInArrow(shingle, "node long, root long, n_blocks int, block int, shingles binary")
+    sets = texts.join(placed, ["id", "text_hash"]).select("text", "node", "root", "n_blocks", "block", "repeated").mapInArrow(shingle, "node long, root long, n_blocks int, block int, shingles binary")
     dealt = sets.select("root", "node", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("k")).select("root", "node", "block", "shingles", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
     return dealt.groupBy("root", "i", "j").applyInArrow(lambda table: _verify(table, how, depth), "node long, other long, links long, expected double")
 
@@ -383,17 +398,26 @@ def join(docs: DataFrame, how: Parameters = Parameters()) -> DataFrame:
 
     class_id is the smallest doc_id of all documents that links connect;
     n_links counts the *different* texts at or above the threshold; n_copies
-    the rows with the same word sequence, this one included.
+    the rows with the same word sequence, this one included. The result's
+    ``estimated_recall`` is the share of links that were found, as estimated;
+    one below the target is also a warning.
     """
-    return _joined(docs, how).drop("text_hash", "class_node")
+    found = _joined(docs, how)
+    out = found.drop("text_hash", "class_node")
+    out.estimated_recall = found.estimated_recall
+    return out
 
 
 def one_of_each(docs: DataFrame, how: Parameters = Parameters()) -> DataFrame:
-    """One row of ``docs`` for each class: of its smallest doc_id, and of several texts or rows of that just one."""
+    """One row of ``docs`` for each class: of its smallest doc_id, and of several texts or rows of that just one.
+
+    Of rows with one doc_id and text that stay the first by their other columns does.
+    """
     own, own_hash, place = (fresh(c, docs.columns) for c in ("__id", "__text_hash", "__place"))
     kept = _joined(docs, how).withColumnRenamed("doc_id", "id").groupBy("class_node").agg(first_of("text_hash").alias("k")).select(F.col("k.id").alias(own), F.col("k.text_hash").alias(own_hash))
     rows = docs.withColumns({own: identity(), own_hash: text_hash()}).join(kept, [own, own_hash], "left_semi")
-    number = F.row_number().over(Window.partitionBy(own, own_hash).orderBy(own))
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != "text"]))
+    number = F.row_number().over(Window.partitionBy(own, own_hash).orderBy(others))
     return rows.withColumn(place, number).where(F.col(place) == 1).select(*docs.columns)
 
 

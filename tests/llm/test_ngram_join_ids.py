@@ -2,7 +2,11 @@
 
 import random
 
-from folioscope.llm.ngram_join import join, one_of_each
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.llm import ngram_join
+from folioscope.llm.ngram_join import Parameters, join, one_of_each
 
 SCHEMA = "doc_id long, text string"
 
@@ -39,3 +43,37 @@ def test_near_texts_of_one_id(spark):
     a = words(6)
     rows = [(5, near(a, 1)), (5, near(a, 2)), (6, near(a, 3)), (5, near(a, 2).upper())]
     assert [r.doc_id for r in one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()] == [5]
+
+
+def test_a_row_repeated_ten_thousand_times_is_one_text_of_its_block(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text.replace("w39", "x")
+    rows = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(8, near), (9, "other words altogether")], "doc_id long, text string")).repartition(4)
+    sizes, plain = [], type(rows).groupBy
+
+    def watched(df, *keys):
+        if keys == ("root", "i", "j"):
+            sizes.append(df.count())
+        return plain(df, *keys)
+
+    monkeypatch.setattr(type(rows), "groupBy", watched)
+    out = ngram_join.join(rows)
+    got = {(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in out.collect()}
+    assert got == {(7, 7, 1, 10_000), (8, 7, 1, 1), (9, 9, 0, 1)} and out.estimated_recall >= 0.999
+    assert sizes and max(sizes) <= 2 + 4  # rows of the blocks: two texts, and one a task at most of the repeated one
+
+
+def test_rows_of_one_id_and_text_give_way_by_their_other_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text, s) for s in ("b", "a", "c")]
+    for part in (1, 3):
+        docs = spark.createDataFrame(rows[::-1] if part == 3 else rows, "doc_id long, text string, source string").repartition(part)
+        assert [r.source for r in one_of_each(docs).collect()] == ["a"]
+
+
+def test_a_recall_below_the_target_is_said(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("w39", "x"))], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="estimated recall"):
+        out = join(docs, Parameters(max_depth=8, min_depth=8, target_recall=1.0))
+    assert 0 < out.estimated_recall < 1
