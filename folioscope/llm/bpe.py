@@ -240,16 +240,18 @@ def bpe_of(path: str) -> BacktrackingBPE:
     return _LOADED[path]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, keep: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): its ids' and decoded text's digests; with ``keep`` also ids and decoded text."""
+def encode_decode(docs: DataFrame, vocabulary: str, keep: bool = False, keep_text: bool | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): its ids' and decoded text's digests; with ``keep`` also ids and, unless ``keep_text`` is False, decoded text."""
+    keep_text = keep if keep_text is None else keep_text
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         bpe = bpe_of(vocabulary)
         for batch in batches:
             texts = batch.column(1).fill_null("")
-            for begin, end in slices([len(x) for x in texts.to_pylist()], 1 << 22):
+            for begin, end in slices(pc.utf8_length(texts).to_pylist(), 1 << 21):
                 flat, counts = bpe.encode_all(texts.slice(begin, end - begin))
                 stops = np.cumsum(counts).tolist()
                 ids = [flat[b - n : b].astype("<u4").tobytes() for b, n in zip(stops, counts.tolist())]
@@ -262,10 +264,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: bool = False) -> DataF
                 }
                 if keep:
                     out["ids"] = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
+                if keep_text:
                     out["decoded"] = pa.array([x.decode() for x in decoded], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS + ", ids array<int>, decoded string" * keep)
+    return docs.select("doc_id", "text").mapInArrow(run, ROWS + ", ids array<int>" * keep + ", decoded string" * keep_text)
 
 
 def op8(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
