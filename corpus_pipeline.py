@@ -60,7 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with the digests of ids and decoded text; null and empty texts have none."""
     import public_tokenizers
 
-    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=True).drop("decoded")
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=True, keep_text=False)
 
 
 STAGES = [
