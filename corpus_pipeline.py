@@ -21,12 +21,21 @@ from folioscope.llm import bpe, common, language_id, mixing, ngram_join, pii
 #: Below this fit to its mixture of languages (1: as training texts, 0: nothing but unseen trigrams) a text is in no learned one.
 LEAST_FIT = 0.4
 
+#: Bytes of the batches in which rows go to Python workers and back: whole texts, so that a number of rows says nothing.
+BATCH_BYTES = 16 << 20
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Stages are evaluated after they return, so that the setting stays for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those that no mixture of the learned languages explains; lang stays as labelled.
 
     Null and empty texts have no letter. Repeated rows are judged alike.
     """
+    _bounded(spark)
     model = language_id.train(docs)
     kept = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("__fit") >= LEAST_FIT)
     return language_id.identify(docs, model, fit="__fit").where(kept).select(*docs.columns)
@@ -37,11 +46,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null and empty texts have no words, so that each is a copy of every other one.
     """
+    _bounded(spark)
     return ngram_join.one_of_each(docs)
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rewrites text, and n_chars with it; null and empty texts stay, repeated rows stay and get equal texts."""
+    _bounded(spark)
     return pii.replace(docs, pii.key_of(spark)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -60,6 +71,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with the digests of ids and decoded text; null and empty texts have none."""
     import public_tokenizers
 
+    _bounded(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=True, keep_text=False)
 
 
