@@ -24,7 +24,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices
+from .common import give_back, slices
 from .pieces import PieceCache
 
 #: White space of the splitting pattern (Unicode White_Space).
@@ -42,8 +42,8 @@ def byte_symbols() -> dict[str, int]:
 
 
 class BacktrackingBPE:
-    PAIRS = 300_000
-    CACHE_BYTES = 48 << 20
+    PAIRS = 200_000
+    CACHE_BYTES = 32 << 20
 
     def __init__(self, path: str):
         import ahocorasick
@@ -248,6 +248,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: bool = False, keep_tex
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        give_back()
         bpe = bpe_of(vocabulary)
         for batch in batches:
             texts = batch.column(1).fill_null("")
@@ -267,6 +268,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: bool = False, keep_tex
                 if keep_text:
                     out["decoded"] = pa.array([x.decode() for x in decoded], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, ROWS + ", ids array<int>" * keep + ", decoded string" * keep_text)
 

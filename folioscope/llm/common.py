@@ -152,3 +152,18 @@ def slices(sizes, limit: int):
             begin, total = i + 1, 0
     if begin < len(sizes):
         yield begin, len(sizes)
+
+
+def give_back() -> None:
+    """Returns to the system what a worker process no longer uses, also of tasks that it ran before."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
