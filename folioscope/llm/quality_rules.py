@@ -9,17 +9,22 @@ counts (words, symbols, repeated lines and windows) give the base rule.
 
 Only DataFrame functions run. A common word is one that makes up at least
 ``common_share`` of its language's words, so there are at most
-1 / common_share of them for each language; with the class counts they are all
-that is broadcast. Documents with a null language form a language of their own.
+1 / common_share of them for each language. The references are tables with a
+row for each language, written first: Spark broadcasts them as long as they are
+small and joins by language beyond that. Documents with a null language form a
+language of their own.
 
 Null text has no words: all counts are 0 and the base rule rejects it. A null
-doc_id and repeated rows are kept as they are. Extra columns are ignored. An
-empty table gives an empty result.
+doc_id and repeated rows are kept as they are; equal rows get equal verdicts,
+and a distance that is exactly the limit is within it. Very long texts are
+judged whole, by one task each. Extra columns are ignored. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +44,8 @@ class Limits:
     max_repeat_percent: int = 50
     #: A word is common if it makes up this share of its language's words.
     common_share: float = 0.005
+    #: Common words of all languages up to which they are looked up in one list.
+    listed_words: int = 4096
     #: Jensen-Shannon distances (square root of the divergence in bits) allowed.
     char_distance: float = 0.28
     word_distance: float = 0.42
@@ -92,14 +99,24 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_words(docs: DataFrame, share: float) -> list[tuple[str, str, float]]:
-    """(language, word, share) of the common words, by counts over all documents."""
+def common_words(docs: DataFrame, share: float) -> DataFrame:
+    """(lang, common, word_reference): each language's common words, and their shares with that of all others; by counts over all documents."""
     words = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(words_of(F.lower("text"))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = materialise(counts, "word-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    found = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= share * F.col("total"))
-    return sorted((r.lang, r.word, r.n / r.total) for r in found.collect())
+    totals = materialise(counts.groupBy("lang").agg(F.sum("n").alias("total")), "word-totals")
+    found = counts.join(totals, "lang").where(F.col("n") >= share * F.col("total"))
+    ordered = found.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("q")))).alias("w"))
+    others = F.greatest(F.lit(0.0), 1 - F.aggregate("w.q", F.lit(0.0), lambda a, x: a + x))
+    return materialise(ordered.select("lang", F.col("w.word").alias("common"), F.concat("w.q", F.array(others)).alias("word_reference")), "word-references")
+
+
+def is_common(words: DataFrame, most: int) -> Callable[[Column], Column]:
+    """Whether a word is common in some language, by a list of all of them up to ``most``; beyond, whether it is in the row's own ``common``."""
+    every = [r.word for r in words.select(F.explode("common").alias("word")).distinct().limit(most + 1).collect()]
+    if len(every) > most:
+        return lambda w: F.array_contains("common", w)
+    return lambda w: w.isin(sorted(every)) if every else F.lit(False)
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -119,14 +136,8 @@ def shares(counts: Column) -> Column:
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Counts, the two distances and the verdict for each row of ``docs`` (doc_id, text, lang)."""
-    spark = docs.sparkSession
-    common = common_words(docs, limits.common_share)
-    by_language: dict[str, list[tuple[str, float]]] = {}
-    for lang, word, share in common:
-        by_language.setdefault(lang, []).append((word, share))
-    every = sorted({w for _, w, _ in common})
-    rows = [(k, [w for w, _ in v], [s for _, s in v] + [max(0.0, 1 - sum(s for _, s in v))]) for k, v in by_language.items()]
-    words = spark.createDataFrame(rows, "lang string, common array<string>, word_reference array<double>")
+    words = common_words(docs, limits.common_share)
+    known_word = is_common(words, limits.listed_words)
 
     text = F.col("text")
     counted = base_counts(docs)
@@ -134,11 +145,11 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))
     spaces = F.length(text) - F.col("word_chars").cast("int")  # words hold all other characters
     kinds = [upper, letters - upper, count_of(text, "0123456789"), spaces, count_of(text, PUNCTUATION), F.col("n_symbols").cast("int")]
-    hits = F.transform(F.filter("words", lambda w: F.lower(w).isin(every) if every else F.lit(False)), F.lower)
-    features = counted.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    hits = F.transform(F.filter("words", lambda w: known_word(F.lower(w))), F.lower)
+    features = counted.join(words, "lang", "left").select(
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "common", "word_reference",
         F.length(text).alias("n_chars"), F.array(*kinds).alias("kinds"), hits.alias("hits"),
-    ).join(F.broadcast(words), "lang", "left")
+    )
     bins = F.transform("common", lambda w: (F.size("hits") - F.size(F.array_remove("hits", w))).cast("long"))
     known = F.aggregate("word_bins", F.lit(0).cast("long"), lambda s, x: s + x)
     inner = F.aggregate("kinds", F.lit(0), lambda s, x: s + x)
@@ -152,10 +163,10 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     # The references of the character classes: sums over all documents of a language.
     sums = features.groupBy("lang").agg(*[F.sum(F.col("char_bins")[i]).alias(c) for i, c in enumerate(CLASSES)])
-    references = sums.select("lang", shares(F.array(*CLASSES)).alias("char_reference"))
+    references = materialise(sums.select("lang", shares(F.array(*CLASSES)).alias("char_reference")), "class-references")
     distance = lambda bins, reference: F.sqrt(divergence(shares(F.col(bins)), F.col(reference)))
     n_chars = F.aggregate("char_bins", F.lit(0).cast("long"), lambda s, x: s + x)
-    scored = features.join(F.broadcast(references), "lang", "left").select(
+    scored = features.join(references, "lang", "left").select(
         "*",
         F.when(n_chars >= limits.char_guard, distance("char_bins", "char_reference")).alias("char_distance"),
         F.when(F.col("n_words") >= limits.word_guard, distance("word_bins", "word_reference")).alias("word_distance"),

@@ -97,3 +97,11 @@ def test_query_equals_sql(spark, tables):
     db = duckdb.connect()
     db.execute(f"create view documents as select * from '{tables}/documents.parquet'")
     assert sorted(map(tuple, op4(spark, tables).collect())) == sorted(db.execute(oracle()).fetchall())
+
+
+def test_languages_beyond_the_list(spark, tables):
+    """Where the common words of all languages are too many for one list, each row's own decide alike; so do 1000 languages."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", F.concat("lang", F.lit("-"), F.col("doc_id") % 250).alias("lang"))
+    listed, joined = (judge(docs, Limits(listed_words=n)).select("doc_id", "n_words", "base_failed", "kept", "char_distance", "word_distance") for n in (1 << 20, 0))
+    assert docs.select("lang").distinct().count() > 190
+    assert listed.exceptAll(joined).count() == joined.exceptAll(listed).count() == 0
