@@ -10,8 +10,10 @@ parent. A leaf's capacity is its tokens times ``max_epochs``.
 A leaf takes whole epochs of its documents, then the prefix of one more epoch
 that its budget still holds, in an order that a hash of seed, epoch and doc_id
 draws anew for each epoch. To find where the prefix ends, tokens are summed by
-leaf and hash bucket; only the one bucket in which a leaf's prefix ends is put
-in order. So a leaf with a third of all rows is never in one task.
+leaf and hash bucket; the one bucket in which a leaf's prefix ends is summed by
+finer buckets again, and only the one of those in which it ends, a 16-millionth
+of the leaf, is put in order. So a leaf with a third of all rows is never in one
+task.
 
 All quantities are integers, so results don't depend on the order of rows. A
 division rounds down: at most one token a node stays unused. Only DataFrame
@@ -95,6 +97,19 @@ def budgets(leaves: DataFrame, levels: list[str], how: Parameters) -> DataFrame:
     return leaves.join(above, levels, "left").withColumn("budget", F.coalesce("budget", F.lit(0)))
 
 
+def ending(drawn: DataFrame, names: list[str], digits: int) -> DataFrame:
+    """The bucket of so many digits of ``draw`` in which each leaf's ``rest`` runs out, and what is ``left`` of it there."""
+    per_bucket = drawn.groupBy(*names, F.substring("draw", 1, digits).alias("bucket"), "rest").agg(F.sum("n_tokens").alias("n"))
+    running = Window.partitionBy(*names).orderBy("bucket")
+    return (
+        per_bucket.withColumn("to", F.sum("n").over(running))
+        .where(F.col("to") > F.col("rest"))
+        .groupBy(*names, "rest")
+        .agg(F.min(F.struct("bucket", "to", "n")).alias("e"))
+        .select(*names, F.col("e.bucket").alias("bucket"), (F.col("rest") - (F.col("e.to") - F.col("e.n"))).alias("left"))
+    )
+
+
 def mix(docs: DataFrame, levels: dict[str, Column], how: Parameters = Parameters()) -> DataFrame:
     """``docs`` (doc_id, text) with the level columns, ``n_tokens`` and ``epochs``, how often each row is taken."""
     names = list(levels)
@@ -108,18 +123,11 @@ def mix(docs: DataFrame, levels: dict[str, Column], how: Parameters = Parameters
         return F.md5(F.concat_ws("|", F.lit(str(how.seed)), F.col(whole).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
     drawn = narrow.join(dealt, names).where("tokens > 0").select(*names, "n_tokens", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("rest"), draw_of("whole").alias("draw"))
-    drawn = drawn.withColumn("bucket", F.substring("draw", 1, HEX))
-    per_bucket = drawn.groupBy(*names, "bucket", "rest").agg(F.sum("n_tokens").alias("n"))
-    running = Window.partitionBy(*names).orderBy("bucket")
-    ends = (
-        per_bucket.withColumn("to", F.sum("n").over(running))
-        .where(F.col("to") > F.col("rest"))
-        .groupBy(*names, "rest")
-        .agg(F.min(F.struct("bucket", "to", "n")).alias("e"))
-        .select(*names, F.col("e.bucket").alias("bucket"), (F.col("rest") - (F.col("e.to") - F.col("e.n"))).alias("left"))
-    )
-    ends = materialise(ends, "mix-ends")
-    inside = drawn.join(ends, [*names, "bucket"]).groupBy(*names, "bucket", "left", "draw").agg(F.sum("n_tokens").alias("n"))
+    first = materialise(ending(drawn, names, HEX), "mix-buckets")
+    inside = drawn.withColumn("bucket", F.substring("draw", 1, HEX)).drop("rest").join(first, [*names, "bucket"]).drop("bucket")
+    inside = materialise(inside.withColumnRenamed("left", "rest"), "mix-inside")
+    ends = materialise(ending(inside, names, 2 * HEX), "mix-ends")
+    inside = inside.withColumn("bucket", F.substring("draw", 1, 2 * HEX)).join(ends, [*names, "bucket"]).groupBy(*names, "bucket", "left", "draw").agg(F.sum("n_tokens").alias("n"))
     last = inside.withColumn("to", F.sum("n").over(Window.partitionBy(*names).orderBy("draw"))).where(F.col("to") <= F.col("left")).groupBy(*names).agg(F.max("draw").alias("last"))
     # Before the end's bucket all are taken; within it, those up to the last one that fits.
     cuts = dealt.join(ends, names, "left").join(last, names, "left").select(*names, "whole", "bucket", "last", (F.col("tokens") > 0).alias("some"))
@@ -127,7 +135,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], how: Parameters = Parameters
     whole, bucket, end, some = (fresh(c, labelled.columns) for c in ("whole", "bucket", "last", "some"))
     cuts = cuts.withColumnsRenamed({"whole": whole, "bucket": bucket, "last": end, "some": some})
     draw = draw_of(whole)
-    taken = F.when(F.col(bucket).isNull(), False).when(F.substring(draw, 1, HEX) < F.col(bucket), True).otherwise(F.coalesce(draw <= F.col(end), F.lit(False)))
+    taken = F.when(F.col(bucket).isNull(), False).when(F.substring(draw, 1, 2 * HEX) < F.col(bucket), True).otherwise(F.coalesce(draw <= F.col(end), F.lit(False)))
     epochs = F.when(F.col(some), F.col(whole) + taken.cast("long")).otherwise(F.lit(0).cast("long"))
     return labelled.join(cuts, names).select(*[labelled[c] for c in labelled.columns if c.lower() != "epochs"], epochs.alias("epochs"))
 

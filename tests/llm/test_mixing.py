@@ -73,3 +73,21 @@ def test_query_equals_sql(spark, tables):
     want = db.execute(SQL).fetchall()
     assert sorted(map(tuple, got.select("doc_id", "domain", "lang", "source", "n_tokens", "epochs").collect())) == sorted(want)
     assert got.agg(F.max("epochs")).first()[0] > 1
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_one_leaf_has_all_rows(spark, monkeypatch, digits):
+    """The prefix ends in a bucket of a bucket; brute force over the drawn order."""
+    monkeypatch.setattr("folioscope.llm.mixing.HEX", digits)
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 3 as int))").alias("text"), F.lit("en").alias("lang"))
+    how = Parameters(weights=({},), budget_percent=170, max_epochs=3)
+    got = {r.doc_id: r.epochs for r in mix(docs, {"lang": docs["lang"]}, how).collect()}
+    total = sum(1 + i % 3 for i in range(30_000))
+    whole, left = divmod(total * 170 // 100, total)
+    want = dict.fromkeys(range(30_000), whole)
+    for i in sorted(want, key=lambda i: hashlib.md5(f"{how.seed}|{whole}|{i}".encode()).hexdigest()):
+        left -= 1 + i % 3
+        if left < 0:
+            break
+        want[i] += 1
+    assert got == want
