@@ -113,6 +113,11 @@ class TarShards:
             self.file.commit()
             self.file, self.n = None, self.n + 1
 
+    def abandon(self) -> None:
+        """After a failure: the open shard goes, a retried task writes all of them again."""
+        if self.file is not None:
+            self.file.abandon()
+
 
 def store(rows: DataFrame, out: str, shard_bytes: int = 256 << 20) -> DataFrame:
     """Store ``rows`` (id, payload binary) in shards below ``out``; a place for every row."""
@@ -124,21 +129,25 @@ def store(rows: DataFrame, out: str, shard_bytes: int = 256 << 20) -> DataFrame:
         from pyspark import TaskContext
 
         shards, known = TarShards(f"{out}/shard-{TaskContext.get().partitionId():06d}", shard_bytes), {}
-        for batch in batches:
-            ids, payloads = batch.column(0), batch.column(1)
-            for begin, end in slices(pc.fill_null(pc.binary_length(payloads), 0).to_pylist(), 1 << 24):
-                sizes, digests, places = [], [], []
-                for data in payloads.slice(begin, end - begin).to_pylist():
-                    padded = pad(data or b"")
-                    digest = hashlib.sha256(padded).digest()
-                    if digest not in known:
-                        media = to_png(padded)
-                        known[digest] = (*shards.add(f"{digest.hex()}.png", media), len(media))
-                    sizes.append(len(data or b""))
-                    digests.append(digest.hex())
-                    places.append(known[digest])
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests), *(pa.array(x, t) for x, t in zip(zip(*places), (pa.string(), pa.int64(), pa.int64())))], names=["id", "n_bytes", "digest", "path", "offset", "length"])
-        shards.close()
+        try:
+            for batch in batches:
+                ids, payloads = batch.column(0), batch.column(1)
+                for begin, end in slices(pc.fill_null(pc.binary_length(payloads), 0).to_pylist(), 1 << 24):
+                    sizes, digests, places = [], [], []
+                    for data in payloads.slice(begin, end - begin).to_pylist():
+                        padded = pad(data or b"")
+                        digest = hashlib.sha256(padded).digest()
+                        if digest not in known:
+                            media = to_png(padded)
+                            known[digest] = (*shards.add(f"{digest.hex()}.png", media), len(media))
+                        sizes.append(len(data or b""))
+                        digests.append(digest.hex())
+                        places.append(known[digest])
+                    yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests), *(pa.array(x, t) for x, t in zip(zip(*places), (pa.string(), pa.int64(), pa.int64())))], names=["id", "n_bytes", "digest", "path", "offset", "length"])
+            shards.close()
+        except BaseException:
+            shards.abandon()
+            raise
 
     rows.mapInArrow(write, PLACES).write.parquet(f"{out}/places")
     return spark.read.schema(PLACES).parquet(f"{out}/places")

@@ -14,6 +14,8 @@ Null html counts as an empty payload; a null url is written as an empty target.
 Null page_ids are never referred to unless all ids of that payload are null,
 and then these records are responses. Repeated rows of the largest page_id are
 all responses. Extra columns are ignored. An empty table writes no archive.
+A long page has a frame of its own; the seek table holds sizes below 4 GiB,
+which no value of a table reaches.
 """
 
 from __future__ import annotations
@@ -149,17 +151,22 @@ def write_bundles(pages: DataFrame, out: str) -> DataFrame:
         from pyspark import TaskContext
 
         path, bundle = f"{out}/bundle-{TaskContext.get().partitionId():06d}.warc.zst", None
-        for batch in batches:
-            bundle = bundle or Bundle(path)
-            ids, places = batch.column(0).to_pylist(), []
-            for i, url, digest, refers in zip(range(len(ids)), *(batch.column(k).to_pylist() for k in (1, 3, 4))):
-                data = record(ids[i], url, batch.column(2)[i].as_py(), digest, refers)
-                places.append((*bundle.add(data), len(data)))
-            if places:
-                frame, offset, length = zip(*places)
-                yield pa.RecordBatch.from_pydict({"page_id": pa.array(ids, pa.int64()), "record_id": [_urn(x) for x in ids], "path": [path] * len(ids), "frame": pa.array(frame, pa.int32()), "offset": pa.array(offset, pa.int64()), "length": pa.array(length, pa.int64())})
-        if bundle:
-            bundle.close()
+        try:
+            for batch in batches:
+                bundle = bundle or Bundle(path)
+                ids, places = batch.column(0).to_pylist(), []
+                for i, url, digest, refers in zip(range(len(ids)), *(batch.column(k).to_pylist() for k in (1, 3, 4))):
+                    data = record(ids[i], url, batch.column(2)[i].as_py(), digest, refers)
+                    places.append((*bundle.add(data), len(data)))
+                if places:
+                    frame, offset, length = zip(*places)
+                    yield pa.RecordBatch.from_pydict({"page_id": pa.array(ids, pa.int64()), "record_id": [_urn(x) for x in ids], "path": [path] * len(ids), "frame": pa.array(frame, pa.int32()), "offset": pa.array(offset, pa.int64()), "length": pa.array(length, pa.int64())})
+            if bundle:
+                bundle.close()
+        except BaseException:
+            if bundle:
+                bundle.file.abandon()
+            raise
 
     linked.mapInArrow(write, INDEX).write.parquet(f"{out}/index")
     discard(newest)

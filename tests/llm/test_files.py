@@ -160,3 +160,14 @@ def test_bundle_is_plain_zstandard(tmp_path):
     assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read() == b"".join(records)
     reader = A.BundleReader(f"file://{tmp_path}/x.warc.zst")
     assert len(reader.frames) > 1 and all(reader.read(*p) == x for p, x in zip(reversed(places), reversed(records)))
+
+
+def test_failed_writers_leave_nothing(tmp_path):
+    shards = M.TarShards(f"file://{tmp_path}/shard-0", 1 << 10)
+    for i in range(3):
+        shards.add(f"{i}.png", b"x" * 700)
+    shards.abandon()
+    bundle = A.Bundle(f"file://{tmp_path}/bundle-0.warc.zst")
+    bundle.add(b"y" * 100)
+    bundle.file.abandon()
+    assert not [p.name for p in tmp_path.iterdir() if p.name.endswith(".tmp") or "bundle" in p.name]
