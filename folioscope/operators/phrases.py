@@ -18,24 +18,24 @@ LONGEST = 8
 
 
 def dictionary(values: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(phrase, n_words, concept, literal_value) of text and state values."""
-    own = values.where(F.col("value_type").isin("text", "state")).select("concept", "literal_value").distinct()
+    """(phrase, n_words, concept, literal_value, is_state) of text and state values."""
+    own = values.where(F.col("value_type").isin("text", "state")).groupBy("concept", "literal_value").agg(F.bool_or(F.col("value_type") == "state").alias("is_state"))
     split = own.withColumn("w", F.array_remove(F.split("literal_value", r"[^\p{L}\p{N}]+"), ""))
     n = F.size("w")
-    return split.where(n.between(1, longest)).select(F.array_join("w", " ").alias("phrase"), n.alias("n_words"), "concept", "literal_value")
+    return split.where(n.between(1, longest)).select(F.array_join("w", " ").alias("phrase"), n.alias("n_words"), "concept", "literal_value", "is_state")
 
 
 def runs(questions: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(question_id, begin, end, phrase): every run of at most ``longest`` words of ``questions`` (question_id, text)."""
+    """(question_id, begin, end, phrase, before): every run of at most ``longest`` words of ``questions`` (question_id, text), and the word before it."""
     split = questions.select("question_id", words("text").alias("w")).where(F.size("w") > 0)
     each = split.select("question_id", "w", F.posexplode("w").alias("begin", "first"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("begin")))
-    return each.select("question_id", "w", "begin", F.explode(lengths).alias("n")).select("question_id", "begin", (F.col("begin") + F.col("n")).alias("end"), F.array_join(F.slice("w", F.col("begin") + 1, F.col("n")), " ").alias("phrase"))
+    return each.select("question_id", "w", "begin", F.explode(lengths).alias("n")).select("question_id", "begin", (F.col("begin") + F.col("n")).alias("end"), F.array_join(F.slice("w", F.col("begin") + 1, F.col("n")), " ").alias("phrase"), F.get("w", F.col("begin") - 1).alias("before"))
 
 
 def mentioned(questions: DataFrame, values: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(question_id, begin, end, phrase, concept, literal_value): values that questions spell out."""
-    return runs(questions, longest).join(dictionary(values, longest).drop("n_words"), "phrase")
+    """(question_id, begin, end, phrase, concept, literal_value, is_state): values that questions spell out."""
+    return runs(questions, longest).drop("before").join(dictionary(values, longest).drop("n_words"), "phrase")
 
 
 def covered(spans: DataFrame) -> DataFrame:
@@ -68,3 +68,59 @@ def pinned(questions: DataFrame, values: DataFrame, longest: int = LONGEST) -> D
     best = levels.groupBy("anchors").agg(F.max_by(F.struct("score", "n_tied", DOC), "score").alias("b"))
     one = best.select("anchors", F.when(F.col("b.n_tied") == 1, F.col(f"b.{DOC}")).alias(DOC), "b.score", F.size("anchors").alias("n_anchors"), "b.n_tied")
     return sets.join(one, "anchors").select("question_id", DOC, "score", "n_anchors", "n_tied")
+
+
+def field_names(values: DataFrame) -> DataFrame:
+    """(phrase, concept, is_binary): the fields' names as phrases, and whether a field's values are yes and no, both and nothing else."""
+    yes, no = F.col("literal_value") == "si", F.col("literal_value") == "no"
+    every = values.groupBy("concept").agg((F.bool_and(yes | no) & F.bool_or(yes) & F.bool_or(no)).alias("b"))
+    return every.select(F.array_join(words("concept"), " ").alias("phrase"), "concept", F.coalesce("b", F.lit(False)).alias("is_binary"))
+
+
+def inferred_filters(questions: DataFrame, values: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(question_id, concept, literal_value, how): what questions ask of documents in plain words, one row a field and value.
+
+    explicit: the question says the value and names its field. implicit: it says
+    the value alone, which is a state or has several words, and one field has
+    it; ambiguous: several have it, and a row stands for each. binary: it names
+    a field of yes and no, which is no after `sin` or `no`. A field that is
+    named without a value is what the question asks for if no field is named
+    before it (asked), else a condition that could not be applied (unapplied);
+    both have no value. A value inside the name of a field is part of the name.
+    Questions that are null or say nothing of this have no rows; repeated
+    questions of one id are one question.
+
+    Fields and values are one dictionary, which is joined once; all else goes by
+    question, whose phrases are as many as its words allow.
+    """
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    names = field_names(values).select("phrase", "concept", none.alias("literal_value"), no.alias("is_state"), "is_binary", F.lit(True).alias("is_field"))
+    known = names.unionByName(dictionary(values, longest).drop("n_words").withColumns({"is_binary": no, "is_field": no}))
+    spans = runs(questions, longest).join(known, "phrase").repartition("question_id")
+    meant = F.collect_set(F.struct("concept", "literal_value", "is_state", "is_binary"))
+    places = spans.groupBy("question_id", "is_field", "begin", "end").agg(meant.alias("meant"), F.min("before").alias("before"))
+
+    field, begin, end = F.col("is_field"), F.col("begin"), F.col("end")
+    question = Window.partitionBy("question_id")
+    longer = Window.partitionBy("question_id", "is_field").orderBy("begin", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = places.withColumn("reach", F.max("end").over(longer)).where(F.col("reach").isNull() | (end > F.col("reach")))
+    here = question.orderBy("begin").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = kept.withColumn("reach", F.max(F.when(field, end)).over(here)).where(field | F.col("reach").isNull() | (end > F.col("reach")))
+    said = kept.withColumns({"named": F.flatten(F.collect_list(F.when(field, F.col("meant.concept"))).over(question)), "first": F.min(F.when(field, begin)).over(question)})
+    said = said.withColumn("own", F.when(~field, F.filter("meant", lambda m: F.array_contains("named", m["concept"]))))
+    said = said.withColumn("told", F.flatten(F.collect_list(F.col("own.concept")).over(question)))
+
+    row = lambda m, literal, how: F.struct(m["concept"].alias("concept"), literal.alias("literal_value"), how.alias("how"))
+    telling = F.filter("meant", lambda m: m["is_state"] | (end - begin > 1))
+    several = F.when(F.size(F.array_distinct(telling["concept"])) == 1, F.lit("implicit")).otherwise(F.lit("ambiguous"))
+    alone = F.transform(telling, lambda m: row(m, m["literal_value"], several))
+    explicit = F.transform("own", lambda m: row(m, m["literal_value"], F.lit("explicit")))
+    denied = F.coalesce(F.col("before").isin("sin", "no"), no)
+    yes_no = F.when(denied, F.lit("no")).otherwise(F.lit("si"))
+    missing = F.when(begin == F.col("first"), F.lit("asked")).otherwise(F.lit("unapplied"))
+    bare = F.filter("meant", lambda m: ~F.array_contains("told", m["concept"]))
+    lost = F.transform(bare, lambda m: row(m, F.when(m["is_binary"], yes_no), F.when(m["is_binary"], F.lit("binary")).otherwise(missing)))
+    found = said.select("question_id", "is_field", "begin", F.explode(F.when(field, lost).when(F.size("own") > 0, explicit).otherwise(alone)).alias("r"))
+    # A field that is named again counts where it comes first, and a value that is said again once.
+    once = found.groupBy("question_id", "r.concept", "is_field", F.when(~field, F.col("r.literal_value")).alias("literal")).agg(F.min_by("r", "begin").alias("r"))
+    return once.select("question_id", "r.concept", "r.literal_value", "r.how")

@@ -98,6 +98,16 @@ def by_path(documents: DataFrame, suffix: str) -> DataFrame:
     return documents.where((F.col("path") == suffix) | F.col("path").endswith(f"/{suffix}"))
 
 
+def by_hash(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents whose content has one of the hashes of ``wanted`` (content_hash)."""
+    return documents.join(wanted.select("content_hash"), "content_hash", "left_semi")
+
+
+def members_stating(members: DataFrame, values: DataFrame, concept: str) -> DataFrame:
+    """Of these documents those that state the field at all."""
+    return members.join(values.where(F.col("concept") == concept).select(DOC), DOC, "left_semi")
+
+
 def mentioned_values(values: DataFrame, question: str, most_words: int = 8) -> DataFrame:
     """Text and state values of few words that the question spells out as a phrase."""
     asked = values.sparkSession.createDataFrame([(0, question)], "question_id int, text string")

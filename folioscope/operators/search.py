@@ -54,6 +54,12 @@ def bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
     return counted.crossJoin(F.broadcast(totals)).withColumn("score", reduce(Column.__add__, parts)).drop("__n", "__mean", *[f"__df{i}" for i in range(n_terms)])
 
 
+def first_chunks(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(document_id, content): the chunk that each document begins with, of some documents or of all; a document without chunks has no row."""
+    own = chunks if documents is None else chunks.join(documents.select(DOC), DOC, "left_semi")
+    return own.groupBy(DOC).agg(F.min_by("content", F.struct("ordinal", "content")).alias("content"))
+
+
 def best_per_document(hits: DataFrame, order: list[Column]) -> DataFrame:
     """The first hit of each document in this order."""
     window = Window.partitionBy(DOC).orderBy(*order)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import periods
-from ..functions.text import exact, exactly, fold
+from ..functions.text import exact, exactly, fold, words
 from ..functions.values import render_money
 from ..operators import aggregate as agg
 from ..operators import relations as rel
@@ -254,7 +254,8 @@ class Engine:
             hit = origins.where((exactly("origin") == wanted) | (exactly(F.element_at(F.split("origin", "/"), -1)) == wanted)).orderBy("origin").limit(2).collect()
             return hit[0].origin if hit else Answer(f"No existe la carpeta «{cued}».", reason="carpeta_inexistente")
         asked = F.lit(f" {exact(question)} ")
-        near = origins.where(asked.contains(F.concat(F.lit(" "), exactly("origin"), F.lit(" ")))).limit(50).collect()
+        near = origins.where(asked.contains(F.concat(F.lit(" "), exactly("origin"), F.lit(" "))))
+        near = near.orderBy(F.desc(F.size(words("origin"))), "origin").limit(2).collect()  # the longest name wins, if one alone is longest
         return folders.fuzzy(question, [r.origin for r in near])
 
     def _scope(self, question: str, s: Signals, memory: Memory) -> Scope | Answer:

@@ -160,9 +160,11 @@ def f24_whole(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), text.excerpt("text", "license").alias("excerpt"))
 
 
-@query("F25_substantive", "select (select count(*) from items) + (select count(*) from known) as n")
+@query("F25_substantive", "select 6 * (select count(*) from known) + 5 * (select count(*) from items) - (select count(*) from known) as n")
 def f25(c):
-    return scope.substantive(c.values.where("concept in ('Cantidad', 'Folio')")).agg(F.count("*").alias("n"))
+    """All fields; segments and totals are said to stand in a file's metadata, and the totals, being numbers, stay."""
+    said = F.when(F.col("concept").isin("Segmento", "Importe total"), F.lit("metadato:x")).otherwise(F.col("location"))
+    return scope.substantive(c.values.withColumn("location", said)).agg(F.count("*").alias("n"))
 
 
 @query("P28_authorised", "select count(*) as n from known where id % 3 <> 0")
@@ -273,16 +275,24 @@ def a5(c):
     return doubles(agg.compute(c.values.where("concept in ('Cantidad', 'Precio')"), "sum", ["concept"]).select("concept", "currency", "value"), "value")
 
 
-@query("A6_category", "select currency, sum(precio)::double as value from (select id, count(*) as n, max(precio) as precio, max(currency) as currency from items group by 1) where n = 1 group by 1")
+_CATEGORIES = """, m as (select 'money' as kind, id, importe as x, currency from known union all select 'money', id, precio, currency from items union all select 'number', id, cantidad, null from items union all select 'percentage', id, descuento, null from items),
+g as (select kind, id, count(*) as n, max(x) as x, max(currency) as currency from m group by 1, 2)"""
+
+
+def _by_category(c: Corpus) -> DataFrame:
+    each = [agg.compute_category(c.values, c.documents, k).withColumn("kind", F.lit(k)) for k in agg.NUMERIC]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("A6_category", f"{_CATEGORIES} select kind, currency, sum(x)::double as value from g where n = 1 group by 1, 2")
 def a6(c):
-    money = c.values.where("concept = 'Precio'")
-    return doubles(agg.compute_category(money, c.documents, "money").select("currency", "value"), "value")
+    """Any field of a kind: most orders state several amounts and count for nothing."""
+    return doubles(_by_category(c).where("value is not null").select("kind", "currency", "value"), "value")
 
 
-@query("A6_category_account", "select count(*) as n_scope, count_if(n is null)::bigint as n_none, count_if(n > 1)::bigint as n_several, count_if(n = 1)::bigint as n_calculated from known left join (select id, count(*) as n from items group by 1) using (id)")
+@query("A6_category_account", f"{_CATEGORIES} select kind, (select count(*) from known) as n_scope, (select count(*) from known) - count(*) as n_none, count_if(n > 1)::bigint as n_several, count_if(n = 1)::bigint as n_calculated from g group by 1")
 def a6a(c):
-    out = agg.compute_category(c.values.where("concept = 'Precio'"), c.documents, "money", "count")
-    return out.select("n_scope", "n_none", "n_several", "n_calculated")
+    return _by_category(c).select("kind", "n_scope", "n_none", "n_several", "n_calculated").distinct()
 
 
 for _op in ("subtract", "multiply", "divide"):
@@ -313,14 +323,23 @@ def a9(c):
     return scope.with_filters(c.documents, c.values, [("Estado", "P")]).agg(F.count("*").alias("n"))
 
 
-@query("A10_formats", "select 'csv' as extension, count(*) as n_documents, 0::bigint as n_scanned, count(*) as n_text, 0::bigint as n_unindexed from known union all select 'txt', 0, 0, 0, count(*) from documents where n_chars < 200")
-def a10(c):
-    return rel.by_format(c.documents, c.unindexed)
+def _and_texts(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and unread files of the corpus, with the longer texts as documents of their own; one in three was read by OCR."""
+    c, texts = orders_corpus(spark, d), spark.read.parquet(f"{d}/documents.parquet").where("n_chars >= 200")
+    path = F.concat("source", F.lit("/"), F.col("doc_id"), F.lit("_texto.txt"))
+    status = F.when(F.col("n_chars") % 3 == 0, "complete").otherwise("not_required")
+    read = texts.select((-1 - F.col("doc_id")).alias("document_id"), path.alias("path"), F.col("source").alias("origin"), F.lit("txt").alias("extension"), status.alias("ocr_status"))
+    return c.documents.select(*read.columns).unionByName(read), c.unindexed
+
 
+@table_query("A10_formats", "select 'csv' as extension, count(*) as n_documents, 0::bigint as n_scanned, count(*) as n_text, 0::bigint as n_unindexed from orders union all select 'txt', count_if(n_chars >= 200)::bigint, count_if(n_chars >= 200 and n_chars % 3 = 0)::bigint, count_if(n_chars >= 200 and n_chars % 3 <> 0)::bigint, count_if(n_chars < 200)::bigint from documents")
+def a10(spark, d):
+    return rel.by_format(*_and_texts(spark, d))
 
-@query("A11_census", "select kind, count(*) as discovered, sum(i)::bigint as indexed, count_if(i = 0)::bigint as unindexed from (select 'pedido' as kind, 1 as i from known union all select 'texto', 0 from documents where n_chars < 200) group by 1")
-def a11(c):
-    return rel.census(c.documents, c.unindexed, ["kind"])
+
+@table_query("A11_census", "select kind, count(*) as discovered, sum(i)::bigint as indexed, count_if(i = 0)::bigint as unindexed from (select 'pedido' as kind, 1 as i from orders union all select case when source is null then 'sin tipo' else 'texto' end, (n_chars >= 200)::int from documents where n_chars is not null) group by 1")
+def a11(spark, d):
+    return rel.census(*_and_texts(spark, d), ["kind"])
 
 
 @query("A12_inventory", "select origin, count(*) as n_documents, min(id) as first from known group by 1")
@@ -375,9 +394,9 @@ def a20(c):
     return rel.names_folder(c.documents, c.values, "Estado")
 
 
-@query("A21_summary", "select 'money' as value_type, currency, min(precio)::double as low, max(precio)::double as high, sum(precio)::double as total, count(*) as n from items group by 2 union all select 'percentage', null, min(descuento)::double, max(descuento)::double, null, count(*) from items")
+@query("A21_summary", "select value_type, currency, min(x)::double as low, max(x)::double as high, case when value_type <> 'percentage' then sum(x)::double end as total, count(*) as n from (select 'money' as value_type, currency, importe as x from known union all select 'money', currency, precio from items union all select 'number', null, cantidad from items union all select 'percentage', null, descuento from items) group by 1, 2")
 def a21(c):
-    return doubles(agg.summary(c.values.where("concept in ('Precio', 'Descuento')")), "low", "high", "total")
+    return doubles(agg.summary(c.values), "low", "high", "total")
 
 
 @query("A22_value_list", "select lower(segmento) as literal_value, count(*) as n, greatest((select count(distinct segmento) from known) - 3, 0) as n_more from known group by 1 order by 1 limit 3")
@@ -390,9 +409,15 @@ def a23(spark, d):
     return rel.status({k: spark.read.parquet(f"{d}/{t}.parquet") for k, t in (("n_orders", "orders"), ("n_items", "lineitem"), ("n_texts", "documents"), ("n_nations", "nation"))})
 
 
-@query("A24_fields_across", "select concept, n_documents, n_distinct, 3::bigint as n_read, n_distinct = 1 and n_documents = 3 as common from (select 'Estado' as concept, count(*) as n_documents, count(distinct estado) as n_distinct from known where id in (1, 2, 3) union all select 'Segmento', count(*), count(distinct segmento) from known where id in (1, 2, 3))")
+_COLUMNS = {"Folio": "id", "Estado": "estado", "Fecha": "fecha", "Importe total": "importe", "Cliente": "o_custkey", "Segmento": "segmento", "Cantidad": "cantidad", "Precio": "precio", "Descuento": "descuento", "Retorno": "retorno", "Envio": "envio"}
+_ACROSS = " union all ".join(f"select '{name}' as concept, count(distinct id) as n_documents, count(distinct {_COLUMNS[name]}) as n_distinct from {table} where id in (select id from read)" for name, _, table in _FIELDS)
+
+
+@query("A24_fields_across", f", read as (select id from known where estado = 'F' and segmento = 'BUILDING'), f as ({_ACROSS}) select concept, n_documents, n_distinct, n_read, n_distinct = 1 and n_documents = n_read as common from f, (select count(*) as n_read from read) where n_documents > 0")
 def a24(c):
-    return agg.fields_across(c.values.where("document_id in (1, 2, 3) and concept in ('Estado', 'Segmento')"))
+    """All fields of a reading of many documents, which agree in state and segment."""
+    read = scope.resolve(c.documents, c.values, [("Estado", "F"), ("Segmento", "BUILDING")])
+    return agg.fields_across(c.values.join(read.select("document_id"), "document_id", "left_semi"))
 
 
 @query("V4_agreed_value", "select count(*) as n_documents, count(distinct estado) as n_values, min(id) as principal, case when count(distinct estado) = 1 then min(estado) end as value, case count(distinct estado) when 0 then 'absent' when 1 then 'agreed' else 'differing' end as outcome, true as reliable from known where segmento = 'BUILDING' and origin = '1-URGENT'")
@@ -505,7 +530,16 @@ def p24(c):
 
 @table_query("P26_first_chunk", "select doc_id as document_id, string_split(text, chr(10))[1] as content from documents")
 def p26(spark, d):
-    return orders_corpus(spark, d).chunks.groupBy("document_id").agg(F.min_by("content", "ordinal").alias("content"))
+    return search.first_chunks(orders_corpus(spark, d).chunks)
+
+
+@query("P26_members", "select id as document_id, hit from (select id, 'field' as hit from known where segmento = 'BUILDING' and id in (select id from items) union all select id, 'hash' from known where (o_custkey, estado, importe) in (select (o_custkey, estado, importe) from known where segmento = 'BUILDING' and estado = 'P'))")
+def p26_members(c):
+    """Members of a scope that state a price, and documents with the content of other members."""
+    members = scope.with_filters(c.documents, c.values, [("Segmento", "BUILDING")])
+    same = scope.by_hash(c.documents, scope.with_filters(members, c.values, [("Estado", "P")]))
+    stating = scope.members_stating(members, c.values, "Precio").select("document_id", F.lit("field").alias("hit"))
+    return stating.unionByName(same.select("document_id", F.lit("hash").alias("hit")))
 
 
 @table_query("A17_odd_negatives", "select 'saldo ' || c_nationkey as concept from customer group by 1 having count(*) >= 20 and count_if(c_acctbal < 0) * 20 <= count(*) union all select 's_acctbal' from supplier having count(*) >= 20 and count_if(s_acctbal < 0) * 20 <= count(*) union all select 'p_retailprice' from part having count(*) >= 20 and count_if(p_retailprice < 0) * 20 <= count(*)")
@@ -599,11 +633,11 @@ def t3(c):
 # ---- functions ------------------------------------------------------------------------------------
 
 
-@table_query("S6_label_lines", r"select role as label, count(*) as n from conversations where text <> '' group by 1")
+@table_query("S6_label_lines", r"select role as label, count(*) as n from conversations where regexp_matches(text, '\S') group by 1")
 def s6(spark, d):
     from .sources.files import label_lines
 
-    talk = spark.read.parquet(f"{d}/conversations.parquet").where("text <> ''")
+    talk = spark.read.parquet(f"{d}/conversations.parquet")
     lines = talk.select(F.col("conv_id").alias("document_id"), F.concat("role", F.lit(": "), F.regexp_replace("text", "\n", " ")).alias("content"))
     return label_lines(lines).groupBy("label").agg(F.count("*").alias("n"))
 
@@ -632,10 +666,10 @@ def x11(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
-@table_query("X12_kind_of_path", "select lower(lang) || '_nota' || (doc_id % 7)::varchar || '_' || lower(source) as kind, count(*) as n from documents where lang is not null and source is not null group by 1")
+@table_query("X12_kind_of_path", "select lower(lang) || '_nota' || (doc_id % 7)::varchar || '_' || lower(source) as kind, count(*) as n from documents group by 1")
 def x12(spark, d):
     path = F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("_"), "lang", F.lit(" Nota"), (F.col("doc_id") % 7).cast("string"), F.lit(" - "), "source", F.lit(".md"))
-    return spark.read.parquet(f"{d}/documents.parquet").where("lang is not null and source is not null").select(text.kind_of_path(path).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{d}/documents.parquet").select(text.kind_of_path(path).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 from . import queries_index  # noqa: E402, F401  (registers its own)

@@ -213,6 +213,25 @@ def f22_questions(c):
     return phrases.pinned(_questions(c), c.values.where("concept in ('Folio', 'Cliente', 'Segmento')"))
 
 
+_FILTERS = ", q as (select id, estado, segmento, id % 3 as k from known where id % 4 = 0)"
+
+
+@query("F17_inferred", f"{_FILTERS} select id as question_id, 'Cliente' as concept, null::varchar as literal_value, 'asked' as how from q where k = 0 union all select id, 'Estado', lower(estado), case k when 0 then 'explicit' else 'implicit' end from q where k <> 1 union all select id, 'Segmento', lower(segmento), 'explicit' from q where k = 0 union all select id, 'Urgente', case k when 1 then 'si' else 'no' end, 'binary' from q where k > 0 union all select id, 'Importe total', null, 'asked' from q where k = 2 union all select id, 'Retorno', null, 'unapplied' from q where k = 2")
+def f17(c):
+    """Conditions of one question for each fourth order: named, said alone, by yes and no, asked for, and lost; a single word that is no state is none."""
+    urgent = F.when(F.col("origin") == "1-URGENT", "sí").otherwise("no")
+    state = c.values.where("concept = 'Estado'")
+    flags = state.join(c.documents.select("document_id", "origin"), "document_id").withColumn("text_value", urgent).withColumn("literal_value", F.translate(urgent, "í", "i")).withColumn("concept", F.lit("Urgente")).drop("origin")
+    values = c.values.where("concept in ('Cliente', 'Estado', 'Importe total', 'Retorno', 'Segmento')").unionByName(flags)
+    wide = c.values.where("concept in ('Estado', 'Segmento') and document_id % 4 = 0").groupBy("document_id").agg(*[F.max(F.when(F.col("concept") == n, F.col("text_value"))).alias(n) for n in ("Estado", "Segmento")])
+    k = F.col("document_id") % 3
+    full = F.concat(F.lit("¿Cuál es el Cliente de los pedidos con Estado "), "Estado", F.lit(" y Segmento "), "Segmento", F.lit("?"))
+    flag = F.concat(F.lit("¿Cuántos pedidos urgente hay en "), "Segmento", F.lit("?"))
+    lost = F.concat(F.lit("Suma del importe total de los pedidos sin urgente, con retorno y "), "Estado")
+    asked = wide.select(F.col("document_id").alias("question_id"), F.when(k == 0, full).when(k == 1, flag).otherwise(lost).alias("text"))
+    return phrases.inferred_filters(asked, values)
+
+
 # ---- identifiers in texts -------------------------------------------------------------------------
 
 _IDS = r", i as (select distinct doc_id as document_id, regexp_replace(lower(strip_accents(token)), '[-_/.]', '', 'g') as identifier from (select doc_id, unnest(regexp_extract_all(text, '[\pL\pN]+(?:[-_/.][\pL\pN]+)*')) as token from documents) where regexp_matches(token, '\pL') and regexp_matches(token, '\pN'))"

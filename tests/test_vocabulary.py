@@ -98,3 +98,35 @@ def test_one_key_on_a_third_of_the_documents(spark):
     values = spark.range(3000).select(F.col("id").alias("document_id"), F.explode(F.array(F.struct(F.lit("OC").alias("concept"), F.when(F.col("id") % 3 == 0, "OC-0").otherwise(F.concat(F.lit("OC-"), "id")).alias("text_value")), F.struct(F.lit("Estado").alias("concept"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("text_value")))).alias("v"))
     values = values.select("document_id", "v.*", F.lower("v.text_value").alias("literal_value"), F.lit(True).alias("reliable"))
     assert [tuple(r) for r in rel.all_contradictions(values).collect()] == [("OC", "oc0", "Estado", 2, 1000, "a", "b", True)]
+
+
+def test_conditions_in_plain_words(spark):
+    rows = [("Estado", "state", "activo"), ("Estado", "state", "cerrado"), ("Zona", "text", "san pedro"), ("Barrio", "text", "san pedro"), ("Zona", "text", "norte"), ("Ciudad", "text", "villa nueva"), ("Pagado", "text", "si"), ("Pagado", "text", "no"), ("Estado civil", "text", "soltero"), ("Monto", "money", "10"), ("Nota", "text", "monto")]
+    values = spark.createDataFrame(rows, "concept string, value_type string, literal_value string")
+    asked = [
+        (1, "¿Cuál es el monto de los que tienen Estado activo?"),  # the note that says monto is the field's name
+        (2, "los cerrado en Villa Nueva"),
+        (3, "cuántos hay en San Pedro"),
+        (4, "pagado de la zona San Pedro"),
+        (5, "monto sin pagado, con zona, norte"),
+        (6, "monto del estado civil"),  # holds the name of another field
+        (7, "monto y ciudad"),
+        (8, None),
+        (9, ""),
+        (1, "¿Cuál es el monto de los que tienen Estado activo?"),
+    ]
+    got = phrases.inferred_filters(spark.createDataFrame(asked, "question_id int, text string"), values)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [
+            (1, "Monto", None, "asked"), (1, "Estado", "activo", "explicit"),
+            (2, "Estado", "cerrado", "implicit"), (2, "Ciudad", "villa nueva", "implicit"),
+            (3, "Zona", "san pedro", "ambiguous"), (3, "Barrio", "san pedro", "ambiguous"),
+            (4, "Pagado", "si", "binary"), (4, "Zona", "san pedro", "explicit"),
+            (5, "Monto", None, "asked"), (5, "Pagado", "no", "binary"), (5, "Zona", "norte", "explicit"),
+            (6, "Monto", None, "asked"), (6, "Estado civil", None, "unapplied"),
+            (7, "Monto", None, "asked"), (7, "Ciudad", None, "unapplied"),
+        ],
+        key=str,
+    )
+    empty = spark.createDataFrame([], "question_id int, text string")
+    assert phrases.inferred_filters(empty, values).count() == 0
