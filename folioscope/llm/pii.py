@@ -4,9 +4,9 @@ Detected entities are brought into a canonical form (digits of a phone number,
 lower-case e-mail address), so that spellings of one entity corefer. A keyed
 hash of type, canonical form and attempt makes the surrogate: same type, same
 format, same script, and for given names the same gender. All surrogates of a
-corpus are checked together: one that equals a real entity, or another's
-surrogate, is drawn again with the next attempt, until all are distinct. Later
-attempts have a wider form, so that this ends however small a format is. Equal
+corpus are checked together, those of all kinds: one that reads, whatever its
+format, like a real entity or like another's surrogate is drawn again with the
+next attempt, until all are distinct. Later attempts have a wider form, so that this ends however small a format is. Equal
 entities thus get equal surrogates in all documents, different ones different
 ones. A surname found after a title is replaced wherever its document has it.
 
@@ -284,29 +284,47 @@ SPANS = "array<struct<begin:int,end:int,kind:string>>"
 MAPPING = "kind string, canonical string, surrogate string"
 
 
+def shown(value: str) -> str:
+    """What stays of a value in every format: texts that readers see differ if this differs.
+
+    Separators, case and the script of digits go, and an address is written out.
+    """
+    value = ascii_digits(value)
+    if re.fullmatch(r"[0-9a-fA-F:.]*[:.][0-9a-fA-F:.]*", value):
+        try:
+            return ipaddress.ip_address(value).exploded
+        except ValueError:
+            pass
+    return "".join(c for c in value.casefold() if c.isalnum())
+
+
 def resolve(found: DataFrame, key: bytes) -> DataFrame:
     """Distinct surrogates for distinct ``found`` (kind, canonical).
 
-    Each round draws for those still without one. Whoever draws a real entity,
-    a surrogate already taken, or the same as a smaller entity draws again.
+    Each round draws for those still without one. Whoever draws what looks like
+    a real entity of any kind, like a surrogate already taken, or like that of a
+    smaller entity draws again; ``shown`` tells what looks alike.
     """
+    import pyarrow as pa
+
+    def known(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shown(x) for x in batch.column(0).to_pylist()], pa.string())], names=["form"])
+
     pending, taken, turn = found, None, 0
-    real = found.select("kind", F.col("canonical").alias("surrogate"))
+    real = materialise(found.select("canonical").mapInArrow(known, "form string").distinct(), "pii-real")
     left = found.count()
     while left or taken is None:
 
         def draw(batches, attempt=attempt_of(turn)):
-            import pyarrow as pa
-
             for batch in batches:
-                kinds, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([surrogate(key, k, v, attempt) for k, v in zip(kinds, values)], pa.string())], names=["kind", "canonical", "surrogate"])
+                new = [surrogate(key, k, v, attempt) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string()), pa.array(map(shown, new), pa.string())], names=["kind", "canonical", "surrogate", "form"])
 
-        drawn = pending.select("kind", "canonical").mapInArrow(draw, MAPPING)
-        free = drawn.join(real, ["kind", "surrogate"], "left_anti")
+        free = pending.select("kind", "canonical").mapInArrow(draw, f"{MAPPING}, form string").join(real, "form", "left_anti")
         if taken is not None:
-            free = free.join(taken, ["kind", "surrogate"], "left_anti")
-        won = materialise(free.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")).select("kind", "canonical", "surrogate"), "surrogates")
+            free = free.join(taken, "form", "left_anti")
+        won = materialise(free.groupBy("form").agg(F.min(F.struct("kind", "canonical", "surrogate")).alias("w")).select("w.*", "form"), "surrogates")
         left -= won.count()
         taken = won if taken is None else taken.unionByName(won)
         if left:
@@ -314,7 +332,7 @@ def resolve(found: DataFrame, key: bytes) -> DataFrame:
             if turn:
                 discard(done)
         turn += 1
-    return taken
+    return taken.drop("form")
 
 
 def hint() -> Column:
