@@ -231,7 +231,7 @@ def deal(docs: DataFrame, hot: np.ndarray, buckets: int, turn: int, how: Paramet
                     if turn == 1 and len(at):
                         send(list(_worth(owner[at].astype(np.int64) + row, which, pairs_known.word, pairs_known.history, pairs_known.c_pair, pairs_known.c_word, how)))
                 mine = np.flatnonzero(place >= 0)
-                by = mine[np.lexsort((history[mine], words[mine], route[mine]))]
+                by = mine[np.lexsort((history[mine], words[mine], place[mine]))]
                 words, history, place, owner = words[by], history[by], place[by], owner[by].astype(np.uint32)
                 pairs = _firsts(words, history)
                 new_word = np.zeros(len(pairs), bool)
