@@ -7,10 +7,13 @@ searched in anything, and neither side is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.places import work_dir
 
 DOC = "document_id"
 #: Words of a value that a question can spell out, at most.
@@ -54,22 +57,69 @@ def pinned(questions: DataFrame, values: DataFrame, longest: int = LONGEST) -> D
     With several best documents none is pinned and ``n_tied`` says how many
     there are; a question without anchors has no row. Questions with the same
     anchors are answered together.
+
+    Only documents that state the rarest anchor are scored. The best of all are
+    they or the best for the other anchors: a document with the rarest one scores
+    more than it does for the others. So the others are asked in turn, where they
+    could still reach the score, once for all sets that end alike.
     """
+    spark, root = values.sparkSession, work_dir(values.sparkSession, "pinned")
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
     spans = covered(mentioned(questions, values, longest)).select("question_id", "phrase").distinct()
-    sets = spans.groupBy("question_id").agg(F.array_sort(F.collect_list("phrase")).alias("anchors"))
+    sets = written(spans.groupBy("question_id").agg(F.array_sort(F.collect_list("phrase")).alias("anchors")), "sets")
+    phrases = sets.select(F.explode("anchors").alias("phrase")).distinct()
+    meaning = dictionary(values, longest).select("phrase", "concept", "literal_value").join(phrases, "phrase", "left_semi")
+    stated = written(values.select(DOC, "concept", "literal_value").join(meaning, ["concept", "literal_value"]).select("phrase", DOC).distinct(), "stated")
+    known = written(stated.groupBy("phrase").agg(F.count("*").alias("n"), F.min(DOC).alias(DOC)), "known")
+
     asked = sets.select("anchors").distinct()
-    each = asked.select("anchors", F.explode("anchors").alias("phrase"))
-    meaning = dictionary(values, longest).select("phrase", "n_words", "concept", "literal_value")
-    stated = values.select(DOC, "concept", "literal_value").join(each.join(meaning, "phrase"), ["concept", "literal_value"])
-    hits = stated.groupBy("anchors", "phrase", "n_words", DOC).agg(F.lit(1).alias("one"))
-    scores = hits.groupBy("anchors", DOC).agg((F.count("*") * 1001 + F.sum("n_words")).alias("score"))
-    # Documents of equal score are counted, not gathered.
-    levels = scores.groupBy("anchors", "score").agg(F.count("*").alias("n_tied"), F.min(DOC).alias(DOC))
-    best = levels.groupBy("anchors").agg(F.max_by(F.struct("score", "n_tied", DOC), "score").alias("b"))
-    one = best.select("anchors", F.when(F.col("b.n_tied") == 1, F.col(f"b.{DOC}")).alias(DOC), "b.score", F.size("anchors").alias("n_anchors"), "b.n_tied")
+    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "phrase")))
+    each = asked.select("anchors", F.explode("anchors").alias("phrase")).join(known.select("phrase", "n"), "phrase", "left")
+    left = each.groupBy("anchors").agg(ranked.alias("r")).select("anchors", F.col("r.phrase").alias("rest"), F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("n_tied"), F.lit(None).cast(values.schema[DOC].dataType).alias(DOC))
+    done, turn = [], 0
+    left = written(left, "left0")
+    while not left.isEmpty():
+        best = _best_of_rarest(left.select("rest").distinct(), stated, known)
+        score, more = F.coalesce("b.score", F.lit(0)), F.coalesce("b.n_tied", F.lit(0))
+        ahead, level = score > F.col("score"), score == F.col("score")
+        n_tied = F.when(ahead, more).when(level, F.col("n_tied") + more).otherwise(F.col("n_tied"))
+        first = F.when(ahead | level & (F.col("n_tied") == 0), F.col(f"b.{DOC}")).otherwise(F.col(DOC))
+        found = left.join(best, "rest", "left").select("anchors", F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), F.greatest(score, "score").alias("score"), n_tied.alias("n_tied"), first.alias(DOC))
+        turn += 1
+        found = written(found, f"found{turn}")
+        reach = (F.size("rest") > 0) & (F.col("score") <= _weight(F.col("rest")))
+        done.append(found.where(~reach & (F.col("score") > 0)))
+        left = found.where(reach)
+    if not done:
+        done = [left]
+    one = reduce(DataFrame.unionByName, done).select("anchors", F.when(F.col("n_tied") == 1, F.col(DOC)).alias(DOC), "score", F.size("anchors").alias("n_anchors"), "n_tied")
     return sets.join(one, "anchors").select("question_id", DOC, "score", "n_anchors", "n_tied")
 
 
+def _weight(phrases: Column) -> Column:
+    """1001 for each phrase, plus their words."""
+    words_of = lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "))) + 1
+    return F.aggregate(phrases, F.lit(0).cast("long"), lambda total, p: total + 1001 + words_of(p))
+
+
+def _best_of_rarest(sets: DataFrame, stated: DataFrame, known: DataFrame) -> DataFrame:
+    """(rest, b: score, n_tied, document_id): of the documents that state the first phrase of ``rest`` those with the best score for all of it; ``known`` has them already where it is the only phrase."""
+    first = F.element_at("rest", 1)
+    alone = sets.where(F.size("rest") == 1).withColumn("phrase", first).join(known, "phrase")
+    alone = alone.select("rest", F.struct(_weight(F.col("rest")).alias("score"), F.col("n").alias("n_tied"), F.col(DOC)).alias("b"))
+    having = sets.where(F.size("rest") > 1).withColumn("phrase", first).join(stated, "phrase").select("rest", DOC)
+    hits = having.join(stated, DOC).where(F.array_contains("rest", F.col("phrase")))
+    scores = hits.groupBy("rest", DOC).agg(F.sum(_weight(F.array("phrase"))).alias("score"))
+    # Documents of equal score are counted, not gathered.
+    levels = scores.groupBy("rest", "score").agg(F.count("*").alias("n_tied"), F.min(DOC).alias(DOC))
+    several = levels.groupBy("rest").agg(F.max_by(F.struct("score", "n_tied", DOC), "score").alias("b"))
+    return alone.unionByName(several)
+
+
 def field_names(values: DataFrame) -> DataFrame:
     """(phrase, concept, is_binary): the fields' names as phrases, and whether a field's values are yes and no, both and nothing else."""
     yes, no = F.col("literal_value") == "si", F.col("literal_value") == "no"

@@ -130,3 +130,47 @@ def test_conditions_in_plain_words(spark):
     )
     empty = spark.createDataFrame([], "question_id int, text string")
     assert phrases.inferred_filters(empty, values).count() == 0
+
+
+def rows_made(spark, action):
+    """The most rows that any step of the plans makes which the action runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    action()
+    most, every = 0, store.executionsList()
+    for i in range(before, every.size()):
+        number = every.apply(i).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            found = (node.metrics().apply(k) for k in range(node.metrics().size()))
+            most = max([most, *[int(values.apply(m.accumulatorId()).replace(",", "")) for m in found if m.name() == "number of output rows" and values.contains(m.accumulatorId())]])
+    return most
+
+
+def test_pinned_is_what_all_documents_score(spark):
+    r = random.Random(8)
+    for n_docs, sizes in ((25, (3, 6, 9)), (6, (4, 30, 30))):
+        facts = [(d, c, f"{c[0].lower()}{r.randrange(k)}" + (" x" if r.random() < 0.3 else ""), True) for d in range(n_docs) for c, k in zip(("Alfa", "Beta", "Gama"), sizes) if r.random() < 0.8]
+        said = sorted({x for *_, x, _ in facts} | {"b99"})
+        asked = [(i, ", ".join(r.choices(said, k=r.choice([1, 2, 3, 5])))) for i in range(80)]
+        stated = {d: {x for e, _, x, _ in facts if e == d} for d in range(n_docs)}
+        spelled = {x for xs in stated.values() for x in xs}
+        want = {}
+        for i, q in asked:
+            anchors = {x for x in q.split(", ") if x in spelled} - {x for x in spelled if f"{x} x" in q.split(", ") and x not in q.split(", ")}
+            anchors |= {x[:-2] for x in q.split(", ") if x.endswith(" x") and x not in spelled and x[:-2] in spelled}
+            scores = {d: sum(1001 + len(x.split()) for x in anchors & own) for d, own in stated.items()}
+            best = max(scores.values())
+            tied = [d for d, s in scores.items() if s == best]
+            if anchors:
+                want[i] = (tied[0] if len(tied) == 1 else None, best, len(anchors), len(tied))
+        # A phrase that lies in a longer one is no anchor there, but it is where it stands alone.
+        got = phrases.pinned(spark.createDataFrame(asked, "question_id long, text string"), rows(spark, facts))
+        assert {x.question_id: (x.document_id, x.score, x.n_anchors, x.n_tied) for x in got.collect()} == want
+
+
+def test_pinned_scores_no_document_for_a_common_value_alone(spark):
+    n = 300
+    values = rows(spark, [(d, "Folio", f"f{d}", True) for d in range(n)] + [(d, "Clase", "comun", True) for d in range(n)])
+    asked = spark.createDataFrame([(d, f"f{d} comun") for d in range(n)], "question_id long, text string")
+    assert rows_made(spark, lambda: phrases.pinned(asked, values).collect()) < 10 * n
