@@ -15,8 +15,12 @@ of all, without the postings of documents that went.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,24 +53,66 @@ def _write(chunks: DataFrame, at: str, segment: str) -> None:
     spark = chunks.sparkSession
     ordered = chunks.select(DOC, "ordinal", "content").repartitionByRange(DOC).sortWithinPartitions(DOC, "ordinal")
     split = ordered.select(DOC, "ordinal", words("content").alias("w"), F.xxhash64("content").alias("hash"), F.length("content").alias("size"), F.monotonically_increasing_id().alias("number"))
-    place = [F.lit(segment).alias("segment"), F.expr(f"number div {SPAN}").alias("block"), (F.col("number") % SPAN).cast("int").alias("place")]
-    split.select(*place, DOC, "ordinal", "w", "hash", "size").write.mode("overwrite").parquet(f"{at}/_split")
-    split = spark.read.parquet(f"{at}/_split")
-
-    one = F.struct("place", DOC, "ordinal", "size", "hash")
-    spans = split.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(one)).alias("c"), F.count("*").alias("n"), F.sum(F.size("w")).alias("length"))
-    listed = [F.col(f"c.{c}").alias(name) for c, name in (("place", "places"), (DOC, "documents"), ("ordinal", "ordinals"), ("size", "sizes"), ("hash", "hashes"))]
-    _edged(spans.select(*BLOCK, *listed, "n", "length")).write.mode("overwrite").parquet(f"{at}/spans")
-
-    each = split.select(*BLOCK, "place", DOC, F.size("w").alias("length"), F.explode("w").alias("term"))
-    counted = each.groupBy("term", *BLOCK, "place", DOC, "length").agg(F.count("*").cast("int").alias("tf"))
-    entry = F.array_sort(F.collect_list(F.struct("place", "tf", "length", DOC))).alias("p")
-    rows = counted.groupBy("term", *BLOCK).agg(entry, F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
-    rows = rows.select("term", *BLOCK, "max_tf", "min_length", F.size("p").alias("n"), F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), F.col(f"p.{DOC}").alias("documents"))
+    split = split.select(F.expr(f"number div {SPAN}").alias("block"), (F.col("number") % SPAN).cast("int").alias("place"), DOC, "ordinal", "w", "hash", "size")
+    kind = {f.name: f.dataType.simpleString() for f in split.schema.fields}
+    listed = f"places array<int>, documents array<{kind[DOC]}>, tfs array<int>, lengths array<int>, ordinals array<{kind['ordinal']}>, sizes array<int>, hashes array<bigint>"
+    split.mapInArrow(_cut, f"term string, block long, max_tf int, min_length int, n int, length long, {listed}").write.mode("overwrite").parquet(f"{at}/_cut")
+    cut = spark.read.parquet(f"{at}/_cut").withColumn("segment", F.lit(segment))
+
+    spans = cut.where("term is null").select(*BLOCK, "places", "documents", "ordinals", "sizes", "hashes", F.col("n").cast("long").alias("n"), "length")
+    _edged(spans).write.mode("overwrite").parquet(f"{at}/spans")
+    rows = cut.where("term is not null").select("term", *BLOCK, "max_tf", "min_length", "n", "places", "tfs", "lengths", "documents")
     _sorted(rows).write.mode("overwrite").parquet(f"{at}/blocks")
     _dictionary(spark.read.parquet(f"{at}/blocks")).write.mode("overwrite").parquet(f"{at}/terms")
-    split.select(DOC).limit(0).write.mode("overwrite").parquet(f"{at}/deletes")
-    places.delete(spark, f"{at}/_split")
+    ordered.select(DOC).limit(0).write.mode("overwrite").parquet(f"{at}/deletes")
+    places.delete(spark, f"{at}/_cut")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row without term for each block, and one for each term of it. Chunks come in the order of their numbers; a partition begins a block of its own."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for begin, end in zip(edges, edges[1:]):
+            if begin == end:
+                continue
+            if held and held[-1].column("block")[0].as_py() != int(block[begin]):
+                yield from _block(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield from _block(pa.Table.from_batches(held))
+
+
+def _block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of one block of chunks."""
+    column = lambda name: rows.column(name).combine_chunks()
+    place, document, w = column("place"), column(DOC), column("w")
+    length = pc.fill_null(pc.list_value_length(w), 0).cast(pa.int32())
+    coded = w.flatten().dictionary_encode()
+    lengths = length.to_numpy()
+    key = coded.indices.to_numpy().astype("int64") * len(w) + np.repeat(np.arange(len(w)), lengths)
+    key, tf = np.unique(key, return_counts=True)
+    code, at = key // len(w), pa.array(key % len(w))
+    begin = np.flatnonzero(np.diff(code, prepend=-1))
+    ends = np.append(begin, len(code))
+    tf = tf.astype("int32")
+    starts = lambda n: pa.array(n.astype("int32"))
+    lists = lambda x, n: pa.ListArray.from_arrays(starts(n), x)
+    none = lambda n, kind: pa.nulls(n, kind)
+    whole, number = np.array([0, len(w)]), rows.column("block")[0].as_py()
+    own = {"ordinals": column("ordinal"), "sizes": column("size").cast(pa.int32()), "hashes": column("hash")}
+    i32 = pa.int32()
+    spans = [none(1, pa.string()), pa.array([number]), none(1, i32), none(1, i32), pa.array([len(w)], i32), pa.array([int(lengths.sum())])]
+    spans += [lists(place, whole), lists(document, whole), none(1, pa.list_(i32)), none(1, pa.list_(i32)), *[lists(x, whole) for x in own.values()]]
+    names = ["term", "block", "max_tf", "min_length", "n", "length", "places", "documents", "tfs", "lengths", *own]
+    yield pa.RecordBatch.from_arrays(spans, names)
+    if len(begin):
+        n, long = len(begin), length.take(at)
+        terms = [coded.dictionary.take(pa.array(code[begin])).cast(pa.string()), pa.array(np.full(n, number)), pa.array(np.maximum.reduceat(tf, begin)), pa.array(np.minimum.reduceat(long.to_numpy(), begin)), starts(np.diff(ends)), none(n, pa.int64())]
+        terms += [lists(place.take(at), ends), lists(document.take(at), ends), lists(pa.array(tf), ends), lists(long, ends), *[none(n, pa.list_(x.type)) for x in own.values()]]
+        yield pa.RecordBatch.from_arrays(terms, names)
 
 
 def _edged(spans: DataFrame) -> DataFrame:
@@ -79,10 +125,17 @@ def _sorted(blocks: DataFrame) -> DataFrame:
 
 
 def _dictionary(blocks: DataFrame) -> DataFrame:
-    """(term, tf, df, n_documents): occurrences, chunks and documents of each term."""
-    documents = blocks.select("term", F.explode(F.array_distinct("documents")).alias("d")).groupBy("term").agg(F.count_distinct("d").alias("n_documents"))
-    counts = blocks.groupBy("term").agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tf"), F.sum("n").alias("df"))
-    return counts.join(documents, "term").repartitionByRange("term").sortWithinPartitions("term")
+    """(term, tf, df, n_documents): occurrences, chunks and documents of each term.
+
+    Only a term's first and last document in a block can stand in another block too, see ``_edged``; the others are counted where they are.
+    """
+    ends = F.array_distinct(F.array(F.element_at("documents", 1), F.element_at("documents", -1)))
+    inner = F.when(F.col("n") > 2, F.size(F.array_distinct("documents")) - F.size(ends)).otherwise(0)
+    total = F.when(F.col("max_tf") == 1, F.col("n").cast("long")).otherwise(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x))
+    counts = blocks.groupBy("term").agg(F.sum(total).alias("tf"), F.sum(F.col("n").cast("long")).alias("df"), F.sum(inner).alias("__inner"))
+    edges = blocks.select("term", F.explode(ends).alias("d")).groupBy("term").agg(F.count_distinct("d").alias("__edges"))
+    whole = counts.join(edges, "term").select("term", "tf", "df", (F.col("__inner") + F.col("__edges")).alias("n_documents"))
+    return whole.repartitionByRange("term").sortWithinPartitions("term")
 
 
 def _totals(spans: DataFrame) -> dict:

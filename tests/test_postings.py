@@ -110,3 +110,15 @@ def test_empty_texts_and_an_empty_collection(spark, tmp_path):
     assert [r.document_id for r in ranked.free_text(index, "luz").collect()] == [3] and index.n == 3
     postings.add(spark.createDataFrame([], SCHEMA), str(tmp_path / "b"), "s1")
     assert ranked.all_terms(postings.open_index(spark, str(tmp_path / "b")), "luz").count() == 0
+
+
+def test_no_row_a_word_and_documents_over_many_blocks(spark, tmp_path, small_blocks):
+    from .test_vocabulary import rows_made
+
+    r = random.Random(4)
+    rows = [(d, o, " ".join(f"x{r.randrange(9)}" for _ in range(60))) for d, n in ((1, 30), (2, 1), (3, 3), (4, 17)) for o in range(n)] + [(5, 0, None), (6, 0, "")]
+    made = rows_made(spark, lambda: postings.add(spark.createDataFrame(rows, SCHEMA), str(tmp_path), "s1"))
+    assert made < 51 * 9
+    stored = {x.term: (x.tf, x.df, x.n_documents) for x in postings.open_index(spark, str(tmp_path)).terms.collect()}
+    held = {t: [(d, c.split().count(t)) for d, _, c in rows if c and t in c.split()] for t in (f"x{i}" for i in range(9))}
+    assert stored == {t: (sum(n for _, n in hits), len(hits), len({d for d, _ in hits})) for t, hits in held.items()}
