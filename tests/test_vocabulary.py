@@ -174,3 +174,17 @@ def test_pinned_scores_no_document_for_a_common_value_alone(spark):
     values = rows(spark, [(d, "Folio", f"f{d}", True) for d in range(n)] + [(d, "Clase", "comun", True) for d in range(n)])
     asked = spark.createDataFrame([(d, f"f{d} comun") for d in range(n)], "question_id long, text string")
     assert rows_made(spark, lambda: phrases.pinned(asked, values).collect()) < 10 * n
+
+
+def test_fields_across_read_their_rows_once(spark, tmp_path):
+    from folioscope.operators import aggregate
+
+    r = random.Random(5)
+    facts = [(r.randrange(9), c, r.choice(["a", "b", None][: k + 1]), True) for k, c in enumerate(("Uno", "Dos", "Tres")) for _ in range(7 + 9 * k)] + [(d, "Todos", "x", True) for d in range(9)] + [(1, "Nada", None, True)]
+    made = spark.createDataFrame([(d, c, x) for d, c, x, _ in facts], "document_id long, concept string, literal_value string")
+    found = aggregate.fields_across(made)
+    of = {c: [(d, x) for d, e, x, _ in facts if e == c] for c in {f[1] for f in facts}}
+    want = {(c, len({d for d, _ in rows}), len({x for _, x in rows if x}), 9, len({x for _, x in rows if x}) == 1 and len({d for d, _ in rows}) == 9) for c, rows in of.items()}
+    assert {tuple(x) for x in found.select("concept", "n_documents", "n_distinct", "n_read", "common").collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Join" not in plan and not aggregate.fields_across(made.limit(0)).count()
