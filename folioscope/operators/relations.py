@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import identifier_of, kind_of_path
 from ..functions.values import exact_ratio
+from ..sources.places import work_dir
 from .aggregate import DOC, compute
 
 
@@ -96,29 +97,30 @@ def stated_fields(values: DataFrame) -> DataFrame:
 
 
 def _linked(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents of keys that several share, and how many share each."""
-    keys = keyed_documents(values)
+    """Documents of keys that several share, and how many share each; the values are read for it once."""
+    spark, at = values.sparkSession, work_dir(values.sparkSession, "keys")
+    keyed_documents(values).write.parquet(at)
+    keys = spark.read.parquet(at)
     shared = keys.groupBy("key_field", "key").agg(F.count("*").alias("n_linked")).where("n_linked > 1")
     return keys.join(shared.drop("n_linked"), ["key_field", "key"], "left_semi"), shared
 
 
-def _by_value(values: DataFrame) -> DataFrame:
+def _by_value(values: DataFrame, linked: DataFrame) -> DataFrame:
     """Linked documents counted by key, field and value: a hot key is dealt out by the values of its documents before it comes together."""
-    linked, _ = _linked(values)
     return linked.join(stated_fields(values), DOC).groupBy("key_field", "key", "concept", "value").agg(F.count("*").alias("n"), F.bool_and("reliable").alias("reliable"))
 
 
 def all_contradictions(values: DataFrame) -> DataFrame:
     """Every key of every identifier field, and every field in which documents that share it state different single values."""
-    each = _by_value(values).where(F.col("value").isNotNull() & (F.col("concept") != F.col("key_field")))
+    each = _by_value(values, _linked(values)[0]).where(F.col("value").isNotNull() & (F.col("concept") != F.col("key_field")))
     out = each.groupBy("key_field", "key", "concept").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_documents"), F.min("value").alias("low"), F.max("value").alias("high"), F.bool_and("reliable").alias("reliable"))
     return out.where("n_values >= 2")
 
 
 def all_dossiers(values: DataFrame) -> DataFrame:
     """For every shared key, every field of the collection: documents that state it, different single values, conflicts and gaps."""
-    _, shared = _linked(values)
-    each = _by_value(values).groupBy("key_field", "key", "concept").agg(F.sum("n").alias("n_documents"), F.count("value").alias("n_values"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_several"), F.bool_and("reliable").alias("reliable"))
+    linked, shared = _linked(values)
+    each = _by_value(values, linked).groupBy("key_field", "key", "concept").agg(F.sum("n").alias("n_documents"), F.count("value").alias("n_values"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_several"), F.bool_and("reliable").alias("reliable"))
     fields = values.select("concept").distinct().agg(F.array_sort(F.collect_list("concept")).alias("__fields"))  # one row: the collection's fields
     grid = shared.crossJoin(F.broadcast(fields)).select("key_field", "key", "n_linked", F.explode("__fields").alias("concept"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))

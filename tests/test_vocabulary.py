@@ -188,3 +188,14 @@ def test_fields_across_read_their_rows_once(spark, tmp_path):
     assert {tuple(x) for x in found.select("concept", "n_documents", "n_distinct", "n_read", "common").collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and "Join" not in plan and not aggregate.fields_across(made.limit(0)).count()
+
+
+def test_keys_are_found_once(spark, tmp_path):
+    rows(spark, [(1, "Folio", "OC-1", True), (2, "Folio", "oc 1", True), (1, "Estado", "F", True), (2, "Estado", "P", True), (3, "Folio", "12.5", True)]).write.parquet(str(tmp_path / "values"))
+    found = rel.all_contradictions(spark.read.parquet(str(tmp_path / "values")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "text_value" in line for line in plan.splitlines()) == 1
+    assert [(r.key_field, r.key, r.concept, r.n_values, r.low, r.high) for r in found.collect()] == [("Folio", "oc1", "Estado", 2, "f", "p")]
+    texts = ["OC-1", "oc 1", "12.5", "", None, "a", "ÑÚ-7x", "a_1!", "Ⅷ-a", "x-٣", "--", "F 1 / 2"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", text.identifier_of("x").alias("k")).orderBy("i").collect()
+    assert [r.k for r in got][:7] == ["oc1", "oc1", None, None, None, None, "nu7x"] and [r.k for r in got][7:] == [None, "ⅷa", "x٣", None, "f12"]
