@@ -141,8 +141,17 @@ def inferred_filters(questions: DataFrame, values: DataFrame, longest: int = LON
     questions of one id are one question.
 
     Fields and values are one dictionary, which is joined once; all else goes by
-    question, whose phrases are as many as its words allow.
+    question, whose phrases are as many as its words allow. Questions of one
+    wording are answered together: their ids wait until the answer is there.
     """
+    asked = questions.where("text is not null").groupBy("question_id").agg(F.array_sort(F.collect_set("text")).alias("wording"))
+    wordings = asked.select("wording").distinct()
+    told = _told(wordings.select(F.col("wording").alias("question_id"), F.explode("wording").alias("text")), values, longest)
+    return asked.join(told.withColumnRenamed("question_id", "wording"), "wording").select("question_id", "concept", "literal_value", "how")
+
+
+def _told(questions: DataFrame, values: DataFrame, longest: int) -> DataFrame:
+    """``inferred_filters`` of different questions."""
     none, no = F.lit(None).cast("string"), F.lit(False)
     names = field_names(values).select("phrase", "concept", none.alias("literal_value"), no.alias("is_state"), "is_binary", F.lit(True).alias("is_field"))
     known = names.unionByName(dictionary(values, longest).drop("n_words").withColumns({"is_binary": no, "is_field": no}))

@@ -147,6 +147,16 @@ def rows_made(spark, action):
     return most
 
 
+def test_questions_of_one_wording_are_answered_once(spark):
+    values = spark.createDataFrame([("Estado", "state", "activo"), ("Zona", "text", "norte"), ("Monto", "money", "10")], "concept string, value_type string, literal_value string")
+    n, said = 400, ["monto de los de Zona norte con Estado activo", "los activo", "nada", "zona"]
+    asked = spark.createDataFrame([(i, said[i % 4]) for i in range(n)] + [(1, said[1]), (n, None)], "question_id int, text string")
+    got = []
+    assert rows_made(spark, lambda: got.extend(phrases.inferred_filters(asked, values).collect())) < 3 * n
+    want = {(i, *r) for i in range(n) for r in ([("Monto", None, "asked"), ("Zona", "norte", "explicit"), ("Estado", "activo", "explicit")], [("Estado", "activo", "implicit")], [], [("Zona", None, "asked")])[i % 4]}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_pinned_is_what_all_documents_score(spark):
     r = random.Random(8)
     for n_docs, sizes in ((25, (3, 6, 9)), (6, (4, 30, 30))):
