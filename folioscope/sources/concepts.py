@@ -17,7 +17,10 @@ REJECTED = "rejected"
 
 
 def keyed(values: DataFrame, label: str = "label") -> DataFrame:
-    return values.withColumn("key", canonical_key_of(label))
+    """Values with the key of their label, which is found once for each different label: these are few, as fields are."""
+    keys = values.select(F.col(label).alias("__label")).distinct().select("__label", canonical_key_of("__label").alias("__key"))
+    found = values.join(F.broadcast(keys), F.col(label) == F.col("__label"), "left")
+    return found.withColumn("key", F.col("__key")).drop("__label", "__key")
 
 
 def readings(values: DataFrame) -> DataFrame:

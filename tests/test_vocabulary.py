@@ -209,3 +209,15 @@ def test_keys_are_found_once(spark, tmp_path):
     texts = ["OC-1", "oc 1", "12.5", "", None, "a", "ÑÚ-7x", "a_1!", "Ⅷ-a", "x-٣", "--", "F 1 / 2"]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", text.identifier_of("x").alias("k")).orderBy("i").collect()
     assert [r.k for r in got][:7] == ["oc1", "oc1", None, None, None, None, "nu7x"] and [r.k for r in got][7:] == [None, "ⅷa", "x٣", None, "f12"]
+
+
+def test_keys_of_labels_are_found_once_for_each_label(spark, tmp_path):
+    from folioscope.sources import concepts
+
+    labels = ["Monto total", "MONTOS TOTALES", "Folio", None, "", "de la", "Luces"]
+    spark.createDataFrame([(i, labels[i % 7]) for i in range(700)], "i int, label string").write.parquet(str(tmp_path / "v"))
+    found = concepts.keyed(spark.read.parquet(str(tmp_path / "v")))
+    assert found.columns == ["i", "label", "key"] and {(r.label, r.key) for r in found.collect()} == {(x, None if x is None else text.canonical_key(x)) for x in labels} and found.count() == 700
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    keyed = [k for k, line in enumerate(plan) if "lambda" in line]
+    assert keyed and all("Aggregate [" in "".join(plan[k : k + 2]) for k in keyed)
