@@ -27,3 +27,13 @@ def test_chunks_leave_python_in_small_batches(monkeypatch):
     got = [tuple(r.values()) for b in made for r in b.to_pylist()]
     assert got == [(i, c["ordinal"], c["location"], c["content"]) for i, t in enumerate(texts) for c in files.chunks_of(t or "")]
     assert len(made) > 20 and all(sum(map(len, b.column(3).to_pylist()[:-1])) <= 5000 for b in made) and not list(files.chunk_batches([]))
+
+
+@pytest.mark.parametrize("terms", [["thea"], ["luz"], ["the"], ["thea", "ver"], ["lucez"], ["a-th"], [""], []])
+def test_terms_are_found_as_word_by_word(spark, terms):
+    slow = F.lit(True)
+    for t in terms:
+        slow = slow & F.exists(text.words("x"), text._matches(t, 4))
+    rows = spark.createDataFrame([(x,) for x in ODD], "x string").select("x", text.holds_terms("x", terms).alias("a"), slow.alias("b"))
+    assert [r.x for r in rows.where("a").collect()] == [r.x for r in rows.where("b").collect()]
+    assert terms != ["thea"] or "lambda" not in plan_of(rows.select("a"))
