@@ -104,8 +104,8 @@ def by_hash(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def members_stating(members: DataFrame, values: DataFrame, concept: str) -> DataFrame:
-    """Of these documents those that state the field at all."""
-    return members.join(values.where(F.col("concept") == concept).select(DOC), DOC, "left_semi")
+    """Of these documents those that state the field at all; their records are one row before they meet."""
+    return members.join(values.where(F.col("concept") == concept).select(DOC).distinct(), DOC, "left_semi")
 
 
 def mentioned_values(values: DataFrame, question: str, most_words: int = 8) -> DataFrame:

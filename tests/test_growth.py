@@ -37,3 +37,13 @@ def test_terms_are_found_as_word_by_word(spark, terms):
     rows = spark.createDataFrame([(x,) for x in ODD], "x string").select("x", text.holds_terms("x", terms).alias("a"), slow.alias("b"))
     assert [r.x for r in rows.where("a").collect()] == [r.x for r in rows.where("b").collect()]
     assert terms != ["thea"] or "lambda" not in plan_of(rows.select("a"))
+
+
+def test_records_of_a_member_are_one_row_and_items_are_not_sorted_for_their_currency(spark, tables):
+    c = orders_corpus(spark, tables)
+    members = scope.with_filters(c.documents, c.values, [("Segmento", "BUILDING")])
+    found = scope.members_stating(members, c.values, "Precio").select("document_id")
+    plan = plan_of(found)
+    assert "Aggregate [document_id" in plan and "shuffle_hash" in plan
+    items = {r.l_orderkey for r in spark.read.parquet(f"{tables}/lineitem.parquet").select("l_orderkey").collect()}
+    assert sorted(r.document_id for r in found.collect()) == sorted(r.document_id for r in members.collect() if r.document_id in items)
