@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import exact, exactly, fold, folded, holds_phrase, holds_value, search_terms, words
+from ..functions.text import exact, exactly, fold, folded, holds_phrase, holds_value, may_hold, search_terms, words
 from .scope import equals, meeting_all
 
 DOC = "document_id"
@@ -117,7 +117,7 @@ def phrase_hits(chunks: DataFrame, phrase: str) -> DataFrame:
 def metadata_hits(documents: DataFrame, phrase: str, folder_is_named: bool) -> DataFrame:
     """Title 130; folder 90 if the question names it as one, else 15."""
     wanted = exact(phrase)
-    score = F.when(exactly("title").contains(wanted), 130).when(exactly("origin").contains(wanted), 90 if folder_is_named else 15)
+    score = F.when(may_hold("title", phrase) & exactly("title").contains(wanted), 130).when(may_hold("origin", phrase) & exactly("origin").contains(wanted), 90 if folder_is_named else 15)
     return documents.select(DOC, score.alias("score")).where("score is not null")
 
 
@@ -126,7 +126,7 @@ def structured_hits(documents: DataFrame, values: DataFrame, wanted: str) -> Dat
     literal, phrase = fold(wanted), exact(wanted)
     score = F.when(F.col("literal_value") == literal, 120).when(holds_phrase("text_value", phrase), 105).when(exactly("concept") == phrase, 80)
     hits = values.select(DOC, score.alias("score")).where("score is not null")
-    folders = documents.where(exactly("origin").contains(phrase)).select(DOC, F.lit(15).alias("score"))
+    folders = documents.where(may_hold("origin", phrase) & exactly("origin").contains(phrase)).select(DOC, F.lit(15).alias("score"))
     return hits.unionByName(folders).groupBy(DOC).agg(F.max("score").alias("score"))
 
 

@@ -47,3 +47,13 @@ def test_records_of_a_member_are_one_row_and_items_are_not_sorted_for_their_curr
     assert "Aggregate [document_id" in plan and "shuffle_hash" in plan
     items = {r.l_orderkey for r in spark.read.parquet(f"{tables}/lineitem.parquet").select("l_orderkey").collect()}
     assert sorted(r.document_id for r in found.collect()) == sorted(r.document_id for r in members.collect() if r.document_id in items)
+
+
+@pytest.mark.parametrize("phrase", ["machinery", "the Machinery", "théa", "", "chinery", "-"])
+def test_phrases_are_looked_for_where_they_can_be(spark, phrase):
+    made = spark.createDataFrame([(i, x) for i, x in enumerate(ODD)], "document_id int, x string")
+    words = text.exactly("x")
+    rows = made.select("x", text.holds_phrase("x", phrase).alias("a"), F.concat(F.lit(" "), words, F.lit(" ")).contains(f" {text.exact(phrase)} ").alias("b"), (~words.contains(text.exact(phrase)) | text.may_hold("x", phrase)).alias("c")).collect()
+    assert all((r.a, r.c) == (r.b, None if r.x is None else True) for r in rows)
+    found = {r.document_id for r in search.metadata_hits(made.select("document_id", F.col("x").alias("title"), F.lit("").alias("origin")), phrase, False).where("score = 130").collect()}
+    assert found == {r.document_id for r in made.where(words.contains(text.exact(phrase))).collect()}
