@@ -57,3 +57,29 @@ def test_phrases_are_looked_for_where_they_can_be(spark, phrase):
     assert all((r.a, r.c) == (r.b, None if r.x is None else True) for r in rows)
     found = {r.document_id for r in search.metadata_hits(made.select("document_id", F.col("x").alias("title"), F.lit("").alias("origin")), phrase, False).where("score = 130").collect()}
     assert found == {r.document_id for r in made.where(words.contains(text.exact(phrase))).collect()}
+
+
+@pytest.mark.parametrize("op", ["sum", "count", "min", "average"])
+def test_categories_need_no_join_with_the_scope(spark, op):
+    r = random.Random(3)
+    facts = [(r.randrange(30), r.choice(["money", "number"]), r.choice([None, Decimal(r.randrange(99))]), r.choice([None, "USD", "MXN"]), r.random() < 0.9) for _ in range(45)]
+    values = spark.createDataFrame(facts, "document_id long, value_type string, numeric decimal(24,4), currency string, reliable boolean")
+    docs = spark.createDataFrame([(d,) for d in range(3, 40)], "document_id long")
+    found = aggregate.compute_category(values, docs, "money", op)
+    assert "Join" not in plan_of(found)
+    own = {d: [f for f in facts if f[0] == d and f[1] == "money"] for d in range(3, 40)}
+    single = [rows[0] for rows in own.values() if len(rows) == 1]
+    account = (37, sum(not x for x in own.values()), sum(len(x) > 1 for x in own.values()), len(single))
+    got = found.collect()
+    assert {(x.n_scope, x.n_none, x.n_several, x.n_calculated) for x in got} == {account}
+    if op == "count":
+        assert [(x.value, x.n_values, x.n_documents) for x in got] == [(len(single), len(single), len(single))] and "currency" not in found.columns
+    else:
+        by = {}
+        for f in single:
+            if f[2] is not None:
+                by.setdefault(f[3], []).append(f[2])
+        of = {"sum": sum, "min": min, "average": lambda x: round(float(sum(x)) / len(x), 4)}[op]
+        assert {x.currency: (round(float(x.value), 4), x.n_values, x.n_documents) for x in got} == {k: (float(of(x)), len(x), len(x)) for k, x in by.items()}
+    none = aggregate.compute_category(values, docs.limit(0), "money", op).collect()
+    assert len(none) == 1 and none[0].n_scope == none[0].n_calculated == 0 and none[0].value == (0 if op == "count" else None)
