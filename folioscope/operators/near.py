@@ -16,51 +16,55 @@ from pyspark.sql import functions as F
 SHORT = 24
 
 
-def _without_each(text: Column) -> Column:
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.transform(at, lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+def _without(text: Column, at: Column) -> Column:
+    """The text without the letter at this place; a place of 0 leaves it whole."""
+    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.length(text)))).otherwise(text)
 
 
-def deletions(text: Column, most: int) -> Column:
-    """Hashes of the text with up to ``most`` letters deleted."""
-    every = grown = F.array(text)
-    for _ in range(most):
-        grown = F.array_distinct(F.flatten(F.transform(grown, _without_each)))
-        every = F.array_union(every, grown)
-    return F.transform(every, lambda x: F.xxhash64(F.lit("deletion"), x))
-
-
-def _pieces(text: Column, length: Column, most: int, moved: int) -> Column:
-    """Hashes of the pieces that a text of this length has, cut from this one, each moved by as many places."""
-    cut = lambda i: F.floor(length * i / (most + 1)).cast("int")
-    at = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), (cut(i) + 1 + moved).alias("begin"), (cut(i + 1) - cut(i)).alias("n")))
-    inside = F.filter(at, lambda p: (p.begin >= 1) & (p.begin + p.n - 1 <= F.length(text)))
-    return F.transform(inside, lambda p: F.xxhash64(F.lit("piece"), length, p.i, F.substring(text, p.begin, p.n)))
-
-
-def keys(text: Column, most: int, asking: bool) -> Column:
-    """Keys of a known text, or of one that asks for its neighbours."""
-    none = F.array().cast("array<bigint>")
-    short = F.when(F.length(text) <= SHORT + most, deletions(text, most)).otherwise(none)
+def _piece(length: Column, number: Column, most: int, asking: bool) -> tuple[Column, Column, Column, Column]:
+    """Of the piece with this number: the length of the text it is cut for, its place there, where it begins here and its size."""
+    n, i, moved = length, number, F.lit(0)
     if asking:
-        lengths = [F.length(text) + d for d in range(-most, most + 1)]
-        parts = [_pieces(text, n, most, moved) for n in lengths for moved in range(-most, most + 1)]
-    else:
-        parts = [_pieces(text, F.length(text), most, 0)]
-    return F.array_union(short, F.when(F.length(text) > SHORT, F.array_distinct(F.flatten(F.array(*parts)))).otherwise(none))
+        wide = 2 * most + 1
+        i, moved = number % (most + 1), F.floor(number / (most + 1)).cast("int") % wide - most
+        n = length + F.floor(number / ((most + 1) * wide)).cast("int") - most
+    cut = lambda k: F.floor(n * k / (most + 1)).cast("int")
+    return n, i, cut(i) + 1 + moved, cut(i + 1) - cut(i)
+
 
+def keyed(texts: DataFrame, name: str, most: int, asking: bool) -> DataFrame:
+    """Rows with a known text, or with one that asks for its neighbours, once for each ``__key`` of it; none for null.
 
-def near(asked: DataFrame, known: DataFrame, by: list[str], most: int = 1) -> DataFrame:
+    Keys are numbered and each is found from its number in a row of its own, so
+    that no text's keys are held as an array: places of a deleted letter from 1,
+    0 for none, pieces below. Of equal letters in a row only the last goes first.
+    """
+    text, length, at = F.col(name), F.length(name), F.col("__at1")
+    pieces = (most + 1) * (2 * most + 1) ** 2 if asking else most + 1
+    first = F.when(length > SHORT, F.lit(-pieces)).otherwise(0)
+    last = F.when(length <= SHORT + most, length).when(length > SHORT + most, F.lit(-1))
+    n, i, begin, size = _piece(length, -at - 1, most, asking)
+    other = F.substring(text, at, F.lit(1)) != F.substring(text, at + 1, F.lit(1))
+    inside = (begin >= 1) & (begin + size - 1 <= length)
+    rows = texts.select("*", F.explode(F.sequence(first, last)).alias("__at1")).where(F.when(at > 0, other).when(at < 0, inside).otherwise(True))
+    rest = _without(text, at)
+    for k in range(2, most + 1):
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col(f"__at{k - 1}") - 1, F.lit(0)))).alias(f"__at{k}"))
+        rest = _without(rest, F.col(f"__at{k}"))
+    key = F.when(at >= 0, F.xxhash64(F.lit("deletion"), rest)).otherwise(F.xxhash64(F.lit("piece"), n, i, F.substring(text, begin, size)))
+    return rows.select(*texts.columns, key.alias("__key"))
+
+
+def near(asked: DataFrame, known: DataFrame, by: list[str], most: int = 1, hint: str = "shuffle_hash") -> DataFrame:
     """Each ``asked`` text with the texts of ``known`` that agree in the columns ``by`` and are at most so many edits away.
 
     Both have ``text``; the result has ``asked``, ``text`` and ``distance``, a
-    pair once. Nulls have no neighbours; equal texts are at distance 0.
+    pair once. Nulls have no neighbours; equal texts are at distance 0. Known
+    keys pass by the asked ones of their partition, which it holds in memory.
     """
-    left = asked.where("text is not null").select(*by, F.col("text").alias("asked")).distinct()
-    right = known.where("text is not null").select(*by, "text").distinct()
-    left = left.select("*", F.explode(keys(F.col("asked"), most, True)).alias("__key"))
-    right = right.select("*", F.explode(keys(F.col("text"), most, False)).alias("__key"))
-    pairs = left.join(right, [*by, "__key"]).drop("__key").distinct()
+    left = keyed(asked.select(*by, F.col("text").alias("asked")).distinct(), "asked", most, True)
+    right = keyed(known.select(*by, "text").distinct(), "text", most, False)
+    pairs = left.hint(hint).join(right, ["__key", *by]).select(*by, "asked", "text").distinct()
     return pairs.withColumn("distance", F.levenshtein("asked", "text", most)).where(F.col("distance") >= 0)
 
 

@@ -118,7 +118,7 @@ def near_values(values: DataFrame, concept: str, wanted: str, most: int = 6) ->
     """Values of the field closest to one that does not exist: from those within two edits, if there are enough, else from all."""
     known = values.where(F.col("concept") == concept).select("text_value", "literal_value").distinct()
     asked = values.sparkSession.createDataFrame([(fold(wanted),)], "text string")
-    close = near(asked, known.select(F.col("literal_value").alias("text")), [], 2)
+    close = near(asked, known.select(F.col("literal_value").alias("text")), [], 2, "broadcast")
     found = known.join(close.select(F.col("text").alias("literal_value"), "distance"), "literal_value").select("text_value", "literal_value", "distance")
     if found.limit(most).count() < most:
         found = known.withColumn("distance", F.levenshtein("literal_value", F.lit(fold(wanted))))

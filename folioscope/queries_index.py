@@ -163,7 +163,7 @@ _SLIPS = _TEXTS + ", a as (select concept, left(text, length(text) // 2) || subs
 
 
 def _texts(c: Corpus):
-    return c.values.where("concept in ('Folio', 'Cliente', 'Segmento')").select("concept", F.col("literal_value").alias("text")).distinct()
+    return c.values.where("concept in ('Folio', 'Cliente', 'Segmento') and literal_value is not null").select("concept", F.col("literal_value").alias("text")).distinct()
 
 
 @query("F16_misspelled", f"{_SLIPS} select concept, asked, text, levenshtein(asked, text)::int as distance from a join t using (concept) where levenshtein(asked, text) <= 1")
@@ -171,9 +171,10 @@ def f16_misspelled(c):
     """All values of the text fields, and what one slip from them could have meant: a letter lost in the middle, or one too many."""
     texts = _texts(c)
     half = F.floor(F.length("text") / 2).cast("int")
-    lost = texts.where("concept <> 'Folio' or right(text, 2) = '00'").withColumn("text", F.concat(F.substring("text", F.lit(1), half), F.substring("text", half + 2, F.length("text"))))
-    more = texts.where("concept = 'Segmento'").withColumn("text", F.concat("text", F.lit("s")))
-    return near.near(lost.unionByName(more), texts, ["concept"], 1)
+    lost = F.when((F.col("concept") != "Folio") | (F.right("text", F.lit(2)) == "00"), F.concat(F.substring("text", F.lit(1), half), F.substring("text", half + 2, F.length("text"))))
+    more = F.when(F.col("concept") == "Segmento", F.concat("text", F.lit("s")))
+    # Both from one pass over the texts: so either side of the join reads the same rows, which are made distinct once.
+    return near.near(texts.select("concept", F.explode(F.array(lost, more)).alias("text")), texts, ["concept"], 1)
 
 
 _DOUBTFUL = ", d as (select segmento as concept, case when id % 10 = 0 then overlay_text else 'oc-' || lpad(id::varchar, 7, '0') end as text, id % 10 <> 0 as sure from (select *, 'oc-' || lpad(id::varchar, 6, '0') as overlay_text from known)), s as (select concept, text, bool_or(sure) as sure, count(*) as n from d group by 1, 2)"

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
-from folioscope.operators import aggregate, scope, search
+from folioscope.operators import aggregate, near, scope, search
+from folioscope.queries import QUERIES
 from folioscope.sources import files
 from folioscope.sources.tables import orders_corpus
 
@@ -83,3 +84,38 @@ def test_categories_need_no_join_with_the_scope(spark, op):
         assert {x.currency: (round(float(x.value), 4), x.n_values, x.n_documents) for x in got} == {k: (float(of(x)), len(x), len(x)) for k, x in by.items()}
     none = aggregate.compute_category(values, docs.limit(0), "money", op).collect()
     assert len(none) == 1 and none[0].n_scope == none[0].n_calculated == 0 and none[0].value == (0 if op == "count" else None)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_keys_of_near_values_are_rows_of_their_own(spark, most):
+    r = random.Random(4)
+    texts = ["", "a", "aa", "aab", "aaab", "abab", "baba", "\U0001d400\U0001d400b", "\U0001d400b", "\u00f1\u00f1", None] + ["ab" * 11 + "c" * n for n in range(1, 6)] + ["".join(r.choices("ab", k=n)) for n in (24, 25, 26, 27, 60)]
+    asked = texts + [x[:i] + x[i + 1 :] for x in texts if x for i in {0, len(x) // 2}] + [x + "a" for x in texts if x]
+    frame = lambda rows: spark.createDataFrame([(g, x) for x in rows for g in (1, None)], "g int, text string")
+    want = {(1, a, b, d) for a in asked for b in texts if None not in (a, b) and (d := edits(a, b)) <= most}
+    for hint in ("shuffle_hash", "broadcast"):
+        found = near.near(frame(asked), frame(texts), ["g"], most, hint)
+        got = [(x.g, x.asked, x.text, x.distance) for x in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    made = near.keyed(frame(texts).where("g = 1").distinct(), "text", most, False)
+    assert "lambda" not in plan_of(made) and not made.where("text is null").count()
+    if most == 1:
+        assert made.count() == made.distinct().count()
+
+
+def test_near_values_are_read_once_and_their_keys_not_sorted(spark):
+    found = QUERIES["F16_misspelled"](spark, "/root/testdata/sf0.001")
+    assert found.count()
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    assert "lambda" not in final and "Sort [" not in final and final.count("FileScan parquet [o_orderkey") == 1
