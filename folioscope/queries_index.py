@@ -159,7 +159,7 @@ def p19(c):
 # ---- near values ----------------------------------------------------------------------------------
 
 _TEXTS = ", t as (select distinct 'Folio' as concept, 'oc-' || lpad(id::varchar, 7, '0') as text from known union select distinct 'Cliente', 'cl-' || o_custkey from known union select distinct 'Segmento', lower(segmento) from known)"
-_SLIPS = _TEXTS + ", a as (select concept, left(text, length(text) // 2) || substr(text, length(text) // 2 + 2) as asked from t where concept <> 'Folio' or right(text, 2) = '00' union select concept, text || 's' from t where concept = 'Segmento')"
+_SLIPS = _TEXTS + ", a as (select concept, left(text, length(text) // 2) || substr(text, length(text) // 2 + 2) as asked from t union select concept, text || 's' from t)"
 
 
 def _texts(c: Corpus):
@@ -168,11 +168,11 @@ def _texts(c: Corpus):
 
 @query("F16_misspelled", f"{_SLIPS} select concept, asked, text, levenshtein(asked, text)::int as distance from a join t using (concept) where levenshtein(asked, text) <= 1")
 def f16_misspelled(c):
-    """All values of the text fields, and what one slip from them could have meant: a letter lost in the middle, or one too many."""
+    """All values of the text fields, and what one slip from each of them could have meant: a letter lost in the middle, or one too many."""
     texts = _texts(c)
     half = F.floor(F.length("text") / 2).cast("int")
-    lost = F.when((F.col("concept") != "Folio") | (F.right("text", F.lit(2)) == "00"), F.concat(F.substring("text", F.lit(1), half), F.substring("text", half + 2, F.length("text"))))
-    more = F.when(F.col("concept") == "Segmento", F.concat("text", F.lit("s")))
+    lost = F.concat(F.substring("text", F.lit(1), half), F.substring("text", half + 2, F.length("text")))
+    more = F.concat("text", F.lit("s"))
     # Both from one pass over the texts: so either side of the join reads the same rows, which are made distinct once.
     return near.near(texts.select("concept", F.explode(F.array(lost, more)).alias("text")), texts, ["concept"], 1)
 

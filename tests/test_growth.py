@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.operators import aggregate, near, scope, search
-from folioscope.queries import QUERIES
+from folioscope.queries import QUERIES, SQL
 from folioscope.sources import files
 from folioscope.sources.tables import orders_corpus
 
@@ -119,3 +119,11 @@ def test_near_values_are_read_once_and_their_keys_not_sorted(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan[: plan.index("Initial Plan")]
     assert "lambda" not in final and "Sort [" not in final and final.count("FileScan parquet [o_orderkey") == 1
+
+
+def test_every_value_is_asked_for_with_either_slip(spark):
+    found = QUERIES["F16_misspelled"](spark, "/root/testdata/sf0.001")
+    values = orders_corpus(spark, "/root/testdata/sf0.001").values.where("value_type = 'text'").select("concept", "literal_value").distinct().collect()
+    slips = {(c, x[: len(x) // 2] + x[len(x) // 2 + 1 :]) for c, x in values} | {(c, x + "s") for c, x in values}
+    assert {(r.concept, r.asked) for r in found.collect()} == slips and len({c for c, _ in slips}) == 3
+    assert "right(" not in SQL["F16_misspelled"] and SQL["F16_misspelled"].count("where") == 1
