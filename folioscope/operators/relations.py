@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import identifier_of, kind_of_path
 from ..functions.values import exact_ratio
-from ..sources.places import work_dir
+from ..sources.places import delete, settings, work_dir
 from .aggregate import DOC, compute
 
+#: Rounds in which documents and keys are dealt out where all of them are; each shuffles its share.
+ROUNDS = 3
+#: Documents above which a key's are dealt out by value.
+HOT = 4096
+#: While rounds are written: a shuffle's files go when its write is complete, tasks are small, and rows that were sorted once are not sorted again.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+
 
 def rank(rows: DataFrame, group: str, op: str = "sum", descending: bool = True) -> DataFrame:
     """Groups by their value, ties by name."""
@@ -117,15 +124,80 @@ def all_contradictions(values: DataFrame) -> DataFrame:
     return out.where("n_values >= 2")
 
 
+def _merged(fields: Column) -> Column:
+    """Fields of a document of which some stand there in parts, one for each identifier they state."""
+
+    def one(name: Column) -> Column:
+        own = F.filter(fields, lambda f: f["concept"] == name)
+        said = F.array_compact(F.array_distinct(F.transform(own, lambda f: f["value"])))
+        several = F.exists(own, lambda f: f["several"]) | (F.size(said) > 1)
+        return F.struct(name.alias("concept"), F.when(~several, F.get(said, F.lit(0))).alias("value"), F.forall(own, lambda f: f["reliable"]).alias("reliable"), several.alias("several"))
+
+    names = F.array_distinct(fields["concept"])
+    return F.when(F.size(names) < F.size(fields), F.transform(names, one)).otherwise(fields)
+
+
+def _write_documents(values: DataFrame, at: str) -> None:
+    """One row a document: ``fields``, what each says of it as ``stated_fields`` has it, and ``keys``, the identifiers that its fields state."""
+    facts = values.select(DOC, "concept", "literal_value", "reliable", identifier_of("text_value").alias("key"))
+    alike = F.col("low") == F.col("high")
+    field = F.struct("concept", "value", "reliable", "several")
+    key = F.when(F.col("key").isNotNull(), F.struct(F.col("concept").alias("key_field"), "key"))
+    for number in range(ROUNDS):
+        own = facts.where(F.pmod(F.xxhash64(DOC), F.lit(ROUNDS)) == number)
+        # Counted by field before the document's rows come together, so that a document of very many rows is no one task's.
+        each = own.groupBy(DOC, "concept", "key").agg(F.min("literal_value").alias("low"), F.max("literal_value").alias("high"), F.bool_and("reliable").alias("reliable"))
+        each = each.select(DOC, "concept", "key", F.when(alike, F.col("low")).alias("value"), "reliable", F.coalesce(~alike, F.lit(False)).alias("several"))
+        docs = each.repartition(DOC).groupBy(DOC).agg(F.collect_list(field).alias("fields"), F.collect_list(key).alias("keys"))
+        # In one order, since documents that look alike take less room.
+        docs.select(F.sort_array(_merged(F.col("fields"))).alias("fields"), "keys").write.mode("append").parquet(at)
+
+
+def _dossiers(keyed: DataFrame, concepts: Column) -> DataFrame:
+    """Dossiers of keys from their documents' fields, without those of one document only. A document that has a key of a field states that field."""
+    by = ["mark", "key_field", "key"]
+    each = keyed.select(*by, F.inline("fields")).groupBy(*by, "concept", "value").agg(F.count("*").alias("n"), F.bool_and("reliable").alias("reliable"))
+    cells = each.groupBy(*by, "concept").agg(F.sum("n").alias("n_documents"), F.count("value").alias("n_values"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_several"), F.bool_and("reliable").alias("reliable"))
+    stated = F.collect_list(F.struct("concept", "n_documents", "n_values", "n_several", "reliable")).alias("stated")
+    whole = cells.groupBy(*by).agg(F.max(F.when(F.col("concept") == F.col("key_field"), F.col("n_documents"))).alias("n_linked"), stated).where("n_linked > 1")
+    zero = F.lit(0).cast("long")
+    gaps = F.transform(F.array_except(concepts, F.col("stated.concept")), lambda c: F.struct(c.alias("concept"), zero.alias("n_documents"), zero.alias("n_values"), zero.alias("n_several"), F.lit(True).alias("reliable")))
+    rows = whole.select("key_field", "key", "n_linked", F.inline(F.concat("stated", gaps)))
+    return rows.select("key_field", "key", "concept", "n_linked", "n_documents", "n_values", "n_several", (F.col("n_linked") - F.col("n_documents")).alias("n_gaps"), (F.col("n_values") > 1).alias("conflict"), "reliable")
+
+
 def all_dossiers(values: DataFrame) -> DataFrame:
-    """For every shared key, every field of the collection: documents that state it, different single values, conflicts and gaps."""
-    linked, shared = _linked(values)
-    each = _by_value(values, linked).groupBy("key_field", "key", "concept").agg(F.sum("n").alias("n_documents"), F.count("value").alias("n_values"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_several"), F.bool_and("reliable").alias("reliable"))
-    fields = values.select("concept").distinct().agg(F.array_sort(F.collect_list("concept")).alias("__fields"))  # one row: the collection's fields
-    grid = shared.crossJoin(F.broadcast(fields)).select("key_field", "key", "n_linked", F.explode("__fields").alias("concept"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    filled = grid.join(each, ["key_field", "key", "concept"], "left")
-    return filled.select("key_field", "key", "concept", "n_linked", zero("n_documents").alias("n_documents"), zero("n_values").alias("n_values"), zero("n_several").alias("n_several"), (F.col("n_linked") - zero("n_documents")).alias("n_gaps"), (zero("n_values") > 1).alias("conflict"), F.coalesce("reliable", F.lit(True)).alias("reliable"))
+    """For every shared key, every field of the collection: documents that state it, different single values, conflicts and gaps.
+
+    The documents, then the keys are dealt out in rounds, each written before the
+    next one begins. Documents meet at a shared key as rows of all their fields;
+    those of a hot key are counted by value before. Marks of keys only say which
+    keys may be shared or hot; keys themselves are what is grouped.
+    """
+    spark = values.sparkSession
+    at, marks_at, out = (work_dir(spark, f"dossiers-{x}") for x in ("documents", "marks", "result"))
+    try:
+        with settings(spark, WRITING):
+            _write_documents(values, at)
+            docs = spark.read.parquet(at)
+            names = docs.select(F.explode("fields.concept").alias("concept")).distinct().orderBy("concept").collect()
+            concepts = F.array(*[F.lit(r.concept) for r in names]).cast("array<string>")
+            keyed = docs.select(F.explode("keys").alias("k"), "fields").select(F.xxhash64("k.key_field", "k.key").alias("mark"), "k.key_field", "k.key", "fields")
+            keyed.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").write.parquet(marks_at)
+            marks = spark.read.parquet(marks_at)
+            hot = F.broadcast(marks.where(F.col("n") > HOT).select("mark"))
+            some = not marks.where(F.col("n") > HOT).isEmpty()
+            for number in range(ROUNDS):
+                own, shared = (x.where(F.pmod("mark", F.lit(ROUNDS)) == number) for x in (keyed, marks.select("mark")))
+                cold = own.join(hot, "mark", "left_anti") if some else own
+                found = _dossiers(cold.repartition("mark").join(shared.hint("shuffle_hash"), "mark", "left_semi"), concepts)
+                if some:
+                    found = found.unionByName(_dossiers(own.join(hot, "mark", "left_semi"), concepts))
+                found.write.mode("append").parquet(out)
+    finally:
+        delete(spark, at)
+        delete(spark, marks_at)
+    return spark.read.parquet(out)
 
 
 def identifier_candidates(values: DataFrame, concept: str, wanted: str, most: int = 6) -> DataFrame:

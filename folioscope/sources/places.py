@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -34,6 +35,19 @@ def delete(spark: SparkSession, uri: str) -> None:
     system.delete(path, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for the time of the block; results don't depend on them."""
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def children(spark: SparkSession, uri: str) -> list[tuple[str, int]]:
     """(name, time of change in ms) of what a folder holds; none if there is no such folder."""
     path, system, _ = hadoop(spark, uri)

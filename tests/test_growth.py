@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
-from folioscope.operators import aggregate, near, scope, search
+from folioscope.operators import aggregate, near, relations, scope, search
 from folioscope.queries import QUERIES, SQL
 from folioscope.sources import files
 from folioscope.sources.tables import orders_corpus
@@ -127,3 +127,30 @@ def test_every_value_is_asked_for_with_either_slip(spark):
     slips = {(c, x[: len(x) // 2] + x[len(x) // 2 + 1 :]) for c, x in values} | {(c, x + "s") for c, x in values}
     assert {(r.concept, r.asked) for r in found.collect()} == slips and len({c for c, _ in slips}) == 3
     assert "right(" not in SQL["F16_misspelled"] and SQL["F16_misspelled"].count("where") == 1
+
+
+@pytest.mark.parametrize("hot", [1, 3, 4096])
+def test_dossiers_meet_in_rounds_that_are_written(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(relations, "HOT", hot)
+    r = random.Random(8)
+    texts = {"Folio": ["OC-1", "oc 1", "OC-2", "OC-3", None], "Gu\u00eda": ["G-9", "g9", "OC-1", "sin"], "Monto": ["5", "6.0", None, ""], "Estado": ["Alta", "alta", "Baja"]}
+    facts = [(d, c, x, None if x is None else x.lower(), r.random() < 0.9) for d in range(24) for c in texts for x in r.choices(texts[c], k=r.choice([0, 1, 1, 2, 3]))] + [(99, "Solo", "x", "x", True)]
+    spark.createDataFrame(facts, "document_id long, concept string, text_value string, literal_value string, reliable boolean").write.parquet(str(tmp_path / "values"))
+    found = relations.all_dossiers(spark.read.parquet(str(tmp_path / "values")))
+    plan = plan_of(found)
+    assert "text_value" not in plan and "Join" not in plan and "Aggregate" not in plan
+    stated = {(d, c): [f for f in facts if f[:2] == (d, c)] for d, c, *_ in facts}
+    linked = {}
+    for d, c, x, *_ in facts:
+        if x and (k := text.identifier(x)):
+            linked.setdefault((c, k), set()).add(d)
+    want = set()
+    for (field, key), docs in linked.items():
+        for c in {f[1] for f in facts} if len(docs) > 1 else ():
+            own = [stated[d, c] for d in docs if (d, c) in stated]
+            single = [{f[3] for f in rows} - {None} for rows in own]
+            values = {v for x in single if len(x) == 1 for v in x}
+            want.add((field, key, c, len(docs), len(own), len(values), sum(len(x) != 1 for x in single), len(docs) - len(own), len(values) > 1, all(f[4] for rows in own for f in rows)))
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(x[6] for x in want) and any(x[7] for x in want)
+    assert not relations.all_dossiers(spark.read.parquet(str(tmp_path / "values")).limit(0)).count()
